@@ -250,20 +250,26 @@ class Vocabulary:
         for words in plain:
             if words is not None:
                 new.update(words[1:])
-        if len(self._words) + len(new) > REMEMBERED:
-            self._words.clear()
-        new -= self._words.keys()
-        # a word follows one space, and the pattern always starts a match at that space
-        split = {w: [p.encode() for p in self.pattern.findall(" " + w)] for w in new}
-        ids = self._learn({p for pieces in (*other, *split.values()) for p in pieces})
-        for w, pieces in split.items():
-            self._words[w] = b"".join([ids[p] for p in pieces])
+        ids = self._learn_words(new, [p for pieces in other for p in pieces])
         starts = [b"".join(map(ids.__getitem__, pieces)) for pieces in other]
         known = self._words.__getitem__
-        out = [s if words is None else s + b"".join(map(known, words[1:])) for s, words in zip(starts, plain)]
-        if len(self._words) > REMEMBERED:
+        return [s if words is None else s + b"".join(map(known, words[1:])) for s, words in zip(starts, plain)]
+
+    def _learn_words(self, words: set[str], pieces: list[bytes] = ()) -> dict[bytes, bytes]:
+        """Remember ids of all these words, each after one space; the ids of ``pieces`` and of the new words' pieces."""
+        if len(self._words) + len(words) > REMEMBERED:
             self._words.clear()
-        return out
+        # the pattern always starts a match at a space before a word
+        split = {w: [p.encode() for p in self.pattern.findall(" " + w)] for w in words - self._words.keys()}
+        ids = self._learn({p for own in (pieces, *split.values()) for p in own})
+        for w, own in split.items():
+            self._words[w] = b"".join([ids[p] for p in own])
+        return ids
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as it stands after one space."""
+        self._learn_words(set(words))
+        return list(map(self._words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, pii, quality_classifier, quality_rules, simhash
+from . import bpe, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -21,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, keep_ids=False)
 
@@ -43,6 +47,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op9_pii, op10_quality_classifier)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier)
 }
 
 _LINES = r"""
