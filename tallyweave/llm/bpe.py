@@ -208,6 +208,8 @@ class Vocabulary:
                     ends = ends[last[rows[ends], end] < 0]
                     ends = ends[self._fits(last[rows[ends], start], tokens[ends])]
                 last[rows[ends], end] = tokens[ends]
+        if (last[np.arange(len(pieces)), lengths] < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
         sizes = self._sizes
         at, ids, counts = lengths.copy(), np.zeros((len(pieces), width), "<u4"), np.zeros(len(pieces), np.int64)
         rows = np.arange(len(pieces))
