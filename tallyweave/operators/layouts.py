@@ -57,12 +57,12 @@ def unpivot_sizes(rows: DataFrame, sizes: list[str]) -> DataFrame:
 
 # Templates of common layouts; quantities in front, the description, then size, stems, price and total.
 PLAIN = Template(
-    "plain", ((r"^(\d+) (QB|HB) (.+?) (\d{2,3})CM (\d+) ([\d.,]+) ([\d.,]+)$", {"boxes": 1, "box_type": 2, "variety": 3, "size": 4, "stems": 5, "price": 6, "total": 7}),), numbers=("boxes", "size", "stems", "price", "total")
+    "plain", ((r"^(\d+) (QB|HB) (.+?) (\d{2,3})CM ([\d.,]+) ([\d.,]+) ([\d.,]+)$", {"boxes": 1, "box_type": 2, "variety": 3, "size": 4, "stems": 5, "price": 6, "total": 7}),), numbers=("boxes", "size", "stems", "price", "total")
 )
 PARENT = Template(
     "parent and continuation",
-    ((r"^(\d+) (QB|HB) (.+?) (\d{2,3})CM (\d+) ([\d.,]+) ([\d.,]+)$", {"variety": 3, "size": 4, "stems": 5, "price": 6, "total": 7}), (r"^([A-Z][A-Z ]+?) (\d{2,3})CM (\d+) ([\d.,]+) ([\d.,]+)$", {"variety": 1, "size": 2, "stems": 3, "price": 4, "total": 5})),
+    ((r"^(\d+) (QB|HB) (.+?) (\d{2,3})CM ([\d.,]+) ([\d.,]+) ([\d.,]+)$", {"variety": 3, "size": 4, "stems": 5, "price": 6, "total": 7}), (r"^([A-Z][A-Z ]+?) (\d{2,3})CM ([\d.,]+) ([\d.,]+) ([\d.,]+)$", {"variety": 1, "size": 2, "stems": 3, "price": 4, "total": 5})),
     carried={"box_type": r"^\d+ (QB|HB) "}, numbers=("size", "stems", "price", "total"),
 )
 LABEL_BELOW = Template("label on the next line", PLAIN.variants, looked={"label": (r"^LABEL: (.+)$", 1)}, numbers=PLAIN.numbers)
-VARIETY_ABOVE = Template("variety on the line above", ((r"^(\d{2,3})CM (\d+) ([\d.,]+) ([\d.,]+)$", {"size": 1, "stems": 2, "price": 3, "total": 4}),), looked={"variety": (r"^([A-Z][A-Z ]+)$", -1)}, numbers=("size", "stems", "price", "total"))
+VARIETY_ABOVE = Template("variety on the line above", ((r"^(\d{2,3})CM ([\d.,]+) ([\d.,]+) ([\d.,]+)$", {"size": 1, "stems": 2, "price": 3, "total": 4}),), looked={"variety": (r"^([A-Z][A-Z ]+)$", -1)}, numbers=("size", "stems", "price", "total"))

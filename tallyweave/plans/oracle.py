@@ -82,6 +82,8 @@ def _first(p: str) -> str:
     return f"nullif(regexp_extract(trim(line), '{p}', 1), '')"
 
 
+_BELOW, _ABOVE = _first(r"^(\S+)"), _first(r"(\S+)$")
+
 ORACLE_SQL: dict[str, str] = {
     "invoice_balance": f"WITH {_LINES}, {_HEADERS}, {_BALANCE} SELECT * FROM balance",
     "header_repair": f"""WITH {_LINES}, {_HEADERS}, j AS (SELECT h.invoice, header_total AS h, coalesce(s, 0) AS s FROM headers h LEFT JOIN (SELECT invoice, sum(amount) AS s FROM lines GROUP BY 1) x USING (invoice))
@@ -199,7 +201,7 @@ s AS (SELECT *, (CASE WHEN n_read >= 0.5 * n THEN 0.25 ELSE 0 END + CASE WHEN n_
 SELECT *, CASE WHEN score >= 0.85 THEN 'active' WHEN score >= 0.5 THEN 'active, review' WHEN score >= 0.25 THEN 'review' ELSE 'reject' END AS decision FROM s""",
     "carry_forward": rf"""WITH {_TEXT}, h AS (SELECT *, last_value(nullif(regexp_extract(trim(line), '^((?:\S+ ){{0,5}}\S+[.:])$', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM text_lines)
 SELECT doc_id, line_no, 0 AS variant, regexp_extract(trim(line), '^(\S+) ', 1) AS first_word, head FROM h WHERE regexp_matches(trim(line), '^(\S+) ')""",
-    "look_around": rf"""WITH {_TEXT}, h AS (SELECT *, lead({_first('^(\S+)')}, 1) OVER w AS below, lag({_first('(\S+)$')}, 1) OVER w AS above FROM text_lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+    "look_around": rf"""WITH {_TEXT}, h AS (SELECT *, lead({_BELOW}, 1) OVER w AS below, lag({_ABOVE}, 1) OVER w AS above FROM text_lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT doc_id, line_no, 0 AS variant, regexp_extract(trim(line), '^(\S+)', 1) AS first_word, below, above FROM h WHERE regexp_matches(trim(line), '^(\S+)')""",
     "template_rows": f"""WITH {_LINES}, {_BOXED} SELECT invoice AS doc_id, (row_number() OVER (PARTITION BY invoice ORDER BY line_no, article_id, provider_id, line_total))::INT AS line_no, 0 AS variant, raw AS variety, (size + 10)::DOUBLE AS size, stems::DOUBLE AS stems,
 line_no::DOUBLE AS price, amount::DOUBLE AS total, 'QB' AS box_type FROM boxed""",
