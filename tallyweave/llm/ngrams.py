@@ -1,6 +1,7 @@
 """Hashed word and character n-grams of many texts at once.
 
-Features are words, pairs of neighbouring words, and runs of four bytes, each hashed to one of ``BUCKETS``. A
+Features are words, pairs of neighbouring words, and runs of four bytes, each hashed to one of ``BUCKETS``; a pair of
+equal words is one feature, whatever the word. A
 document's value of a feature is its share among the document's word features, or among its byte runs.
 Texts are handled in blocks of at most ``BLOCK`` bytes, cut at white space where there is some; n-grams don't cross blocks.
 """
@@ -19,6 +20,7 @@ BLOCK = 1 << 20
 SCALE = 64.0  # shares are small; weights are of a share times this
 
 _P = np.uint64(0x100000001B3)
+_SAME = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 _IS_WHITE = np.zeros(256, bool)
@@ -73,6 +75,7 @@ def hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     part = np.searchsorted(part_end, starts, "right")
     pairs = np.flatnonzero(part[1:] == part[:-1])
     pair = word[pairs] * np.uint64(0xD6E8FEB86659FD93) + word[pairs + 1]
+    pair[word[pairs] == word[pairs + 1]] = _SAME
     words = ((np.concatenate((word, pair)) * _ODD) >> shift).astype(np.int64)
     word_part = np.concatenate((part, part[pairs]))
     runs, run_part = np.zeros(0, np.int64), np.zeros(0, np.int64)

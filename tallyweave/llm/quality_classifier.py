@@ -43,8 +43,9 @@ def fit(data: Sample, dimensions: int = DIMENSIONS, epochs: int = 8, rate: float
     if len(set(data.label)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (2 * BUCKETS, dimensions)).astype(np.float32)
-    classes, biases = rng.normal(0, 0.1, (2, dimensions)).astype(np.float32), np.zeros(2, np.float32)
+    # a feature that no labelled row has says nothing
+    vectors = np.zeros((2 * BUCKETS, dimensions), np.float32)
+    classes, biases = rng.normal(0, 0.5, (2, dimensions)).astype(np.float32), np.zeros(2, np.float32)
     share = np.bincount(data.label.astype(int), minlength=2) / len(data)
     weight = np.minimum(0.5 / share, 3)
     for epoch in range(epochs):

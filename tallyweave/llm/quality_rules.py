@@ -102,16 +102,24 @@ def _logistic(data: Sample, rows: np.ndarray, epochs: int, rate: float, decay: f
 
 
 def _platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the calibrated probability, by Newton steps on smoothed targets."""
+    """Slope and offset of the calibrated probability: Newton steps, halved until they help, on smoothed targets."""
     good = label.sum()
     target = np.where(label == 1, (good + 1) / (good + 2), 1 / (len(label) - good + 2))
-    x = np.stack([raw, np.ones(len(raw))], axis=1)
+    scale = max(np.abs(raw).max(), 1e-9)
+    x = np.stack([raw / scale, np.ones(len(raw))], axis=1)
+
+    def loss(a: np.ndarray) -> float:
+        z = x @ a
+        return float((np.logaddexp(0, z) - target * z).sum() + 1e-3 * (a @ a))
+
     a = np.array([1.0, 0.0])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        a = a - np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (a - np.array([1.0, 0.0]))), -2, 2)
-    return max(float(a[0]), 0.05), float(a[1])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), x.T @ (p - target) + 2e-3 * a)
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step /= 2
+        a = a - step
+    return max(float(a[0]) / scale, 1e-3), float(a[1])
 
 
 def fit(data: Sample, epochs: int = 60, rate: float = 0.05, decay: float = 1e-6) -> Model | None:
