@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import HEADER_PATTERNS, MANUAL_BRANDS, PROVIDER_PATTERNS, SEARCHES
+from .queries import HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
 from ..functions.text import COLORS
 
 _LINES = """lines AS (SELECT l_orderkey AS invoice, l_linenumber AS line_no, l_partkey AS article_id, l_suppkey AS provider_id, l_quantity::INT AS stems, (5 * (1 + l_partkey % 5))::INT AS pack,
@@ -209,3 +209,56 @@ line_no::DOUBLE AS price, amount::DOUBLE AS total, 'QB' AS box_type FROM boxed""
     "sessions": f"""WITH {_LOG}, g AS (SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM log), s AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT key, min(ts)::TIMESTAMP AS start, count(*) AS n_events FROM s GROUP BY key, n""",
 }
+_RAW = "lined AS (SELECT l.*, upper(p_name) || ' ' || repeat(upper(p_brand), 14) AS raw FROM lines l JOIN part ON article_id = p_partkey)"
+
+
+def _keyed_owner() -> str:
+    cases = " ".join("WHEN " + " AND ".join(f"contains(lower(text), '{k}')" for k in keys[:3]) + f" THEN '{owner}'" for owner, keys in OWNERS)
+    return f"owned AS (SELECT doc_id, source, text, CASE {cases} END AS owner FROM documents)"
+
+
+ORACLE_SQL |= {
+    "serialized_lines": f"""WITH {_LINES}, {_RAW} SELECT invoice, line_no, article_id, provider_id, substr(raw, 1, 120) AS raw, amount::VARCHAR AS line_total,
+'{{"match_status":"' || match_status || '","stems":' || stems || ',"pack":' || pack || '}}' AS state FROM lined""",
+    "alias_unify": f"WITH {_ARTICLES}, a AS (SELECT id, p_retailprice AS price, pack FROM articles JOIN part ON id = p_partkey) SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN price * 2 END, CASE WHEN id % 2 = 0 THEN price END) AS line_total, 0.5::DOUBLE AS match_confidence, pack FROM a",
+    "line_patches": "SELECT o_orderkey AS invoice, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_custkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id FROM orders",
+    "preserve_edits": f"""WITH {_LINES}, {_RAW}, old AS (SELECT invoice AS doc_id, lower(trim(raw)) AS k, bool_or(line_no % 3 = 0) AS deleted, max(CASE WHEN line_no % 2 = 0 THEN 'EDITED' END) AS label FROM lined GROUP BY 1, 2),
+new AS (SELECT invoice AS doc_id, lower(trim(raw)) AS k, line_total AS amount FROM lined WHERE stems > 10)
+SELECT n.doc_id, n.k, n.amount, o.label, coalesce(o.deleted, false) AS deleted FROM new n LEFT JOIN old o USING (doc_id, k)
+UNION ALL SELECT doc_id, k, NULL, label, deleted FROM old o WHERE deleted AND NOT EXISTS (SELECT 1 FROM new n WHERE n.doc_id = o.doc_id AND n.k = o.k)""",
+    "durable_lookup": f"""WITH {_ARTICLES}, c AS (SELECT 'C' || (id % 500) AS code, min(id) AS id FROM articles GROUP BY 1), r AS (SELECT upper(reference) AS ref, min(id) AS id FROM articles GROUP BY 1)
+SELECT o_orderkey AS want_id, coalesce(c.id, r.id) AS id, CASE WHEN c.id IS NOT NULL THEN 'code' WHEN r.id IS NOT NULL THEN 'reference' ELSE 'none' END AS how
+FROM orders LEFT JOIN c ON c.code = 'C' || (o_orderkey % 700) LEFT JOIN r ON r.ref = 'F' || lpad((o_orderkey % 3000)::VARCHAR, 6, '0')""",
+    "id_migration": f"""WITH {_ARTICLES}, one AS (SELECT name AS n, min(id) AS id FROM articles GROUP BY 1 HAVING count(*) = 1), cut AS (SELECT name[:-2] AS n, min(id) AS id FROM articles GROUP BY 1 HAVING count(*) = 1),
+l AS (SELECT id AS link_id, CASE WHEN id % 2 = 0 THEN name ELSE name[:-2] END AS n FROM articles) SELECT link_id, coalesce(one.id, cut.id) AS id FROM l LEFT JOIN one ON l.n = one.n LEFT JOIN cut ON l.n = cut.n""",
+    "orphan_merge": f"""WITH {_LINES}, {_MINED}, owners AS (SELECT article_id, min(provider_id) AS owner FROM lines GROUP BY 1),
+l AS (SELECT CASE WHEN b.stems % 4 = 0 THEN 0 ELSE a.provider_id END AS p, upper(string_split(p_name, ' ')[-1]) AS variety, a.article_id, b.match_status AS status, b.stems AS uses FROM lines a JOIN part ON a.article_id = p_partkey JOIN lines b ON a.provider_id = b.provider_id AND a.article_id = b.article_id),
+m AS (SELECT CASE WHEN p = 0 THEN coalesce(owner, 0) ELSE p END AS provider_id, variety, article_id, status, uses FROM l LEFT JOIN owners USING (article_id))
+SELECT provider_id, variety, arg_min(article_id, list_position(['ok', 'ambiguous_match', 'sin_match'], status)::BIGINT * 1000000000 + article_id) AS article_id, arg_min(status, list_position(['ok', 'ambiguous_match', 'sin_match'], status)) AS status, sum(uses)::BIGINT AS uses FROM m GROUP BY 1, 2""",
+    "key_rewrite": f"""WITH {_ARTICLES}, m AS (SELECT variety, size, (CASE WHEN pack = 5 THEN 25 ELSE pack END)::INT AS pack, CASE WHEN pack = 5 THEN 1 ELSE 0 END AS moved, id FROM articles)
+SELECT variety, size, pack, arg_min(id, moved * 1000000000 + id) AS article_id, count(*) AS n FROM m GROUP BY 1, 2, 3""",
+    "truncated_names": f"""WITH {_ARTICLES}, s AS (SELECT *, CASE WHEN id % 4 = 0 THEN substr(name, 1, 9) ELSE name END AS stored FROM articles) SELECT id, CASE WHEN NOT regexp_matches(stored, '[0-9]U') AND starts_with(name, trim(stored)) THEN name ELSE stored END AS name FROM s""",
+    "provider_suffix": f"WITH {_ARTICLES} SELECT id, trim(regexp_replace(variety, '(?i)\\s+(rod|bolt|ring)\\s*$', '')) AS stripped FROM articles",
+    "similarity_buckets": f"""WITH {_ARTICLES}, n AS (SELECT a.variety AS x, b.variety AS y FROM articles a JOIN articles b ON a.id + 1 = b.id),
+s AS (SELECT CASE WHEN x = y THEN 100 WHEN contains(x, y) OR contains(y, x) THEN 90 ELSE floor(len(list_intersect(string_split(x, ' '), string_split(y, ' '))) * 80 / greatest(len(list_distinct(string_split(x, ' '))), len(list_distinct(string_split(y, ' ')))))::INT END AS score FROM n)
+SELECT score, count(*) AS n FROM s GROUP BY 1""",
+    "color_modifiers": f"""WITH {_ARTICLES} SELECT id, array_to_string(list_sort([w FOR w IN list_distinct([CASE id % 4 WHEN 0 THEN 'DARK' WHEN 1 THEN 'LIGHT' WHEN 2 THEN 'NEON' END, CASE WHEN id % 5 = 0 THEN 'CLARO' END]) IF w IS NOT NULL AND NOT (w = 'CLARO' AND id % 3 = 0)]), ',') AS missing FROM articles""",
+    "match_confidence": f"WITH {_LINES} SELECT invoice, line_no, article_id, provider_id, CASE WHEN link_confidence = 0 THEN 1.0::DOUBLE ELSE link_confidence END * 1.0::DOUBLE * CASE WHEN extraction_confidence = 0 THEN 1.0::DOUBLE ELSE extraction_confidence END AS confidence FROM lines",
+    "sql_export": f"""WITH {_ARTICLES}, l AS (SELECT id, format('({{}}, {{}}{{}}{{}}, {{}}, {{}})', id % 9, chr(39), replace(variety, ' ', chr(39) || chr(39) || ' '), chr(39), size, CASE WHEN id % 6 = 0 THEN 0 ELSE id END) AS v FROM articles)
+SELECT id AS link_id, CASE WHEN id % 6 = 0 OR id = 0 THEN '-- pending ' || v ELSE 'INSERT INTO links VALUES ' || v || ';' END AS statement FROM l""",
+    "keyword_providers": f"WITH {_keyed_owner()} SELECT doc_id, owner FROM owned WHERE owner IS NOT NULL",
+    "keyword_majority": """WITH w AS (SELECT DISTINCT lang || '-' || source AS group_id, doc_id, word FROM (SELECT *, unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]+$')),
+s AS (SELECT group_id, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1), n AS (SELECT group_id, word, count(*) AS n_docs FROM w GROUP BY 1, 2)
+SELECT group_id, (row_number() OVER (PARTITION BY group_id ORDER BY n_docs DESC, word))::INT AS rank, word, n_docs FROM n JOIN s USING (group_id) WHERE n_docs >= 0.5 * docs QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n_docs DESC, word) <= 10""",
+    "species_share": """WITH c AS (SELECT source AS group_id, sum(len(regexp_extract_all(text, 'th')))::BIGINT AS en, sum(len(regexp_extract_all(text, 'sch')))::BIGINT AS de, sum(len(regexp_extract_all(text, 'eau')))::BIGINT AS fr, sum(len(regexp_extract_all(text, 'ción')))::BIGINT AS es FROM documents GROUP BY 1)
+SELECT group_id, CASE greatest(en, de, fr, es) WHEN en THEN 'en' WHEN de THEN 'de' WHEN fr THEN 'fr' ELSE 'es' END AS kind, greatest(en, de, fr, es) AS hits, coalesce(round(greatest(en, de, fr, es)::DOUBLE / nullif(en + de + fr + es, 0), 4), 0.0) AS share FROM c""",
+    "top_corrections": f"WITH {_LOG} SELECT key, article_id, count(*) AS n FROM log WHERE kind = 'correct' GROUP BY 1, 2 ORDER BY n DESC, key, article_id LIMIT 25",
+    "penalty_ranking": f"WITH {_LINES}, {_CHECKED}, f AS (SELECT unnest(errors) AS code FROM checked) SELECT code, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, code LIMIT 30",
+    "free_text_filter": f"WITH {_ARTICLES} SELECT id, name, family, reference FROM articles WHERE contains(lower(concat_ws(' ', name, family, reference)), 'ring 1')",
+    "folder_triage": f"""WITH {_keyed_owner()}, s AS (SELECT source AS folder, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(text) < 50 THEN 'short' WHEN owner IS NULL THEN 'unknown' ELSE 'known' END AS state FROM owned)
+SELECT folder, count(*) AS n, count(*) FILTER (state = 'empty') AS empty, count(*) FILTER (state = 'short') AS short, count(*) FILTER (state = 'unknown') AS unknown, count(*) FILTER (state = 'known') AS known FROM s GROUP BY 1""",
+    "file_denylist": """WITH n AS (SELECT page_id, string_split(url, '/')[-1] AS name FROM pages) SELECT page_id, name, NOT regexp_matches(name, '^[0-9]') AND regexp_matches(upper(regexp_extract(name, '[A-Za-z0-9]+')), '^(A|P|T|E)') AS skipped FROM n""",
+    "word_rows": "SELECT l_orderkey AS page, floor(l_linenumber * 3.0 / 4.0 + 0.5)::BIGINT AS band, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_extendedprice, l_partkey::VARCHAR) AS text FROM lineitem GROUP BY 1, 2",
+    "sql_dump": "SELECT p_partkey AS id, p_name AS name, 'it''s, ' || p_brand AS brand, NULL::VARCHAR AS nothing, p_size AS size, p_partkey AS again FROM part",
+    "retention": f"WITH {_LOG} SELECT event_id, key, kind FROM log WHERE ts < (SELECT max(ts) FROM log) - INTERVAL 20 DAY",
+}

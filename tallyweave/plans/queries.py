@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linking
+from ..operators import history, invoices, layouts, learning, linking, records
+from ..sources import files
 from ..sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,3 +380,170 @@ def event_windows(spark, d):
 @query
 def sessions(spark, d):
     return streaming.sessions(t.decisions(spark, d))
+
+
+# --- records and files
+
+
+def _lined(spark, d) -> DataFrame:
+    part = t.table(spark, d, "part").select(F.col("p_partkey").alias("article_id"), F.concat_ws(" ", F.upper("p_name"), F.repeat(F.upper("p_brand"), 14)).alias("raw"))
+    return t.lines(spark, d).join(part, "article_id")
+
+
+@query
+def serialized_lines(spark, d):
+    return records.serialise(_lined(spark, d))
+
+
+@query
+def alias_unify(spark, d):
+    a = t.articles(spark, d).select("id", F.when(F.col("id") % 2 == 0, F.col("price")).alias("total"), F.when(F.col("id") % 3 == 0, F.col("price") * 2).alias("line_total"), F.col("pack").alias("spb"), F.lit(0.5).alias("confidence"))
+    return records.unify(a)
+
+
+@query
+def line_patches(spark, d):
+    o = t.headers(spark, d).select("invoice", "customer_id", "status")
+    patches = o.where("customer_id % 5 = 0").select("invoice", F.when(F.col("invoice") % 2 == 0, F.lit("X")).alias("status"), (F.col("customer_id") + 1).alias("customer_id"))
+    return records.patch(o, patches, ["status", "customer_id"], ["invoice"])
+
+
+@query
+def preserve_edits(spark, d):
+    old = _lined(spark, d).select(F.col("invoice").alias("doc_id"), "raw", F.when(F.col("line_no") % 2 == 0, F.lit("EDITED")).alias("label"), (F.col("line_no") % 3 == 0).alias("deleted"))
+    new = _lined(spark, d).where("stems > 10").select(F.col("invoice").alias("doc_id"), F.lower("raw").alias("raw"), "line_total").withColumnRenamed("line_total", "amount")
+    return records.keep_edits(old, new)
+
+
+@query
+def durable_lookup(spark, d):
+    a = t.articles(spark, d).select("id", F.concat(F.lit("C"), F.col("id") % 500).alias("code"), "reference")
+    wanted = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("want_id"), F.concat(F.lit("C"), F.col("o_orderkey") % 700).alias("code"), F.format_string("f%06d", F.col("o_orderkey") % 3000).alias("reference"))
+    return records.by_durable_key(wanted, a)
+
+
+@query
+def id_migration(spark, d):
+    a = t.articles(spark, d)
+    links = a.select(F.col("id").alias("link_id"), F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.expr("substring(name, 1, length(name) - 1)")).alias("name"))
+    return records.migrate_ids(links, a)
+
+
+@query
+def orphan_merge(spark, d):
+    l = t.lines(spark, d)
+    links = _tokens(spark, d).join(l.select("provider_id", "article_id", "match_status", "stems"), ["provider_id", "article_id"]).select(F.when(F.col("stems") % 4 == 0, 0).otherwise(F.col("provider_id")).alias("provider_id"), F.col("token").alias("variety"), "article_id", F.col("match_status").alias("status"), F.col("stems").cast("long").alias("uses"))
+    owners = l.groupBy("article_id").agg(F.min("provider_id").alias("owner"))
+    return records.merge_orphans(links, owners, ["ok", "ambiguous_match", "sin_match"])
+
+
+@query
+def key_rewrite(spark, d):
+    return records.rewrite_packs(t.articles(spark, d).select("variety", "size", "pack", F.col("id").alias("article_id")), 5, 25)
+
+
+@query
+def truncated_names(spark, d):
+    c = F.col
+    stored = F.when(c("id") % 4 == 0, F.substring("name", 1, 9)).otherwise(c("name"))
+    return t.articles(spark, d).select("id", records.rebuild_name(stored, c("variety"), c("size"), c("pack"), F.when(c("id") % 3 == 0, "").otherwise(c("brand"))).alias("name"))
+
+
+@query
+def provider_suffix(spark, d):
+    return t.articles(spark, d).select("id", records.strip_suffix(F.col("variety"), ["rod", "bolt", "ring"]).alias("stripped"))
+
+
+@query
+def similarity_buckets(spark, d):
+    """Each link of a line to its article, by how alike their names are."""
+    a = t.articles(spark, d)
+    score = records.likeness(F.col("variety"), F.regexp_extract("name", "^(.*?) [0-9]+CM", 1))
+    other = a.select(F.col("id").alias("next_id"), F.col("name").alias("next_name"))
+    near = a.select("id", "variety").join(other, F.col("id") + 1 == F.col("next_id"))
+    return near.select("id", records.likeness(F.col("variety"), F.regexp_extract("next_name", "^(.*?) [0-9]+CM", 1)).alias("score")).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def color_modifiers(spark, d):
+    a = t.articles(spark, d)
+    name = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("DARK", "LIGHT", "NEON", ""))), (F.col("id") % 4 + 1).cast("int")), "variety", F.when(F.col("id") % 5 == 0, "CLARO"))
+    variety = F.when(F.col("id") % 3 == 0, F.concat(F.col("variety"), F.lit(" CLARO"))).otherwise(F.col("variety"))
+    return a.select("id", F.array_join(records.modifiers(variety, name), ",").alias("missing"))
+
+
+@query
+def match_confidence(spark, d):
+    return t.lines(spark, d).select("invoice", "line_no", "article_id", "provider_id", records.confidence(F.col("link_confidence"), F.lit(0.0), F.col("extraction_confidence")).alias("confidence"))
+
+
+@query
+def sql_export(spark, d):
+    return records.export_sql(t.articles(spark, d).select(F.col("id").alias("link_id"), (F.col("id") % 9).alias("provider_id"), F.replace("variety", F.lit(" "), F.lit("' ")).alias("variety"), F.col("size").cast("long").alias("size"), F.when(F.col("id") % 6 == 0, F.lit(None).cast("long")).otherwise(F.col("id")).alias("article_id")))
+
+
+OWNERS = [("alpha", ["thnt", "nding", "er"]), ("beta", ["schen", "ein"]), ("gamma", ["token", "="]), ("delta", ["mente"])]
+
+
+@query
+def keyword_providers(spark, d):
+    return records.keyword_owner(t.table(spark, d, "documents").select("doc_id", "text"), OWNERS)
+
+
+@query
+def keyword_majority(spark, d):
+    words = t.table(spark, d, "documents").select(F.concat_ws("-", "lang", "source").alias("group_id"), "doc_id", F.explode(F.split("text", " ")).alias("word")).where("word rlike '^[a-z]+$'")
+    return records.majority_words(words)
+
+
+@query
+def species_share(spark, d):
+    texts = t.table(spark, d, "documents").select(F.col("source").alias("group_id"), "text")
+    return records.dominant(texts, {"en": "th", "de": "sch", "fr": "eau", "es": "ción"})
+
+
+@query
+def top_corrections(spark, d):
+    return records.top_corrections(t.decisions(spark, d), 25)
+
+
+@query
+def penalty_ranking(spark, d):
+    return records.ranking(invoices.line_findings(t.lines(spark, d)).select(F.concat("code", F.lit(" (line "), F.col("line_no").cast("string"), F.lit(")")).alias("code")))
+
+
+@query
+def free_text_filter(spark, d):
+    return records.free_text(t.articles(spark, d).select("id", "name", "family", "reference"), ["name", "family", "reference"], "Ring 1")
+
+
+@query
+def folder_triage(spark, d):
+    docs = t.table(spark, d, "documents").select("doc_id", F.col("source").alias("folder"), "text")
+    return records.triage(docs, records.keyword_owner(docs.select("doc_id", "text"), OWNERS).withColumnRenamed("owner", "provider"))
+
+
+@query
+def file_denylist(spark, d):
+    name = F.element_at(F.split("url", "/"), -1)
+    return t.table(spark, d, "pages").select("page_id", name.alias("name"), files.skipped(name, ["A", "P", "T", "E"]).alias("skipped"))
+
+
+@query
+def word_rows(spark, d):
+    words = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 3.0).alias("top"), F.col("l_extendedprice").alias("x0"), F.col("l_partkey").cast("string").alias("text"))
+    return files.word_rows(words, 2.0)
+
+
+@query
+def sql_dump(spark, d):
+    """Catalogue rows written as a dump and read again."""
+    p = t.table(spark, d, "part")
+    row = F.format_string("(%d, '%s', 'it\\'s, %s', NULL, %d, '', '', '', '', %d),", "p_partkey", "p_name", "p_brand", "p_size", "p_partkey")
+    lines = p.select(row.alias("value")).union(p.select(F.concat(F.lit("-- "), "p_name").alias("value"))).union(p.select(F.lit("(1, 'short')").alias("value")))
+    return files.dump_rows(lines, "id long, name string, brand string, nothing string, size int, e1 string, e2 string, e3 string, e4 string, again long").select("id", "name", "brand", "nothing", "size", "again")
+
+
+@query
+def retention(spark, d):
+    return files.expired(t.decisions(spark, d), 20).select("event_id", "key", "kind")
