@@ -11,7 +11,7 @@ from tallyweave.llm.queries import RANKS
 
 from .rows import documents, empty
 
-V = bpe.vocabulary(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+V = lm.segmenter(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
 
 
 def held(doc_id):
@@ -70,6 +70,13 @@ def model(row, classes=None):
     return s, lm.start(s)
 
 
+def test_words_keep_their_own_subwords():
+    for words in (["a", "the", "ünder", "x" * 300], ["\u3000", "\u3000", "b"], ["\x85", "\x85q"], ["\xa0"], []):
+        n, sub = V.segment(words)
+        at = np.concatenate(([0], np.cumsum(n))).astype(int)
+        assert [b"".join(V.tokens[i] for i in sub[a:b]).decode() for a, b in zip(at, at[1:])] == [" " + w for w in words]
+
+
 def test_every_token_is_scored_once_with_context():
     row = block(["a b c d e f g " * 9, "", "x", "word " * 14])
     stream = lm.Stream(row[3], row[2], row[7], row[8])
