@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import batch, blobs, by_size, doc_rows
 
 #: Bound on the words, pieces and token pairs that a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Texts encoded at once, in bytes; a longer text goes alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 _NEVER = 1 << 40
 #: Longer pieces, in bytes, get a table of their own.
 _WIDEST = 48
@@ -236,10 +236,10 @@ class Vocabulary:
                 out[p] = np.array(self.walk(self.extend(p, [-1])), "<u4").tobytes()
             else:
                 tabled.append(p)
-        for at in range(0, len(tabled), 20_000):
-            some = tabled[at : at + 20_000]
+        for at in range(0, len(tabled), 10_000):
+            some = tabled[at : at + 10_000]
             out.update(zip(some, self.extend_all(some)))
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > REMEMBERED // 2:
             known.clear()
         known.update((p, out[p]) for p in new if len(p) <= _WIDEST)
         return out

@@ -60,6 +60,18 @@ def release(df: DataFrame | None) -> None:
         drop(df.sparkSession, path)
 
 
+#: Most bytes of an Arrow batch on its way to a Python worker; texts are long, so rows alone don't bound it.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, if it isn't lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_bytes(name: str = "text") -> Column:
     """The whole text as UTF-8; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
@@ -67,6 +79,7 @@ def text_bytes(name: str = "text") -> Column:
 
 def doc_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """``doc_id`` and the text as bytes, whatever other columns the table has."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"), *more)
 
 

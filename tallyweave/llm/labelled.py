@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, by_size, text_bytes
+from .common import batch, blobs, bound_batches, by_size, text_bytes
 from .ngrams import sparse
 
 #: Bound on the labelled documents that a classifier learns from, chosen by a hash of their id.
@@ -56,6 +56,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "quality", most: in
                 found = [sparse(body) for body in blobs(part.column(2))]
                 yield batch(schema, part.column(0), part.column(1), [i.astype(np.int32) for i, _ in found], [v.astype(np.float32) for _, v in found])
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     # at most ``most`` ids: the bound of the broadcast
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "body").mapInArrow(run, "doc_id long, label int, ids array<int>, counts array<float>")

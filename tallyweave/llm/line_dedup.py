@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, batch, blobs, by_size, materialize, text_bytes
+from .common import WHITE, batch, blobs, bound_batches, by_size, materialize, text_bytes
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _NO_ID = -(1 << 63)
@@ -38,7 +38,8 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return key.lower()
 
 
-def _keyed(docs: DataFrame):
+def _keyed(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), text_bytes().alias("body")).withColumn("same", F.xxhash64("body"))
 
 
@@ -174,6 +175,7 @@ def dedup_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                     sha.append(hashlib.sha256(body if keep is None else keep_lines(body, keep)).hexdigest())
                 yield batch(schema, part.column(0), n_lines, part.column(2).cast(pa.int64()), sha, part.column(3))
 
+    bound_batches(docs.sparkSession)
     rows = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), "doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long"), text_bytes().alias("body"), F.coalesce("_tw_n_dropped", F.lit(0)).alias("n"), "_tw_keep")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep binary")
@@ -185,6 +187,7 @@ def dedup_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     def cut(text: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([t if k is None else keep_lines((t or "").encode(), k).decode() for t, k in zip(text, keep)], dtype=object)
 
+    bound_batches(docs.sparkSession)
     rows = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), *docs.columns)
     rows = rows.withColumn("text", cut("text", "_tw_keep"))
     if "n_chars" in docs.columns:

@@ -16,7 +16,7 @@ from .common import WHITE
 
 BUCKETS_LOG2 = 17
 BUCKETS = 1 << BUCKETS_LOG2
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SCALE = 64.0  # shares are small; weights are of a share times this
 
 _P = np.uint64(0x100000001B3)

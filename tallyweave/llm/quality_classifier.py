@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, by_size, text_bytes
+from .common import batch, blobs, bound_batches, by_size, text_bytes
 from .labelled import MAX_LABELLED, Sample, remainder, sample
 from .ngrams import BUCKETS, sums
 
@@ -73,6 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Embed
 
 def score(docs: DataFrame, model: Embeddings | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else model.tables())
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, batch, blobs, by_size, text_bytes
+from .common import WHITE, batch, blobs, bound_batches, by_size, text_bytes
 from .labelled import MAX_LABELLED, Sample, sample
 from .ngrams import BUCKETS, sums
 
@@ -144,6 +144,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def judge(docs: DataFrame, model: Model | None, min_probability: float = MIN_PROBABILITY, carry: bool = False) -> DataFrame:
     """doc_id, the five counts, base_failed, probability and kept; with ``carry`` instead all columns of the documents and _tw_kept."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     if carry:
         rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, doc_rows, materialize
+from .common import batch, blobs, by_size, doc_rows, materialize
 from .components import components
 
 DISTANCE = 2
@@ -67,7 +67,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, b.column(0), [_signed(fingerprint(x, shingle)) for x in blobs(b.column(1))])
+            for part in by_size(b, 1, 4 << 20):
+                yield batch(schema, part.column(0), [_signed(fingerprint(x, shingle)) for x in blobs(part.column(1))])
 
     return doc_rows(docs).mapInArrow(run, "doc_id long, fp long")
 
