@@ -68,4 +68,4 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "quality", most: in
     if isinstance(ids, pa.ChunkedArray):
         ids, values = pa.concat_arrays(ids.chunks), pa.concat_arrays(values.chunks)
     sizes = np.array([len(x) for x in ids], np.int64)
-    return Sample(t.column("doc_id").to_numpy(), t.column("label").to_numpy().astype(np.float64), np.concatenate(([0], np.cumsum(sizes))), ids.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64))
+    return Sample(t.column("doc_id").to_numpy(), t.column("label").to_numpy().astype(np.float64), np.concatenate(([0], np.cumsum(sizes))), ids.flatten().to_numpy(), values.flatten().to_numpy())

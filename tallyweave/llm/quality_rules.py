@@ -78,8 +78,9 @@ class Model:
 def _logistic(data: Sample, rows: np.ndarray, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and every row's raw score, by full gradient steps with Adam."""
     size = np.diff(data.start)
-    of = np.repeat(np.arange(len(data)), size)
-    used, ids = np.unique(data.ids, return_inverse=True)
+    of = np.repeat(np.arange(len(data), dtype=np.int32), size)
+    used = np.unique(data.ids)
+    ids = np.searchsorted(used, data.ids).astype(np.int32)
     train = np.zeros(len(data))
     # both kinds weigh alike
     for kind in (0, 1):
