@@ -4,7 +4,7 @@
    vocabulary), its documents as numbers of words, and counts of words and subwords in its training documents.
 2. Word counts are summed over all blocks, a row for each block and word, and each block gets back the counts of
    its own words: no vocabulary is broadcast, and the row of a common word is one a block.
-3. The attention model learns from windows of every block, a fixed share of all training text: each task trains from the same
+3. The attention model learns from all windows of the training text, block after block: each task trains from the same
    start, and the weights are averaged, in rounds. Subword frequencies within output classes come from all training text.
 4. Each block is scored. Texts are cut into overlapping windows; every token is predicted once, with at least
    ``OVERLAP`` tokens before it where the text has them.
@@ -44,11 +44,10 @@ CLASSES, MEMBERS = 32, 32  # the most frequent subwords, in classes of like comp
 TOP = CLASSES * MEMBERS
 GROUPS = 8  # output classes of all other subwords
 COMPANY = 128  # the most frequent subwords before, by which those classes are made
+#: Rounds share out the windows of every block, so each training window is learned from.
 ROUNDS = 2
-#: Each round learns from one window in so many, chosen by its number in the block.
-WINDOWS_OF = 32
-#: Few windows are passed over several times.
-LEAST_STEPS, MOST_PASSES, BATCH = 400, 4, 64
+#: Few windows are passed over several times; of many, more go into a step.
+LEAST_STEPS, MOST_PASSES, BATCH, MOST_BATCH = 400, 4, 64, 1024
 _MOST = np.float32(60)
 _CAUSAL = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
@@ -371,12 +370,13 @@ def learn(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndar
     rng = np.random.default_rng(seed)
     m = {n: a.copy() for n, a in m.items()}
     first, second, step = {n: np.zeros_like(a) for n, a in m.items()}, {n: np.zeros_like(a) for n, a in m.items()}, 0
-    once = -(-len(rows) // BATCH)
+    size = min(MOST_BATCH, max(BATCH, -(-len(rows) // LEAST_STEPS)))
+    once = -(-len(rows) // size)
     steps = max(once, min(LEAST_STEPS, MOST_PASSES * once))
     while step < steps:
         order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            some = order[at : at + BATCH]
+        for at in range(0, len(rows), size):
+            some = order[at : at + size]
             step += 1
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for n, g in gradient(m, s, rows[some], targets[some], weigh[some]).items():
@@ -429,6 +429,11 @@ class Stream:
         return out / math.log(10)
 
 
+def lessons(stream: Stream, held: list[bool], number: int, rounds: int) -> np.ndarray:
+    """The training windows of a block that a round learns from; all rounds together take each once."""
+    return np.flatnonzero(~np.array(held, bool)[stream.doc])[number::rounds]
+
+
 def _inputs(made: DataFrame) -> DataFrame:
     return made.select("held", "sizes", "tokens", "sub_n", "sub")
 
@@ -454,25 +459,24 @@ def average(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(made: DataFrame, s: Shape, rounds: int = ROUNDS, rate: float = 0.02) -> dict[str, np.ndarray]:
-    """Weights learned from a fixed share of all training text, in rounds of local steps and averaging."""
+    """Weights learned from all training text, in rounds of local steps and averaging."""
     m = start(s)
     for number in range(rounds):
         shared = made.sparkSession.sparkContext.broadcast((flat(m), s))
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
             weights, s = shared.value
-            found: list[tuple] = []
+            learned, n, part = unflat(weights), 0, TaskContext.get().partitionId()
             for b in batches:
                 for row in b.to_pylist():
                     stream = Stream(row["tokens"], row["sizes"], row["sub_n"], row["sub"])
-                    which = np.flatnonzero(~np.array(row["held"], bool)[stream.doc])[number::WINDOWS_OF]
+                    which = lessons(stream, row["held"], number, rounds)
                     if len(which):
-                        found.append(stream.windows(which, s))
-            part = TaskContext.get().partitionId()
-            if found:
-                rows, targets, scored = map(np.concatenate, zip(*found))
-                learned = learn(unflat(weights), s, rows, targets, scored.astype(np.float32), rate / (1 + number), part)
-                yield batch(_WEIGHTS, [part], [len(rows)], [flat(learned).astype(np.float32).tobytes()])
+                        rows, targets, scored = stream.windows(which, s)
+                        learned = learn(learned, s, rows, targets, scored.astype(np.float32), rate / (1 + number), part)
+                        n += len(which)
+            if n:
+                yield batch(_WEIGHTS, [part], [n], [flat(learned).astype(np.float32).tobytes()])
 
         local = _inputs(made).mapInArrow(run, "part long, windows long, weights binary")
         found = _tree(local, average, "part long, windows long, weights binary", _groups(made))

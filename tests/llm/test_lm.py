@@ -148,3 +148,10 @@ def test_learning_beats_the_start():
 def test_classes_are_of_one_size():
     follows = np.random.default_rng(0).poisson(2, (lm.COMPANY, lm.TOP)).astype(float)
     assert set(np.bincount(lm.alike(follows), minlength=lm.CLASSES)) == {lm.MEMBERS}
+
+
+def test_rounds_learn_from_every_training_window():
+    row = block(["one two three four five six seven eight nine ten " * 40, "a held out text " * 30, "another text to learn from " * 50])
+    stream = lm.Stream(row[3], row[2], row[7], row[8])
+    taken = np.concatenate([lm.lessons(stream, [False, True, False], i, lm.ROUNDS) for i in range(lm.ROUNDS)])
+    assert sorted(taken) == np.flatnonzero(stream.doc != 1).tolist()
