@@ -3,9 +3,11 @@
 1. Documents are read once into blocks. A block has a dictionary of its words, the words' subwords (byte-level BPE of a public
    vocabulary), its documents as numbers of words, and counts of words and subwords in its training documents.
 2. Word counts are summed over all blocks, a row for each block and word, and each block gets back the counts of
-   its own words: no vocabulary is broadcast, and the row of a common word is one a block.
-3. The attention model learns from all windows of the training text, block after block: each task trains from the same
-   start, and the weights are averaged, in rounds. Subword frequencies within output classes come from all training text.
+   its own words: no vocabulary is broadcast. A common word has one row a block, beside the block's 10,000s of others: the commonest
+   word of all is less than a ten-thousandth of the rows, so it weighs no more than any task, and a window's rows spill.
+3. The attention model learns from all of the training text, in windows that stand end to end, block after block: each task
+   trains from the same start, and the weights are averaged, in rounds. Each window is learned from once, whatever the size of the input.
+   Subword frequencies within output classes come from all training text.
 4. Each block is scored. Texts are cut into overlapping windows; every token is predicted once, with at least
    ``OVERLAP`` tokens before it where the text has them.
 
@@ -13,8 +15,10 @@ A subword's probability is that of its class, given the context, times its own i
 frequent subwords, whose classes are made of those that follow like company in all training text; a fixed share of the counts for rare ones.
 End of text is a subword too, so scores are probabilities of whole texts.
 
-Defined cases: null and empty texts are the end token alone. Without training text all counts are 0 and the model stays at its
-start. Repeated rows are counted and scored row by row; a null doc_id counts as the empty text for held_out.
+Defined cases: null and empty texts are the end token alone. Very long texts are one block and are scored by slices of their windows.
+An empty table gives an empty result. Without training text all counts are 0 and the model stays at its start. Repeated rows are
+counted and scored row by row; a null doc_id counts as the empty text for held_out. Equally frequent subwords are ordered by their ids.
+Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +50,8 @@ GROUPS = 8  # output classes of all other subwords
 COMPANY = 128  # the most frequent subwords before, by which those classes are made
 #: Rounds share out the windows of every block, so each training window is learned from.
 ROUNDS = 2
-#: Few windows are passed over several times; of many, more go into a step.
-LEAST_STEPS, MOST_PASSES, BATCH, MOST_BATCH = 400, 4, 64, 1024
+#: Windows of a step.
+BATCH = 256
 _MOST = np.float32(60)
 _CAUSAL = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
@@ -206,7 +210,7 @@ def company(made: DataFrame, order: np.ndarray) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "counts": [sum(np.frombuffer(c, np.int64) for c in rows["counts"]).tobytes()]})
 
     local = _inputs(made).mapInArrow(run, "part long, counts binary")
-    found = _tree(local, add, "part long, counts binary", _groups(made))
+    found = _tree(local, add, "part long, counts binary", made.rdd.getNumPartitions())
     return np.zeros((COMPANY, TOP)) if found is None else np.frombuffer(found["counts"], np.int64).reshape(COMPANY, TOP).astype(np.float64)
 
 
@@ -276,7 +280,7 @@ def flat(m: dict[str, np.ndarray]) -> np.ndarray:
 def unflat(a: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for n, size in _SIZES.items():
-        out[n] = a[at : at + math.prod(size)].reshape(size).astype(np.float32)
+        out[n] = a[at : at + math.prod(size)].reshape(size)
         at += math.prod(size)
     return out
 
@@ -287,7 +291,8 @@ def attend(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     qkv = x @ np.concatenate((m["q"] / np.float32(math.sqrt(DIMENSIONS)), m["k"], m["v"]), axis=1)
     q, k, v = (qkv[:, :, i * DIMENSIONS : (i + 1) * DIMENSIONS] for i in range(3))
     a = q @ k.swapaxes(1, 2)
-    np.clip(a, -_MOST, _MOST, out=a)
+    np.maximum(a, -_MOST, out=a)
+    np.minimum(a, _MOST, out=a)
     a += _CAUSAL
     np.exp(a, out=a)
     a /= (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
@@ -297,7 +302,8 @@ def attend(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
 
 def _picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log softmax of rows at one place each; z is used up. Logits are small: those beyond _MOST either way count as that, so no row's sum is 0."""
-    np.clip(z, -_MOST, _MOST, out=z)
+    np.maximum(z, -_MOST, out=z)
+    np.minimum(z, _MOST, out=z)
     own = z[np.arange(len(z)), which]
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(z.shape[1], z.dtype))
@@ -323,69 +329,75 @@ def logs(m: dict[str, np.ndarray], s: Shape, h: np.ndarray, targets: np.ndarray)
     return out
 
 
+def _errors(z: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Gradient at logits whose right places are ``which``, each row weighing its share; z is used up. Bounds as in _picked."""
+    np.maximum(z, -_MOST, out=z)
+    np.minimum(z, _MOST, out=z)
+    np.exp(z, out=z)
+    z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z[np.arange(len(z)), which] -= share
+    return z
+
+
+def _summed(like: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x added up by row number, in an array of the shape of ``like``."""
+    rows = rows.astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    out = np.zeros_like(like)
+    out[rows[first]] = np.add.reduceat(x[order], first, axis=0)
+    return out
+
+
 def gradient(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndarray, weigh: np.ndarray) -> dict[str, np.ndarray]:
     h, x, q, k, v, a, o = attend(m, rows)
     n, d = rows.size, DIMENSIONS
-    flat_h, flat_t, each = h.reshape(n, d), targets.ravel(), np.arange(n)
-    share = (weigh / weigh.sum()).ravel()[:, None]
-    kinds = s.kind[flat_t]
-    z = flat_h @ m["w"] + m["b"]
-    z = np.exp(z - z.max(-1, keepdims=True))
-    z /= z.sum(-1, keepdims=True)
-    z[each, kinds] -= 1
-    z *= share
-    g = {"w": flat_h.T @ z, "b": z.sum(0), "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
-    dh = z @ m["w"].T
-    order = np.argsort(kinds, kind="stable")
-    edge = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
+    # positions stand together by the class of their target
+    order = np.argsort(s.kind.astype(np.uint8)[targets.ravel()], kind="stable")
+    of_target = targets.ravel()[order]
+    kinds, members, sorted_h = s.kind[of_target], s.member[of_target], h.reshape(n, d)[order]
+    share = (weigh / weigh.sum()).ravel()[order]
+    edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
+    z = _errors(sorted_h @ m["w"] + m["b"], kinds, share)
+    g = {"w": sorted_h.T @ z, "b": np.ones(n, z.dtype) @ z, "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
+    back = z @ m["w"].T
     for c in range(CLASSES):
-        of = order[edge[c] : edge[c + 1]]
-        if len(of):
-            z = flat_h[of] @ m["u"][c] + m["c"][c]
-            z = np.exp(z - z.max(-1, keepdims=True))
-            z /= z.sum(-1, keepdims=True)
-            z[np.arange(len(of)), s.member[flat_t[of]]] -= 1
-            z *= share[of]
-            g["u"][c], g["c"][c] = flat_h[of].T @ z, z.sum(0)
-            dh[of] += z @ m["u"][c].T
+        of = slice(edge[c], edge[c + 1])
+        if edge[c + 1] > edge[c]:
+            z = _errors(sorted_h[of] @ m["u"][c] + m["c"][c], members[of], share[of])
+            g["u"][c], g["c"][c] = sorted_h[of].T @ z, np.ones(len(z), z.dtype) @ z
+            back[of] += z @ m["u"][c].T
+    dh = np.empty_like(back)
+    dh[order] = back
     g["o"] = o.reshape(n, d).T @ dh
-    dh = dh.reshape(h.shape)
-    do = dh @ m["o"].T
+    do = (dh @ m["o"].T).reshape(h.shape)
     da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    root = np.float32(1 / math.sqrt(d))
+    da -= ((da * a).reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
+    da *= a
     # q came scaled from attend, k didn't
-    dq, dk = ds @ k * root, ds.swapaxes(1, 2) @ q
-    flat_x = x.reshape(n, d).T
-    g["q"], g["k"], g["v"] = flat_x @ dq.reshape(n, d), flat_x @ dk.reshape(n, d), flat_x @ dv.reshape(n, d)
-    dx = dh + dq @ m["q"].T + dk @ m["k"].T + dv @ m["v"].T
-    g["p"] = dx.sum(0)
-    g["e"] = np.zeros_like(m["e"])
-    np.add.at(g["e"], rows.ravel(), dx.reshape(n, d))
+    dqkv = np.concatenate((da @ k * a.dtype.type(1 / math.sqrt(d)), da.swapaxes(1, 2) @ q, dv), axis=2).reshape(n, 3 * d)
+    into = x.reshape(n, d).T @ dqkv
+    g["q"], g["k"], g["v"] = (into[:, i * d : (i + 1) * d] for i in range(3))
+    dx = dh + dqkv @ np.concatenate((m["q"], m["k"], m["v"]), axis=1).T
+    g["p"] = dx.reshape(h.shape).sum(0)
+    g["e"] = _summed(m["e"], rows.ravel(), dx)
     return g
 
 
 def learn(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndarray, weigh: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """Adam over the windows in random order."""
-    rng = np.random.default_rng(seed)
-    m = {n: a.copy() for n, a in m.items()}
-    first, second, step = {n: np.zeros_like(a) for n, a in m.items()}, {n: np.zeros_like(a) for n, a in m.items()}, 0
-    size = min(MOST_BATCH, max(BATCH, -(-len(rows) // LEAST_STEPS)))
-    once = -(-len(rows) // size)
-    steps = max(once, min(LEAST_STEPS, MOST_PASSES * once))
-    while step < steps:
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), size):
-            some = order[at : at + size]
-            step += 1
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for n, g in gradient(m, s, rows[some], targets[some], weigh[some]).items():
-                first[n] += 0.1 * (g - first[n])
-                second[n] += 0.01 * (g * g - second[n])
-                m[n] -= np.float32(now) * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
-            if step >= steps:
-                break
-    return m
+    """Adam over the windows, once, in random order."""
+    order = np.random.default_rng(seed).permutation(len(rows))
+    w = flat(m).astype(np.float32)
+    first, second, steps = np.zeros_like(w), np.zeros_like(w), -(-len(rows) // BATCH)
+    for step in range(1, steps + 1):
+        some = order[(step - 1) * BATCH : step * BATCH]
+        g = flat(gradient(unflat(w), s, rows[some], targets[some], weigh[some]))
+        now = rate * min(1.0, 2 * (1 - step / (steps + 1))) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+        first += np.float32(0.1) * (g - first)
+        second += np.float32(0.01) * (g * g - second)
+        w -= np.float32(now) * first / (np.sqrt(second) + np.float32(1e-8))
+    return unflat(w)
 
 
 # --- windows of a block
@@ -412,8 +424,18 @@ class Stream:
 
     def windows(self, which: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Input rows, target subwords, and which positions are scored here."""
-        at = self.start[which][:, None] + np.arange(CONTEXT)
-        scored = (at < self.end[self.doc[which]][:, None]) & (np.arange(CONTEXT) >= self.fresh[which][:, None])
+        return self.cut(self.start[which], self.end[self.doc[which]], self.fresh[which], s)
+
+    def lessons(self, held, number: int, rounds: int, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As windows(), of the training texts that a round learns from. Here windows stand end to end; all rounds together take each once."""
+        size = np.where(np.asarray(held, bool), 0, -(-(self.end - self.begin) // CONTEXT))
+        doc = np.repeat(np.arange(len(size)), size)
+        start = self.begin[doc] + CONTEXT * (np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size))
+        return self.cut(start[number::rounds], self.end[doc[number::rounds]], np.zeros(len(doc[number::rounds]), np.int64), s)
+
+    def cut(self, start: np.ndarray, end: np.ndarray, fresh: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = start[:, None] + np.arange(CONTEXT)
+        scored = (at < end[:, None]) & (np.arange(CONTEXT) >= fresh[:, None])
         at = np.minimum(at, len(self.subs) - 1)
         before = np.where(at > 0, self.subs[at - 1], len(s.row) - 1)  # before a text stands the end of another
         return s.row[before], self.subs[at], scored
@@ -429,23 +451,21 @@ class Stream:
         return out / math.log(10)
 
 
-def lessons(stream: Stream, held: list[bool], number: int, rounds: int) -> np.ndarray:
-    """The training windows of a block that a round learns from; all rounds together take each once."""
-    return np.flatnonzero(~np.array(held, bool)[stream.doc])[number::rounds]
-
-
 def _inputs(made: DataFrame) -> DataFrame:
     return made.select("held", "sizes", "tokens", "sub_n", "sub")
 
 
-def _groups(made: DataFrame) -> int:
-    return max(1, round(math.sqrt(made.rdd.getNumPartitions())))
+#: Results of tasks that one task merges.
+MERGED = 64
 
 
-def _tree(local: DataFrame, merge, ddl: str, groups: int):
-    """One row out of one row a task, merged by about the square root of the tasks at a time; None if there is none."""
-    once = local.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInPandas(merge, ddl)
-    return once.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(merge, ddl).first()
+def _tree(local: DataFrame, merge, ddl: str, tasks: int):
+    """One row out of one row a task, merged MERGED at a time; None if there is none."""
+    while True:
+        tasks = -(-tasks // MERGED)
+        local = local.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("part").applyInPandas(merge, ddl)
+        if tasks <= 1:
+            return local.first()
 
 
 _WEIGHTS = pa.schema([("part", pa.int64()), ("windows", pa.int64()), ("weights", pa.binary())])
@@ -466,23 +486,22 @@ def train(made: DataFrame, s: Shape, rounds: int = ROUNDS, rate: float = 0.02) -
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
             weights, s = shared.value
-            learned, n, part = unflat(weights), 0, TaskContext.get().partitionId()
+            learned, n, part = unflat(weights.astype(np.float32)), 0, TaskContext.get().partitionId()
             for b in batches:
                 for row in b.to_pylist():
                     stream = Stream(row["tokens"], row["sizes"], row["sub_n"], row["sub"])
-                    which = lessons(stream, row["held"], number, rounds)
-                    if len(which):
-                        rows, targets, scored = stream.windows(which, s)
+                    rows, targets, scored = stream.lessons(row["held"], number, rounds, s)
+                    if len(rows):
                         learned = learn(learned, s, rows, targets, scored.astype(np.float32), rate / (1 + number), part)
-                        n += len(which)
+                        n += len(rows)
             if n:
                 yield batch(_WEIGHTS, [part], [n], [flat(learned).astype(np.float32).tobytes()])
 
         local = _inputs(made).mapInArrow(run, "part long, windows long, weights binary")
-        found = _tree(local, average, "part long, windows long, weights binary", _groups(made))
+        found = _tree(local, average, "part long, windows long, weights binary", made.rdd.getNumPartitions())
         if found is None:
             break
-        m = unflat(np.frombuffer(found["weights"], np.float32))
+        m = unflat(np.frombuffer(found["weights"], np.float32).copy())
     return m
 
 
