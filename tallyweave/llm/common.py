@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,16 @@ _ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``, removed when the driver ends.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in for it.
+    Only where that setting is absent and the master is this process (tests) a temporary folder stands in for it; on a cluster
+    executors wouldn't see each other's, so there it is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="tallyweave-")
         _ROOTS[app] = f"{base.rstrip('/')}/tallyweave-{app}"
         atexit.register(_drop_quietly, spark, _ROOTS[app])
     return _ROOTS[app]

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, bound_batches, by_size, text_bytes
+from .common import batch, blobs, bound_batches, by_size, materialize, release, text_bytes
 from .ngrams import sparse
 
-#: Bound on the labelled documents that a classifier learns from, chosen by a hash of their id.
-MAX_LABELLED = 2500
+#: Bounds on the labelled documents that a classifier learns from, and on their features together (8 bytes each). They are
+#: taken whole, in the order of a hash of their id, as long as both bounds hold.
+MAX_LABELLED, MAX_FEATURES = 2500, 12_000_000
 
 
 @dataclass
@@ -60,7 +61,11 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "quality", most: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
     # at most ``most`` ids: the bound of the broadcast
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "body").mapInArrow(run, "doc_id long, label int, ids array<int>, counts array<float>")
-    t = rows.toArrow().combine_chunks()
+    made = materialize(rows, "labelled")
+    # at most ``most`` ids and a number each
+    upto = made.groupBy("doc_id").agg(F.max(F.size("ids")).cast("long").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    t = made.join(F.broadcast(upto.where(F.col("upto") <= MAX_FEATURES).select("doc_id")), "doc_id").select("doc_id", "label", "ids", "counts").toArrow().combine_chunks()
+    release(made)
     order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
     order = order[np.unique(t.column("doc_id").to_numpy()[order], return_index=True)[1]] if len(order) else order
     t = t.take(order)

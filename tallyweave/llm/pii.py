@@ -8,7 +8,9 @@ IBAN sums, counts of digits. Matches of a kind don't overlap and the leftmost wi
 Kinds: email, ip, card, phone; then iban, account, secret (a value behind a cue such as ``token =``) and login (user and
 password in an URL).
 
-Defined cases: null and empty texts have no spans. Offsets count code points. Rows are handled one by one, repeated or not.
+Defined cases: null and empty texts have no spans, an empty table no rows. Very long texts are read whole, in time linear in their
+length. Spans of different kinds may overlap; those of equal starts are listed in the order of KINDS. Offsets count code points. Rows are handled one by one,
+repeated or not, a null doc_id stays null, and columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\s*[:=#]?\s*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?))?\s*[:=#]\s*([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+=.]{16,})")
-_LOGIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}:[^\s@/]{1,64}(?=@)")
+_LOGIN = re.compile(r"[A-Za-z0-9._%+-]++:[^\s@/]++(?=@)")
 
 #: Cues by kind, lower case; they are looked for in lower, upper and title case.
 CUES = {
@@ -80,7 +82,7 @@ def _iban_holds(text: str) -> bool:
 def _numbers(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     """All that a run of number characters holds."""
     for m in _IP.finditer(text, start, end):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (own.lstrip("0") for own in m[0].split("."))):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text, start, end):
         if 14 <= m.end() - m.start() - m[0].count(" ") - m[0].count("-") <= 19:

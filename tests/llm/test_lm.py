@@ -140,7 +140,7 @@ def test_learning_beats_the_start():
     s, m = model(row)
     stream = lm.Stream(row[3], row[2], row[7], row[8])
     rows, targets, scored = stream.windows(np.arange(len(stream.doc)), s)
-    many = [np.tile(x, (40, 1)) for x in (rows, targets, scored.astype(np.float32))]  # enough steps to learn from
+    many = [np.tile(x, (80 * lm.BATCH // len(rows), 1)) for x in (rows, targets, scored.astype(np.float32))]  # enough steps to learn from
     learned = lm.learn(m, s, *many, 0.02, 1)
     assert stream.scores(learned, s).sum() > 0.7 * stream.scores(m, s).sum()
 

@@ -104,3 +104,17 @@ def test_rows_of_the_score_only_depend_on_the_text():
     for b in bodies[:40]:
         ids, values = ngrams.sparse(b)
         assert abs(values @ table.ravel()[ids] - ngrams.sums([b], *table)[0]) < 1e-3
+
+
+def test_long_texts_lose_no_feature():
+    words = [f"w{i:x}" for i in range(60_000)]
+    many, one = " ".join(words).encode(), b"x" * 300_000
+    odd = ("é" * 200_000 + " " + "🙂b" * 100_000 + "\n \t" * 90_000 + "end of it").encode()
+    for body in (many, one, odd):
+        parts = [(u, p) for _, uses, found in ngrams.blocks([body]) for u, p in zip(uses, found)]
+        assert b"".join(p for u, p in parts if u == ngrams.WHOLE) == body
+        got = [ngrams.hashed(uses, found) for _, uses, found in ngrams.blocks([body])]
+        whole = ngrams.hashed([ngrams.WHOLE], [body])
+        for k in (0, 2):
+            assert (np.sort(np.concatenate([g[k] for g in got])) == np.sort(whole[k])).all()
+    assert len(ngrams.hashed([0], [many])[0]) == 119_999 and len(ngrams.hashed([0], [one])[0]) == 1
