@@ -1,6 +1,7 @@
 """Hashed word and character n-grams of many texts at once.
 
-Features are words, pairs of neighbouring words, and runs of four characters (code points), each hashed to one of ``BUCKETS``. A
+Features are words, pairs of neighbouring words, and runs of four characters (code points), each hashed to one of ``BUCKETS``. Pairs of
+a word with itself are one feature, as most words' own such pair is too rare to be learned from (README has what it changes). A
 document's value of a feature is its share among the document's word features, or among its runs.
 Texts are handled in blocks of about ``BLOCK`` bytes, so memory doesn't depend on their length. A longer text is cut before white space,
 never inside a word, and what spans a cut is counted as a part of its own: the pair of words around it, and the runs that cross it.
@@ -25,6 +26,7 @@ SCALE = 64.0  # shares are small; weights are of a share times this
 WHOLE, PAIR_ONLY, RUNS_ONLY = 0, 1, 2
 
 _P = np.uint64(0x100000001B3)
+_TWICE = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 _IS_WHITE = np.zeros(128, bool)
@@ -103,6 +105,7 @@ def hashed(uses: list[int], parts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     part = np.searchsorted(part_end, starts, "right")
     pairs = np.flatnonzero((part[1:] == part[:-1]) & (use[part[1:]] != RUNS_ONLY))
     pair = word[pairs] * np.uint64(0xD6E8FEB86659FD93) + word[pairs + 1]
+    pair[word[pairs] == word[pairs + 1]] = _TWICE
     single = use[part] == WHOLE
     words = ((np.concatenate((word[single], pair)) * _ODD) >> shift).astype(np.int64)
     word_part = np.concatenate((part[single], part[pairs]))
