@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import join_counted, materialize, release
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, most: int) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_counted(both, least, "u", most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, most: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_counted(down, least, "u", most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,13 +30,14 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links``: columns a, b of type long, in any order and number; links of a node to itself are ignored.
     Every round writes its links to the shared folder, so the plan stays short and lost executors cost one round.
-    The rounds grow with the logarithm of the longest path.
+    The rounds grow with the logarithm of the longest path. The hub of a star, whatever its links, weighs on no single task.
     """
     links = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     now = materialize(links, "links")
     mark = _mark(now)
     while mark[0]:
-        after = materialize(_small_star(_large_star(now)), "links")
+        most = 2 * mark[0]  # rows of either star
+        after = materialize(_small_star(_large_star(now, most), most), "links")
         release(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:

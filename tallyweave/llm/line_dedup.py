@@ -2,13 +2,16 @@
 
 Hashes of long lines are dealt by range of (hash, document) and sorted within each task by hash, then document
 from the largest down. A task streams its rows: the first document of a hash keeps the line, and once the hash has
-been seen in ``min_docs`` documents all other documents lose it. A line that very many documents hold is cut over
-many tasks by the range; such hashes, the first and last of each task, are counted again over all tasks. Documents
-get their decisions as a compressed bitmap of the lines that stay; texts aren't shuffled to decide.
+been seen in ``min_docs`` documents all other documents lose it. Until then the rows of a hash are held, afterwards they are written as
+they come, so memory doesn't depend on how common a line is. A line that very many documents hold is cut over many tasks by the range;
+the first and the last hash of each task are counted in part and the counts, two rows a task, are added up over all tasks. Documents
+get their decisions as a compressed bitmap of the lines that stay; texts aren't shuffled to decide. To be cut, texts are brought to
+their bitmaps by one shuffle without a sort.
 
 Defined cases: null and empty texts are one empty line. A line repeated in a document counts once, and all its
 places stay or go together. Rows that share a doc_id count as one document but have bitmaps of their own. A null
-doc_id is a document below all others. Line keys are compared by 128-bit hashes.
+doc_id is a document below all others. Line keys are compared by 128-bit hashes. Very long texts and lines are read whole. An empty table gives
+an empty result. Columns other than doc_id and text are ignored, whatever their names (``dedup_texts`` returns them all).
 """
 
 from __future__ import annotations
@@ -72,59 +75,85 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "h1 long, h2 long, doc long, same long, n_lines int, places binary")
 
 
+#: What a row of the streamed table says: a line that goes, a line to be decided by counts over all tasks, or such a count.
+GOES, OPEN, COUNT = 0, 1, 2
+
+
 def drops(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, same, n_lines, places: the lines that documents lose."""
     names = ["h1", "h2", "doc", "same", "n_lines", "places"]
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("same", pa.int64()), ("n_lines", pa.int32()), ("places", pa.binary()), ("fresh", pa.int8())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("same", pa.int64()), ("n_lines", pa.int32()), ("places", pa.binary()), ("kind", pa.int8())])
+    rows_schema = pa.schema(list(schema)[:6])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that go (fresh null), and all rows of the first and the last hash (fresh: 1 if the document is new to it)."""
-        begun, held = False, pa.Table.from_batches([], schema=pa.schema(list(schema)[:6]))
+        """Of the last hash seen only rows of fewer than ``min_docs`` documents are held; the first hash of a task, and the last, are left open."""
+        held = pa.Table.from_batches([], schema=rows_schema)
+        # the hash whose rows are written as they come, if there is one; its first document, its last, how many, and whether it's the task's first hash
+        at, holder, last, n_docs, is_first, begun = None, 0, 0, 0, False, False
 
-        def marks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            h1, h2, doc = (t.column(i).to_numpy() for i in range(3))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            fresh = new.copy()
-            fresh[1:] |= doc[1:] != doc[:-1]
-            return new, fresh
-
-        def out(t: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            new, fresh = marks(t)
-            if whole:
-                group = np.cumsum(new) - 1
-                n_docs = np.bincount(group, weights=fresh)[group]
-                of = np.cumsum(fresh)
-                first = of - of[np.flatnonzero(new)][group] == 0  # rows of the document that holds the line on
-                t = t.filter(pa.array((n_docs >= min_docs) & ~first))
-                marked = pa.nulls(t.num_rows, pa.int8())
-            else:
-                marked = pa.array(fresh.astype(np.int8))
-            yield from t.append_column("fresh", marked).cast(schema).to_batches()
+        def out(t: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
+            if t.num_rows:
+                yield from t.append_column("kind", pa.array(np.full(t.num_rows, kind, np.int8))).cast(schema).to_batches()
+
+        def count(h1: int, h2: int, n: int, first: int) -> pa.RecordBatch:
+            return batch(schema, [h1], [h2], [first], [n], [0], [b""], [COUNT])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held = pa.concat_tables([held, pa.Table.from_batches([b]).cast(held.schema)]).combine_chunks()
-            edge = np.flatnonzero(marks(held)[0])
-            if not begun and len(edge) > 1:
-                yield from out(held.slice(0, edge[1]), False)
-                held, edge, begun = held.slice(edge[1]), edge[1:] - edge[1], True
-            if begun and len(edge) > 1:
-                yield from out(held.slice(0, edge[-1]), True)
-                held = held.slice(edge[-1])
-        yield from out(held, False)
+            t = pa.concat_tables([held, pa.Table.from_batches([b]).cast(rows_schema)]).combine_chunks()
+            held = t.slice(0, 0)
+            h1, h2, doc = (t.column(i).to_numpy() for i in range(3))
+            if at is not None:
+                more = int(np.argmin(np.concatenate(((h1 == at[0]) & (h2 == at[1]), [False]))))
+                if more:
+                    own = doc[:more]
+                    n_docs += int((np.concatenate(([last], own[:-1])) != own).sum())
+                    last = int(own[-1])
+                    yield from out(t.slice(0, more), OPEN if is_first else GOES)
+                if more == t.num_rows:
+                    continue
+                if is_first:
+                    yield count(*at, n_docs, holder)
+                at, t, h1, h2, doc = None, t.slice(more), h1[more:], h2[more:], doc[more:]
+            new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+            fresh = new | np.concatenate(([True], doc[1:] != doc[:-1]))
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            each = np.bincount(group, weights=fresh).astype(np.int64)
+            of = np.cumsum(fresh)
+            other = of != of[start][group]  # not of the document that holds the line on
+            whole = np.arange(len(start)) < len(start) - 1
+            if not begun:  # the task's first hash may have begun in another
+                end = int(start[1]) if len(start) > 1 else len(h1)
+                yield from out(t.slice(0, end), OPEN)
+                whole[0], begun = False, True
+                if len(start) > 1:
+                    yield count(int(h1[0]), int(h2[0]), int(each[0]), int(doc[0]))
+                else:
+                    at, holder, last, n_docs, is_first = (int(h1[0]), int(h2[0])), int(doc[0]), int(doc[-1]), int(each[0]), True
+                    continue
+            yield from out(t.filter(pa.array(whole[group] & (each[group] >= min_docs) & other)), GOES)
+            tail = int(start[-1])
+            if each[-1] >= min_docs:
+                at, holder, last, n_docs, is_first = (int(h1[-1]), int(h2[-1])), int(doc[tail]), int(doc[-1]), int(each[-1]), False
+                yield from out(t.slice(tail).filter(pa.array(other[tail:])), GOES)
+            else:
+                held = t.slice(tail)
+        if held.num_rows:
+            own = held.column(2).to_numpy()
+            yield from out(held, OPEN)
+            yield count(held.column(0)[0].as_py(), held.column(1)[0].as_py(), 1 + int((own[1:] != own[:-1]).sum()), int(own[0]))
+        elif at is not None:
+            yield count(*at, n_docs, holder)
 
     # hashes dealt by range, documents from the largest down within each
     dealt = lines.withColumn("down", F.bitwise_not("doc")).repartitionByRange("h1", "h2", "down").sortWithinPartitions("h1", "h2", "down").select(names)
-    streamed = materialize(dealt.mapInArrow(run, "h1 long, h2 long, doc long, same long, n_lines int, places binary, fresh tinyint"), "lines")
-    cut = streamed.where("fresh is not null")
-    # at most two hashes a task
-    counted = cut.groupBy("h1", "h2").agg(F.sum("fresh").alias("n_docs"), F.max("doc").alias("holder")).where(F.col("n_docs") >= min_docs)
-    more = cut.join(counted, ["h1", "h2"]).where("doc <> holder")
-    return streamed.where("fresh is null").select(names[2:]).union(more.select(names[2:]))
+    streamed = materialize(dealt.mapInArrow(run, "h1 long, h2 long, doc long, same long, n_lines int, places binary, kind tinyint"), "lines")
+    counted = streamed.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("same").alias("n_docs"), F.max("doc").alias("holder"))
+    # at most two hashes a task are counted: the bound of the broadcast
+    more = streamed.where(F.col("kind") == OPEN).join(F.broadcast(counted.where(F.col("n_docs") >= min_docs)), ["h1", "h2"]).where("doc <> holder")
+    return streamed.where(F.col("kind") == GOES).select(names[2:]).union(more.select(names[2:]))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -159,7 +188,8 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, *columns: str) -> DataFram
     """Each row of the documents with its bitmap, as _tw_n_dropped and _tw_keep; null where all lines stay."""
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_tw_doc"), F.xxhash64(text_bytes()).alias("_tw_same"))
     b = bitmaps.select(F.col("doc").alias("_tw_doc"), F.col("same").alias("_tw_same"), F.col("n_dropped").alias("_tw_n_dropped"), F.col("keep").alias("_tw_keep"))
-    return keyed.join(b, ["_tw_doc", "_tw_same"], "left").drop("_tw_doc", "_tw_same")
+    # bitmaps are the small side of each partition: texts pass by them unsorted
+    return keyed.join(b.hint("shuffle_hash"), ["_tw_doc", "_tw_same"], "left").drop("_tw_doc", "_tw_same")
 
 
 def dedup_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -11,8 +11,11 @@ between tasks, is done exactly in another way: two fingerprints differ in at mos
 within 1 bit of some value. Each member is sent to all such values that keep the key's bits, at most 39, and all
 that meet at one value are linked to the smallest of them. Thus work is linear in the members of any key.
 
+Copies of a text are one class from the start; a fingerprint that very many rows share gets its component by broadcast (see ``join_counted``).
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one or two words are
-one shingle. Rows that repeat a doc_id are fingerprinted row by row and linked through the id. A null doc_id gets a
+one shingle; very long texts are fingerprinted whole. An empty table gives an empty result. Columns other than doc_id and text are ignored,
+whatever their names (``keep_one`` returns them all). Rows that repeat a doc_id are fingerprinted row by row and linked through the id. A null doc_id gets a
 fingerprint, and the component of the documents near it, or null if there are none.
 """
 
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, by_size, doc_rows, materialize
+from .common import batch, blobs, by_size, doc_rows, join_counted, materialize
 from .components import components
 
 DISTANCE = 2
@@ -157,14 +160,16 @@ def links(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (signed) and component_id for each row."""
     prints = materialize(fingerprints(docs, shingle), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    total = prints.count()
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     same_id = prints.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
     # rows that repeat a doc_id with other texts tie their classes together
-    tied = same_id.select("doc_id", F.explode("fps").alias("fp")).join(classes, "fp").where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    known = classes.where("rep is not null")
+    tied = join_counted(same_id.select("doc_id", F.explode("fps").alias("fp")), classes, "fp", total)
+    tied = tied.where("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    known = classes.where("rep is not null").select("fp", "rep")
     roots = components(links(known).union(tied))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    return join_counted(prints, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -174,4 +179,4 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     groups = near_duplicates(docs, shingle)
     goes = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_tw_id")).distinct()
-    return docs.join(goes, docs["doc_id"] == goes["_tw_id"], "left_anti")
+    return docs.join(goes.hint("shuffle_hash"), docs["doc_id"] == goes["_tw_id"], "left_anti")

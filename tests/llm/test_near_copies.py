@@ -64,3 +64,29 @@ def test_odd_documents(spark):
     want = brute([x for x in rows if x[0] is not None])
     assert sorted((r.doc_id for r in n.keep_one(docs).collect()), key=str) == sorted((d for d, _ in rows if d is None or want[d] == d), key=str)
     assert n.keep_one(empty(spark)).count() == 0
+
+
+def test_shared_texts_and_the_rest_of_a_group_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(n, "PART_TEXTS", 4)
+    monkeypatch.setattr(n, "SHARED", 2)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    own = rng.choices(words, k=200)
+    rows = []
+    for i in range(60):  # a chain of texts, each a step from the one before: few are like the shared ones
+        own = list(own)
+        for at in rng.sample(range(200), 3):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in n.near_copies(docs).collect()} == brute(rows)
+
+
+def test_keys_cut_by_borders_connect_all(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    keyed = spark.range(400).selectExpr("id as fp", "if(id < 300, 7, id div 5) as key")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    from tallyweave.llm.components import components
+
+    got = {r.node: r.root for r in components(n.met(keyed)).collect()}
+    assert got == {i: 0 if i < 300 else i // 5 * 5 for i in range(400)}
