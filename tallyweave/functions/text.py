@@ -48,28 +48,28 @@ def translate_colors(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Amounts in US or European notation as decimals; null if it isn't one.
+    """Amounts in US or European notation as decimals of five places; null if it isn't one.
 
-    Of a dot and a comma the later one is the decimal mark. A single mark, before exactly three digits and after one to
-    three, separates thousands; so does a mark that repeats.
+    Of a dot and a comma the later one is the decimal mark. A comma alone is one too, unless three digits follow the last: then commas
+    separate thousands. A dot alone is a decimal mark, however many digits follow: prices a stem have three.
     """
     t = F.regexp_replace(text, r"[\s$]", "")
     dot, comma = F.length(t) - F.instr(F.reverse(t), "."), F.length(t) - F.instr(F.reverse(t), ",")
     dots, commas = F.length(t) - F.length(F.replace(t, F.lit("."))), F.length(t) - F.length(F.replace(t, F.lit(",")))
     us, eu = F.replace(t, F.lit(",")), F.replace(F.replace(t, F.lit(".")), F.lit(","), F.lit("."))
-    thousands = t.rlike(r"^[0-9]{1,3}[.,][0-9]{3}$")
-    plain = (
-        F.when((dots > 0) & (commas > 0), F.when(dot > comma, us).otherwise(eu))
-        .when(thousands | (dots > 1) | (commas > 1), F.regexp_replace(t, "[.,]", ""))
-        .when(commas == 1, eu)
-        .otherwise(t)
-    )
-    return F.when(plain.rlike(r"^-?[0-9]+(\.[0-9]*)?$"), plain.try_cast("decimal(18,2)"))
+    both = (dots > 0) & (commas > 0)
+    plain = F.when(both & (dot > comma), us).when(both, eu).when(t.rlike(r",[0-9]{3}$"), us).otherwise(F.replace(t, F.lit(","), F.lit(".")))
+    return F.when(plain.rlike(r"^-?(?:[0-9]+(\.[0-9]*)?|\.[0-9]+)$"), plain.try_cast("decimal(18,5)"))
+
+
+def count(text: Column) -> Column:
+    """Whole numbers, with or without separators of thousands; a decimal part of zeros doesn't count."""
+    return F.regexp_replace(F.regexp_replace(text, r"[.,]0{1,2}$", ""), "[^0-9]", "").try_cast("int")
 
 
 def printed_total(text: Column) -> Column:
     """The first pattern whose amount is positive; 0 if there is none."""
-    zero = F.lit(0).cast("decimal(18,2)")
+    zero = F.lit(0).cast("decimal(18,5)")
     found = F.transform(F.array(*[F.regexp_extract(text, f"(?i){p}", 1) for p in TOTAL_PATTERNS]), number)
     return F.coalesce(F.try_element_at(F.filter(found, lambda x: x > 0), F.lit(1)), zero)
 

@@ -69,26 +69,24 @@ def missing_articles(log: DataFrame) -> DataFrame:
     return points.withColumn("score", 3 * F.col("rescues") + F.col("pending"))
 
 
-def fold_counts(log: DataFrame) -> DataFrame:
-    """Learned links by counters: confirmations, corrections, status and trust of each key and article."""
-    c = log.where(F.col("kind") != "other").groupBy("key", "article_id").agg(F.count_if(F.col("kind") == "confirm").alias("confirmed"), F.count_if(F.col("kind") == "correct").alias("corrected"), F.count_if(F.col("kind") == "proposal").alias("hits"))
-    status = F.when(F.col("corrected") >= 2, "rechazado").when(F.col("corrected") == 1, "ambiguo").when((F.col("confirmed") >= 1), "manual_confirmado").when(F.col("hits") >= 2, "aprendido_confirmado").otherwise("aprendido_en_prueba")
+def fold(log: DataFrame) -> DataFrame:
+    """Learned links by their whole history: key, article_id, counters, status, trust.
+
+    Corrections add up for life: one makes a link ambiguous, two reject it, and no confirmation takes that back. A link on trial is
+    confirmed by a person's confirmation or by the second hit. So the state follows from sums, in whatever order the events come.
+    """
+    known = log.where(F.col("kind") != "other")
+    c = known.groupBy("key", "article_id").agg(F.count_if(F.col("kind") == "confirm").alias("confirmed"), F.count_if(F.col("kind") == "correct").alias("corrected"), F.count_if(F.col("kind") == "proposal").alias("hits"), F.count(F.lit(1)).alias("n_events"))
+    status = F.when(F.col("corrected") >= 2, "rechazado").when(F.col("corrected") == 1, "ambiguo").when((F.col("confirmed") >= 1) | (F.col("hits") >= 2), "aprendido_confirmado").otherwise("aprendido_en_prueba")
     return c.withColumn("status", status).withColumn("trust", checks.trust(F.col("status"), F.col("confirmed"), F.col("corrected")))
 
 
-def fold_events(log: DataFrame) -> DataFrame:
-    """Status of each link after all its events in order of time: key, article_id, status, n_events.
+def fold_counts(log: DataFrame) -> DataFrame:
+    return fold(log).drop("n_events")
 
-    A person's confirmation wins and clears earlier corrections; after it one correction makes a link ambiguous and the next
-    rejects it. Without either, two hits end its trial. So only what came after the last confirmation counts, and the
-    history of a link needn't be gathered in one place.
-    """
-    known = log.where(F.col("kind") != "other").select("key", "article_id", F.struct("ts", "event_id").alias("at"), "kind")
-    per = known.groupBy("key", "article_id").agg(F.max(F.when(F.col("kind") == "confirm", F.col("at"))).alias("confirmed_at"), F.count_if(F.col("kind") == "proposal").alias("hits"), F.count(F.lit(1)).alias("n_events"))
-    later = known.where("kind = 'correct'").join(per.select("key", "article_id", "confirmed_at"), ["key", "article_id"]).where("confirmed_at is null or at > confirmed_at").groupBy("key", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    j = per.join(later, ["key", "article_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    status = F.when(F.col("n") >= 2, "rechazado").when(F.col("n") == 1, "ambiguo").when(F.col("confirmed_at").isNotNull(), "manual_confirmado").when(F.col("hits") >= 2, "aprendido_confirmado").otherwise("aprendido_en_prueba")
-    return j.select("key", "article_id", status.alias("status"), "n_events")
+
+def fold_events(log: DataFrame) -> DataFrame:
+    return fold(log).select("key", "article_id", "status", "n_events")
 
 
 def audit(links: DataFrame) -> DataFrame:

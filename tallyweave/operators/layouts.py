@@ -11,7 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number
+from ..functions.text import count, number
+
+
+#: Columns that hold whole numbers.
+COUNTS = ("boxes", "size", "stems", "bunches", "pack")
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,7 @@ def parse(text_lines: DataFrame, template: Template) -> DataFrame:
     for n in names:
         cases = [F.when(F.col("variant") == i, F.regexp_extract("line", p, groups[n])) for i, (p, groups) in enumerate(template.variants) if n in groups]
         value = F.coalesce(*cases)
-        t = t.withColumn(n, number(value).cast("double") if n in template.numbers else value)
+        t = t.withColumn(n, (count(value) if n in COUNTS else number(value)).cast("double") if n in template.numbers else value)
     return t.select("doc_id", "line_no", "variant", *names, *template.carried, *template.looked)
 
 

@@ -50,19 +50,52 @@ def taxonomy(metrics: DataFrame) -> DataFrame:
     return x.select("provider_id", "category", "severity", "impact", F.round(base * F.when(c("auto_rate") >= 0.85, 0.4).when(c("auto_rate") >= 0.70, 0.7).otherwise(1.0), 3).alias("priority"))
 
 
-def align_best(gold: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:
-    """One-to-one pairs of gold and found lines of a document that are each other's best; affinity from variety, size and stems.
+def align(gold: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:
+    """One-to-one pairs of gold and found lines of a document: each gold line, in order, takes the best found line that is left.
 
-    ``gold`` and ``found``: doc_id, line_no, variety, size, stems. Left over lines of both sides aren't listed.
+    ``gold`` and ``found``: doc_id, line_no, variety, size, stems. Affinity comes from variety (10 if equal, 5 if one holds the other), size
+    (3, or 1 if at most 10 off) and stems (2); ties go to the earlier found line. Lines that are left over have a null partner.
     """
+    gv, fv = F.upper(F.trim("gv")), F.upper(F.trim("variety"))
     g = gold.select("doc_id", F.col("line_no").alias("gold_no"), F.col("variety").alias("gv"), F.col("size").alias("gs"), F.col("stems").alias("gt"))
     f = found.select("doc_id", F.col("line_no").alias("found_no"), "variety", "size", "stems")
-    points = F.when(F.col("gv") == F.col("variety"), 10).when(F.substring("gv", 1, 3) == F.substring("variety", 1, 3), 5).otherwise(0) + F.when(F.col("gs") == F.col("size"), 3).when(F.abs(F.col("gs") - F.col("size")) <= 10, 1).otherwise(0) + F.when(F.col("gt") == F.col("stems"), 2).otherwise(0)
+    holds = (gv != "") & (fv != "") & (F.contains(gv, fv) | F.contains(fv, gv))
+    points = F.when(gv == fv, 10).when(holds, 5).otherwise(0) + F.when(F.col("gs") == F.col("size"), 3).when((F.col("gs") != 0) & (F.col("size") != 0) & (F.abs(F.col("gs") - F.col("size")) <= 10), 1).otherwise(0) + F.when(F.col("gt") == F.col("stems"), 2).otherwise(0)
     # a document's lines are few; documents are many
-    j = g.join(f, "doc_id").withColumn("points", points).where(F.col("points") >= least)
-    by_gold = Window.partitionBy("doc_id", "gold_no").orderBy(F.desc("points"), "found_no")
-    by_found = Window.partitionBy("doc_id", "found_no").orderBy(F.desc("points"), "gold_no")
-    return j.withColumn("a", F.row_number().over(by_gold)).withColumn("b", F.row_number().over(by_found)).where("a = 1 and b = 1").select("doc_id", "gold_no", "found_no", "points")
+    j = g.join(f, "doc_id").select("doc_id", "gold_no", F.struct((-points).alias("minus"), "found_no").alias("o")).where(-F.col("o.minus") >= least)
+    by_line = j.groupBy("doc_id", "gold_no").agg(F.array_sort(F.collect_list("o")).alias("options"))
+    by_doc = by_line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gold_no", "options"))).alias("lines"))
+    free = "get(filter(x.options, o -> not exists(taken, p -> p.found_no = o.found_no)), 0)"
+    empty = "cast(array() as array<struct<gold_no: int, found_no: int, points: int>>)"
+    step = f"if({free} is null, taken, array_append(taken, named_struct('gold_no', x.gold_no, 'found_no', {free}.found_no, 'points', -{free}.minus)))"
+    pairs = by_doc.select("doc_id", F.explode(F.expr(f"aggregate(lines, {empty}, (taken, x) -> {step})")).alias("p")).select("doc_id", "p.*")
+    nothing = F.lit(None).cast("int")
+    lost = g.select("doc_id", "gold_no").join(pairs, ["doc_id", "gold_no"], "left_anti").select("doc_id", "gold_no", nothing.alias("found_no"), nothing.alias("points"))
+    extra = f.select("doc_id", "found_no").join(pairs, ["doc_id", "found_no"], "left_anti").select("doc_id", nothing.alias("gold_no"), "found_no", nothing.alias("points"))
+    return pairs.unionByName(lost).unionByName(extra)
+
+
+def gold_metrics(gold: DataFrame, found: DataFrame, fields: list[str], tolerance: float = 0.02) -> DataFrame:
+    """How many gold lines agree with the found ones: a row for each field, for the link (article_id) and for whole lines (all fields and the link).
+
+    ``gold`` and ``found``: doc_id, line_no, variety, size, stems, the fields and article_id. Amounts (``line_total``) may differ by the
+    tolerance; a gold line without a partner agrees in nothing; a link counts only where gold has one.
+    """
+    pairs = align(gold, found).where("gold_no is not null")
+    cols = list(dict.fromkeys([*fields, "article_id"]))
+    g = gold.select("doc_id", F.col("line_no").alias("gold_no"), *[F.col(c).alias(f"g_{c}") for c in cols])
+    s = found.select("doc_id", F.col("line_no").alias("found_no"), *[F.col(c).alias(f"f_{c}") for c in cols])
+    j = g.join(pairs, ["doc_id", "gold_no"]).join(s, ["doc_id", "found_no"], "left")
+    near = lambda a, b: F.when(a == 0, b == 0).otherwise(F.abs(a - b) / F.greatest(F.abs(a), F.lit(0.01)) <= tolerance)
+    same = {c: F.coalesce(near(F.col(f"g_{c}"), F.col(f"f_{c}")) if c == "line_total" else F.upper(F.col(f"g_{c}").cast("string")) == F.upper(F.col(f"f_{c}").cast("string")), F.lit(False)) for c in cols}
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & same[c]
+    linked = F.coalesce(F.col("g_article_id"), F.lit(0)) > 0
+    what = [(c, F.lit(True), same[c]) for c in fields] + [("link", linked, same["article_id"]), ("line", F.lit(True), whole)]
+    counts = j.agg(*[x for n, used, ok in what for x in (F.count_if(used).alias(f"n_{n}"), F.count_if(used & ok).alias(f"ok_{n}"))])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"n_{n}").alias("n"), F.col(f"ok_{n}").alias("ok")) for n, _, _ in what])).alias("x")).select("x.*")
+    return rows.withColumn("accuracy", F.round(F.try_divide(F.col("ok").cast("double"), F.col("n")), 4))
 
 
 def fingerprints(text_lines: DataFrame, data_line: str) -> DataFrame:

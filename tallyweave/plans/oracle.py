@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from .queries import HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
 from ..functions.text import COLORS
+from . import suppliers
+from .queries import HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
+
+
+def _value(x) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
 
 _LINES = """lines AS (SELECT l_orderkey AS invoice, l_linenumber AS line_no, l_partkey AS article_id, l_suppkey AS provider_id, l_quantity::INT AS stems, (5 * (1 + l_partkey % 5))::INT AS pack,
   floor(l_quantity / (5 * (1 + l_partkey % 5)))::INT AS bunches, l_extendedprice * (1 - l_discount) / l_quantity AS price_per_stem, l_extendedprice AS line_total, l_extendedprice::DECIMAL(18,2) AS amount,
@@ -61,6 +68,15 @@ sums AS (SELECT *, CASE WHEN hits > 0 THEN 300 ELSE -100 END + CASE WHEN len(tok
   + CASE WHEN family = a_family THEN 150 ELSE 0 END + CASE WHEN pack = a_pack THEN 100 ELSE 0 END AS so_far, max(own_brand::INT) OVER (PARTITION BY line_id) AS peer FROM parts),
 graded AS (SELECT *, greatest(so_far + CASE WHEN own_brand THEN 250 WHEN generic THEN CASE WHEN peer = 1 THEN -150 ELSE 0 END WHEN so_far >= 800 THEN -40 ELSE -250 END
   + CASE source WHEN 'branded' THEN 100 WHEN 'exact' THEN 80 ELSE 50 END, 0) / 1000.0::DOUBLE AS score FROM sums)"""
+#: Each gold line in turn takes the best found line that is left.
+_WALK = """pairs AS (SELECT g.doc_id, g.line_no AS gold_no, f.line_no AS found_no, CASE WHEN g.variety = f.variety THEN 10 WHEN contains(g.variety, f.variety) OR contains(f.variety, g.variety) THEN 5 ELSE 0 END
+  + CASE WHEN g.size = f.size THEN 3 WHEN g.size <> 0 AND f.size <> 0 AND abs(g.size - f.size) <= 10 THEN 1 ELSE 0 END + CASE WHEN g.stems = f.stems THEN 2 ELSE 0 END AS points FROM gold g JOIN found f USING (doc_id)),
+turns AS (SELECT doc_id, line_no AS gold_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM gold),
+walk(doc_id, i, taken, gold_no, found_no, points) AS (SELECT DISTINCT doc_id, 0::BIGINT, []::INT[], NULL::INT, NULL::INT, NULL::INT FROM gold
+  UNION ALL SELECT s.doc_id, s.i + 1, CASE WHEN s.best IS NULL THEN s.taken ELSE list_append(s.taken, -s.best.minus_no) END, s.gold, -s.best.minus_no, s.best.points FROM (SELECT w.doc_id, w.i, w.taken, t.gold_no AS gold,
+    max({'points': p.points, 'minus_no': -p.found_no}) FILTER (p.points >= 5 AND NOT list_contains(w.taken, p.found_no)) AS best
+    FROM walk w JOIN turns t ON t.doc_id = w.doc_id AND t.i = w.i + 1 LEFT JOIN pairs p ON p.doc_id = t.doc_id AND p.gold_no = t.gold_no GROUP BY w.doc_id, w.i, w.taken, t.gold_no) s),
+walked AS (SELECT doc_id, gold_no, found_no, points FROM walk WHERE found_no IS NOT NULL)"""
 _LINK = f"WITH {_ARTICLES}, {_REQUESTS}, {_CAND}"
 _ASOF = """marks AS (SELECT *, last_value(CASE WHEN kind = 'proposal' THEN event_id END IGNORE NULLS) OVER w AS proposal_id, last_value(CASE WHEN kind = 'proposal' THEN confidence END IGNORE NULLS) OVER w AS proposed_confidence,
   last_value(CASE WHEN kind = 'proposal' THEN article_id END IGNORE NULLS) OVER w AS proposed_article FROM log WHERE kind <> 'other'
@@ -75,7 +91,7 @@ prints AS (SELECT doc_id, n_lines, n_data, header_lines, footer_lines, separator
 _MINED = """tokens AS (SELECT provider_id, upper(string_split(p_name, ' ')[-1]) AS token FROM lines JOIN part ON article_id = p_partkey),
 mined AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY n DESC, token)::INT AS rank FROM (SELECT provider_id, token, count(*) AS n FROM tokens WHERE length(token) > 2 GROUP BY 1, 2 HAVING count(*) >= 5))"""
 _FOLD = """counts AS (SELECT key, article_id, count(*) FILTER (kind = 'confirm') AS confirmed, count(*) FILTER (kind = 'correct') AS corrected, count(*) FILTER (kind = 'proposal') AS hits FROM log WHERE kind <> 'other' GROUP BY 1, 2),
-states AS (SELECT *, CASE WHEN corrected >= 2 THEN 'rechazado' WHEN corrected = 1 THEN 'ambiguo' WHEN confirmed >= 1 THEN 'manual_confirmado' WHEN hits >= 2 THEN 'aprendido_confirmado' ELSE 'aprendido_en_prueba' END AS status FROM counts)"""
+states AS (SELECT *, CASE WHEN corrected >= 2 THEN 'rechazado' WHEN corrected = 1 THEN 'ambiguo' WHEN confirmed >= 1 OR hits >= 2 THEN 'aprendido_confirmado' ELSE 'aprendido_en_prueba' END AS status FROM counts)"""
 
 
 def _first(p: str) -> str:
@@ -166,9 +182,7 @@ QUALIFY row_number() OVER (PARTITION BY key, article_id ORDER BY ts DESC, event_
 3 * count(*) FILTER (kind = 'correct') + count(*) FILTER (kind = 'proposal') AS score FROM log GROUP BY 1""",
     "trust_scores": f"""WITH {_LOG}, {_FOLD} SELECT *, round(CASE WHEN corrected > 0 THEN greatest(0.1::DOUBLE, b - 0.15::DOUBLE * corrected) WHEN confirmed > 1 THEN least(0.98::DOUBLE, b + 0.05::DOUBLE * least(confirmed - 1, 5)) ELSE b END, 3) AS trust
 FROM (SELECT *, CASE status WHEN 'manual_confirmado' THEN 0.98::DOUBLE WHEN 'aprendido_confirmado' THEN 0.85::DOUBLE WHEN 'aprendido_en_prueba' THEN 0.55::DOUBLE WHEN 'ambiguo' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS b FROM states)""".replace("SELECT *, round", "SELECT key, article_id, confirmed, corrected, hits, status, round"),
-    "synonym_fold": f"""WITH {_LOG}, k AS (SELECT * FROM log WHERE kind <> 'other'), p AS (SELECT key, article_id, max({{'ts': ts, 'id': event_id}}) FILTER (kind = 'confirm') AS last_at, count(*) FILTER (kind = 'proposal') AS hits, count(*) AS n_events FROM k GROUP BY 1, 2),
-c AS (SELECT p.key, p.article_id, p.last_at, p.hits, p.n_events, count(k.key) AS n FROM p LEFT JOIN k ON k.key = p.key AND k.article_id = p.article_id AND k.kind = 'correct' AND (p.last_at IS NULL OR k.ts > p.last_at.ts OR (k.ts = p.last_at.ts AND k.event_id > p.last_at.id)) GROUP BY ALL)
-SELECT key, article_id, CASE WHEN n >= 2 THEN 'rechazado' WHEN n = 1 THEN 'ambiguo' WHEN last_at IS NOT NULL THEN 'manual_confirmado' WHEN hits >= 2 THEN 'aprendido_confirmado' ELSE 'aprendido_en_prueba' END AS status, n_events FROM c""",
+    "synonym_fold": f"WITH {_LOG}, {_FOLD} SELECT key, article_id, status, confirmed + corrected + hits AS n_events FROM states",
     "synonym_audit": f"WITH {_ARTICLES} SELECT variety, size, count(*) AS n_links, count(DISTINCT id) AS n_articles, min(id) AS first_id FROM articles GROUP BY 1, 2 HAVING count(DISTINCT id) > 1",
     "benchmark_rollup": f"WITH {_LINES}, {_CHECKED}, {_LANED}, {_ROLL} SELECT * FROM rates",
     "provider_verdicts": f"""WITH {_LINES}, {_HEADERS}, {_BALANCE}, samples AS (SELECT provider_id, invoice, count(*) FILTER (extraction_source <> 'rescue') AS parsed, count(*) FILTER (extraction_source = 'rescue') AS rescued FROM lines GROUP BY 1, 2),
@@ -180,11 +194,21 @@ UNION ALL SELECT provider_id, auto_rate, 'E8_AMBIGUOUS_LINK', 4, ambiguous_lines
 UNION ALL SELECT provider_id, auto_rate, 'E9_VALIDATION_FAIL', 3, error_lines, error_lines::DOUBLE / total_parsed, 0.5::DOUBLE, 0.2::DOUBLE FROM rates),
 g AS (SELECT *, CASE WHEN share > high THEN 'HIGH' WHEN share > medium THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM f WHERE impact > 0 AND provider_id IS NOT NULL)
 SELECT provider_id, category, severity, impact, round((CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * weight + impact * 0.5::DOUBLE) * CASE WHEN auto_rate >= 0.85 THEN 0.4::DOUBLE WHEN auto_rate >= 0.7 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 3) AS priority FROM g""",
-    "golden_alignment": f"""WITH {_LINES}, {_BOXED}, one AS (SELECT invoice AS doc_id, line_no, variety, size, stems FROM boxed QUALIFY row_number() OVER (PARTITION BY invoice, line_no ORDER BY article_id, provider_id, amount) = 1),
-found AS (SELECT doc_id, (8 - line_no)::INT AS line_no, variety, (size + line_no % 2)::INT AS size, stems FROM one),
-j AS (SELECT g.doc_id, g.line_no AS gold_no, f.line_no AS found_no, CASE WHEN g.variety = f.variety THEN 10 WHEN substr(g.variety, 1, 3) = substr(f.variety, 1, 3) THEN 5 ELSE 0 END + CASE WHEN g.size = f.size THEN 3 WHEN abs(g.size - f.size) <= 10 THEN 1 ELSE 0 END + CASE WHEN g.stems = f.stems THEN 2 ELSE 0 END AS points
-FROM one g JOIN found f USING (doc_id)) SELECT doc_id, gold_no, found_no, points FROM j WHERE points >= 5
-QUALIFY row_number() OVER (PARTITION BY doc_id, gold_no ORDER BY points DESC, found_no) = 1 AND row_number() OVER (PARTITION BY doc_id, found_no ORDER BY points DESC, gold_no) = 1""",
+    "golden_alignment": f"""WITH RECURSIVE {_LINES}, {_BOXED}, gold AS (SELECT invoice AS doc_id, line_no, variety, size, stems FROM boxed QUALIFY row_number() OVER (PARTITION BY invoice, line_no ORDER BY article_id, provider_id, amount) = 1),
+found AS (SELECT doc_id, (8 - line_no)::INT AS line_no, variety, (size + line_no % 2)::INT AS size, stems FROM gold), {_WALK}
+SELECT doc_id, gold_no, found_no, points FROM walked UNION ALL SELECT doc_id, line_no, NULL, NULL FROM gold ANTI JOIN (SELECT doc_id, gold_no AS line_no FROM walked) x USING (doc_id, line_no)
+UNION ALL SELECT doc_id, NULL, line_no, NULL FROM found ANTI JOIN (SELECT doc_id, found_no AS line_no FROM walked) x USING (doc_id, line_no)""",
+    "gold_metrics": f"""WITH RECURSIVE {_LINES}, {_BOXED}, gold AS (SELECT invoice AS doc_id, line_no, variety, size, stems, line_total, article_id FROM boxed QUALIFY row_number() OVER (PARTITION BY invoice, line_no ORDER BY article_id, provider_id, amount) = 1),
+found AS (SELECT doc_id, line_no, variety, (size + CASE WHEN line_no % 3 = 0 THEN 10 ELSE 0 END)::INT AS size, stems, line_total * CASE WHEN line_no % 4 = 0 THEN 1.5::DOUBLE ELSE 1.01::DOUBLE END AS line_total, article_id + CASE WHEN line_no = 5 THEN 1 ELSE 0 END AS article_id FROM gold WHERE line_no < 7), {_WALK},
+j AS (SELECT g.*, g.variety = f.variety AS v, g.size = f.size AS z, g.stems = f.stems AS s, abs(g.line_total - f.line_total) / greatest(abs(g.line_total), 0.01::DOUBLE) <= 0.02::DOUBLE AS l, g.article_id = f.article_id AS a
+  FROM gold g LEFT JOIN walked w ON w.doc_id = g.doc_id AND w.gold_no = g.line_no LEFT JOIN found f ON f.doc_id = g.doc_id AND f.line_no = w.found_no),
+m AS (SELECT 'variety' AS field, count(*) AS n, count(*) FILTER (v) AS ok FROM j UNION ALL SELECT 'size', count(*), count(*) FILTER (z) FROM j UNION ALL SELECT 'stems', count(*), count(*) FILTER (s) FROM j UNION ALL SELECT 'line_total', count(*), count(*) FILTER (l) FROM j
+UNION ALL SELECT 'link', count(*) FILTER (article_id > 0), count(*) FILTER (article_id > 0 AND a) FROM j UNION ALL SELECT 'line', count(*), count(*) FILTER (v AND z AND s AND l AND a) FROM j) SELECT *, round(ok::DOUBLE / n, 4) AS accuracy FROM m""",
+    "layout_rows": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', " + ", ".join(_value(x) for x in row) + ")" for i, (n, (_, rows)) in enumerate(suppliers.SAMPLES.items()) for row in rows) + ") v(doc_id, fmt, line_no, species, variety, grade, size, pack, bunches, stems, price, total, box_type)",
+    "amount_texts": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.AMOUNTS) + ") v(written, amount)",
+    "printed_totals": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.TOTALS) + ") v(written, total)",
+    "size_places": "SELECT * FROM (VALUES " + ", ".join(f"({a}, {_value(b)}::INT)" for a, _, b in suppliers.PLACES) + ") v(word, size)",
+    "layout_switches": f"SELECT true AS active, {len(suppliers.LAYOUTS) - 2}::BIGINT AS n UNION ALL SELECT false, 2::BIGINT",
     "fingerprints": f"WITH {_TEXT}, {_PRINTS} SELECT * FROM prints",
     "fingerprint_clusters": f"""WITH {_TEXT}, {_PRINTS}, base AS (SELECT structure, min(doc_id) AS first_doc, arg_min(n_fields, doc_id) AS f FROM prints GROUP BY 1),
 c AS (SELECT structure, min(first_doc) AS first_doc, count(*) FILTER (abs(n_fields - f) <= 2) AS n_docs, round(avg(points), 3) AS mean_points FROM prints JOIN base USING (structure) GROUP BY 1)

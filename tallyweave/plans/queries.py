@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linking, records
+from ..operators import history, invoices, layouts, learning, linking, records, registry
 from ..sources import files
 from ..sources import tables as t
+from . import suppliers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,7 +318,7 @@ def golden_alignment(spark, d):
     b = _boxed(spark, d).select(F.col("invoice").alias("doc_id"), F.col("line_no"), "variety", "size", "stems", "amount", "provider_id", "article_id")
     one = b.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("variety", "size", "stems"), F.struct("article_id", "provider_id", "amount")).alias("x")).select("doc_id", "line_no", "x.*")
     found = one.select("doc_id", (8 - F.col("line_no")).cast("int").alias("line_no"), "variety", (F.col("size") + F.col("line_no") % 2).cast("int").alias("size"), "stems")
-    return learning.align_best(one, found)
+    return learning.align(one, found)
 
 
 @query
@@ -372,6 +373,45 @@ def template_rows(spark, d):
     return layouts.parse(text_lines, layouts.PARENT)
 
 
+@query
+def layout_rows(spark, d):
+    """Texts of every supplier's layout, as they print them, read by the table of layouts."""
+    texts = spark.createDataFrame([(i, n, x) for i, (n, (x, _)) in enumerate(suppliers.SAMPLES.items())], "doc_id int, fmt string, text string")
+    lines = registry.by_layout(texts.select("doc_id", "text"), texts.select("doc_id", "fmt"))
+    return registry.parse(lines, registry.table(spark, suppliers.LAYOUTS)).drop("label", "status")
+
+
+@query
+def amount_texts(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in suppliers.AMOUNTS], "written string").select("written", text.number(F.col("written")).cast("double").alias("amount"))
+
+
+@query
+def printed_totals(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in suppliers.TOTALS], "written string").select("written", text.printed_total(F.col("written")).cast("double").alias("total"))
+
+
+@query
+def size_places(spark, d):
+    words = spark.createDataFrame([(i, x) for i, x, _ in suppliers.PLACES], "word int, x double")
+    return registry.sizes_by_place(words, suppliers.SIZE_COLUMNS).select("word", "size")
+
+
+@query
+def layout_switches(spark, d):
+    """How many layouts are active after some are switched off and one on again."""
+    table = registry.activate(registry.activate(registry.table(spark, suppliers.LAYOUTS), ["life", "uma", "tessa"], False), ["uma"])
+    return table.groupBy("active").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def gold_metrics(spark, d):
+    b = _boxed(spark, d).select(F.col("invoice").alias("doc_id"), "line_no", "variety", "size", "stems", F.col("line_total").alias("line_total"), "provider_id", "article_id", "amount")
+    gold = b.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("variety", "size", "stems", "line_total", "article_id"), F.struct("article_id", "provider_id", "amount")).alias("x")).select("doc_id", "line_no", "x.*")
+    found = gold.where("line_no < 7").select("doc_id", "line_no", "variety", (F.col("size") + F.when(F.col("line_no") % 3 == 0, 10).otherwise(0)).cast("int").alias("size"), "stems", (F.col("line_total") * F.when(F.col("line_no") % 4 == 0, 1.5).otherwise(1.01)).alias("line_total"), (F.col("article_id") + F.when(F.col("line_no") == 5, 1).otherwise(0)).alias("article_id"))
+    return learning.gold_metrics(gold, found, ["variety", "size", "stems", "line_total"])
+
+
 @query
 def event_windows(spark, d):
     return streaming.windows(t.decisions(spark, d))

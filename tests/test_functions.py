@@ -10,7 +10,7 @@ from tallyweave.functions import checks, text
 
 @pytest.mark.parametrize(
     ("written", "value"),
-    [("1,234.56", "1234.56"), ("1.234,56", "1234.56"), ("1234,5", "1234.50"), ("1.234", "1234.00"), ("1,234", "1234.00"), ("12.5", "12.50"), ("1.234.567", "1234567.00"), ("$ 7.00", "7.00"), ("1 234,00", "1234.00"), ("", None), ("abc", None), (None, None), ("-3.5", "-3.50"), ("0", "0.00")],
+    [("1,234.56", "1234.56"), ("1.234,56", "1234.56"), ("1234,5", "1234.50"), ("1.234", "1.234"), ("0.350", "0.35"), ("1,234", "1234.00"), ("12.5", "12.50"), ("1.234.567", None), ("1,234,567", "1234567"), ("$ 7.00", "7.00"), ("1 234,00", "1234.00"), ("", None), ("abc", None), (None, None), ("-3.5", "-3.50"), ("0", "0.00")],
 )
 def test_number(spark, written, value):
     got = spark.createDataFrame([(written,)], "t string").select(text.number(F.col("t"))).first()[0]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import streaming
-from tallyweave.operators import history, invoices, layouts, linking
+from tallyweave.operators import history, invoices, layouts, learning, linking, registry
+from tallyweave.plans import suppliers
 from tallyweave.sources import tables
 
 
@@ -65,10 +66,32 @@ def test_asof_ties_and_orphans(spark):
 def test_states_of_links(spark):
     events = {1: ["proposal"], 2: ["proposal", "proposal"], 3: ["proposal", "correct"], 4: ["correct", "correct"], 5: ["correct", "correct", "confirm"], 6: ["confirm", "correct"], 7: ["confirm", "correct", "correct", "proposal"]}
     log = spark.createDataFrame([(10 * k + i, i, k, e, 0.5, 1) for k, es in events.items() for i, e in enumerate(es)], "event_id long, ts int, key long, kind string, confidence double, article_id int")
-    want = {1: "aprendido_en_prueba", 2: "aprendido_confirmado", 3: "ambiguo", 4: "rechazado", 5: "manual_confirmado", 6: "ambiguo", 7: "rechazado"}
+    want = {1: "aprendido_en_prueba", 2: "aprendido_confirmado", 3: "ambiguo", 4: "rechazado", 5: "rechazado", 6: "ambiguo", 7: "rechazado"}
     assert {r.key: r.status for r in history.fold_events(log).collect()} == want
 
 
+def test_gold_lines_take_what_is_left(spark):
+    def of(*rows):
+        return spark.createDataFrame([(1, *r) for r in rows], "doc_id long, line_no int, variety string, size int, stems int")
+
+    gold = of((1, "FREEDOM", 50, 100), (2, "FREEDOM", 50, 100), (3, "RED", 60, 25), (4, "TIBET", 40, 25))
+    found = of((1, "FREEDOM", 50, 100), (2, "FREEDOM", 50, 75), (3, "RED NAOMI", 60, 25), (9, "OTHER", 10, 1))
+    got = sorted(((r.gold_no, r.found_no, r.points) for r in learning.align(gold, found).collect()), key=str)
+    assert got == sorted([(1, 1, 15), (2, 2, 13), (3, 3, 10), (4, None, None), (None, 9, None)], key=str)
+
+
+def test_layouts_have_samples_and_odd_lines_give_no_rows(spark):
+    assert {x.name for x in suppliers.LAYOUTS} == set(suppliers.SAMPLES) and len(suppliers.LAYOUTS) == 67
+    table = registry.table(spark, suppliers.LAYOUTS)
+    odd = [None, "", " ", "TOTAL", "1", "x " * 5000, "$ 1.0", "(" * 50]
+    lines = spark.createDataFrame([(1, x.name, i, s) for x in suppliers.LAYOUTS for i, s in enumerate(odd)] + [(2, "unknown", 0, "1 HB FREEDOM 50 25 300 0.30 90.00")], "doc_id long, fmt string, line_no int, line string")
+    assert registry.parse(lines, table).count() == 0
+    on = registry.activate(table, ["life"], False)
+    text = suppliers.SAMPLES["life"][0].split("\n")
+    lines = spark.createDataFrame([(1, "life", i, s) for i, s in enumerate(text)], "doc_id long, fmt string, line_no int, line string")
+    assert registry.parse(lines, table).count() == 2 and registry.parse(lines, on).count() == 0
+
+
 def test_rescue_leaves_out_what_was_parsed(spark):
     t = doc(spark, "ROSE FREEDOM 50 12.00", "ROSE TIBET 60 13.00", "TOTAL ROSE 25.00", "ROSE 1", "ROSE EXPLORER 14.00")
     parsed = spark.createDataFrame([(1, "ROSE FREEDOM 50 12.00", ""), (1, "other", "tibet")], "doc_id long, raw string, variety string")
