@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import batch, blobs, bound_batches, by_size, materialize, text_bytes
+from .common import batch, blobs, bound_batches, by_size, materialize, one_thread, text_bytes
 from .labelled import remainder
 
 BLOCK_BYTES = 8 << 20
@@ -485,6 +485,7 @@ def train(made: DataFrame, s: Shape, rounds: int = ROUNDS, rate: float = 0.02) -
         shared = made.sparkSession.sparkContext.broadcast((flat(m), s))
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
+            one_thread()
             weights, s = shared.value
             learned, n, part = unflat(weights.astype(np.float32)), 0, TaskContext.get().partitionId()
             for b in batches:
@@ -525,6 +526,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        one_thread()
         m, s = shared.value
         if not block.num_rows:
             return schema.empty_table()
