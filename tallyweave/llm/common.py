@@ -115,20 +115,23 @@ def as_uint64(array: pa.Array) -> np.ndarray:
     return array.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-#: A key is hot if it holds more than one in so many of all rows; there can't be more hot keys than that.
-HOT = 10_000
+#: A key is hot if it has at least so many rows, and more than one in so many of all rows: there can't be more hot keys than HOT.
+HOT_ROWS, HOT = 1000, 10_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """``left`` joined with ``right`` on ``key``, wherever it stands: a key that a third of all rows share weighs on no task.
 
     ``right`` has one row a key, with the number of rows of left that have it (or more) in ``n``; ``total`` is at least the sum of n.
-    Hot keys are fewer than HOT by arithmetic, so they are broadcast; the others are shuffled.
+    Hot keys are fewer than HOT by arithmetic, so they are broadcast; the others are shuffled. ``right`` is written once, so that plans stay small.
     """
-    is_hot = F.col(n).cast("double") * HOT > total
-    hot, cold = right.where(is_hot), right.where(~is_hot)
+    right = materialize(right, "keys")
+    is_hot = (F.col(n) >= HOT_ROWS) & (F.col(n).cast("double") * HOT > total)
+    hot = right.where(is_hot)
+    if hot.isEmpty():
+        return left.join(right, key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(right.where(~is_hot), key))
 
 
 def one_thread() -> None:

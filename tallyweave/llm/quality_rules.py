@@ -88,12 +88,15 @@ def _logistic(data: Sample, rows: np.ndarray, epochs: int, rate: float, decay: f
         train[mine] = 0.5 / len(mine)
     w, m, v, bias = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), 0.0
 
+    # some features at a time: the driver holds no copy of all
+    pieces = [slice(at, at + (1 << 19)) for at in range(0, len(ids), 1 << 19)]
+
     def raw() -> np.ndarray:
-        return np.bincount(of, data.values * w[ids], len(data)) + bias
+        return sum((np.bincount(of[p], data.values[p] * w[ids[p]], len(data)) for p in pieces), np.zeros(len(data))) + bias
 
     for step in range(1, epochs + 1):
         error = (1 / (1 + np.exp(-np.clip(raw(), -50, 50))) - data.label) * train
-        g = np.bincount(ids, data.values * error[of], len(used)) + decay * w
+        g = sum((np.bincount(ids[p], data.values[p] * error[of[p]], len(used)) for p in pieces), decay * w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         bias -= rate * error.sum()

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from tallyweave.llm import simhash
+from tallyweave.llm import common, simhash
 from tallyweave.llm.components import components
 
 from .rows import documents, empty
@@ -82,6 +82,16 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    left = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as v")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as w")
+    want = {(r.k, r.v, r.w) for r in left.join(right, "k").collect()}
+    for rows in (1, 1000, 10**9):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        got = common.join_counted(left, right, "k", 5000).collect()
+        assert len(got) == 5000 and {(r.k, r.v, r.w) for r in got} == want
+
+
 def test_long_chains_and_stars_become_one_component(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7), (100, 99)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
