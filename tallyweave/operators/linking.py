@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 #: Candidate sources, strongest first; a pair found by several keeps the strongest.
-SOURCES = ("exact", "branded", "priority", "prefix", "fuzzy")
+SOURCES = ("exact", "branded", "priority", "prefix")
 
 
 def derive(articles: DataFrame) -> DataFrame:
@@ -53,15 +54,19 @@ def lookup_links(lines: DataFrame, links: DataFrame) -> DataFrame:
 def cascade(lines: DataFrame, articles: DataFrame) -> DataFrame:
     """The best article of the same variety by rungs: own brand and size, no brand and size, any and size, then the nearest size likewise.
 
-    One row a line: line_id, article_id, rung, gap (of sizes). Ties go to the smaller gap, then the smaller id.
+    One row a line: line_id, article_id, rung, gap (of sizes). Ties go to the smaller gap, then the smaller id. The catalogue is summed first, to the
+    least ids of a variety's sizes (with a brand, without one, any): a line meets two short lists, not the variety's articles.
     """
-    a = articles.select("id", F.col("variety").alias("v"), F.col("brand").alias("b"), F.col("size").alias("s"), F.col("name").rlike("[0-9]U$").alias("generic"))
-    j = lines.join(a, F.col("variety") == F.col("v"))
-    gap = F.abs(F.col("s") - F.col("size"))
-    own = (F.col("b") == F.col("brand")) & ~F.col("generic")
-    rung = F.when(gap == 0, F.when(own, 1).when(F.col("generic"), 2).otherwise(3)).otherwise(F.when(own, 4).when(F.col("generic"), 5).otherwise(6))
-    best = F.min(F.struct(rung.alias("rung"), gap.alias("gap"), "id"))  # a partial aggregate, no sort
-    return j.groupBy("line_id").agg(best.alias("x")).select("line_id", F.col("x.id").alias("article_id"), "x.rung", "x.gap")
+    a = articles.select("id", "variety", "brand", "size", F.col("name").rlike("[0-9]U$").alias("generic"))
+    branded = a.where("not generic").groupBy("variety", "brand", "size").agg(F.min("id").alias("id")).groupBy("variety", "brand").agg(F.collect_list(F.struct("size", "id")).alias("own"))
+    any_brand = a.groupBy("variety", "size").agg(F.min("id").alias("id"), F.min(F.when(F.col("generic"), F.col("id"))).alias("plain")).groupBy("variety").agg(F.collect_list(F.struct("size", "id", "plain")).alias("any"))
+    j = lines.join(any_brand, "variety").join(branded, ["variety", "brand"], "left")
+    off = lambda x: F.abs(x["size"] - F.col("size"))
+    found = lambda x, id, near, far: F.when(id.isNotNull(), F.struct(F.when(off(x) == 0, near).otherwise(far).alias("rung"), off(x).alias("gap"), id.alias("id")))
+    every = F.concat(
+        F.coalesce(F.transform("own", lambda x: found(x, x["id"], 1, 4)), F.array()), F.transform("any", lambda x: found(x, x["plain"], 2, 5)), F.transform("any", lambda x: found(x, x["id"], 3, 6)),
+    )
+    return j.select("line_id", F.array_min(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("line_id", F.col("x.id").alias("article_id"), "x.rung", "x.gap")
 
 
 def exact_names(lines: DataFrame, articles: DataFrame) -> DataFrame:
@@ -72,19 +77,26 @@ def exact_names(lines: DataFrame, articles: DataFrame) -> DataFrame:
     return keys.join(articles.select("name", "id"), "name").groupBy("line_id").agg(best.alias("x")).select("line_id", F.col("x.id").alias("article_id"), F.when(F.col("x.rank") == 0, "branded").otherwise("exact").alias("source"))
 
 
+def _begins(lines: DataFrame, articles: DataFrame) -> DataFrame:
+    """line_id and id of articles of the same size and pack whose name begins with the line's variety; equal first letters block the comparison."""
+    a = articles.select("id", "name", "size", "pack")
+    some = lines.where(F.length("variety") > 0).select("line_id", "variety", "size", "pack")
+    first = lambda n, x: F.substring(x, 1, n)
+    long = some.where(F.length("variety") >= 4).withColumn("k", first(4, "variety")).join(a.withColumn("k", first(4, "name")), ["size", "pack", "k"])
+    short = some.where(F.length("variety") < 4).withColumn("k", first(1, "variety")).join(a.withColumn("k", first(1, "name")), ["size", "pack", "k"])
+    return long.union(short).where(F.col("name").startswith(F.col("variety"))).select("line_id", "id")
+
+
 def prefix_names(lines: DataFrame, articles: DataFrame) -> DataFrame:
-    """Articles of the same size and pack whose name begins with the line's variety: the equal columns block the comparison."""
-    a = articles.select("id", "name", F.col("size").alias("s"), F.col("pack").alias("p"))
-    j = lines.join(a, (F.col("size") == F.col("s")) & (F.col("pack") == F.col("p")) & F.col("name").startswith(F.col("variety")))
-    return j.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    """Articles of the same size and pack whose name begins with the line's variety: how many, and the first."""
+    return _begins(lines, articles).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def candidates(lines: DataFrame, articles: DataFrame) -> DataFrame:
-    """line_id, article_id, source: all generators' finds, each pair once with its strongest source."""
+    """line_id, article_id, source: finds by name, ladder and prefix, each pair once with its strongest source. ``linker.gather`` has every source."""
     own = exact_names(lines, articles).select("line_id", "article_id", "source")
     ladder = cascade(lines, articles).select("line_id", "article_id", F.lit("priority").alias("source"))
-    a = articles.select("id", "name", F.col("size").alias("s"), F.col("pack").alias("p"))
-    pre = lines.join(a, (F.col("size") == F.col("s")) & (F.col("pack") == F.col("p")) & F.col("name").startswith(F.col("variety"))).select("line_id", F.col("id").alias("article_id"), F.lit("prefix").alias("source"))
+    pre = _begins(lines, articles).select("line_id", F.col("id").alias("article_id"), F.lit("prefix").alias("source"))
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
     every = own.union(ladder).union(pre)
     return every.groupBy("line_id", "article_id").agg(F.min_by("source", rank).alias("source"), F.count(F.lit(1)).alias("n_sources"))
@@ -124,8 +136,8 @@ def scored(found: DataFrame) -> DataFrame:
     return d.withColumn("score", (F.greatest(F.col("so_far") + brand + prior, F.lit(0)) / 1000).cast("decimal(6,3)").cast("double"))
 
 
-def decide(graded: DataFrame) -> DataFrame:
-    """One row a line: the best candidate, its margin and the status.
+def decide(lines: DataFrame, graded: DataFrame) -> DataFrame:
+    """One row for each of the lines: the best candidate, its margin and the status; lines without a candidate are sin_match.
 
     Order: score, source, id. At 0.70 and over the line is linked unless a rival of 0.70 or more is too near: within
     .02 if the winner has the line's own brand, .05 if its size is exact, else .10. From 0.50 it's ambiguous.
@@ -136,7 +148,8 @@ def decide(graded: DataFrame) -> DataFrame:
     margin = F.col("score") - F.coalesce("second", F.lit(0.0))
     asked = F.when(F.col("own_brand"), 0.02).when(F.col("size") == F.col("a_size"), 0.05).otherwise(0.10)
     status = F.when(F.col("score") >= 0.70, F.when((F.coalesce("second", F.lit(0.0)) < 0.70) | (F.round(margin, 3) >= asked), "ok").otherwise("ambiguous_match")).when(F.col("score") >= 0.50, "ambiguous_match").otherwise("sin_match")
-    return w.where("place = 1").select("line_id", "article_id", "source", "score", F.round(margin, 3).alias("margin"), status.alias("status"))
+    best = w.where("place = 1").select("line_id", "article_id", "source", "score", F.round(margin, 3).alias("margin"), status.alias("status"))
+    return lines.select("line_id").join(best, "line_id", "left").withColumn("status", F.coalesce("status", F.lit("sin_match")))
 
 
 def nearest_names(names: DataFrame, vocabulary: DataFrame, k: int = 3, most: int = 4) -> DataFrame:
@@ -166,40 +179,45 @@ def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = 0.40, k: int
     return graded.withColumn("place", F.row_number().over(Window.partitionBy("pool", "query").orderBy(F.desc("ratio"), "name"))).where(F.col("place") <= k)
 
 
-def detect(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+def detect(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """The provider whose pattern comes first in a text: doc_id, provider, position; ties in order of the patterns.
 
-    ``patterns``: provider, pattern, ord; a registry of some hundred rows, held as one literal array so that texts aren't multiplied.
+    ``patterns``: (provider, pattern), a registry of some hundred. Texts are lowered once, and one alternation leaves out those that hold none.
     """
-    rows = patterns.orderBy("ord").collect()  # a registry, not data
-    low = F.lower("text")
-    found = F.array(*[F.struct(F.nullif(F.instr(low, r["pattern"].lower()), F.lit(0)).alias("position"), F.lit(r["ord"]).alias("ord"), F.lit(r["provider"]).alias("provider")) for r in rows])
-    best = F.array_min(F.filter(found, lambda x: x["position"].isNotNull()))
-    return texts.select("doc_id", best.alias("x")).where("x is not null").select("doc_id", "x.provider", "x.position")
+    nowhere = 2**31 - 1
+    held = texts.select("doc_id", F.lower("text").alias("low")).where(F.col("low").rlike("|".join(re.escape(p.lower()) for _, p in patterns)))
+    place = held.select("doc_id", *[F.expr(f"coalesce(nullif(instr(low, '{p.lower().replace(chr(39), chr(92) + chr(39))}'), 0), {nowhere})").alias(f"p{i}") for i, (_, p) in enumerate(patterns)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"p{i}").alias("position"), F.lit(i).alias("ord"), F.lit(name).alias("provider")) for i, (name, _) in enumerate(patterns)]))
+    return place.select("doc_id", best.alias("x")).select("doc_id", "x.provider", "x.position")
 
 
-def search(articles: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search(articles: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
     """Free search: reference equal, then reference begins with it, then every word in the name; shortest names first.
 
-    ``queries``: q. The best ``limit`` of each query.
+    The best ``limit`` of each query. ``queries`` are what a person types, so all are held against an article in one pass, without a join.
     """
-    a, q = articles.select("id", "name", F.upper("reference").alias("ref")), queries.select("q", F.upper("q").alias("u"))
-    words = F.filter(F.split("u", r"\s+"), lambda w: F.length(w) >= 2)
-    kind = F.when(F.col("ref") == F.col("u"), 1).when(F.col("ref").startswith(F.col("u")), 2).when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.upper("name"), w)), 3)
-    # queries are what a person types: few rows, so each is compared with the catalogue in one pass
-    j = a.join(F.broadcast(q), kind.isNotNull()).withColumn("kind", kind)
+    asked = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(q.upper()).alias("u"), F.array(*[F.lit(w) for w in q.upper().split() if len(w) >= 2]).cast("array<string>").alias("words")) for q in queries])
+    a = articles.select("id", F.upper("name").alias("name"), F.upper("reference").alias("ref"), F.explode(asked).alias("x")).select("id", "name", "ref", "x.*")
+    kind = F.when(F.col("ref") == F.col("u"), 1).when((F.col("u") != "") & F.col("ref").startswith(F.col("u")), 2).when((F.size("words") > 0) & F.forall("words", lambda w: F.contains(F.col("name"), w)), 3)
     order = Window.partitionBy("q").orderBy("kind", F.length("name"), "id")
-    return j.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("q", "place", "id", "kind")
+    hits = a.withColumn("kind", kind).where("kind is not null")
+    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("q", "place", "id", "kind")
 
 
 def suggest(lines: DataFrame, articles: DataFrame, limit: int = 5, least: int = 25) -> DataFrame:
-    """Points for words of the variety (60), family (15), size (10) and pack (8) among articles that share the variety's first word."""
+    """Points for words of the variety (60), family (15), size (10) and pack (8) among articles that share the variety's first word.
+
+    Articles of one first word are many, their distinct names, families, sizes and packs few: points are given to these, and the ids come last.
+    """
+    key = ["name", "word", "s", "p", "f"]
     a = articles.select("id", F.upper("name").alias("name"), F.split("variety", " ")[0].alias("word"), F.col("size").alias("s"), F.col("pack").alias("p"), F.col("family").alias("f"))
-    j = lines.withColumn("word", F.split("variety", " ")[0]).join(a, "word")
+    kinds = a.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("id")), 1, limit).alias("ids"))
+    asked = lines.groupBy("variety", "size", "pack", "family").agg(F.collect_list("line_id").alias("lines"))
+    j = asked.withColumn("word", F.split("variety", " ")[0]).join(kinds, "word")
     words = F.filter(F.split("variety", " "), lambda w: F.length(w) >= 2)
     hits = F.size(F.filter(words, lambda w: F.contains(F.col("name"), w)))
     points = (hits * 60 / F.size(words)).cast("int") + F.when(F.col("family") == F.col("f"), 15).otherwise(0) + F.when(F.col("size") == F.col("s"), 10).otherwise(0) + F.when(F.col("pack") == F.col("p"), 8).otherwise(0)
-    j = j.select("line_id", F.struct((-points).alias("minus"), "id").alias("x")).where(-F.col("x.minus") >= least)
-    order = Window.partitionBy("line_id").orderBy("x")
+    j = j.select("variety", "size", "pack", "family", "lines", F.explode("ids").alias("id"), (-points).alias("minus")).where(-F.col("minus") >= least)
+    order = Window.partitionBy("variety", "size", "pack", "family").orderBy("minus", "id")
     top = j.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return top.select("line_id", "place", F.col("x.id").alias("article_id"), (-F.col("x.minus")).alias("points"))
+    return top.select(F.explode("lines").alias("line_id"), "place", F.col("id").alias("article_id"), (-F.col("minus")).alias("points"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..functions.text import COLORS
+from ..operators import linker
 from . import suppliers
-from .queries import HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
+from .queries import HARD_BRANDS, HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
 
 
 def _value(x) -> str:
@@ -58,7 +59,7 @@ ladder AS (SELECT r.line_id, min({'rung': CASE WHEN a.size = r.size THEN CASE WH
   ELSE CASE WHEN a.brand = r.brand AND NOT regexp_matches(a.name, '[0-9]U$') THEN 4 WHEN regexp_matches(a.name, '[0-9]U$') THEN 5 ELSE 6 END END, 'gap': abs(a.size - r.size), 'id': a.id}) AS x FROM requests r JOIN articles a ON a.variety = r.variety GROUP BY r.line_id),
 prefixed AS (SELECT r.line_id, a.id AS article_id FROM requests r JOIN articles a ON r.size = a.size AND r.pack = a.pack AND starts_with(a.name, r.variety)),
 every AS (SELECT line_id, article_id, source FROM exacts UNION ALL SELECT line_id, x.id, 'priority' FROM ladder UNION ALL SELECT line_id, article_id, 'prefix' FROM prefixed),
-candidates AS (SELECT line_id, article_id, arg_min(source, list_position(['exact', 'branded', 'priority', 'prefix', 'fuzzy'], source)) AS source, count(*) AS n_sources FROM every GROUP BY line_id, article_id)"""
+candidates AS (SELECT line_id, article_id, arg_min(source, list_position(['exact', 'branded', 'priority', 'prefix'], source)) AS source, count(*) AS n_sources FROM every GROUP BY line_id, article_id)"""
 _VETO = """vetoed AS (SELECT c.*, r.variety, r.brand, r.size, r.pack, r.family, a.name AS a_name, a.brand AS a_brand, a.size AS a_size, a.pack AS a_pack, a.family AS a_family,
   [x FOR x IN [CASE WHEN r.family <> a.family AND r.family <> 'OTHER' THEN 'species' END, CASE WHEN r.size > 0 AND a.size > 0 AND abs(r.size - a.size) > 20 THEN 'size' END, CASE WHEN NOT starts_with(a.reference, 'F') THEN 'reference' END] IF x IS NOT NULL] AS vetoes
   FROM candidates c JOIN requests r USING (line_id) JOIN articles a ON a.id = c.article_id)"""
@@ -100,6 +101,94 @@ def _first(p: str) -> str:
 
 _BELOW, _ABOVE = _first(r"^(\S+)"), _first(r"(\S+)$")
 
+# --- the whole linker
+
+
+def _canon(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _expected(v: str) -> str:
+    return f"""CASE species WHEN 'ROSES' THEN 'ROSA ' || CASE WHEN origin = 'EC' THEN 'EC ' ELSE 'COL ' END || upper({v}) || CASE WHEN size > 0 AND pack > 0 THEN format(' {{}}CM {{}}U', size, pack) ELSE '' END
+  WHEN 'CARNATIONS' THEN concat_ws(' ', CASE WHEN pack = 10 THEN 'MINI CLAVEL COL' ELSE 'CLAVEL COL' END, 'FANCY', {_colors(f"upper({v})")}, format('{{}}CM {{}}U', CASE WHEN size > 0 THEN size ELSE 70 END, pack))
+  WHEN 'HYDRANGEAS' THEN 'HYDRANGEA ' || upper({v}) || CASE WHEN size > 0 AND pack > 0 THEN format(' {{}}CM {{}}U', size, pack) ELSE '' END ELSE upper({v}) END"""
+
+
+_RANK = "(CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in linker.PRIORITY.items()) + " END)"
+_TOKEN = "[w FOR w IN string_split(v, ' ') IF length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in linker.GENERIC) + "], w)]"
+_PLAIN = lambda x: f"regexp_replace({x}, '{linker.CONNECTORS}', ' ', 'g')"
+_BEHIND = f"regexp_replace(v, '{linker.COLORS_AFTER}', '')"
+_CAT = f"""c0 AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 < 6 THEN 'ROSES' WHEN p_partkey % 10 < 8 THEN 'CARNATIONS' WHEN p_partkey % 10 = 8 THEN 'HYDRANGEAS' ELSE 'OTHER' END AS species, (10 * (p_size % 6 + 3))::INT AS size,
+  CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 25 END::INT AS pack, CASE WHEN p_partkey % 40 = 0 THEN 'SPRAY MIXTO' WHEN p_partkey % 25 = 1 THEN upper(p_name) || ' BICOLOR' ELSE upper(p_name) END AS variety,
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_brand) END AS brand, CASE WHEN p_partkey % 2 = 0 THEN 'EC' ELSE 'COL' END AS o FROM part),
+c1 AS (SELECT *, CASE species WHEN 'ROSES' THEN o WHEN 'CARNATIONS' THEN 'COL' ELSE '' END AS origin FROM c0), cat AS (SELECT *, {_expected("variety")} || CASE WHEN brand = '' THEN '' ELSE ' ' || brand END AS name, {_canon("variety")} AS av FROM c1),
+l0 AS (SELECT id AS line_id, CASE WHEN id % 97 = 0 THEN 4471 ELSE id % 50 END::BIGINT AS provider_id, CASE WHEN id % 31 = 0 THEN 'OTHER' ELSE species END AS species,
+  CASE WHEN id % 17 = 0 THEN CASE origin WHEN 'EC' THEN 'COL' WHEN 'COL' THEN 'EC' ELSE '' END ELSE origin END AS origin, CASE WHEN id % 12 = 0 THEN 'Red ' || variety WHEN id % 12 = 1 THEN variety || ' White' WHEN id % 12 = 2 THEN replace(variety, ' ', ' and ')
+  WHEN id % 12 = 3 OR id % 97 = 0 THEN 'Farm ' || variety WHEN id % 12 = 4 THEN left(variety, length(variety) - 1) ELSE variety END AS variety, (size + CASE id % 5 WHEN 2 THEN 10 WHEN 3 THEN -10 WHEN 4 THEN 30 ELSE 0 END)::INT AS size,
+  CASE WHEN id % 7 = 0 THEN 25 ELSE pack END::INT AS pack, species = 'ROSES' AND id % 19 = 0 AS spray FROM cat),
+ll AS (SELECT *, {_canon("variety")} AS v FROM l0),
+store AS (SELECT provider_id, species, v, size, pack, line_id + CASE WHEN line_id % 12 = 8 THEN 1 ELSE 0 END AS article_id, CASE (line_id // 6) % 4 WHEN 0 THEN 'manual_confirmado' WHEN 1 THEN 'aprendido_confirmado' WHEN 2 THEN 'aprendido_en_prueba' ELSE 'rechazado' END AS status
+  FROM ll WHERE line_id % 6 = 2 QUALIFY row_number() OVER (PARTITION BY provider_id, species, v, size, pack ORDER BY line_id) = 1),
+own AS (SELECT i AS provider_id, 'BRAND#' || (i % 25 + 1) AS brand FROM range(50) r(i) UNION ALL SELECT i, 'BRAND#' || ((i + 7) % 25 + 1) FROM range(50) r(i) WHERE i % 3 = 0), owns AS (SELECT provider_id, list(brand) AS brands FROM own GROUP BY 1),
+used AS (SELECT p_partkey % 50 AS provider_id, p_partkey AS article_id, p_partkey % 5 AS used FROM part WHERE p_partkey % 3 = 0)"""
+_STRIPS = f"""strips AS (SELECT DISTINCT line_id, provider_id, size, source, ord, form AS variety FROM (
+  SELECT line_id, provider_id, size, v, 'priority' AS source, 0 AS ord, v AS form, true AS cond FROM ll
+  UNION ALL SELECT line_id, provider_id, size, v, 'delegation', n, array_to_string(string_split(v, ' ')[n + 1:], ' '), provider_id = {linker.DELEGATING_PROVIDER} AND len(string_split(v, ' ')) > n FROM ll, (VALUES (1), (2), (3)) k(n)
+  UNION ALL SELECT line_id, provider_id, size, v, 'color_strip', 1, regexp_replace(v, '{linker.COLORS_BEFORE}', ''), species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'color_strip', 2, {_BEHIND}, species = 'ROSES' FROM ll
+  UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 1, {_PLAIN("v")}, species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 2, {_PLAIN(_BEHIND)}, species = 'ROSES' AND {_PLAIN(_BEHIND)} <> {_BEHIND} FROM ll
+  UNION ALL SELECT line_id, provider_id, size, v, 'bicolor_ext', k.i, [v, {_BEHIND}, {_PLAIN("v")}, {_PLAIN(_BEHIND)}][k.i + 1] || ' BICOLOR', species = 'ROSES' FROM ll, (VALUES (0), (1), (2), (3)) k(i)) x
+  WHERE cond AND form <> '' AND (source = 'priority' OR form <> v))"""
+_GATHER = f"""{_STRIPS},
+ranked AS (SELECT s.line_id, s.source, s.ord, min({{'off': CASE WHEN c.size = s.size THEN 0 ELSE 1 END, 'rung': CASE WHEN coalesce(list_contains(o.brands, c.brand), false) THEN 1 WHEN c.brand = '' THEN 2 ELSE 3 END, 'gap': abs(c.size - s.size), 'id': c.id}}).id AS article_id
+  FROM strips s JOIN cat c ON c.av = s.variety LEFT JOIN owns o ON o.provider_id = s.provider_id GROUP BY 1, 2, 3),
+by_strip AS (SELECT line_id, article_id, source FROM ranked QUALIFY source <> 'delegation' OR row_number() OVER (PARTITION BY line_id, source ORDER BY ord) = 1),
+asked AS (SELECT line_id, provider_id, {_expected("variety")} AS name FROM ll), by_name AS (SELECT name, min(id) AS article_id FROM cat GROUP BY 1),
+exacts AS (SELECT line_id, arg_min(article_id, n) AS article_id FROM (SELECT line_id, 0 AS n, name FROM asked UNION ALL SELECT line_id, 1, regexp_replace(name, '^(ROSA|ALSTROMERIA) (?:EC|COL) ', '\1 ') FROM asked) a JOIN by_name USING (name) GROUP BY 1),
+brandeds AS (SELECT line_id, b.article_id FROM asked a JOIN own o USING (provider_id) JOIN by_name b ON b.name = a.name || ' ' || o.brand),
+begins AS (SELECT l.line_id, min(c.id) AS article_id FROM ll l JOIN cat c ON c.species = 'ROSES' AND l.species = 'ROSES' AND l.size > 0 AND l.pack > 0 AND c.size = l.size AND c.pack = l.pack AND c.origin = l.origin AND starts_with(c.av, l.v) AND string_split(c.av, ' ')[1] = string_split(l.v, ' ')[1] GROUP BY 1),
+holds AS (SELECT l.line_id, min(c.id) AS article_id FROM ll l JOIN cat c ON c.species = 'ROSES' AND l.species = 'ROSES' AND l.size > 0 AND l.pack > 0 AND c.size = l.size AND c.pack = l.pack AND c.origin = l.origin AND contains(c.av, l.v) AND list_contains(string_split(c.av, ' '), string_split(l.v, ' ')[1])
+  WHERE l.line_id NOT IN (SELECT line_id FROM begins) GROUP BY 1),
+spelt AS (SELECT species, av, min(id) AS article_id FROM cat GROUP BY 1, 2),
+hits AS (SELECT line_id, article_id, (100 - 10 * d)::INT AS percent FROM (SELECT l.line_id, s.article_id, levenshtein(l.v, s.av) AS d FROM ll l JOIN spelt s ON s.species = l.species AND abs(length(s.av) - length(l.v)) <= 2) x WHERE d BETWEEN 1 AND 2
+  QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY d, article_id) <= 5),
+every AS (SELECT line_id, article_id, 'synonym' AS source, NULL::INT AS percent, status FROM ll JOIN store USING (provider_id, species, v, size, pack) WHERE status <> 'rechazado'
+  UNION ALL SELECT line_id, article_id, source, NULL, NULL FROM by_strip UNION ALL SELECT line_id, article_id, 'exact', NULL, NULL FROM exacts UNION ALL SELECT line_id, article_id, 'branded', NULL, NULL FROM brandeds
+  UNION ALL SELECT line_id, article_id, 'rose', NULL, NULL FROM begins UNION ALL SELECT line_id, article_id, 'rose', NULL, NULL FROM holds UNION ALL SELECT line_id, article_id, 'fuzzy', percent, NULL FROM hits),
+cands AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY line_id, article_id ORDER BY {_RANK}, source, percent DESC) = 1)"""
+_VETOED = """beside AS (SELECT k.*, l.provider_id, l.species, l.origin, l.v, l.size, l.pack, l.spray, c.name AS a_name, c.species AS a_species, c.origin AS a_origin, c.size AS a_size, c.pack AS a_pack, c.brand AS a_brand,
+  [x FOR x IN [CASE WHEN l.species <> c.species AND l.species <> 'OTHER' AND c.species <> 'OTHER' THEN 'species' END, CASE WHEN l.species IN ('ROSES', 'CARNATIONS') AND l.origin <> '' AND c.origin <> '' AND l.origin <> c.origin THEN 'origin' END,
+  CASE WHEN l.size > 0 AND c.size > 0 AND abs(l.size - c.size) > 20 THEN 'size' END, CASE WHEN l.spray AND c.pack <> 10 THEN 'spray pack' END] IF x IS NOT NULL] AS vetoes FROM cands k JOIN ll l USING (line_id) JOIN cat c ON c.id = k.article_id)"""
+_GRADED = f"""e0 AS (SELECT b.*, u.used, {_TOKEN} AS tokens, coalesce(list_contains(o.brands, b.a_brand), false) AS own_brand, source = 'synonym' AND status = 'manual_confirmado' AS is_manual,
+  CASE WHEN source = 'synonym' THEN CASE status WHEN 'manual_confirmado' THEN 98 WHEN 'aprendido_confirmado' THEN 85 ELSE 55 END ELSE 0 END AS trust100 FROM beside b LEFT JOIN owns o ON o.provider_id = b.provider_id LEFT JOIN used u ON u.provider_id = b.provider_id AND u.article_id = b.article_id
+  WHERE len(vetoes) = 0 OR coalesce(source = 'synonym' AND status = 'manual_confirmado', false)),
+e1 AS (SELECT *, len([w FOR w IN tokens IF contains(a_name, w)]) > 0 AS any_token, len(tokens) > 0 AND len([w FOR w IN tokens IF contains(a_name, w)]) = len(tokens) AS every_token,
+  len([w FOR w IN string_split(a_name, ' ') IF list_contains([{", ".join(f"'{w}'" for w in linker.COLOR_MODIFIERS)}], w) AND NOT list_contains(string_split(v, ' '), w)]) > 0 AS extra_color,
+  size > 0 AND size = a_size AS size_exact, size > 0 AND abs(size - a_size) BETWEEN 1 AND 10 AS size_close, pack > 0 AND pack = a_pack AS pack_same FROM e0),
+e2 AS (SELECT *, CASE WHEN any_token THEN 3000 WHEN trust100 >= 85 OR (source = 'fuzzy' AND percent >= 82) THEN 0 ELSE -1000 END + CASE WHEN every_token THEN 1000 ELSE 0 END - CASE WHEN extra_color THEN 1200 ELSE 0 END
+  + CASE WHEN size_exact THEN 2000 WHEN size_close THEN 500 WHEN size > 0 AND abs(size - a_size) <= 20 THEN -1000 ELSE 0 END + CASE WHEN species = a_species THEN 1500 ELSE 0 END
+  + CASE WHEN species IN ('ROSES', 'CARNATIONS') AND origin = a_origin AND origin <> '' THEN 1500 ELSE 0 END + CASE WHEN pack_same THEN 1000 ELSE 0 END AS so_far, max(own_brand::INT) OVER (PARTITION BY line_id) = 1 AS peer FROM e1),
+e3 AS (SELECT *, greatest(so_far + CASE WHEN own_brand THEN 2500 WHEN a_brand IN ({", ".join(f"'{b}'" for b in HARD_BRANDS)}) THEN -2500 WHEN a_brand <> '' AND so_far >= 8000 THEN -400 WHEN peer THEN -1500 ELSE 0 END
+  + CASE WHEN used >= 3 THEN 1000 WHEN used >= 1 THEN 500 ELSE 0 END + trust100 * 25 + CASE source WHEN 'synonym' THEN 1000 WHEN 'branded' THEN 1000 WHEN 'exact' THEN 800 WHEN 'rose' THEN 800 WHEN 'fuzzy' THEN 15 * coalesce(percent, 0) ELSE 500 END, 0)::INT AS points FROM e2),
+graded AS (SELECT *, ((points + 5) // 10)::INT AS score FROM e3),
+p0 AS (SELECT *, max(is_manual::INT) OVER (PARTITION BY line_id) = 1 AS manual, coalesce(own_brand AND any_token AND size_exact, false) AS can FROM graded),
+p1 AS (SELECT *, row_number() OVER w AS pos, lead(can) OVER w AS r_can, lead(pack_same) OVER w AS r_pack, lead(every_token) OVER w AS r_every, lead(score) OVER w AS r_score, row_number() OVER t AS place, max(score) OVER (PARTITION BY line_id) AS top
+  FROM p0 WINDOW w AS (PARTITION BY line_id ORDER BY can DESC, pack_same DESC, every_token DESC, score DESC, article_id), t AS (PARTITION BY line_id ORDER BY score DESC, article_id)),
+p2 AS (SELECT *, coalesce(CASE WHEN place = 1 THEN max(CASE WHEN place = 2 THEN score END) OVER (PARTITION BY line_id) ELSE top END, 0) AS others FROM p1),
+raised AS (SELECT * EXCLUDE (score), CASE WHEN is_manual IS TRUE THEN greatest(score, 1100, others + 50) WHEN can AND pos = 1 AND NOT manual AND (NOT coalesce(r_can, false) OR (pack_same AND NOT r_pack) OR (every_token AND NOT r_every) OR score > r_score + 50)
+  THEN greatest(score, 1050, others + 50) ELSE score END::INT AS score FROM p2)"""
+_DECIDED = f"""d0 AS (SELECT *, CASE WHEN NOT spray THEN 0 WHEN coalesce(source = 'synonym' AND status IN ('manual_confirmado', 'aprendido_confirmado'), false) THEN 0 WHEN every_token THEN 1 ELSE 2 END AS grp FROM raised),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY grp, score DESC, {_RANK}, article_id) AS nr FROM d0),
+d2 AS (SELECT l.line_id, l.spray, m.mixto_id, a.article_id AS a_id, a.source AS a_source, a.score AS a_score, a.grp AS a_grp, a.size_exact AS a_exact, a.size_close AS a_close, a.every_token AS a_every, a.any_token AS a_any, a.extra_color AS a_extra, a.percent AS a_percent,
+  b.article_id AS b_id, b.source AS b_source, coalesce(b.score, 0) AS b_score, b.score AS b_own, b.size_exact AS b_exact, b.size_close AS b_close, b.every_token AS b_every, b.extra_color AS b_extra
+  FROM ll l LEFT JOIN d1 a ON a.line_id = l.line_id AND a.nr = 1 LEFT JOIN d1 b ON b.line_id = l.line_id AND b.nr = 2 LEFT JOIN (SELECT size, min(id) AS mixto_id FROM cat WHERE variety = 'SPRAY MIXTO' AND pack = 10 GROUP BY 1) m ON m.size = l.size),
+d3 AS (SELECT *, coalesce(a_score >= 700 AND b_score >= 700 AND a_score - b_score < CASE WHEN a_score >= 1050 THEN 20 WHEN a_score >= 900 THEN 50 ELSE 100 END, false) AS near, spray AND a_id IS NOT NULL AND a_grp = 2 AND mixto_id IS NOT NULL AS stand_in FROM d2),
+d4 AS (SELECT *, near AND coalesce((b_exact AND NOT a_exact AND a_close) OR (b_every AND NOT a_every), false) AS swap FROM d3),
+d5 AS (SELECT *, CASE WHEN NOT near THEN '' WHEN swap AND b_exact AND NOT a_exact AND a_close THEN 'size' WHEN swap THEN 'variety' WHEN a_exact AND NOT b_exact AND b_close THEN 'size' WHEN a_every AND NOT b_every THEN 'variety' WHEN b_extra AND NOT a_extra THEN 'color' ELSE '' END AS why0 FROM d4),
+d6 AS (SELECT *, CASE WHEN a_id IS NULL THEN 'sin_match' WHEN stand_in THEN 'ambiguous_match' WHEN a_score >= 700 THEN CASE WHEN near AND why0 = '' THEN 'ambiguous_match' ELSE 'ok' END
+  WHEN a_score >= 500 AND (a_any OR coalesce(a_percent >= 85, false) OR a_source = 'synonym') THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM d5)"""
+_LINKER = f"WITH {_CAT}, {_GATHER}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "invoice_balance": f"WITH {_LINES}, {_HEADERS}, {_BALANCE} SELECT * FROM balance",
     "header_repair": f"""WITH {_LINES}, {_HEADERS}, j AS (SELECT h.invoice, header_total AS h, coalesce(s, 0) AS s FROM headers h LEFT JOIN (SELECT invoice, sum(amount) AS s FROM lines GROUP BY 1) x USING (invoice))
@@ -155,9 +244,15 @@ FROM requests r LEFT JOIN links e ON r.variety = e.variety AND r.size = e.size A
     "candidate_union_dedupe": f"{_LINK} SELECT * FROM candidates",
     "hard_vetoes": f"{_LINK}, {_VETO} SELECT line_id, article_id, array_to_string(vetoes, ',') AS vetoes FROM vetoed",
     "evidence_scores": f"{_LINK}, {_VETO}, {_SCORE} SELECT line_id, article_id, source, score FROM graded",
-    "link_decisions": f"""{_LINK}, {_VETO}, {_SCORE}, ranked AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM graded WINDOW w AS (PARTITION BY line_id ORDER BY score DESC, list_position(['exact', 'branded', 'priority', 'prefix', 'fuzzy'], source), article_id))
-SELECT line_id, article_id, source, score, round(score - coalesce(second, 0), 3) AS margin, CASE WHEN score >= 0.7 THEN CASE WHEN coalesce(second, 0) < 0.7 OR round(score - coalesce(second, 0), 3) >= CASE WHEN own_brand THEN 0.02::DOUBLE WHEN size = a_size THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END THEN 'ok' ELSE 'ambiguous_match' END
-WHEN score >= 0.5 THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM ranked WHERE place = 1""",
+    "link_decisions": f"""{_LINK}, {_VETO}, {_SCORE}, ranked AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM graded WINDOW w AS (PARTITION BY line_id ORDER BY score DESC, list_position(['exact', 'branded', 'priority', 'prefix'], source), article_id))
+SELECT line_id, article_id, source, score, CASE WHEN score IS NOT NULL THEN round(score - coalesce(second, 0), 3) END AS margin, CASE WHEN score IS NULL THEN 'sin_match' WHEN score >= 0.7 THEN CASE WHEN coalesce(second, 0) < 0.7 OR round(score - coalesce(second, 0), 3) >= CASE WHEN own_brand THEN 0.02::DOUBLE WHEN size = a_size THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END THEN 'ok' ELSE 'ambiguous_match' END
+WHEN score >= 0.5 THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM (SELECT line_id FROM requests) q LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (line_id)""",
+    "variety_strips": f"WITH {_CAT}, {_STRIPS} SELECT line_id, source, ord::INT AS ord, variety FROM strips",
+    "linker_candidates": f"{_LINKER} SELECT line_id, article_id, source, percent, status FROM cands",
+    "linker_vetoes": f"{_LINKER}, {_VETOED} SELECT line_id, article_id, array_to_string(vetoes, ',') AS vetoes FROM beside",
+    "linker_scores": f"{_LINKER}, {_VETOED}, {_GRADED} SELECT line_id, article_id, source, points, score FROM raised",
+    "linker_decisions": f"""{_LINKER}, {_VETOED}, {_GRADED}, {_DECIDED} SELECT line_id, CASE WHEN stand_in THEN mixto_id WHEN status = 'sin_match' THEN NULL WHEN swap THEN b_id ELSE a_id END AS article_id, CASE WHEN stand_in THEN 'spray_mixto' WHEN status = 'sin_match' THEN NULL WHEN swap THEN b_source ELSE a_source END AS source,
+coalesce(CASE WHEN stand_in THEN 0 WHEN swap THEN b_score ELSE a_score END, 0)::INT AS score, coalesce(CASE WHEN stand_in THEN 0 ELSE a_score - b_score END, 0)::INT AS margin, status, CASE WHEN status <> 'sin_match' AND NOT stand_in THEN why0 ELSE '' END AS why FROM d6""",
     "levenshtein_topk": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT a.name, b.name AS near, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 4)
 SELECT name, near, distance::INT AS distance, (row_number() OVER (PARTITION BY name ORDER BY distance, near))::INT AS place FROM d WHERE distance <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, near) <= 3""",
     "article_search": f"WITH {_ARTICLES}, q AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SEARCHES) + r""") v(q)), j AS (SELECT q, id, name, CASE WHEN reference = upper(q) THEN 1 WHEN starts_with(reference, upper(q)) THEN 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linking, records, registry
+from ..operators import history, invoices, layouts, learning, linker, linking, records, registry
 from ..sources import files
 from ..sources import tables as t
 from . import suppliers
@@ -147,8 +147,7 @@ def number_parsing(spark, d):
 
 @query
 def provider_detection(spark, d):
-    patterns = spark.createDataFrame([(p, x, i) for i, (p, x) in enumerate(PROVIDER_PATTERNS)], "provider string, pattern string, ord int")
-    return linking.detect(t.table(spark, d, "documents").select("doc_id", "text"), patterns)
+    return linking.detect(t.table(spark, d, "documents").select("doc_id", "text"), PROVIDER_PATTERNS)
 
 
 def _tokens(spark, d) -> DataFrame:
@@ -222,7 +221,60 @@ def evidence_scores(spark, d):
 
 @query
 def link_decisions(spark, d):
-    return linking.decide(_graded(spark, d))
+    return linking.decide(t.requests(spark, d), _graded(spark, d))
+
+
+# --- the whole linker
+
+#: Brands that only their owners' lines may have.
+HARD_BRANDS = ["BRAND#3", "BRAND#9", "BRAND#15"]
+
+
+def _fuzzy_hits(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Names at most two letters off, of the same species: up to five a line."""
+    v = text.canonical(F.col("variety"))
+    names = catalogue.groupBy("species", v.alias("name")).agg(F.min("id").alias("article_id")).withColumn("n", F.length("name"))
+    q = lines.select("line_id", "species", v.alias("v")).withColumn("n", F.explode(F.sequence(F.length("v") - 2, F.length("v") + 2)))
+    d = q.join(names, ["species", "n"]).withColumn("distance", F.levenshtein("v", "name", 2)).where("distance > 0")
+    place = F.row_number().over(Window.partitionBy("line_id").orderBy("distance", "article_id"))
+    return d.withColumn("place", place).where("place <= 5").select("line_id", "article_id", (100 - 10 * F.col("distance")).alias("percent"))
+
+
+def _gathered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    lines, catalogue, brands = t.link_lines(spark, d), t.link_catalogue(spark, d), t.provider_brands(spark, d)
+    return lines, catalogue, brands, linker.gather(lines, catalogue, t.link_store(spark, d), brands, _fuzzy_hits(lines, catalogue))
+
+
+def _evidence(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines, catalogue, brands, found = _gathered(spark, d)
+    return lines, catalogue, linker.evidence(linker.viable(linker.beside(found, lines, catalogue)), brands, HARD_BRANDS, t.link_usage(spark, d))
+
+
+@query
+def variety_strips(spark, d):
+    return linker.strips(t.link_lines(spark, d)).select("line_id", "source", "ord", "variety")
+
+
+@query
+def linker_candidates(spark, d):
+    return _gathered(spark, d)[3].select("line_id", "article_id", "source", "percent", "status")
+
+
+@query
+def linker_vetoes(spark, d):
+    lines, catalogue, _, found = _gathered(spark, d)
+    return linker.beside(found, lines, catalogue).select("line_id", "article_id", F.array_join(linker.vetoes(), ",").alias("vetoes"))
+
+
+@query
+def linker_scores(spark, d):
+    return linker.lifted(_evidence(spark, d)[2]).select("line_id", "article_id", "source", "points", "score")
+
+
+@query
+def linker_decisions(spark, d):
+    lines, catalogue, graded = _evidence(spark, d)
+    return linker.decide(lines, linker.lifted(graded), catalogue)
 
 
 @query
@@ -239,7 +291,7 @@ def fuzzy_topk(spark, d):
 
 @query
 def article_search(spark, d):
-    return linking.search(t.articles(spark, d), spark.createDataFrame([(q,) for q in SEARCHES], "q string"))
+    return linking.search(t.articles(spark, d), SEARCHES)
 
 
 @query

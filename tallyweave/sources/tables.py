@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical, expected_name
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,3 +61,50 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+# --- what the whole linker reads
+
+
+def _pick(of, *values):
+    return F.element_at(F.array(*map(F.lit, values)), (of + 1).cast("int"))
+
+
+def link_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of several species, with brands and sizes; some bicolors and mixed sprays."""
+    i, v = F.col("p_partkey"), F.upper("p_name")
+    p = table(spark, sf_dir, "part").select(
+        i.alias("id"), _pick(i % 10, *["ROSES"] * 6, "CARNATIONS", "CARNATIONS", "HYDRANGEAS", "OTHER").alias("species"), (10 * (F.col("p_size") % 6 + 3)).cast("int").alias("size"), _pick(i % 3, 10, 20, 25).cast("int").alias("pack"),
+        F.when(i % 40 == 0, "SPRAY MIXTO").when(i % 25 == 1, F.concat(v, F.lit(" BICOLOR"))).otherwise(v).alias("variety"), F.when(i % 4 == 0, "").otherwise(F.upper("p_brand")).alias("brand"), F.when(i % 2 == 0, "EC").otherwise("COL").alias("o"),
+    )
+    p = p.withColumn("origin", F.when(F.col("species") == "ROSES", F.col("o")).when(F.col("species") == "CARNATIONS", "COL").otherwise(""))
+    return p.withColumn("name", F.concat_ws(" ", expected_name(F.col("species"), F.col("variety"), F.col("size"), F.col("pack"), F.lit("FANCY"), F.col("origin")), F.nullif("brand", F.lit("")))).drop("o")
+
+
+def link_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each article, as invoices write it: with colours, connectors, farms, slips, other sizes."""
+    c, i = link_catalogue(spark, sf_dir), F.col("id")
+    v = F.col("variety")
+    written = F.when(i % 12 == 0, F.concat(F.lit("Red "), v)).when(i % 12 == 1, F.concat(v, F.lit(" White"))).when(i % 12 == 2, F.replace(v, F.lit(" "), F.lit(" and "))).when((i % 12 == 3) | (i % 97 == 0), F.concat(F.lit("Farm "), v)).when(i % 12 == 4, F.expr("left(variety, length(variety) - 1)")).otherwise(v)
+    other = F.when(F.col("origin") == "EC", "COL").when(F.col("origin") == "COL", "EC").otherwise("")
+    return c.select(
+        i.alias("line_id"), F.when(i % 97 == 0, 4471).otherwise(i % 50).cast("long").alias("provider_id"), F.when(i % 31 == 0, "OTHER").otherwise(F.col("species")).alias("species"), F.when(i % 17 == 0, other).otherwise(F.col("origin")).alias("origin"), written.alias("variety"),
+        (F.col("size") + _pick(i % 5, 0, 0, 10, -10, 30)).cast("int").alias("size"), F.when(i % 7 == 0, 25).otherwise(F.col("pack")).cast("int").alias("pack"), F.lit("Fancy").alias("grade"), ((F.col("species") == "ROSES") & (i % 19 == 0)).alias("spray"),
+    )
+
+
+def link_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned links of a sixth of the lines, some to a wrong article, in all states."""
+    i = F.col("line_id")
+    s = link_lines(spark, sf_dir).where("line_id % 6 = 2").select("provider_id", "species", canonical(F.col("variety")).alias("variety_key"), "size", "pack", F.upper("grade").alias("grade"), "line_id", (i + F.when(i % 12 == 8, 1).otherwise(0)).alias("article_id"), _pick(F.floor(i / 6) % 4, "manual_confirmado", "aprendido_confirmado", "aprendido_en_prueba", "rechazado").alias("status"))
+    one = s.groupBy("provider_id", "species", "variety_key", "size", "pack", "grade").agg(F.min(F.struct("line_id", "article_id", "status")).alias("x")).select("provider_id", "species", "variety_key", "size", "pack", "grade", "x.article_id", "x.status")
+    return one.withColumn("trust", F.when(F.col("status") == "manual_confirmado", 0.98).when(F.col("status") == "aprendido_confirmado", 0.85).otherwise(0.55))
+
+
+def provider_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(50).select(F.col("id").alias("provider_id"), F.explode(F.array(F.concat(F.lit("BRAND#"), F.col("id") % 25 + 1), F.when(F.col("id") % 3 == 0, F.concat(F.lit("BRAND#"), (F.col("id") + 7) % 25 + 1)))).alias("brand")).where("brand is not null")
+
+
+def link_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    return table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select((i % 50).alias("provider_id"), i.alias("article_id"), (i % 5).alias("n"))

@@ -100,7 +100,7 @@ def test_rescue_leaves_out_what_was_parsed(spark):
 
 def test_order_of_input_changes_nothing(spark):
     lines, articles = tables.requests(spark, "/root/testdata/sf0.001"), tables.articles(spark, "/root/testdata/sf0.001")
-    decide = lambda a, b: linking.decide(linking.scored(linking.pairs(linking.candidates(a, b), a, b)))
+    decide = lambda a, b: linking.decide(a, linking.scored(linking.pairs(linking.candidates(a, b), a, b)))
     assert rows(decide(lines, articles), "line_id", "article_id", "score", "status") == rows(decide(lines.orderBy(F.rand(1)).repartition(7), articles.repartition(3)), "line_id", "article_id", "score", "status")
 
 
