@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 
-# Weight of each kind of fault.
-FAULT_WEIGHT = {"E2_PARSE_PARTIAL": 7, "E5_TOTAL_HEADER": 2, "E8_AMBIGUOUS_LINK": 4, "E9_VALIDATION_FAIL": 3}
+# Weight of each kind of fault and of how severe it is.
+FAULT_WEIGHT = {"E1_PARSE_ZERO": 10, "E2_PARSE_PARTIAL": 7, "E3_LAYOUT_COORDS": 8, "E4_OCR_BAD": 6, "E5_TOTAL_HEADER": 2, "E6_MATCH_WRONG": 9, "E7_SYNONYM_DRIFT": 5, "E8_AMBIGUOUS_LINK": 4, "E9_VALIDATION_FAIL": 3, "E10_PROVIDER_COLLISION": 1}
 SEVERITY = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 
@@ -32,22 +32,55 @@ def verdicts(lines: DataFrame, balanced: DataFrame) -> DataFrame:
     return m.withColumn("verdict", checks.verdict())
 
 
-def taxonomy(metrics: DataFrame) -> DataFrame:
-    """Faults of each provider with severity and priority; a provider that mostly needs nobody is less urgent."""
-    rate = lambda n, d: F.coalesce(F.try_divide(n.cast("double"), d), F.lit(0.0))
-    c = F.col
-    rescued = rate(c("total_rescued"), c("total_parsed"))
-    wrong, doubtful = rate(c("error_lines"), c("total_parsed")), rate(c("ambiguous_lines"), c("total_parsed"))
+def fault_samples(lines: DataFrame, balanced: DataFrame) -> DataFrame:
+    """A row for each provider's invoice: parsed and rescued lines, least confidence, source, header_ok."""
+    s = lines.groupBy("provider_id", "invoice").agg(
+        F.count_if(F.col("extraction_source") != "rescue").alias("parsed"), F.count_if(F.col("extraction_source") == "rescue").alias("rescued"), F.min("extraction_confidence").alias("confidence"),
+        F.count_if(F.col("match_status") == "ambiguous_match").alias("ambiguous"), F.count_if(F.col("match_status") == "sin_match").alias("unmatched"), F.count_if(F.size(checks.line_errors()) > 0).alias("invalid"),
+        F.count_if((F.col("match_status") == "ok") & (F.col("link_confidence") < 0.2)).alias("wrong"), F.count_if((F.col("match_method") != "exact") & (F.col("match_confidence") < 0.85)).alias("weak"), F.count_if(F.col("candidate_margin") < 0.04).alias("ties"),
+    )
+    scanned = F.when(F.col("confidence") < 0.7, "ocr").otherwise("native")
+    return s.withColumn("source", scanned).join(balanced.select("invoice", "header_ok"), "invoice", "left")
+
+
+def taxonomy(samples: DataFrame, formats: DataFrame, rates: DataFrame) -> DataFrame:
+    """Faults E1 to E10 of each provider, how severe each is, how many samples or lines it touches, its priority, and whether it's the provider's dominant one.
 
-    def fault(name: str, share: Column, impact: Column, high: float, medium: float) -> Column:
-        severity = F.when(share > high, "HIGH").when(share > medium, "MEDIUM").otherwise("LOW")
-        return F.when(impact > 0, F.struct(F.lit(name).alias("category"), severity.alias("severity"), impact.alias("impact")))
+    Providers without a fault are CLEAN. ``rates``: provider_id, auto_rate; those that mostly need nobody are less urgent.
 
-    found = F.array(fault("E2_PARSE_PARTIAL", rescued, c("total_rescued"), 0.30, 0.10), fault("E8_AMBIGUOUS_LINK", doubtful, c("ambiguous_lines"), 0.30, 0.10), fault("E9_VALIDATION_FAIL", wrong, c("error_lines"), 0.50, 0.20))
-    x = metrics.where("provider_id is not null").select("provider_id", "auto_rate", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("provider_id", "auto_rate", "f.*")
-    value = lambda table, key: F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
+    ``samples``: what ``fault_samples`` gives. ``formats``: provider_id, fmt; a layout that several troubled providers share is a fault too.
+    """
+    c, n_of = F.col, lambda cond: F.count_if(cond)
+    shared = formats.join(formats.groupBy("fmt").agg(F.count(F.lit(1)).alias("sharing")), "fmt").select("provider_id", "sharing")
+    m = samples.groupBy("provider_id").agg(
+        F.count(F.lit(1)).alias("n"), n_of(c("parsed") == 0).alias("zero"), n_of((c("parsed") == 0) & (c("source") == "native")).alias("native_zero"), n_of((c("source") == "ocr") & ((c("parsed") == 0) | (c("confidence") < 0.6))).alias("bad_ocr"),
+        n_of((c("parsed") > 0) & ~F.coalesce("header_ok", F.lit(False))).alias("bad_total"), *[F.sum(x).alias(x) for x in ("parsed", "rescued", "ambiguous", "unmatched", "invalid", "wrong", "weak", "ties")],
+    ).join(shared, "provider_id", "left")
+    steps = lambda x, high, medium: F.when(x >= high, "HIGH").when(x >= medium, "MEDIUM").otherwise("LOW")
+    ratio = F.coalesce(F.try_divide(c("rescued").cast("double"), c("parsed") + c("rescued")), F.lit(0.0))
+    weak = F.coalesce(F.try_divide(c("weak").cast("double"), c("parsed")), F.lit(0.0))
+    one = lambda name, when, severity, impact: F.when(when, F.struct(F.lit(name).alias("category"), severity.alias("severity"), impact.cast("long").alias("impact")))
+    found = F.array(
+        one("E1_PARSE_ZERO", c("zero") > 0, F.when(c("zero") >= 0.5 * c("n"), "HIGH").otherwise("MEDIUM"), c("zero")),
+        one("E2_PARSE_PARTIAL", (c("rescued") > 0) & (c("parsed") > 0), F.when(ratio > 0.3, "HIGH").when(ratio > 0.1, "MEDIUM").otherwise("LOW"), c("rescued")),
+        one("E3_LAYOUT_COORDS", c("native_zero") > 0, steps(c("native_zero"), 2, 1), c("native_zero")),
+        one("E4_OCR_BAD", c("bad_ocr") > 0, steps(c("bad_ocr"), 2, 1), c("bad_ocr")),
+        one("E5_TOTAL_HEADER", c("bad_total") > 0, F.when(c("bad_total") <= 0.3 * c("n"), "LOW").otherwise("MEDIUM"), c("bad_total")),
+        one("E6_MATCH_WRONG", c("wrong") >= 2, steps(c("wrong"), 5, 2), c("wrong")),
+        one("E7_SYNONYM_DRIFT", (c("weak") >= 3) & (weak >= 0.2), steps(c("weak"), 10, 5), c("weak")),
+        one("E8_AMBIGUOUS_LINK", (c("ambiguous") >= 2) | (c("ties") >= 3), steps(c("ambiguous"), 5, 2), c("ambiguous")),
+        one("E9_VALIDATION_FAIL", c("invalid") > 0, steps(c("invalid"), 5, 2), c("invalid")),
+        one("E10_PROVIDER_COLLISION", (F.coalesce("sharing", F.lit(0)) >= 2) & (c("unmatched") > 0), F.lit("LOW"), F.lit(0)),
+    )
+    value = lambda table, key: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key), F.lit(1))
+    clean = F.array(F.struct(F.lit("CLEAN").alias("category"), F.lit("NONE").alias("severity"), F.lit(0).cast("long").alias("impact")))
+    found = F.filter(found, lambda f: f.isNotNull())
+    x = m.join(rates, "provider_id", "left").select("provider_id", "auto_rate", F.explode(F.when(F.size(found) > 0, found).otherwise(clean)).alias("f")).select("provider_id", "auto_rate", "f.*")
     base = value(SEVERITY, c("severity")) * value(FAULT_WEIGHT, c("category")) + c("impact") * 0.5
-    return x.select("provider_id", "category", "severity", "impact", F.round(base * F.when(c("auto_rate") >= 0.85, 0.4).when(c("auto_rate") >= 0.70, 0.7).otherwise(1.0), 3).alias("priority"))
+    x = x.withColumn("priority", F.when(c("category") == "CLEAN", 0.0).otherwise(F.round(base * F.when(c("auto_rate") >= 0.85, 0.4).when(c("auto_rate") >= 0.70, 0.7).otherwise(1.0), 3)))
+    order = [F.desc("priority"), "category"]
+    dominant = F.row_number().over(Window.partitionBy("provider_id").orderBy(*order)) == 1
+    return x.withColumn("dominant", dominant).select("provider_id", "category", "severity", "impact", "priority", "dominant")
 
 
 def align(gold: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:

@@ -19,14 +19,42 @@ def unify(rows: DataFrame) -> DataFrame:
 
 
 def serialise(lines: DataFrame) -> DataFrame:
-    """Lines as they are shown: text cut at 120, amounts as text with fixed places."""
-    return lines.select("invoice", "line_no", "article_id", "provider_id", F.substring("raw", 1, 120).alias("raw"), F.col("amount").cast("string").alias("line_total"), F.to_json(F.struct("match_status", "stems", "pack")).alias("state"))
+    """Lines as they are shown: text cut at 120, prices at five places, totals at two, confidences at three."""
+    return lines.select(
+        "invoice", "line_no", "article_id", "provider_id", F.substring("raw", 1, 120).alias("raw"), F.round("price_per_stem", 5).alias("price"), F.col("amount").cast("string").alias("line_total"),
+        F.round("extraction_confidence", 3).alias("confidence"), F.to_json(F.struct("match_status", "stems", "pack")).alias("state"),
+    )
+
+
+def restore(stored: DataFrame, schema: str, defaults: dict) -> DataFrame:
+    """Lines from stored JSON: fields that are missing or of another type get defaults. ``stored``: value and any keys."""
+    x = stored.withColumn("x", F.from_json("value", schema))
+    fields = x.schema["x"].dataType.names
+    return x.select(*[c for c in stored.columns if c != "value"], *[F.coalesce(F.col(f"x.{f}"), F.lit(defaults[f])).alias(f) if f in defaults else F.col(f"x.{f}").alias(f) for f in fields])
+
+
+def confident(lines: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Lines with the confidence of their document; a rescued line has the lesser of that and its own. documents: key, confidence, source."""
+    d = documents.select(key, F.col("confidence").alias("_c"), F.col("source").alias("_s"))
+    rescued = F.col("extraction_source") == "rescue"
+    j = lines.join(d, key, "left")
+    c = F.coalesce(F.col("_c"), F.lit(1.0))
+    return j.withColumn("extraction_confidence", F.when(rescued, F.least(c, "extraction_confidence")).otherwise(c)).withColumn("extraction_source", F.when(rescued, "rescue").otherwise(F.coalesce("_s", "extraction_source"))).drop("_c", "_s")
+
+
+#: Fields that a patch may set; labels are kept in upper case, at most 64 letters.
+PATCHABLE = ("stems", "bunches", "pack", "size", "variety", "label", "price_per_stem", "line_total")
+NULL = "\0null"
 
 
 def patch(lines: DataFrame, patches: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """Fields that a patch sets replace the line's; others stay."""
-    p = patches.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields])
-    return lines.join(p, keys, "left").select(*keys, *[F.coalesce(f"new_{f}", f).alias(f) for f in fields])
+    """Fields that a patch sets replace the line's; others stay. Only PATCHABLE ones may be set; NULL sets a text field to null."""
+    if wrong := [f for f in fields if f not in PATCHABLE]:
+        raise ValueError(f"fields that can't be patched: {wrong}")
+    p = patches.select(*keys, *[(F.upper(F.substring(F.col(f), 1, 64)) if f == "label" else F.col(f)).alias(f"new_{f}") for f in fields])
+    text = {f for f in fields if patches.schema[f].dataType.simpleString() == "string"}
+    new = lambda f: F.when(F.upper(f"new_{f}") == NULL.upper(), F.lit(None)).otherwise(F.coalesce(f"new_{f}", f)) if f in text else F.coalesce(f"new_{f}", f)
+    return lines.join(p, keys, "left").select(*keys, *[new(f).alias(f) for f in fields])
 
 
 def keep_edits(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..functions.text import COLORS
-from ..operators import linker
+from ..operators import linker, reports
+from ..operators.learning import FAULT_WEIGHT
 from . import suppliers
-from .queries import HARD_BRANDS, HEADER_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
+from .queries import HARD_BRANDS, HEADER_PATTERNS, LATE, LINE_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
 
 
 def _value(x) -> str:
@@ -186,6 +187,7 @@ d4 AS (SELECT *, near AND coalesce((b_exact AND NOT a_exact AND a_close) OR (b_e
 d5 AS (SELECT *, CASE WHEN NOT near THEN '' WHEN swap AND b_exact AND NOT a_exact AND a_close THEN 'size' WHEN swap THEN 'variety' WHEN a_exact AND NOT b_exact AND b_close THEN 'size' WHEN a_every AND NOT b_every THEN 'variety' WHEN b_extra AND NOT a_extra THEN 'color' ELSE '' END AS why0 FROM d4),
 d6 AS (SELECT *, CASE WHEN a_id IS NULL THEN 'sin_match' WHEN stand_in THEN 'ambiguous_match' WHEN a_score >= 700 THEN CASE WHEN near AND why0 = '' THEN 'ambiguous_match' ELSE 'ok' END
   WHEN a_score >= 500 AND (a_any OR coalesce(a_percent >= 85, false) OR a_source = 'synonym') THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM d5)"""
+_PHRASES = [f"regexp_replace(b, '(^| ){a}( |$)', '\\1{b}\\2', 'g')" for a, b in sorted(COLORS.items(), key=lambda x: (-len(x[0]), x[0]))[:8]]
 _LINKER = f"WITH {_CAT}, {_GATHER}"
 
 
@@ -253,6 +255,49 @@ WHEN score >= 0.5 THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM (SE
     "linker_scores": f"{_LINKER}, {_VETOED}, {_GRADED} SELECT line_id, article_id, source, points, score FROM raised",
     "linker_decisions": f"""{_LINKER}, {_VETOED}, {_GRADED}, {_DECIDED} SELECT line_id, CASE WHEN stand_in THEN mixto_id WHEN status = 'sin_match' THEN NULL WHEN swap THEN b_id ELSE a_id END AS article_id, CASE WHEN stand_in THEN 'spray_mixto' WHEN status = 'sin_match' THEN NULL WHEN swap THEN b_source ELSE a_source END AS source,
 coalesce(CASE WHEN stand_in THEN 0 WHEN swap THEN b_score ELSE a_score END, 0)::INT AS score, coalesce(CASE WHEN stand_in THEN 0 ELSE a_score - b_score END, 0)::INT AS margin, status, CASE WHEN status <> 'sin_match' AND NOT stand_in THEN why0 ELSE '' END AS why FROM d6""",
+    "history_stats": f"""WITH {_LINES}, k AS (SELECT provider_id, article_id, arg_max(match_status, {{'i': invoice, 'l': line_no}}) AS s FROM lines GROUP BY 1, 2), x AS (SELECT count(*) AS n_keys, count(*) FILTER (s = 'ok') AS ok_keys FROM k)
+SELECT count(DISTINCT invoice) AS invoices, count(*) FILTER (match_status = 'ok') AS ok, count(*) FILTER (match_status <> 'ok') AS failed, sum(amount)::DOUBLE AS total, any_value(n_keys) AS n_keys, any_value(ok_keys) AS ok_keys, round(any_value(ok_keys)::DOUBLE / any_value(n_keys), 4) AS key_rate FROM lines, x""",
+    "shown_stats": f"WITH {_LINES}, {_BOXED} SELECT invoice, count(*) FILTER (match_status = 'ok') AS ok, count(*) FILTER (match_status = 'sin_match') AS unmatched, count(*) FILTER (match_status = 'ambiguous_match') AS review, sum(stems)::BIGINT AS stems, sum(amount)::DOUBLE AS total FROM boxed WHERE box_type <> 'MIX' GROUP BY 1",
+    "synonym_kpis": f"WITH {_CAT} SELECT status, count(*) AS n, count(DISTINCT provider_id) AS providers, count(DISTINCT article_id) AS articles FROM store GROUP BY 1",
+    "batch_restats": f"""WITH {_LINES}, b AS (SELECT invoice, line_no, min({{'a': article_id, 's': match_status}}) AS x FROM lines GROUP BY 1, 2), c AS (SELECT invoice, x.s AS s, x.a AS a, x.a + CASE WHEN line_no = 3 THEN 1 ELSE 0 END AS na, CASE WHEN x.s = 'sin_match' AND x.a % 2 = 0 THEN 'ok' ELSE x.s END AS ns FROM b)
+SELECT invoice, count(*) FILTER (s = 'ok') AS ok_before, count(*) FILTER (ns = 'ok') AS ok_after, count(*) FILTER (a <> na OR s <> ns) AS changed FROM c GROUP BY 1""",
+    "last_audit": f"WITH {_LOG} SELECT event_id, ts, kind FROM log ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "batch_states": f"""WITH {_LOG}, b AS (SELECT key AS batch, max(ts) AS last, count(*) FILTER (kind = 'confirm') AS done FROM log WHERE kind <> 'correct' GROUP BY 1)
+SELECT batch, CASE WHEN done > 0 THEN 'done' WHEN last < TIMESTAMP '{LATE}' - INTERVAL 30 MINUTE THEN 'stale' ELSE 'running' END AS state FROM b""",
+    "spray_roses": rf"WITH {_CAT} SELECT line_id, species = 'ROSES' AND (pack = 10 OR regexp_matches(upper(variety || CASE WHEN line_id % 13 = 0 THEN ' spray' ELSE '' END), '\b(?:SP|SPRAY)\b')) AS spray FROM ll",
+    "list_filters": f"WITH {_CAT} SELECT provider_id, v AS variety_key, article_id, 'green' AS badge, 'auto-fuzzy' AS origin FROM store WHERE status = 'aprendido_confirmado' AND contains(lower(v || ' ' || species), 'ring')",
+    "species_pool_keys": f"""WITH {_CAT}, n AS (SELECT id, upper(CASE WHEN id % 11 = 0 THEN 'ROSA ' || variety ELSE name END) AS n FROM cat),
+p AS (SELECT id, n, unnest(CASE {" ".join(f"WHEN starts_with(n, '{k}') THEN {v!r}" for k, v in reports.POOLS.items())} ELSE ['OTHER'] END) AS pool FROM n) SELECT id, pool, CASE {" ".join(f"WHEN starts_with(n, '{k}') THEN substr(n, {len(k) + 1})" for k in reports.POOLS)} ELSE n END AS rest FROM p""",
+    "known_brands": "SELECT DISTINCT brand FROM (SELECT upper(s_name) AS brand FROM supplier UNION ALL SELECT w FROM (SELECT unnest(regexp_split_to_array(upper(s_name), '[^A-Z0-9]+')) AS w FROM supplier) x WHERE length(w) >= 4 UNION ALL SELECT unnest(['MYSTIC', 'UMA'])) y",
+    "resolved_links": f"""WITH a AS (SELECT p_partkey AS id, 'E' || (p_partkey % 700) AS d FROM part), n AS (SELECT d, min(id) AS new_id FROM a GROUP BY 1)
+SELECT id AS link_id, coalesce(new_id, id) AS article_id, new_id IS NOT NULL AND new_id <> id AS moved FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'gone' ELSE d END AS d FROM a) l LEFT JOIN n USING (d)""",
+    "graded_roses": f"""WITH {_CAT}, r AS (SELECT * FROM cat WHERE species = 'ROSES'), n AS (SELECT concat_ws(' ', 'ROSA COL', variety, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'FANCY' ELSE 'SELECT' END END, format('{{}}CM {{}}U', size, pack)) AS name, min(id) AS id FROM r GROUP BY 1),
+k AS (SELECT id AS line_id, 0 AS n, concat_ws(' ', 'ROSA COL', variety, 'FANCY', format('{{}}CM {{}}U', size, pack)) AS name FROM r UNION ALL SELECT id, 1, concat_ws(' ', 'ROSA COL', variety, format('{{}}CM {{}}U', size, pack)) FROM r)
+SELECT line_id, arg_min(n.id, k.n) AS article_id, min(k.n) = 0 AS with_grade FROM k JOIN n USING (name) GROUP BY 1""",
+    "variety_forms": f"""WITH {_ARTICLES}, v AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'GARDEN ROSE ' || variety ELSE variety END AS v, variety AS b FROM articles), w AS (SELECT *, {_colors("v")} AS vt, {_colors("b")} AS bt FROM v),
+f AS (SELECT id, unnest([v, b, vt, bt, {", ".join(_PHRASES)}]) AS form, unnest(range({4 + 8})) AS i FROM w), d AS (SELECT id, form, min(i) AS i FROM f GROUP BY 1, 2) SELECT id, string_agg(form, '|' ORDER BY i) FILTER (r <= 4) AS forms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM d) x GROUP BY 1""",
+    "variety_search": f"""WITH {_ARTICLES}, {_REQUESTS}, a AS (SELECT variety AS form, size AS s, min(id) AS id FROM articles GROUP BY 1, 2), w AS (SELECT *, {_colors("b")} AS bt FROM (SELECT line_id, size, variety AS b FROM requests) z),
+f AS (SELECT line_id, size, unnest([b, b, bt, bt, {", ".join(_PHRASES)}]) AS form, unnest(range({4 + 8})) AS i FROM w), d AS (SELECT line_id, size, form, row_number() OVER (PARTITION BY line_id ORDER BY min(i)) - 1 AS n FROM f GROUP BY 1, 2, 3),
+j AS (SELECT line_id, id, min({{'off': (s <> size)::INT, 'n': n}}) AS x FROM d JOIN a USING (form) GROUP BY 1, 2) SELECT line_id, (row_number() OVER (PARTITION BY line_id ORDER BY x, id))::INT AS place, id AS article_id FROM j QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY x, id) <= 5""",
+    "alternatives": f"""WITH {_ARTICLES}, {_REQUESTS}, j AS (SELECT r.line_id, a.id, CASE WHEN a.variety = r.variety THEN 10 WHEN contains(a.variety, r.variety) OR contains(r.variety, a.variety) THEN 3 ELSE 0 END + CASE WHEN a.size = r.size THEN 5 ELSE 0 END + CASE WHEN a.pack = r.pack THEN 3 ELSE 0 END + CASE WHEN a.brand = r.brand THEN 2 ELSE 0 END AS points
+FROM requests r JOIN articles a ON string_split(r.variety, ' ')[1] = string_split(a.variety, ' ')[1]) SELECT line_id, (row_number() OVER w)::INT AS place, id AS article_id, points FROM j WHERE points >= 5 WINDOW w AS (PARTITION BY line_id ORDER BY points DESC, id) QUALIFY row_number() OVER w <= 5""",
+    "header_vocabulary": rf"""WITH {_TEXT}, c AS (SELECT doc_id, unnest(string_split('Stems. Unit(cid:12)Price, ' || line, ' ')[1:6]) AS cell, unnest(range(len(string_split('Stems. Unit(cid:12)Price, ' || line, ' ')[1:6])))::INT AS position FROM text_lines WHERE line_no = 0),
+h AS (SELECT doc_id, position, trim(regexp_replace(regexp_replace(upper(regexp_replace(cell, '\(cid:[0-9]+\)', '', 'g')), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS h FROM c)
+SELECT doc_id, position, CASE {" ".join(f"WHEN contains(h, '{w}') OR (length(h) >= 3 AND contains('{w}', h)) THEN '{f}'" for w, f in reports.HEADER_WORDS.items())} END AS field FROM h WHERE CASE {" ".join(f"WHEN contains(h, '{w}') OR (length(h) >= 3 AND contains('{w}', h)) THEN 1" for w in reports.HEADER_WORDS)} ELSE 0 END = 1""",
+    "similar_layouts": f"""WITH {_TEXT}, {_PRINTS}, x AS (SELECT p.doc_id, n_fields, separator, list_distinct(string_split(text, ' ')[1:8]) AS h, lang FROM prints p JOIN documents d USING (doc_id)), f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY n_fields ORDER BY doc_id) = 1)
+SELECT x.doc_id, coalesce(len(list_intersect(x.h, f.h))::DOUBLE / len(list_distinct(list_concat(x.h, f.h))) >= 0.6 AND x.lang = f.lang AND (x.separator = '' OR f.separator = '' OR x.separator = f.separator), false) AS similar FROM x JOIN f USING (n_fields)""",
+    "positional_rules": rf"""WITH {_TEXT}, c AS (SELECT unnest(string_split(line, ' ')) AS cell, unnest(range(len(string_split(line, ' '))))::INT AS position FROM text_lines), k AS (SELECT position, CASE WHEN regexp_matches(cell, '^\$?[0-9]+[.,][0-9]+$') THEN 'price' WHEN regexp_matches(cell, '^[0-9]+$') THEN 'count' WHEN regexp_matches(cell, '[A-Za-z]') THEN 'text' ELSE 'other' END AS kind, length(cell) AS len FROM c WHERE position < 12),
+g AS (SELECT position, kind, count(*) AS n, sum(len)::BIGINT AS letters FROM k GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY position) AS cells FROM g QUALIFY row_number() OVER (PARTITION BY position ORDER BY n DESC, kind DESC) = 1)
+SELECT position, CASE WHEN kind = 'text' AND row_number() OVER (ORDER BY (kind = 'text') DESC, letters::DOUBLE / n DESC, position) = 1 THEN 'variety' ELSE kind END AS field, round(n::DOUBLE / cells, 4) AS share FROM m""",
+    "line_pattern": f"WITH {_TEXT}, h AS (" + " UNION ALL ".join(f"SELECT {i} AS pattern_no, count(*) FILTER (regexp_matches(line, '{p}')) AS hits, count(*) AS n FROM text_lines" for i, p in enumerate(LINE_PATTERNS)) + ") SELECT pattern_no, hits, round(hits::DOUBLE / n, 4) AS share FROM h WHERE hits >= 0.3 * n ORDER BY hits DESC, pattern_no LIMIT 1",
+    "link_likeness": rf"""WITH {_CAT}, j AS (SELECT l.line_id, l.v, l.size, c.size AS s, {_canon("c.name")} AS a FROM ll l JOIN cat c ON c.id = l.line_id), k AS (SELECT *, trim(regexp_replace(regexp_replace(a, '^(?:ROSA (?:EC|COL)|ROSA|CLAVEL COL|CLAVEL|HYDRANGEA|PANICULATA|ALSTROMERIA) ', ''), ' [0-9]+CM.*$', '')) AS av,
+  array_to_string([coalesce(element_at({_MAP}, w)[1], w) FOR w IN string_split(v, ' ')], ' ') AS vt FROM j),
+s AS (SELECT *, CASE WHEN contains(a, v) OR v = av THEN 100 WHEN contains(av, v) OR contains(v, av) THEN 85 WHEN contains(a, vt) OR vt = av THEN 95 WHEN contains(av, vt) OR contains(vt, av) THEN 85
+  WHEN abs(length(v) - length(av)) <= 2 AND 100 * len([i FOR i IN range(1, greatest(least(length(v), length(av)), 1) + 1) IF substr(v, i::BIGINT, 1) = substr(av, i::BIGINT, 1)]) >= 75 * greatest(length(v), length(av))
+  THEN floor(100 * len([i FOR i IN range(1, greatest(least(length(v), length(av)), 1) + 1) IF substr(v, i::BIGINT, 1) = substr(av, i::BIGINT, 1)]) / greatest(length(v), length(av)))
+  ELSE least(floor(len(list_intersect(list_distinct(list_concat(string_split(v, ' '), string_split(vt, ' '))), list_distinct(list_concat(string_split(av, ' '), string_split(a, ' '))))) / least(len(list_distinct(string_split(v, ' '))), len(list_distinct(string_split(av, ' ')))) * 85), 85) END::INT AS score FROM k)
+SELECT line_id, score, array_to_string([x FOR x IN [CASE WHEN score < 50 THEN 'unlike' END, CASE WHEN size > 0 AND s > 0 AND size <> s THEN 'size' END] IF x IS NOT NULL], ',') AS reasons FROM s""",
+    "clean_texts": r"SELECT s_suppkey, trim(regexp_replace(regexp_replace(upper(s_name), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS header, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM supplier",
     "levenshtein_topk": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT a.name, b.name AS near, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 4)
 SELECT name, near, distance::INT AS distance, (row_number() OVER (PARTITION BY name ORDER BY distance, near))::INT AS place FROM d WHERE distance <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, near) <= 3""",
     "article_search": f"WITH {_ARTICLES}, q AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SEARCHES) + r""") v(q)), j AS (SELECT q, id, name, CASE WHEN reference = upper(q) THEN 1 WHEN starts_with(reference, upper(q)) THEN 2
@@ -283,12 +328,23 @@ FROM (SELECT *, CASE status WHEN 'manual_confirmado' THEN 0.98::DOUBLE WHEN 'apr
     "provider_verdicts": f"""WITH {_LINES}, {_HEADERS}, {_BALANCE}, samples AS (SELECT provider_id, invoice, count(*) FILTER (extraction_source <> 'rescue') AS parsed, count(*) FILTER (extraction_source = 'rescue') AS rescued FROM lines GROUP BY 1, 2),
 m AS (SELECT provider_id, count(*) AS samples, count(*) FILTER (header_ok IS NOT NULL) AS detected, count(*) FILTER (parsed + rescued > 0) AS parsed_any, count(*) FILTER (header_ok) AS totals_ok, sum(parsed)::BIGINT AS total_parsed, sum(rescued)::BIGINT AS total_rescued FROM samples LEFT JOIN balance USING (invoice) GROUP BY 1)
 SELECT *, CASE WHEN samples = 0 THEN 'SIN_MUESTRAS' WHEN detected < samples THEN 'NO_DETECTADO' WHEN parsed_any < samples THEN 'NO_PARSEA' WHEN totals_ok < samples * 0.6 AND samples > 1 THEN 'TOTALES_MAL' WHEN total_rescued > total_parsed THEN 'MUCHO_RESCATE' ELSE 'OK' END AS verdict FROM m""",
-    "error_taxonomy": f"""WITH {_LINES}, {_CHECKED}, {_LANED}, {_ROLL}, f AS (
-SELECT provider_id, auto_rate, 'E2_PARSE_PARTIAL' AS category, 7 AS weight, total_rescued AS impact, total_rescued::DOUBLE / total_parsed AS share, 0.3::DOUBLE AS high, 0.1::DOUBLE AS medium FROM rates
-UNION ALL SELECT provider_id, auto_rate, 'E8_AMBIGUOUS_LINK', 4, ambiguous_lines, ambiguous_lines::DOUBLE / total_parsed, 0.3::DOUBLE, 0.1::DOUBLE FROM rates
-UNION ALL SELECT provider_id, auto_rate, 'E9_VALIDATION_FAIL', 3, error_lines, error_lines::DOUBLE / total_parsed, 0.5::DOUBLE, 0.2::DOUBLE FROM rates),
-g AS (SELECT *, CASE WHEN share > high THEN 'HIGH' WHEN share > medium THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM f WHERE impact > 0 AND provider_id IS NOT NULL)
-SELECT provider_id, category, severity, impact, round((CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * weight + impact * 0.5::DOUBLE) * CASE WHEN auto_rate >= 0.85 THEN 0.4::DOUBLE WHEN auto_rate >= 0.7 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 3) AS priority FROM g""",
+    "error_taxonomy": f"""WITH {_LINES}, {_HEADERS}, {_BALANCE}, {_CHECKED}, {_LANED}, {_ROLL}, s AS (SELECT provider_id, invoice, count(*) FILTER (extraction_source <> 'rescue') AS parsed, count(*) FILTER (extraction_source = 'rescue') AS rescued, min(extraction_confidence) AS confidence,
+  count(*) FILTER (match_status = 'ambiguous_match') AS ambiguous, count(*) FILTER (match_status = 'sin_match') AS unmatched, count(*) FILTER (len(errors) > 0) AS invalid, count(*) FILTER (match_status = 'ok' AND link_confidence < 0.2::DOUBLE) AS wrong,
+  count(*) FILTER (match_method <> 'exact' AND match_confidence < 0.85::DOUBLE) AS weak, count(*) FILTER (candidate_margin < 0.04::DOUBLE) AS ties FROM checked GROUP BY 1, 2), j AS (SELECT s.*, confidence < 0.7::DOUBLE AS ocr, header_ok FROM s LEFT JOIN balance USING (invoice)),
+m AS (SELECT provider_id, count(*) AS n, count(*) FILTER (parsed = 0) AS zero, count(*) FILTER (parsed = 0 AND NOT ocr) AS native_zero, count(*) FILTER (ocr AND (parsed = 0 OR confidence < 0.6::DOUBLE)) AS bad_ocr, count(*) FILTER (parsed > 0 AND NOT coalesce(header_ok, false)) AS bad_total,
+  sum(parsed)::BIGINT AS parsed, sum(rescued)::BIGINT AS rescued, sum(ambiguous)::BIGINT AS ambiguous, sum(unmatched)::BIGINT AS unmatched, sum(invalid)::BIGINT AS invalid, sum(wrong)::BIGINT AS wrong, sum(weak)::BIGINT AS weak, sum(ties)::BIGINT AS ties FROM j GROUP BY 1),
+fm AS (SELECT s_suppkey AS provider_id, count(*) OVER (PARTITION BY CASE WHEN s_suppkey % 4 = 0 THEN 'shared' ELSE s_name END) AS sharing FROM supplier), mm AS (SELECT m.*, coalesce(sharing, 0) AS sharing FROM m LEFT JOIN fm USING (provider_id)),
+f AS (SELECT provider_id, 'E1_PARSE_ZERO' AS category, CASE WHEN zero >= 0.5 * n THEN 'HIGH' ELSE 'MEDIUM' END AS severity, zero AS impact FROM mm WHERE zero > 0
+  UNION ALL SELECT provider_id, 'E2_PARSE_PARTIAL', CASE WHEN rescued::DOUBLE / (parsed + rescued) > 0.3::DOUBLE THEN 'HIGH' WHEN rescued::DOUBLE / (parsed + rescued) > 0.1::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END, rescued FROM mm WHERE rescued > 0 AND parsed > 0
+  UNION ALL SELECT provider_id, 'E3_LAYOUT_COORDS', CASE WHEN native_zero >= 2 THEN 'HIGH' ELSE 'MEDIUM' END, native_zero FROM mm WHERE native_zero > 0 UNION ALL SELECT provider_id, 'E4_OCR_BAD', CASE WHEN bad_ocr >= 2 THEN 'HIGH' ELSE 'MEDIUM' END, bad_ocr FROM mm WHERE bad_ocr > 0
+  UNION ALL SELECT provider_id, 'E5_TOTAL_HEADER', CASE WHEN bad_total <= 0.3 * n THEN 'LOW' ELSE 'MEDIUM' END, bad_total FROM mm WHERE bad_total > 0 UNION ALL SELECT provider_id, 'E6_MATCH_WRONG', CASE WHEN wrong >= 5 THEN 'HIGH' ELSE 'MEDIUM' END, wrong FROM mm WHERE wrong >= 2
+  UNION ALL SELECT provider_id, 'E7_SYNONYM_DRIFT', CASE WHEN weak >= 10 THEN 'HIGH' WHEN weak >= 5 THEN 'MEDIUM' ELSE 'LOW' END, weak FROM mm WHERE weak >= 3 AND weak >= 0.2 * parsed
+  UNION ALL SELECT provider_id, 'E8_AMBIGUOUS_LINK', CASE WHEN ambiguous >= 5 THEN 'HIGH' WHEN ambiguous >= 2 THEN 'MEDIUM' ELSE 'LOW' END, ambiguous FROM mm WHERE ambiguous >= 2 OR ties >= 3
+  UNION ALL SELECT provider_id, 'E9_VALIDATION_FAIL', CASE WHEN invalid >= 5 THEN 'HIGH' WHEN invalid >= 2 THEN 'MEDIUM' ELSE 'LOW' END, invalid FROM mm WHERE invalid > 0 UNION ALL SELECT provider_id, 'E10_PROVIDER_COLLISION', 'LOW', 0 FROM mm WHERE sharing >= 2 AND unmatched > 0),
+g AS (SELECT * FROM f UNION ALL SELECT provider_id, 'CLEAN', 'NONE', 0 FROM mm WHERE provider_id NOT IN (SELECT provider_id FROM f)),
+h AS (SELECT g.*, CASE WHEN category = 'CLEAN' THEN 0.0::DOUBLE ELSE round((CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * CASE category {" ".join(f"WHEN '{k}' THEN {v}" for k, v in FAULT_WEIGHT.items())} ELSE 1 END + impact * 0.5::DOUBLE)
+  * CASE WHEN auto_rate >= 0.85 THEN 0.4::DOUBLE WHEN auto_rate >= 0.7 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 3) END AS priority FROM g LEFT JOIN rates r ON r.provider_id = g.provider_id)
+SELECT provider_id, category, severity, impact::BIGINT AS impact, priority, row_number() OVER (PARTITION BY provider_id ORDER BY priority DESC, category) = 1 AS dominant FROM h""",
     "golden_alignment": f"""WITH RECURSIVE {_LINES}, {_BOXED}, gold AS (SELECT invoice AS doc_id, line_no, variety, size, stems FROM boxed QUALIFY row_number() OVER (PARTITION BY invoice, line_no ORDER BY article_id, provider_id, amount) = 1),
 found AS (SELECT doc_id, (8 - line_no)::INT AS line_no, variety, (size + line_no % 2)::INT AS size, stems FROM gold), {_WALK}
 SELECT doc_id, gold_no, found_no, points FROM walked UNION ALL SELECT doc_id, line_no, NULL, NULL FROM gold ANTI JOIN (SELECT doc_id, gold_no AS line_no FROM walked) x USING (doc_id, line_no)
@@ -337,10 +393,14 @@ def _keyed_owner() -> str:
 
 
 ORACLE_SQL |= {
-    "serialized_lines": f"""WITH {_LINES}, {_RAW} SELECT invoice, line_no, article_id, provider_id, substr(raw, 1, 120) AS raw, amount::VARCHAR AS line_total,
+    "serialized_lines": f"""WITH {_LINES}, {_RAW} SELECT invoice, line_no, article_id, provider_id, substr(raw, 1, 120) AS raw, round(price_per_stem, 5) AS price, amount::VARCHAR AS line_total, round(extraction_confidence, 3) AS confidence,
 '{{"match_status":"' || match_status || '","stems":' || stems || ',"pack":' || pack || '}}' AS state FROM lined""",
     "alias_unify": f"WITH {_ARTICLES}, a AS (SELECT id, p_retailprice AS price, pack FROM articles JOIN part ON id = p_partkey) SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN price * 2 END, CASE WHEN id % 2 = 0 THEN price END) AS line_total, 0.5::DOUBLE AS match_confidence, pack FROM a",
-    "line_patches": "SELECT o_orderkey AS invoice, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_custkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id FROM orders",
+    "line_patches": f"""WITH {_LINES}, l AS (SELECT invoice, line_no, min({{'s': stems, 'l': match_status}}) AS x, invoice + line_no AS n FROM lines GROUP BY 1, 2)
+SELECT invoice, line_no, CASE WHEN n % 6 = 0 THEN x.s + 1 ELSE x.s END AS stems, CASE WHEN n % 3 <> 0 THEN x.l WHEN n % 5 = 0 THEN NULL WHEN n % 7 = 0 THEN repeat('AB', 32) ELSE x.l END AS label FROM l""",
+    "restored_lines": "SELECT o_orderkey AS invoice, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS stems, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN '5' ELSE '?' END AS variety FROM orders",
+    "line_confidence": f"""WITH {_LINES}, d AS (SELECT o_orderkey AS invoice, (o_orderkey % 7) / 10.0::DOUBLE AS c, CASE WHEN o_orderkey % 2 = 0 THEN 'ocr' ELSE 'native' END AS s FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT invoice, line_no, article_id, provider_id, CASE WHEN extraction_source = 'rescue' THEN least(coalesce(c, 1.0), extraction_confidence) ELSE coalesce(c, 1.0) END AS extraction_confidence, CASE WHEN extraction_source = 'rescue' THEN 'rescue' ELSE coalesce(s, extraction_source) END AS extraction_source FROM lines LEFT JOIN d USING (invoice)""",
     "preserve_edits": f"""WITH {_LINES}, {_RAW}, old AS (SELECT invoice AS doc_id, lower(trim(raw)) AS k, bool_or(line_no % 3 = 0) AS deleted, max(CASE WHEN line_no % 2 = 0 THEN 'EDITED' END) AS label FROM lined GROUP BY 1, 2),
 new AS (SELECT invoice AS doc_id, lower(trim(raw)) AS k, line_total AS amount FROM lined WHERE stems > 10)
 SELECT n.doc_id, n.k, n.amount, o.label, coalesce(o.deleted, false) AS deleted FROM new n LEFT JOIN old o USING (doc_id, k)

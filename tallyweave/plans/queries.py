@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linker, linking, records, registry
+from ..operators import history, invoices, layouts, learning, linker, linking, records, registry, reports
 from ..sources import files
 from ..sources import tables as t
 from . import suppliers
@@ -227,6 +227,8 @@ def link_decisions(spark, d):
 # --- the whole linker
 
 #: Brands that only their owners' lines may have.
+LINE_PATTERNS = [r"^[A-Z]", r"[0-9]+", r"\\.$"]
+LATE = "2024-01-15 00:00:00"
 HARD_BRANDS = ["BRAND#3", "BRAND#9", "BRAND#15"]
 
 
@@ -362,7 +364,9 @@ def provider_verdicts(spark, d):
 
 @query
 def error_taxonomy(spark, d):
-    return learning.taxonomy(learning.rollup(t.lines(spark, d)))
+    lines = t.lines(spark, d)
+    formats = t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.when(F.col("s_suppkey") % 4 == 0, "shared").otherwise(F.col("s_name")).alias("fmt"))
+    return learning.taxonomy(learning.fault_samples(lines, invoices.balance(lines, t.headers(spark, d))), formats, learning.rollup(lines).where("provider_id is not null").select("provider_id", "auto_rate"))
 
 
 @query
@@ -474,6 +478,133 @@ def sessions(spark, d):
     return streaming.sessions(t.decisions(spark, d))
 
 
+# --- statistics, lists and learner helpers
+
+
+@query
+def history_stats(spark, d):
+    return reports.history_stats(t.lines(spark, d))
+
+
+@query
+def shown_stats(spark, d):
+    return reports.shown_stats(_boxed(spark, d))
+
+
+@query
+def synonym_kpis(spark, d):
+    return reports.link_kpis(t.link_store(spark, d))
+
+
+@query
+def batch_restats(spark, d):
+    before = t.lines(spark, d).groupBy("invoice", F.col("line_no").alias("line")).agg(F.min(F.struct("article_id", "match_status")).alias("x")).select("invoice", "line", "x.*")
+    after = before.select("invoice", "line", (F.col("article_id") + F.when(F.col("line") == 3, 1).otherwise(0)).alias("article_id"), F.when((F.col("match_status") == "sin_match") & (F.col("article_id") % 2 == 0), "ok").otherwise(F.col("match_status")).alias("match_status"))
+    return reports.restats(before, after)
+
+
+@query
+def last_audit(spark, d):
+    return reports.last_entries(t.decisions(spark, d), 20).select("event_id", "ts", "kind")
+
+
+@query
+def batch_states(spark, d):
+    return reports.stale(t.decisions(spark, d).where("kind <> 'correct'").select(F.col("key").alias("batch"), "ts", "kind"), LATE)
+
+
+@query
+def spray_roses(spark, d):
+    return t.link_lines(spark, d).select("line_id", reports.is_spray_rose(F.col("species"), F.concat(F.col("variety"), F.when(F.col("line_id") % 13 == 0, " spray").otherwise("")), F.col("pack")).alias("spray"))
+
+
+@query
+def list_filters(spark, d):
+    rows = t.link_store(spark, d)
+    return reports.filtered(rows, "aprendido_confirmado", "ring", ("variety_key", "species")).select("provider_id", "variety_key", "article_id", reports.badge(F.lit("ok")).alias("badge"), reports.origin(F.lit("fuzzy")).alias("origin"))
+
+
+@query
+def species_pool_keys(spark, d):
+    c = t.link_catalogue(spark, d)
+    return reports.species_pools(c.select("id", F.when(F.col("id") % 11 == 0, F.concat(F.lit("ROSA "), F.col("variety"))).otherwise(F.col("name")).alias("name")))
+
+
+@query
+def known_brands(spark, d):
+    return reports.known_brands(t.table(spark, d, "supplier").select(F.col("s_name").alias("name")), ["MYSTIC", "UMA"])
+
+
+@query
+def resolved_links(spark, d):
+    a = t.articles(spark, d).select("id", F.concat(F.lit("E"), F.col("id") % 700).alias("durable_id"))
+    links = a.select(F.col("id").alias("link_id"), F.col("id").alias("article_id"), F.when(F.col("id") % 5 == 0, "gone").otherwise(F.col("durable_id")).alias("durable_id"))
+    return reports.resolved(links, a)
+
+
+@query
+def graded_roses(spark, d):
+    c = t.link_catalogue(spark, d).where("species = 'ROSES'")
+    grade = F.when(F.col("id") % 2 == 0, "FANCY").otherwise("SELECT")
+    names = c.select("id", F.concat_ws(" ", F.lit("ROSA COL"), "variety", F.when(F.col("id") % 3 == 0, grade), F.format_string("%dCM %dU", "size", "pack")).alias("name"))
+    return reports.graded_names(c.select(F.col("id").alias("line_id"), "variety", F.lit("FANCY").alias("grade"), "size", "pack"), names)
+
+
+@query
+def variety_forms(spark, d):
+    v = t.articles(spark, d).select("id", F.when(F.col("id") % 4 == 0, F.concat(F.lit("Garden Rose "), F.col("variety"))).otherwise(F.col("variety")).alias("variety"))
+    return v.select("id", F.array_join(F.slice(reports.translations(F.col("variety")), 1, 4), "|").alias("forms"))
+
+
+@query
+def variety_search(spark, d):
+    return reports.variety_search(t.requests(spark, d), t.articles(spark, d))
+
+
+@query
+def alternatives(spark, d):
+    return reports.alternatives(t.requests(spark, d), t.articles(spark, d))
+
+
+@query
+def header_vocabulary(spark, d):
+    lines = t.text_lines(spark, d).where("line_no = 0").select("doc_id", F.posexplode(F.slice(F.split(F.concat(F.lit("Stems. Unit(cid:12)Price, "), F.col("line")), " "), 1, 6)).alias("position", "cell"))
+    return reports.vocabulary(lines)
+
+
+@query
+def similar_layouts(spark, d):
+    """Documents against the first one of the same number of fields."""
+    prints = learning.fingerprints(t.text_lines(spark, d), r"[0-9]|\|")
+    words = t.table(spark, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("headers"), F.array("lang").alias("keywords"))
+    j = prints.join(words, "doc_id").select("doc_id", "n_fields", F.struct("headers", "keywords", "separator", F.lit(0).alias("n_columns"), "n_fields").alias("x"))
+    first = j.groupBy("n_fields").agg(F.min_by("x", "doc_id").alias("y"))
+    return j.join(first, "n_fields").select("doc_id", F.coalesce(reports.similar("x", "y"), F.lit(False)).alias("similar"))
+
+
+@query
+def positional_rules(spark, d):
+    cells = t.text_lines(spark, d).select(F.posexplode(F.split("line", " ")).alias("position", "cell")).where("position < 12")
+    return reports.positional(cells)
+
+
+@query
+def line_pattern(spark, d):
+    return reports.line_pattern(t.text_lines(spark, d), LINE_PATTERNS)
+
+
+@query
+def link_likeness(spark, d):
+    lines, c = t.link_lines(spark, d), t.link_catalogue(spark, d)
+    j = lines.join(c.select(F.col("id").alias("line_id"), "name", F.col("size").alias("s")), "line_id")
+    return j.select("line_id", reports.likeness(F.col("variety"), F.col("name")).alias("score"), reports.suspicious(F.col("variety"), F.col("name"), F.col("size"), F.col("s")).alias("reasons"))
+
+
+@query
+def clean_texts(spark, d):
+    return t.table(spark, d, "supplier").select("s_suppkey", reports.clean_header(F.concat(F.lit("(cid:3) "), F.col("s_name"))).alias("header"), reports.clean_name(F.col("s_name")).alias("name"))
+
+
 # --- records and files
 
 
@@ -495,9 +626,25 @@ def alias_unify(spark, d):
 
 @query
 def line_patches(spark, d):
-    o = t.headers(spark, d).select("invoice", "customer_id", "status")
-    patches = o.where("customer_id % 5 = 0").select("invoice", F.when(F.col("invoice") % 2 == 0, F.lit("X")).alias("status"), (F.col("customer_id") + 1).alias("customer_id"))
-    return records.patch(o, patches, ["status", "customer_id"], ["invoice"])
+    lines = _lined(spark, d).groupBy("invoice", "line_no").agg(F.min(F.struct("stems", F.lower("match_status").alias("label"))).alias("x")).select("invoice", "line_no", "x.*")
+    n = F.col("invoice") + F.col("line_no")
+    patches = lines.where(n % 3 == 0).select("invoice", "line_no", F.when(n % 2 == 0, F.col("stems") + 1).alias("stems"), F.when(n % 5 == 0, records.NULL).when(n % 7 == 0, F.repeat(F.lit("ab"), 40)).alias("label"))
+    return records.patch(lines, patches, ["stems", "label"], ["invoice", "line_no"])
+
+
+@query
+def restored_lines(spark, d):
+    """Lines written as JSON and read again, some without a field or with one of another type."""
+    o = t.headers(spark, d)
+    value = F.when(F.col("invoice") % 3 == 0, F.to_json(F.struct(F.col("customer_id").alias("stems"), F.col("status").alias("variety")))).when(F.col("invoice") % 3 == 1, F.lit('{"stems": "many", "variety": 5}')).otherwise(F.lit("{broken"))
+    return records.restore(o.select("invoice", value.alias("value")), "stems long, variety string", {"stems": 0, "variety": "?"})
+
+
+@query
+def line_confidence(spark, d):
+    lines = t.lines(spark, d).select("invoice", "line_no", "article_id", "provider_id", "extraction_confidence", "extraction_source")
+    documents = t.headers(spark, d).where("invoice % 10 <> 0").select("invoice", (F.col("invoice") % 7 / 10.0).alias("confidence"), F.when(F.col("invoice") % 2 == 0, "ocr").otherwise("native").alias("source"))
+    return records.confident(lines, documents, "invoice")
 
 
 @query

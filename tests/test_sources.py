@@ -14,7 +14,10 @@ def test_event_log_skips_broken_lines_and_appends(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", "propuesta", 1), ("2024-02-01", "decision", 2)], "ts string, evento string, provider_id int")
     files.append_events(rows, p)
     (tmp_path / "log" / "more.json").write_text('{"ts": "2024-03-01", "evento": "decision", "provider_id": 2}\n{broken\n\n[1]\n')
-    assert files.read_events(spark, p).where("ts is not null").count() == 3
+    (tmp_path / "log" / "odd.json").write_text('{"ts": "2024-04-01", "evento": "decision", "provider_id": "many"}\n')
+    log = files.read_events(spark, p)
+    assert log.count() == log.select("ts").count() == len(log.collect()) == 4
+    assert [r.provider_id for r in log.where("ts = '2024-04-01'").collect()] == [None]
     assert files.read_events(spark, p, since="2024-02-01", provider=2).count() == 2
 
 
@@ -34,6 +37,40 @@ def test_unzip(spark):
     assert sorted((r.path, r.name, bytes(r.content).decode()) for r in files.unzip(df).collect()) == [("one", "x.PDF", "b/x.PDF"), ("one", "x.pdf", "a/x.pdf"), ("one", "x_2.pdf", "c/x.pdf")]
 
 
+def test_encrypted_members_give_no_rows(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.pdf", b"plain")
+        z.writestr("b.pdf", b"secret")
+    raw = bytearray(out.getvalue())
+    at = raw.find(b"PK\x01\x02", raw.find(b"PK\x01\x02") + 1)
+    raw[at + 8] |= 1  # the second member says that it's encrypted
+    got = files.unzip(spark.createDataFrame([("one", raw)], "path string, content binary")).collect()
+    assert [r.name for r in got] == ["a.pdf"]
+
+
+def test_listing_store_and_reports(spark, tmp_path):
+    for name in ("b.PDF", "sub/A.pdf", "c.txt"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"12345")
+    assert [(r.name, r.bytes) for r in files.list_files(spark, str(tmp_path / "in")).collect()] == [("A.pdf", 5), ("b.PDF", 5)]
+    root = str(tmp_path / "store")
+    for v in (1, 2):
+        files.save_store(spark.range(v), root, v)
+    (tmp_path / "store" / "version=3").mkdir()  # a write that never ended
+    assert files.load_store(spark, root).count() == 2
+    for kind in ("csv", "json"):
+        files.write_report(spark.range(3), str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_only_known_fields_are_patched(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        records.patch(spark.range(1), spark.range(1).selectExpr("id", "1 as provider_id"), ["provider_id"], ["id"])
+
+
 def test_skipped_names(spark):
     df = spark.createDataFrame([("DUA 12.pdf",), ("12 DUA.pdf",), ("--dua.pdf",), ("invoice.pdf",), ("",)], "n string")
     assert [r[0] for r in df.select(files.skipped(F.col("n"), ["DUA", "AWB"])).collect()] == [True, False, True, False, False]
