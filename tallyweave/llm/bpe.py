@@ -8,7 +8,8 @@ A token may follow another if the merges inside both, run in rank order, never f
 across the border between them.
 
 Defined cases: null and empty texts give no ids, and the hash of no bytes. Repeated rows and ids are
-encoded row by row. Other columns of the input are ignored.
+encoded row by row, a null doc_id stays null, an empty table gives no rows. Very long texts go alone, whole, and pieces of any length are encoded.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

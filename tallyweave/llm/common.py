@@ -125,6 +125,8 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, n: str
     ``right`` has one row a key, with the number of rows of left that have it (or more) in ``n``; ``total`` is at least the sum of n.
     Hot keys are fewer than HOT by arithmetic, so they are broadcast; the others are shuffled. ``right`` is written once, so that plans stay small.
     """
+    if total < HOT_ROWS:
+        return left.join(right, key)
     right = materialize(right, "keys")
     is_hot = (F.col(n) >= HOT_ROWS) & (F.col(n).cast("double") * HOT > total)
     hot = right.where(is_hot)

@@ -7,7 +7,8 @@ hash's first 12 bits, the bucket is found in which the budget ends, and only tha
 
 Defined cases: null and empty texts have size 0; a null source is a source of its own, named last. Documents of
 size 0 take 0. Rows with the same doc_id share a hash and are taken or left together; a null doc_id has the
-hash of the empty string. An empty table gives an empty result.
+hash of the empty string. An empty table gives an empty result. Very long texts are counted whole. ``mix`` reads doc_id, text and source only,
+whatever other columns are named; ``mixed`` returns all columns of the documents.
 """
 
 from __future__ import annotations

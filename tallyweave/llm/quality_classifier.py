@@ -5,7 +5,9 @@ of its features' vectors, and a softmax over two classes judges it. Vectors and
 stochastic gradient descent on a bounded sample of labelled rows. To score, each bucket's vector is first multiplied
 with the difference of the two class vectors: as the mean is linear, one number a bucket gives the same result.
 
-Defined cases: null and empty texts get the score of the biases alone. Without usable labels of both kinds every score is 0.5.
+Defined cases: null and empty texts get the score of the biases alone. Without usable labels of both kinds every score is 0.5. Repeated rows are scored
+row by row, a null doc_id counts as the empty text for held_out and stays null, an empty table gives no rows. Very long texts are hashed in blocks, whole.
+Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

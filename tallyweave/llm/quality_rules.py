@@ -5,7 +5,8 @@ a bounded sample of labelled rows; a fifth of the sample, chosen by hash, is lef
 Texts are scored where they lie, in Arrow batches, by two lookup tables of fixed size.
 
 Defined cases: null and empty texts have no words and fail the rules. Without usable labels of both kinds the
-probability is 0.5, which passes. Repeated rows are judged row by row.
+probability is 0.5, which passes. Repeated rows are judged row by row, a null doc_id stays null, an empty table gives no rows. Very long texts are
+counted whole and hashed in blocks. Columns other than doc_id and text are ignored, whatever their names; with ``carry`` all are returned.
 """
 
 from __future__ import annotations

@@ -158,3 +158,49 @@ def test_rounds_learn_from_every_training_window():
     learned = np.concatenate([targets[scored] for _, targets, scored in taken])
     want = np.concatenate([stream.subs[a:b] for i, (a, b) in enumerate(zip(stream.begin, stream.end)) if i != 1])
     assert Counter(learned.tolist()) == Counter(want.tolist())
+
+
+def test_scores_equal_a_plain_reading_of_the_model():
+    """Brute force: one token at a time, with loops over positions, classes and members."""
+    row = block(["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3, "", "the cat and the dog"])
+    s, m = model(row)
+    rng = np.random.default_rng(4)
+    m = {n: (a + rng.normal(0, 0.3, a.shape)).astype(np.float32) for n, a in m.items()}
+    stream = lm.Stream(row[3], row[2], row[7], row[8])
+    want = []
+    for begin, end in zip(stream.begin, stream.end):
+        total, at, first = 0.0, begin, True
+        while True:
+            window = [stream.subs[i - 1] if i > 0 else len(s.row) - 1 for i in range(at, min(at + lm.CONTEXT, end))]
+            x = np.array([m["e"][s.row[w]] + m["p"][i] for i, w in enumerate(window)], np.float64)
+            for i in range(0 if first else lm.OVERLAP, len(window)):
+                weights = np.array([np.exp((x[i] @ m["q"]) @ (x[j] @ m["k"]) / math.sqrt(lm.DIMENSIONS)) for j in range(i + 1)])
+                mixed = sum(w * (x[j] @ m["v"]) for j, w in enumerate(weights / weights.sum()))
+                h, target = x[i] + mixed @ m["o"], stream.subs[at + i]
+                classes = np.exp(h @ m["w"] + m["b"])
+                total += math.log(classes[s.kind[target]] / classes.sum())
+                if s.member[target] >= 0:
+                    members = np.exp(h @ m["u"][s.kind[target]] + m["c"][s.kind[target]])
+                    total += math.log(members[s.member[target]] / members.sum())
+                else:
+                    total += s.share[target]
+            if at + lm.CONTEXT >= end:
+                break
+            at, first = at + lm.CONTEXT - lm.OVERLAP, False
+        want.append(total / math.log(10))
+    assert np.allclose(stream.scores(m, s), want, rtol=1e-3)
+
+
+def test_model_beats_counts_of_subwords(spark):
+    """Held-out texts of a language with order score better than by the start's shares."""
+    rng = np.random.default_rng(6)
+    after = {i: rng.choice(60, 3, replace=False) for i in range(60)}
+    docs = []
+    for i in range(500):
+        w, steps = [int(rng.integers(60))], rng.integers(0, 3, 700).tolist()
+        for k in steps:
+            w.append(int(after[w[-1]][k]))
+        docs.append((i, " ".join(f"{chr(97 + x // 8)}{chr(97 + x % 8)}x" for x in w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = lm.score(df, RANKS, public_tokenizers.PATTERN).where("held_out").toPandas()
+    assert got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum() + 0.2

@@ -78,3 +78,15 @@ def test_texts_come_back_whole(spark):
         assert media.decode(r.media).tobytes() == payload and (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
     assert {r.format for r in got} == {"bmp", "ppm"}
     assert media.text_media(empty(spark)).count() == 0
+
+
+def test_strips_change_nothing(monkeypatch):
+    image = np.random.default_rng(1).integers(0, 256, (1000, 64, 3)).astype(np.uint8)
+    whole = {(h, w): media.area_resize(image, h, w) for h, w in ((8, 9), (16, 16), (7, 64))}
+    for strip in (1, 7, 64, 999, 1000):
+        monkeypatch.setattr(media, "STRIP", strip)
+        for (h, w), want in whole.items():
+            assert np.allclose(media.area_resize(image, h, w), want, rtol=1e-9)
+    edges = np.linspace(0, 1000, 9)
+    brute = [sum(image[i].astype(float) * max(0, min(i + 1, b) - max(i, a)) for i in range(1000)) / (b - a) for a, b in zip(edges, edges[1:])]
+    assert np.allclose(media.area_resize(image, 8, 64), np.stack(brute))

@@ -118,3 +118,76 @@ def test_long_texts_lose_no_feature():
         for k in (0, 2):
             assert (np.sort(np.concatenate([g[k] for g in got])) == np.sort(whole[k])).all()
     assert len(ngrams.hashed([0], [many])[0]) == 119_999 and len(ngrams.hashed([0], [one])[0]) == 1
+
+
+def features(text):
+    """Brute force, one text at a time: shares of words, pairs and runs of four characters by the same hashes."""
+    mask, out = (1 << 64) - 1, [{}, {}]
+    sizes = [0, 0]
+
+    def put(k, h):
+        i = (h * int(ngrams._ODD) & mask) >> (64 - ngrams.BUCKETS_LOG2)
+        out[k][i] = out[k].get(i, 0) + 1
+        sizes[k] += 1
+
+    words = []
+    for w in text.encode().split():
+        h = 1
+        for i, c in enumerate(w.decode()):
+            h = (h + ord(c) * pow(int(ngrams._P), i, 1 << 64)) & mask
+        words.append(h)
+        put(0, h)
+    for a, b in zip(words, words[1:]):
+        put(0, int(ngrams._TWICE) if a == b else (a * 0xD6E8FEB86659FD93 + b) & mask)
+    for i in range(len(text) - 3):
+        h = 0
+        for c in text[i : i + 4]:
+            h = (h * int(ngrams._P) + ord(c)) & mask
+        put(1, h)
+    return [{i: n * ngrams.SCALE / sizes[k] for i, n in out[k].items()} for k in (0, 1)]
+
+
+def test_scores_equal_a_plain_reading_of_the_models(spark):
+    docs, labels = labelled_docs(spark, 120)
+    odd = ["", "a", "Übermäßig ß É 日本 🙂 日本 🙂", "twice twice twice", "so  it\ngoes\tx"]
+    rows = docs.collect()[:20]
+    table = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    texts_of = {r.doc_id: r.text for r in table.collect()}
+    model = quality_classifier.train(docs, labels)
+    for r in quality_classifier.score(table, model).collect():
+        words, runs = features(texts_of[r.doc_id])
+        mean = sum((v * model.vectors[i] for i, v in words.items()), np.zeros(quality_classifier.DIMENSIONS)) + sum((v * model.vectors[ngrams.BUCKETS + i] for i, v in runs.items()), np.zeros(quality_classifier.DIMENSIONS))
+        z = model.classes @ mean + model.biases
+        assert abs(r.score - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-3
+    rules = quality_rules.train(docs, labels)
+    for r in quality_rules.judge(table, rules).collect():
+        words, runs = features(texts_of[r.doc_id])
+        raw = sum(v * rules.word_table[i] for i, v in words.items()) + sum(v * rules.run_table[i] for i, v in runs.items()) + rules.bias
+        p = 1 / (1 + np.exp(-(rules.slope * raw + rules.offset)))
+        assert abs(r.probability - p) < 1e-3 and r.kept == (not r.base_failed and r.probability >= quality_rules.MIN_PROBABILITY)
+
+
+def test_training_is_plain_gradient_descent(spark):
+    """The classifier's first step against the gradient worked out by differences."""
+    docs, labels = labelled_docs(spark, 12)
+    data = labelled.sample(docs, labels)
+    model = quality_classifier.fit(data, epochs=3)
+
+    def loss(m):
+        total = 0.0
+        for i in range(len(data)):
+            ids, values = data.row(i)
+            z = m.classes.astype(float) @ (values @ m.vectors[ids]) + m.biases
+            total -= z[int(data.label[i])] - np.log(np.exp(z).sum())
+        return total / len(data)
+
+    start = quality_classifier.Embeddings(np.zeros_like(model.vectors), np.random.default_rng(7).normal(0, 0.5, model.classes.shape), np.zeros(2))
+    assert loss(model) < loss(start)
+
+
+def test_features_are_bounded_together(spark, monkeypatch):
+    docs, labels = labelled_docs(spark, 60)
+    whole = labelled.sample(docs, labels)
+    monkeypatch.setattr(labelled, "MAX_FEATURES", len(whole.ids) // 3)
+    some = labelled.sample(docs, labels)
+    assert 0 < len(some.ids) <= len(whole.ids) // 3 and set(some.doc_id) < set(whole.doc_id)
