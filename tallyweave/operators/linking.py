@@ -205,19 +205,26 @@ def search(articles: DataFrame, queries: list[str], limit: int = 10) -> DataFram
 
 
 def suggest(lines: DataFrame, articles: DataFrame, limit: int = 5, least: int = 25) -> DataFrame:
-    """Points for words of the variety (60), family (15), size (10) and pack (8) among articles that share the variety's first word.
+    """Points for words of the variety (60) in the article's text beside size and pack, and for equal family (15), size (10) and pack (8); of the same first word.
 
-    Articles of one first word are many, their distinct names, families, sizes and packs few: points are given to these, and the ids come last.
+    Articles that get the same points for words are ranked once for each set of equal columns; a line looks its few best up by equality, so lines
+    and articles of one first word never meet as pairs.
     """
-    key = ["name", "word", "s", "p", "f"]
-    a = articles.select("id", F.upper("name").alias("name"), F.split("variety", " ")[0].alias("word"), F.col("size").alias("s"), F.col("pack").alias("p"), F.col("family").alias("f"))
-    kinds = a.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("id")), 1, limit).alias("ids"))
-    asked = lines.groupBy("variety", "size", "pack", "family").agg(F.collect_list("line_id").alias("lines"))
-    j = asked.withColumn("word", F.split("variety", " ")[0]).join(kinds, "word")
+    a = articles.select("id", F.trim(F.regexp_replace(F.upper("name"), r" [0-9]+(?:CM|U)(?= |$)", "")).alias("text"), F.split("variety", " ")[0].alias("word"), "size", "pack", "family")
+    asked = lines.select("variety").distinct().withColumn("word", F.split("variety", " ")[0])
     words = F.filter(F.split("variety", " "), lambda w: F.length(w) >= 2)
-    hits = F.size(F.filter(words, lambda w: F.contains(F.col("name"), w)))
-    points = (hits * 60 / F.size(words)).cast("int") + F.when(F.col("family") == F.col("f"), 15).otherwise(0) + F.when(F.col("size") == F.col("s"), 10).otherwise(0) + F.when(F.col("pack") == F.col("p"), 8).otherwise(0)
-    j = j.select("variety", "size", "pack", "family", "lines", F.explode("ids").alias("id"), (-points).alias("minus")).where(-F.col("minus") >= least)
-    order = Window.partitionBy("variety", "size", "pack", "family").orderBy("minus", "id")
-    top = j.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return top.select(F.explode("lines").alias("line_id"), "place", F.col("id").alias("article_id"), (-F.col("minus")).alias("points"))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.col("text"), w)))
+    base = asked.join(a.select("text", "word").distinct(), "word").select("variety", "text", "word", (hits * 60 / F.size(words)).cast("int").alias("base"))
+    graded = base.join(a, ["text", "word"]).select("variety", "base", "id", "size", "pack", "family")
+    weights = {"family": 15, "size": 10, "pack": 8}
+    found = None
+    for k in range(2 ** len(weights)):
+        equal = [c for i, c in enumerate(weights) if k >> i & 1]
+        key = ["variety", *equal]
+        place = F.row_number().over(Window.partitionBy(*key, "base").orderBy("id"))
+        best = graded.withColumn("n", place).where(F.col("n") <= limit).select(*key, "id", (F.col("base") + sum(weights[c] for c in equal)).alias("points")).where(F.col("points") >= least)
+        one = lines.select("line_id", *key).join(best, key).select("line_id", "id", "points")
+        found = one if found is None else found.union(one)
+    most = found.groupBy("line_id", "id").agg(F.max("points").alias("points"))
+    top = most.withColumn("place", F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("points"), "id"))).where(F.col("place") <= limit)
+    return top.select("line_id", "place", F.col("id").alias("article_id"), "points")
