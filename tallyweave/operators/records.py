@@ -112,13 +112,6 @@ def strip_suffix(name: Column, suffixes: list[str]) -> Column:
     return F.trim(F.regexp_replace(name, f"(?i)\\s+({'|'.join(suffixes)})\\s*$", ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 100: equal, contained, or the share of common words."""
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    common = F.size(F.array_intersect(x, y))
-    return F.when(a == b, 100).when(F.contains(a, b) | F.contains(b, a), 90).otherwise((common * 80 / F.greatest(F.size(x), F.size(y))).cast("int"))
-
-
 def modifiers(variety: Column, name: Column) -> Column:
     """Colour modifiers that the name has and the variety lacks."""
     return F.array_sort(F.array_except(F.array_intersect(F.split(name, " "), F.array(*map(F.lit, MODIFIERS))), F.split(variety, " ")))

@@ -418,9 +418,6 @@ SELECT provider_id, variety, arg_min(article_id, list_position(['ok', 'ambiguous
 SELECT variety, size, pack, arg_min(id, moved * 1000000000 + id) AS article_id, count(*) AS n FROM m GROUP BY 1, 2, 3""",
     "truncated_names": f"""WITH {_ARTICLES}, s AS (SELECT *, CASE WHEN id % 4 = 0 THEN substr(name, 1, 9) ELSE name END AS stored FROM articles) SELECT id, CASE WHEN NOT regexp_matches(stored, '[0-9]U') AND starts_with(name, trim(stored)) THEN name ELSE stored END AS name FROM s""",
     "provider_suffix": f"WITH {_ARTICLES} SELECT id, trim(regexp_replace(variety, '(?i)\\s+(rod|bolt|ring)\\s*$', '')) AS stripped FROM articles",
-    "similarity_buckets": f"""WITH {_ARTICLES}, n AS (SELECT a.variety AS x, b.variety AS y FROM articles a JOIN articles b ON a.id + 1 = b.id),
-s AS (SELECT CASE WHEN x = y THEN 100 WHEN contains(x, y) OR contains(y, x) THEN 90 ELSE floor(len(list_intersect(string_split(x, ' '), string_split(y, ' '))) * 80 / greatest(len(list_distinct(string_split(x, ' '))), len(list_distinct(string_split(y, ' ')))))::INT END AS score FROM n)
-SELECT score, count(*) AS n FROM s GROUP BY 1""",
     "color_modifiers": f"""WITH {_ARTICLES} SELECT id, array_to_string(list_sort([w FOR w IN list_distinct([CASE id % 4 WHEN 0 THEN 'DARK' WHEN 1 THEN 'LIGHT' WHEN 2 THEN 'NEON' END, CASE WHEN id % 5 = 0 THEN 'CLARO' END]) IF w IS NOT NULL AND NOT (w = 'CLARO' AND id % 3 = 0)]), ',') AS missing FROM articles""",
     "match_confidence": f"WITH {_LINES} SELECT invoice, line_no, article_id, provider_id, CASE WHEN link_confidence = 0 THEN 1.0::DOUBLE ELSE link_confidence END * 1.0::DOUBLE * CASE WHEN extraction_confidence = 0 THEN 1.0::DOUBLE ELSE extraction_confidence END AS confidence FROM lines",
     "sql_export": f"""WITH {_ARTICLES}, l AS (SELECT id, format('({{}}, {{}}{{}}{{}}, {{}}, {{}})', id % 9, chr(39), replace(variety, ' ', chr(39) || chr(39) || ' '), chr(39), size, CASE WHEN id % 6 = 0 THEN 0 ELSE id END) AS v FROM articles)
@@ -441,3 +438,4 @@ SELECT folder, count(*) AS n, count(*) FILTER (state = 'empty') AS empty, count(
     "sql_dump": "SELECT p_partkey AS id, p_name AS name, 'it''s, ' || p_brand AS brand, NULL::VARCHAR AS nothing, p_size AS size, p_partkey AS again FROM part",
     "retention": f"WITH {_LOG} SELECT event_id, key, kind FROM log WHERE ts < (SELECT max(ts) FROM log) - INTERVAL 20 DAY",
 }
+ORACLE_SQL["similarity_buckets"] = f"SELECT score, count(*) AS n FROM ({ORACLE_SQL['link_likeness']}) GROUP BY 1"

@@ -695,12 +695,8 @@ def provider_suffix(spark, d):
 
 @query
 def similarity_buckets(spark, d):
-    """Each link of a line to its article, by how alike their names are."""
-    a = t.articles(spark, d)
-    score = records.likeness(F.col("variety"), F.regexp_extract("name", "^(.*?) [0-9]+CM", 1))
-    other = a.select(F.col("id").alias("next_id"), F.col("name").alias("next_name"))
-    near = a.select("id", "variety").join(other, F.col("id") + 1 == F.col("next_id"))
-    return near.select("id", records.likeness(F.col("variety"), F.regexp_extract("next_name", "^(.*?) [0-9]+CM", 1)).alias("score")).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    """How many links of lines to their articles have which likeness."""
+    return link_likeness(spark, d).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import records
+from tallyweave.operators import records, reports
 from tallyweave.sources import files
 
 
@@ -97,6 +97,6 @@ def test_orphans_count_each_use_once(spark):
 
 def test_likeness_and_names(spark):
     df = spark.createDataFrame([("RED ROSE", "RED ROSE"), ("ROSE", "RED ROSE"), ("RED TULIP", "RED ROSE"), ("A", "B")], "a string, b string")
-    assert [r[0] for r in df.select(records.likeness(F.col("a"), F.col("b"))).collect()] == [100, 90, 40, 0]
+    assert [r[0] for r in df.select(reports.likeness(F.col("a"), F.col("b"))).collect()] == [100, 100, 42, 0]
     one = spark.createDataFrame([("ROSA EC FREED", "ROSA EC FREEDOM", 50, 25, "X")], "n string, v string, s int, p int, b string")
     assert one.select(records.rebuild_name(*(F.col(c) for c in "nvspb"))).first()[0] == "ROSA EC FREEDOM 50CM 25U X"
