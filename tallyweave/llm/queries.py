@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash
+from . import bpe, fill_in_middle, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -60,9 +60,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_output=False).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier)
+    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier, op11_fill_in_middle)
 }
 
 _LINES = r"""
@@ -95,4 +99,19 @@ below AS (SELECT w.source, min(s.h) FILTER (s.upto - s.n / 2.0 > w.target - w.wh
 SELECT d.doc_id, d.size, w.source_size, w.target,
   CASE WHEN d.size > 0 THEN d.size * (w.whole + CASE WHEN d.h < coalesce(b.below, 281474976710656) THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
 FROM sized d JOIN whole w ON d.source IS NOT DISTINCT FROM w.source LEFT JOIN below b ON b.source IS NOT DISTINCT FROM d.source""",
+    "op11_fill_in_middle": r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+drawn AS (SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2,
+  ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4 FROM hashed),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+  array_to_string(units[high + 1:n], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256 FROM parts""",
 }
