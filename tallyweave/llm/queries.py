@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash
+from . import bpe, fill_in_middle, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash, vector_codes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -64,11 +64,42 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_output=False).drop("output")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier, op11_fill_in_middle)
+    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier, op11_fill_in_middle, op13_vector_codes)
 }
 
+
+def _lloyd_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Lloyd's rounds, one after the other, each with all distances."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (SELECT x.row, x.part, arg_min(b.entry, (x.size - 2 * list_dot_product(x.v, b.v) + b.size, b.entry)) AS entry,
+  min(x.size - 2 * list_dot_product(x.v, b.v) + b.size) AS far FROM parts x JOIN book{r} b USING (part) GROUP BY x.row, x.part)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (SELECT part, entry, list(floor(total / n) ORDER BY i) AS v FROM (SELECT part, entry, i, sum(x) AS total, count(*) AS n
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM near{r} JOIN parts USING (row, part)) GROUP BY ALL) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT part, entry, v, list_dot_product(v, v) AS size FROM (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN mean{r} m USING (part, entry)))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, part, v, list_dot_product(v, v) AS size FROM (
+  SELECT row, p.part, v[p.part * len(v) // 4 + 1:(p.part + 1) * len(v) // 4] AS v FROM kept, (SELECT unnest(range(4)) AS part) p)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v, size FROM parts WHERE row <= 256),{",".join(steps)},
+sha AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS sha FROM (
+  SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM book{rounds})),
+coded AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+  FROM near{rounds} JOIN kept USING (row) GROUP BY row, vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded, sha"""
+
+
 _LINES = r"""
 lines AS (SELECT doc_id, u.i, u.line FROM documents, LATERAL (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line,
   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i) u),
@@ -114,4 +145,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(prefix || middle || suffix) AS restored_sha256 FROM parts""",
+    "op13_vector_codes": _lloyd_sql(),
 }
