@@ -8,6 +8,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run within give back their shuffle files as soon as they end; for tables that are written once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table made by ``materialize`` that no later step reads."""
     path = getattr(df, "_tallyweave_path", None)

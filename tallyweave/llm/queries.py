@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash, vector_codes
+from . import bpe, fill_in_middle, html_wrapper, line_dedup, lm, media, mixing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, vector_codes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -64,13 +64,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), keep_output=False).drop("output")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier, op11_fill_in_middle, op13_vector_codes)
+    for f in (op1_line_dedup, op2_html_extraction, op3_bpe, op4_quality_rules, op5_simhash, op6_mixing, op7_media, op8_lm_scoring, op9_pii, op10_quality_classifier, op11_fill_in_middle, op12_suffix_dedup, op13_vector_codes)
 }
 
 
@@ -146,4 +150,20 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(prefix || middle || suffix) AS restored_sha256 FROM parts""",
     "op13_vector_codes": _lloyd_sql(),
+    "op12_suffix_dedup": """
+WITH bodies AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents),
+sized AS (SELECT *, length(hex) // 2 AS n FROM bodies),
+slices AS (SELECT row, doc_id, n, j * 1000 AS at, substr(hex, j * 2000 + 1, 2098) AS slice
+  FROM (SELECT row, doc_id, n, hex, unnest(range((n + 999) // 1000)) AS j FROM sized WHERE n >= 50)),
+strings AS (SELECT row, doc_id, at + i AS start, md5(substr(slice, i * 2 + 1, 100)) AS string
+  FROM (SELECT *, unnest(range(least(1000, n - 49 - at))) AS i FROM slices WHERE n - 49 - at > 0)),
+least AS (SELECT string, min(doc_id) AS doc_id FROM strings GROUP BY string HAVING count(*) > 1),
+hits AS (SELECT s.row, s.start FROM strings s JOIN least l USING (string) WHERE l.doc_id < s.doc_id),
+fresh AS (SELECT row, start, (start > coalesce(lag(start) OVER (PARTITION BY row ORDER BY start) + 50, -1))::INT AS is_new FROM hits),
+runs AS (SELECT row, min(start) AS a, max(start) + 50 AS b FROM (SELECT row, start, sum(is_new) OVER (PARTITION BY row ORDER BY start) AS run FROM fresh) GROUP BY row, run),
+kept AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS since FROM runs),
+left_ AS (SELECT k.row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(s.hex, since * 2 + 1, (a - since) * 2), '' ORDER BY a) AS head
+  FROM kept k JOIN sized s USING (row) GROUP BY k.row)
+SELECT s.doc_id, s.n::BIGINT AS n_bytes, coalesce(l.n_removed, 0)::BIGINT AS n_removed, coalesce(l.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(l.head, '') || substr(s.hex, coalesce(l.last, 0) * 2 + 1))) AS kept_sha256 FROM sized s LEFT JOIN left_ l USING (row)""",
 }
