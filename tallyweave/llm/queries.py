@@ -153,10 +153,10 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
     "op12_suffix_dedup": """
 WITH bodies AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents),
 sized AS (SELECT *, length(hex) // 2 AS n FROM bodies),
-slices AS (SELECT row, doc_id, n, j * 1000 AS at, substr(hex, j * 2000 + 1, 2098) AS slice
+slices AS (SELECT row, doc_id, n, j * 1000 AS base, substr(hex, j * 2000 + 1, 2098) AS slice
   FROM (SELECT row, doc_id, n, hex, unnest(range((n + 999) // 1000)) AS j FROM sized WHERE n >= 50)),
-strings AS (SELECT row, doc_id, at + i AS start, md5(substr(slice, i * 2 + 1, 100)) AS string
-  FROM (SELECT *, unnest(range(least(1000, n - 49 - at))) AS i FROM slices WHERE n - 49 - at > 0)),
+strings AS (SELECT row, doc_id, base + i AS start, md5(substr(slice, i * 2 + 1, 100)) AS string
+  FROM (SELECT *, unnest(range(least(1000, n - 49 - base))) AS i FROM slices WHERE n - 49 - base > 0)),
 least AS (SELECT string, min(doc_id) AS doc_id FROM strings GROUP BY string HAVING count(*) > 1),
 hits AS (SELECT s.row, s.start FROM strings s JOIN least l USING (string) WHERE l.doc_id < s.doc_id),
 fresh AS (SELECT row, start, (start > coalesce(lag(start) OVER (PARTITION BY row ORDER BY start) + 50, -1))::INT AS is_new FROM hits),

@@ -12,7 +12,7 @@ The suffixes of a corpus don't fit one array, so strings are dealt by a gram tha
 4. A gram that more than one chunk or task holds is open: of each of its strings only the least document of a chunk isn't decided; these meet by
    a hash of the string (128 bits), a row a chunk at most.
 
-Documents get the spans they lose; texts meet them by one more shuffle, unless the spans are small enough to be broadcast. A gram or passage that a third of all documents
+Texts that are equal to one with a smaller doc_id lose all their bytes and give no pieces. Documents get the spans they lose; texts meet them by one more shuffle, unless the spans are small enough to be broadcast. A gram or passage that a third of all documents
 hold is cut over tasks by the range, and equal pieces are sorted once a chunk.
 
 Defined cases: null and empty texts have no bytes. Texts shorter than ``length`` lose none. A null doc_id is smaller than all others; rows that share a
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, blobs, bound_batches, by_size, freed_shuffles, materialize, text_bytes
+from .common import batch, blobs, bound_batches, by_size, freed_shuffles, join_counted, materialize, release, text_bytes
 
 LENGTH, GRAM, CHUNK = 50, 16, 2 << 20
 _NO_ID = -(1 << 63)
@@ -208,8 +208,19 @@ def shared_grams(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return dealt.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").mapInArrow(several, "doc long, salt int, gram long")
 
 
-def shared_pieces(docs: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """gram, doc, same, start, body: the pieces of texts around their shared grams."""
+def copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc, salt, same, n: texts that a smaller doc_id also has, whole; texts of ``length`` bytes and more only."""
+    rows = _keyed(docs).where(F.length("body") >= length).select("doc", "salt", "same", F.length("body").alias("n"), F.md5("body").alias("md5"))
+    rows = materialize(rows, "texts")
+    least = rows.groupBy("md5").agg(F.count("*").alias("n_rows"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    found = join_counted(rows, least, "md5", rows.count(), "n_rows").where("doc > least").select("doc", "salt", "same", "n")
+    found = materialize(found, "copies")
+    release(rows)
+    return found
+
+
+def shared_pieces(docs: DataFrame, shared: DataFrame, whole: DataFrame, length: int = LENGTH) -> DataFrame:
+    """gram, doc, same, start, body: the pieces of texts around their shared grams, of all texts but the ``copies`` in ``whole``."""
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +237,9 @@ def shared_pieces(docs: DataFrame, shared: DataFrame, length: int = LENGTH) -> D
                 yield batch(schema, gram, part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], start, cuts)
 
     lists = shared.groupBy("doc", "salt").agg(F.collect_list("gram").alias("grams"))
-    rows = _keyed(docs).where(F.length("body") >= length).join(lists, ["doc", "salt"]).select("doc", "same", "body", "grams")
+    lists = lists.join(whole.groupBy("doc", "salt").agg(F.collect_set("same").alias("copies")), ["doc", "salt"], "left")
+    rows = _keyed(docs).where(F.length("body") >= length).join(lists, ["doc", "salt"])
+    rows = rows.where(~F.coalesce(F.array_contains("copies", F.col("same")), F.lit(False))).select("doc", "same", "body", "grams")
     return rows.mapInArrow(cut, "gram long, doc long, same long, start int, body binary")
 
 
@@ -353,7 +366,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> Data
 
     with freed_shuffles(docs.sparkSession):
         shared = materialize(shared_grams(docs, length), "grams")
-    lost = spans(shared_pieces(docs, shared, length), length)
+        whole = copies(docs, length)
+        found = materialize(shared_pieces(docs, shared, whole, length), "pieces")
+        release(shared)
+    lost = spans(found, length).unionByName(whole.select("doc", "same", F.lit(0).alias("start"), F.col("n").alias("size")))
+    release(found)
     lists = lost.groupBy("doc", "same").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("size")).alias("lost"))
     rows = _keyed(docs).select("doc_id", "doc", "same", "body").join(lists, ["doc", "same"], "left").select("doc_id", "body", "lost")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
