@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.text import COLORS
 from ..operators import linker, reports
 from ..operators.learning import FAULT_WEIGHT
-from . import suppliers
+from . import printed, suppliers
 from .queries import HARD_BRANDS, HEADER_PATTERNS, LATE, LINE_PATTERNS, MANUAL_BRANDS, OWNERS, PROVIDER_PATTERNS, SEARCHES
 
 
@@ -355,7 +355,7 @@ j AS (SELECT g.*, g.variety = f.variety AS v, g.size = f.size AS z, g.stems = f.
   FROM gold g LEFT JOIN walked w ON w.doc_id = g.doc_id AND w.gold_no = g.line_no LEFT JOIN found f ON f.doc_id = g.doc_id AND f.line_no = w.found_no),
 m AS (SELECT 'variety' AS field, count(*) AS n, count(*) FILTER (v) AS ok FROM j UNION ALL SELECT 'size', count(*), count(*) FILTER (z) FROM j UNION ALL SELECT 'stems', count(*), count(*) FILTER (s) FROM j UNION ALL SELECT 'line_total', count(*), count(*) FILTER (l) FROM j
 UNION ALL SELECT 'link', count(*) FILTER (article_id > 0), count(*) FILTER (article_id > 0 AND a) FROM j UNION ALL SELECT 'line', count(*), count(*) FILTER (v AND z AND s AND l AND a) FROM j) SELECT *, round(ok::DOUBLE / n, 4) AS accuracy FROM m""",
-    "layout_rows": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', " + ", ".join(_value(x) for x in row) + ")" for i, (n, (_, rows)) in enumerate(suppliers.SAMPLES.items()) for row in rows) + ") v(doc_id, fmt, line_no, species, variety, grade, size, pack, bunches, stems, price, total, box_type)",
+    "layout_rows": printed.SQL,
     "amount_texts": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.AMOUNTS) + ") v(written, amount)",
     "printed_totals": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.TOTALS) + ") v(written, total)",
     "size_places": "SELECT * FROM (VALUES " + ", ".join(f"({a}, {_value(b)}::INT)" for a, _, b in suppliers.PLACES) + ") v(word, size)",

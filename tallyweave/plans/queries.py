@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linker, linking, records, registry, reports
+from ..operators import history, invoices, layouts, learning, linker, linking, readers, records, registry, reports
 from ..sources import files
 from ..sources import tables as t
-from . import suppliers
+from . import printed, suppliers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,10 +431,9 @@ def template_rows(spark, d):
 
 @query
 def layout_rows(spark, d):
-    """Texts of every supplier's layout, as they print them, read by the table of layouts."""
-    texts = spark.createDataFrame([(i, n, x) for i, (n, (x, _)) in enumerate(suppliers.SAMPLES.items())], "doc_id int, fmt string, text string")
-    lines = registry.by_layout(texts.select("doc_id", "text"), texts.select("doc_id", "fmt"))
-    return registry.parse(lines, registry.table(spark, suppliers.LAYOUTS)).drop("label", "status")
+    """Documents in eleven suppliers' layouts, printed from the tables and read again."""
+    table = registry.table(spark, suppliers.LAYOUTS)
+    return readers.read(printed.lines(spark, d), table, suppliers.ANCHORED, suppliers.GRIDS).drop("status")
 
 
 @query
