@@ -33,7 +33,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _NUMBER = frozenset("0123456789+ ().-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _RUN = re.compile(r"[0-9+ ().-]+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Each run of digits is read once: where it doesn't begin an address, none of its digits does.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\s*[:=#]?\s*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
@@ -125,6 +126,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if m and (kind == "account" or kind == "iban" and _iban_holds(m[1]) or kind == "secret" and any(c.isdigit() for c in m[1])):
                 found.append((kind, m.start(1), m.end(1)))
                 upto[kind] = m.end(1)
+            elif m and kind == "secret":  # what has no digit has none behind a later cue either
+                upto[kind] = m.end(1)
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]]))
 
 

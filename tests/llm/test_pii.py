@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,3 +76,10 @@ def test_query_on_awkward_rows(spark):
         want.append((r.doc_id, *(sum(s[0] == k for s in b) for k in pii.BASE_KINDS), hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in b).encode()).hexdigest()))
     assert sorted((tuple(r)[:-1] for r in got), key=str) == sorted(want, key=str)
     assert pii.find(empty(spark)).count() == 0
+
+
+def test_long_inputs_take_seconds():
+    for text, n in (("1" * 10_000_000, 0), ("token=" * 500_000, 0), ("1." * 500_000, 125_000), ("9" * 2_000_000 + ".1.1.1 10.0.0.1", 1)):
+        began = time.time()
+        assert len(pii.spans(text)) == n
+        assert time.time() - began < 60
