@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import os
 import re
 import tempfile
 import uuid
@@ -148,17 +146,3 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, n: str
         return left.join(right, key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(rest.join(right.where(~is_hot), key))
-
-
-def one_thread() -> None:
-    """Numpy's matrix products in one thread: a task has one core, and threads that wait for each other only burn others'."""
-    if not os.path.exists("/proc/self/maps"):
-        return
-    with open("/proc/self/maps") as maps:
-        paths = {line.split()[-1] for line in maps if "openblas" in line}
-    for path in paths:
-        library = ctypes.CDLL(path)
-        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(ctypes.c_int(1))
-                break

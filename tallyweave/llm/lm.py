@@ -31,18 +31,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import batch, blobs, bound_batches, by_size, materialize, one_thread, text_bytes
+from .common import batch, bound_batches, by_size, materialize, text_bytes
 from .labelled import remainder
 
 BLOCK_BYTES = 8 << 20
 HELD_OUT_OF, HELD_OUT = 7, 2
-CONTEXT, OVERLAP = 16, 4
+CONTEXT, OVERLAP = 32, 4
 DIMENSIONS = 16
 CLASSES, MEMBERS = 32, 32  # the most frequent subwords, in classes of like company
 TOP = CLASSES * MEMBERS
@@ -51,7 +52,9 @@ COMPANY = 128  # the most frequent subwords before, by which those classes are m
 #: Rounds share out the windows of every block, so each training window is learned from.
 ROUNDS = 2
 #: Windows of a step.
-BATCH = 256
+BATCH = 128
+#: Windows that are scored at once: what they need stays in a core's cache.
+SCORED = 256
 _MOST = np.float32(60)
 _CAUSAL = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
@@ -94,23 +97,33 @@ def segmenter(raw: bytes, pattern: str) -> Segmenter:
     return _SEGMENTERS[key]
 
 
-def _pack(docs: list[tuple[int, bool, list[bytes]]], words: dict[bytes, int], v) -> tuple:
+def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Number of words of each text, the words as numbers, and the distinct words that these count; A-Z lower-cased."""
+    texts = pa.Array.from_buffers(pa.string(), len(bodies), bodies.buffers(), 0, bodies.offset)  # bytes that needn't be UTF-8: only ASCII is looked at
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    flat, n = pc.list_flatten(parts), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not whole.all():  # a text without words
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[whole], minlength=len(n))
+        flat = flat.filter(pa.array(whole))
+    coded = flat.dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    distinct = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), coded.dictionary.buffers(), 0, coded.dictionary.offset)
+    return n, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), distinct.to_pylist()
+
+
+def _pack(ids: list[int], held: list[bool], sizes: list[int], tokens: np.ndarray, words: dict[bytes, int], v) -> tuple:
     """A block's row; number 0 stands for the end of a text."""
-    sizes = np.array([len(w) + 1 for _, _, w in docs], np.int32)
-    tokens = np.zeros(int(sizes.sum()), "<i4")
-    at = 0
-    for _, _, w in docs:
-        tokens[at : at + len(w)] = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
-        at += len(w) + 1
-    learn = np.repeat(np.array([not held for _, held, _ in docs], bool), sizes)
+    learn = np.repeat(~np.array(held, bool), sizes)
     train = np.bincount(tokens[learn], minlength=len(words) + 1)
     n, sub = v.segment([w.decode("utf-8", "replace") for w in words])
     n, sub = np.concatenate(([1], n)).astype("<i4"), np.concatenate(([v.end], sub)).astype("<u4")
     seen = np.bincount(sub, np.repeat(train, n), v.end + 1)
-    ids = np.flatnonzero(seen)
+    found = np.flatnonzero(seen)
     return (
-        [d for d, _, _ in docs], [h for _, h, _ in docs], sizes.tolist(), tokens.tobytes(), list(words), train[1:].tolist(), int(train[0]),
-        n.tobytes(), sub.tobytes(), ids.tolist(), seen[ids].astype(np.int64).tolist(),
+        ids, held, sizes, tokens.astype("<i4").tobytes(), list(words), train[1:].tolist(), int(train[0]),
+        n.tobytes(), sub.tobytes(), found.tolist(), seen[found].astype(np.int64).tolist(),
     )
 
 
@@ -130,26 +143,26 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, number = segmenter(raw.value, pattern), TaskContext.get().partitionId() << 32
-        held: list = []
-        words: dict[bytes, int] = {}
-        size = 0
+        ids, held, sizes, tokens, words, size = [], [], [], [], {}, 0
 
         def out() -> pa.RecordBatch:
-            return batch(_BLOCK, *([x] for x in (number, *_pack(held, words, v))))
+            return batch(_BLOCK, *([x] for x in (number, *_pack(ids, held, sizes, np.concatenate(tokens), words, v))))
 
         for b in batches:
             for part in by_size(b, 2, 1 << 20):
-                for doc_id, is_held, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), blobs(part.column(2))):
-                    own = body.lower().split()
-                    for w in set(own):
-                        if w not in words:
-                            words[w] = len(words) + 1
-                    held.append((doc_id, is_held, own))
-                    size += len(body)
+                n, which, distinct = _words(part.column(2))
+                numbers = np.array([words.setdefault(w, len(words) + 1) for w in distinct], np.int64)
+                own = np.zeros(int(n.sum()) + len(n), np.int32)  # an end behind each text
+                own[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = numbers[which] if len(which) else 0
+                tokens.append(own)
+                ids += part.column(0).to_pylist()
+                held += part.column(1).to_pylist()
+                sizes += (n + 1).tolist()
+                size += part.column(2).nbytes
                 if size >= BLOCK_BYTES:
                     yield out()
-                    held, words, size, number = [], {}, 0, number + 1
-        if held:
+                    ids, held, sizes, tokens, words, size, number = [], [], [], [], {}, 0, number + 1
+        if ids:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT).alias("held"), text_bytes().alias("body"))
@@ -180,6 +193,9 @@ class Shape:
     share: np.ndarray
     prior: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.kind8 = self.kind.astype(np.uint8)  # sorted by radix
+
 
 def frequent(counts: np.ndarray) -> np.ndarray:
     """Subwords by count, the end of a text first."""
@@ -285,14 +301,18 @@ def unflat(a: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """Logits are small: those beyond _MOST either way count as that, so no row of exponentials sums to 0."""
+    return np.clip(z, -_MOST, _MOST, out=z)
+
+
 def attend(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     """Hidden states of windows of input rows, and what the gradient needs."""
-    x = m["e"][rows] + m["p"]
+    x = m["e"][rows]
+    x += m["p"]
     qkv = x @ np.concatenate((m["q"] / np.float32(math.sqrt(DIMENSIONS)), m["k"], m["v"]), axis=1)
     q, k, v = (qkv[:, :, i * DIMENSIONS : (i + 1) * DIMENSIONS] for i in range(3))
-    a = q @ k.swapaxes(1, 2)
-    np.maximum(a, -_MOST, out=a)
-    np.minimum(a, _MOST, out=a)
+    a = _bounded(q @ np.ascontiguousarray(k.swapaxes(1, 2)))
     a += _CAUSAL
     np.exp(a, out=a)
     a /= (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
@@ -301,39 +321,43 @@ def attend(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
 
 
 def _picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log softmax of rows at one place each; z is used up. Logits are small: those beyond _MOST either way count as that, so no row's sum is 0."""
-    np.maximum(z, -_MOST, out=z)
-    np.minimum(z, _MOST, out=z)
+    """Log softmax of rows at one place each; z is used up."""
+    _bounded(z)
     own = z[np.arange(len(z)), which]
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
+def _within(m: dict[str, np.ndarray], h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Logits of the members of each row's class; rows stand together by class, class c from edge[c] on."""
+    z = np.empty((edge[CLASSES], MEMBERS), h.dtype)
+    for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        of = slice(edge[c], edge[c + 1])
+        np.matmul(h[of], m["u"][c], out=z[of])
+        z[of] += m["c"][c]
+    return z
+
+
 def logs(m: dict[str, np.ndarray], s: Shape, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Log probability of each target: of its class, then of the member in it; rare subwords have a fixed share of their class."""
+    order = np.argsort(s.kind8[targets], kind="stable")
+    targets, h = targets[order], h[order]
     kinds = s.kind[targets]
+    edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
     z = h @ m["w"]
     z += m["b"]
-    out = _picked(z, kinds)
-    order = np.argsort(kinds.astype(np.uint8), kind="stable")
-    edge = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    h, members = h[order], s.member[targets[order]]
-    within = np.zeros(len(out), out.dtype)
-    for c in range(CLASSES):
-        of = slice(edge[c], edge[c + 1])
-        if edge[c + 1] > edge[c]:
-            within[of] = _picked(h[of] @ m["u"][c] + m["c"][c], members[of])
-    rare = slice(edge[CLASSES], len(order))
-    within[rare] = s.share[targets[order[rare]]]
-    out[order] += within
+    found = _picked(z, kinds)
+    top = edge[CLASSES]
+    found[:top] += _picked(_within(m, h, edge), s.member[targets[:top]])
+    found[top:] += s.share[targets[top:]]
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def _errors(z: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Gradient at logits whose right places are ``which``, each row weighing its share; z is used up. Bounds as in _picked."""
-    np.maximum(z, -_MOST, out=z)
-    np.minimum(z, _MOST, out=z)
-    np.exp(z, out=z)
+    np.exp(_bounded(z), out=z)
     z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     z[np.arange(len(z)), which] -= share
     return z
@@ -341,45 +365,46 @@ def _errors(z: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def _summed(like: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """x added up by row number, in an array of the shape of ``like``."""
-    rows = rows.astype(np.uint16)
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    out = np.zeros_like(like)
-    out[rows[first]] = np.add.reduceat(x[order], first, axis=0)
-    return out
+    width = like.shape[1]
+    at = (rows.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, x.ravel(), like.size).astype(like.dtype).reshape(like.shape)
 
 
 def gradient(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndarray, weigh: np.ndarray) -> dict[str, np.ndarray]:
     h, x, q, k, v, a, o = attend(m, rows)
     n, d = rows.size, DIMENSIONS
     # positions stand together by the class of their target
-    order = np.argsort(s.kind.astype(np.uint8)[targets.ravel()], kind="stable")
+    order = np.argsort(s.kind8[targets.ravel()], kind="stable")
     of_target = targets.ravel()[order]
-    kinds, members, sorted_h = s.kind[of_target], s.member[of_target], h.reshape(n, d)[order]
+    kinds, sorted_h = s.kind[of_target], h.reshape(n, d)[order]
     share = (weigh / weigh.sum()).ravel()[order]
     edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
+    top = edge[CLASSES]
     z = _errors(sorted_h @ m["w"] + m["b"], kinds, share)
     g = {"w": sorted_h.T @ z, "b": np.ones(n, z.dtype) @ z, "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
     back = z @ m["w"].T
-    for c in range(CLASSES):
+    z = _errors(_within(m, sorted_h, edge), s.member[of_target[:top]], share[:top])
+    for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
         of = slice(edge[c], edge[c + 1])
-        if edge[c + 1] > edge[c]:
-            z = _errors(sorted_h[of] @ m["u"][c] + m["c"][c], members[of], share[of])
-            g["u"][c], g["c"][c] = sorted_h[of].T @ z, np.ones(len(z), z.dtype) @ z
-            back[of] += z @ m["u"][c].T
+        np.matmul(sorted_h[of].T, z[of], out=g["u"][c])
+        back[of] += z[of] @ m["u"][c].T
+        g["c"][c] = z[of].sum(0)
     dh = np.empty_like(back)
     dh[order] = back
     g["o"] = o.reshape(n, d).T @ dh
     do = (dh @ m["o"].T).reshape(h.shape)
-    da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
+    da, dv = do @ np.ascontiguousarray(v.swapaxes(1, 2)), a.swapaxes(1, 2) @ do
     da -= ((da * a).reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
     da *= a
     # q came scaled from attend, k didn't
-    dqkv = np.concatenate((da @ k * a.dtype.type(1 / math.sqrt(d)), da.swapaxes(1, 2) @ q, dv), axis=2).reshape(n, 3 * d)
+    dqkv = np.empty((n, 3 * d), back.dtype)
+    np.multiply((da @ k).reshape(n, d), a.dtype.type(1 / math.sqrt(d)), out=dqkv[:, :d])
+    dqkv[:, d : 2 * d] = (da.swapaxes(1, 2) @ q).reshape(n, d)
+    dqkv[:, 2 * d :] = dv.reshape(n, d)
     into = x.reshape(n, d).T @ dqkv
     g["q"], g["k"], g["v"] = (into[:, i * d : (i + 1) * d] for i in range(3))
-    dx = dh + dqkv @ np.concatenate((m["q"], m["k"], m["v"]), axis=1).T
+    dx = dqkv @ np.concatenate((m["q"], m["k"], m["v"]), axis=1).T
+    dx += dh
     g["p"] = dx.reshape(h.shape).sum(0)
     g["e"] = _summed(m["e"], rows.ravel(), dx)
     return g
@@ -443,8 +468,8 @@ class Stream:
     def scores(self, m: dict[str, np.ndarray], s: Shape) -> np.ndarray:
         """Log10 probability of each document."""
         out = np.zeros(len(self.sizes))
-        for at in range(0, len(self.doc), 2048):
-            which = np.arange(at, min(at + 2048, len(self.doc)))
+        for at in range(0, len(self.doc), SCORED):
+            which = np.arange(at, min(at + SCORED, len(self.doc)))
             rows, subs, scored = self.windows(which, s)
             found = logs(m, s, attend(m, rows)[0][scored], subs[scored])
             out += np.bincount(np.repeat(self.doc[which], scored.sum(1)), found, len(out))
@@ -485,7 +510,6 @@ def train(made: DataFrame, s: Shape, rounds: int = ROUNDS, rate: float = 0.02) -
         shared = made.sparkSession.sparkContext.broadcast((flat(m), s))
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
-            one_thread()
             weights, s = shared.value
             learned, n, part = unflat(weights.astype(np.float32)), 0, TaskContext.get().partitionId()
             for b in batches:
@@ -526,7 +550,6 @@ def score(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        one_thread()
         m, s = shared.value
         if not block.num_rows:
             return schema.empty_table()

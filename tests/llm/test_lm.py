@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tallyweave.llm import bpe, lm
@@ -52,14 +54,9 @@ def test_empty_table_and_no_training_text(spark):
 
 
 def block(texts):
-    known: dict = {}
-    docs = []
-    for i, t in enumerate(texts):
-        own = t.encode().lower().split()
-        for w in own:
-            known.setdefault(w, len(known) + 1)
-        docs.append((i, False, own))
-    return lm._pack(docs, known, V)
+    n, which, distinct = lm._words(pa.array([t.encode() for t in texts], pa.binary()))
+    tokens = np.concatenate([np.append(part + 1, 0) for part in np.split(which, np.cumsum(n)[:-1])])
+    return lm._pack(list(range(len(texts))), [False] * len(texts), (n + 1).tolist(), tokens, {w: i + 1 for i, w in enumerate(distinct)}, V)
 
 
 def model(row, classes=None):
@@ -70,6 +67,16 @@ def model(row, classes=None):
     return s, lm.start(s)
 
 
+def test_words_of_texts():
+    """Against Python's own lowering and splitting of bytes, also of bytes that are no UTF-8."""
+    rng = random.Random(1)
+    for _ in range(300):
+        bodies = [bytes(rng.choice([32, 9, 10, 11, 12, 13, 28, 31, 0x85, 0xA0, 65, 97, 0xC3, 0x89, 66, 0]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
+        n, which, distinct = lm._words(pa.array([b"before", *bodies], pa.binary()).slice(1))
+        want = [x.lower().split() for x in bodies]
+        assert n.tolist() == [len(x) for x in want] and [distinct[i] for i in which] == [w for x in want for w in x]
+
+
 def test_words_keep_their_own_subwords():
     for words in (["a", "the", "ünder", "x" * 300], ["\u3000", "\u3000", "b"], ["\x85", "\x85q"], ["\xa0"], []):
         n, sub = V.segment(words)
@@ -112,7 +119,7 @@ def test_attention_is_causal():
 
 
 def test_gradient_equals_differences():
-    row = block(["the cat and the dog and the bird sang to the moon " * 3])
+    row = block(["the cat and the dog and the bird sang to the moon " * 7])  # three windows
     s, m = model(row)
     rng = np.random.default_rng(3)
     m = {n: (a + rng.normal(0, 0.2, a.shape)).astype(np.float64) for n, a in m.items()}
