@@ -15,17 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, expected_name
+from .records import MODIFIERS as COLOR_MODIFIERS
 
 # Order of candidate sources (the smaller one keeps a pair), thresholds in thousandths, and the words that strips look for.
-PRIORITY = {"synonym": 0, "priority": 1, "branded": 2, "exact": 3, "delegation": 4, "color_strip": 4, "connector_strip": 4, "bicolor_ext": 4, "rose": 5, "fuzzy": 6, "spray_mixto": 7}
-PRIOR = {"synonym": 1000, "branded": 1000, "exact": 800, "rose": 800, "fuzzy": 0, "spray_mixto": 0}
+# (Sources of one rank in the order in which they are asked.)
+PRIORITY = {"synonym": 0, "priority": 10, "branded": 20, "exact": 30, "delegation": 40, "color_prefix": 41, "color_suffix": 42, "connector_strip": 43, "bicolor_ext": 44, "rose": 50, "fuzzy": 60, "spray_mixto": 70}
+PRIOR = {"synonym": 1000, "branded": 1000, "exact": 800, "rose": 800, "color_prefix": 400, "fuzzy": 0, "spray_mixto": 0}
 OTHER_PRIOR = 500
 OK, DOUBTFUL = 700, 500
 COLORS_BEFORE = r"^(?:HOT PINK|LIGHT PINK|PINK|RED|ORANGE|YELLOW|WHITE|PEACH|CREAM|SALMON) "
 COLORS_AFTER = r" (?:(?:IN|EN) )?(?:HOT PINK|LIGHT PINK|PINK|RED|ORANGE|YELLOW|WHITE|PEACH|CREAM|SALMON|BLANCO|NARANJA|AMARILLO|ROJO|ROSA)$"
 CONNECTORS = r" (?:AND|Y) "
 GENERIC = "ROSE ROSES CARNATION CARNATIONS GYPSOPHILA CHRYSANTHEMUM HYDRANGEA ALSTROEMERIA ALSTRO ALSTROMERIA ROSA ROSAS CLAVEL CLAVELES PANICULATA CRISANTEMO HORTENSIA HORTENSIAS MINI SPRAY GARDEN STANDARD EXTRA COLORS ASSORTED MIX MIXED".split()
-COLOR_MODIFIERS = "BICOLOR OSCURO CLARO DARK LIGHT HOT".split()
 DELEGATING_PROVIDER = 4471
 
 
@@ -43,8 +44,8 @@ def strips(lines: DataFrame) -> DataFrame:
     one = lambda source, form, cond, ord=0: F.when(cond & (form != "") & F.when(F.lit(source == "priority"), True).otherwise(form != v), F.struct(F.lit(source).alias("source"), F.lit(ord).alias("ord"), form.alias("variety")))
     forms = [
         one("priority", v, F.lit(True)),
-        *[one("delegation", F.array_join(F.slice(words, n + 1, 20), " "), (F.col("provider_id") == DELEGATING_PROVIDER) & (F.size(words) > n), n) for n in (1, 2, 3)],
-        one("color_strip", F.regexp_replace(v, COLORS_BEFORE, ""), rose, 1), one("color_strip", behind, rose, 2),
+        *[one("delegation", F.array_join(F.slice(words, n + 1, F.greatest(F.size(words), F.lit(1))), " "), (F.col("provider_id") == DELEGATING_PROVIDER) & (F.size(words) > n), n) for n in (1, 2, 3)],
+        one("color_prefix", F.regexp_replace(v, COLORS_BEFORE, ""), rose, 1), one("color_suffix", behind, rose, 1),
         one("connector_strip", plain(v), rose, 1), one("connector_strip", plain(behind), rose & (plain(behind) != behind), 2),
         *[one("bicolor_ext", F.concat(f, F.lit(" BICOLOR")), rose, i) for i, f in enumerate((v, behind, plain(v), plain(behind)))],
     ]
@@ -52,17 +53,28 @@ def strips(lines: DataFrame) -> DataFrame:
 
 
 def rungs(keys: DataFrame, catalogue: DataFrame, brands: DataFrame, by: list[str]) -> DataFrame:
-    """The article of each key (columns ``by``, provider_id, variety, size) by rungs: own brand, generic, any of that size; else the nearest size likewise.
+    """The article of each key (columns ``by``, provider_id, variety, size) by seven rungs.
 
-    The catalogue is summed first, to the least id of each variety, size and brand: a key meets a short list of sizes, not articles.
+    Of the size: 1 own brand, 2 the provider's own article, 3 generic; then 4 own brand of the nearest size, 5 the provider's first article, 6 generic of the
+    nearest size, 7 any of the nearest size. A line without a size begins at 4. Another's brand of equal size is the last rung like any other, so it loses to
+    the own brand's nearest size. The catalogue is summed first, to the least id of each variety, size and brand, and of each variety, provider and size: a
+    key meets two short lists of sizes, not articles. Without a column provider_id in the catalogue there are no rungs 2 and 5.
     """
-    a = catalogue.groupBy(canonical(F.col("variety")).alias("variety"), "brand", F.col("size").alias("s")).agg(F.min("id").alias("id"))
-    listed = a.groupBy("variety").agg(F.collect_list(F.struct("s", "brand", "id")).alias("there"))
+    a = catalogue.withColumn("variety", canonical(F.col("variety")))
+    listed = a.groupBy("variety", "brand", F.col("size").alias("s")).agg(F.min("id").alias("id")).groupBy("variety").agg(F.collect_list(F.struct("s", "brand", "id")).alias("there"))
     own = brands.groupBy("provider_id").agg(F.collect_set("brand").alias("own"))
-    j = keys.join(listed, "variety").join(F.broadcast(own), "provider_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-    rung = lambda x: F.when(F.array_contains("own", x["brand"]), 1).when(x["brand"] == "", 2).otherwise(3)
-    best = F.array_min(F.transform("there", lambda x: F.struct((x["s"] != F.col("size")).cast("int").alias("off"), rung(x).alias("rung"), F.abs(x["s"] - F.col("size")).alias("gap"), x["id"].alias("id"))))
-    return j.select(*by, best.alias("x")).select(*by, F.col("x.id").alias("article_id"))
+    j = keys.join(listed, "variety").join(own, "provider_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    exact = lambda x: (F.col("size") > 0) & (x["s"] == F.col("size"))
+    gap = lambda x: F.abs(x["s"] - F.col("size"))
+    step = lambda rung, gap, id: F.struct(rung.alias("rung"), gap.alias("gap"), id.alias("id"))
+    one = lambda x: F.when(F.array_contains("own", x["brand"]), F.when(exact(x), 1).otherwise(4)).when(x["brand"] == "", F.when(exact(x), 3).otherwise(6)).otherwise(7)
+    found = F.transform("there", lambda x: step(one(x), gap(x), x["id"]))
+    if "provider_id" in catalogue.columns:
+        mine = a.groupBy("variety", "provider_id", F.col("size").alias("s")).agg(F.min("id").alias("id")).groupBy("variety", "provider_id").agg(F.collect_list(F.struct("s", "id")).alias("mine"))
+        j = j.join(mine, ["variety", "provider_id"], "left")
+        of_provider = F.transform("mine", lambda x: step(F.when(exact(x), 2).otherwise(5), F.lit(0), x["id"]))
+        found = F.concat(found, F.coalesce(of_provider, F.array()))
+    return j.select(*by, F.array_min(found).alias("x")).select(*by, F.col("x.id").alias("article_id"))
 
 
 def gather(lines: DataFrame, catalogue: DataFrame, links: DataFrame, brands: DataFrame, fuzzy_hits: DataFrame | None = None) -> DataFrame:
@@ -122,7 +134,7 @@ def evidence(pairs: DataFrame, brands: DataFrame, hard: list[str], usage: DataFr
     """The pairs with what speaks for and against them, and ``points`` (ten-thousandths). Order matters: the soft brand rule reads the sum so far."""
     c = F.col
     own = brands.groupBy("provider_id").agg(F.collect_set("brand").alias("own"))
-    d = pairs.join(F.broadcast(own), "provider_id", "left").join(usage.select("provider_id", "article_id", F.col("n").alias("used")), ["provider_id", "article_id"], "left")
+    d = pairs.join(own, "provider_id", "left").join(usage.select("provider_id", "article_id", F.col("n").alias("used")), ["provider_id", "article_id"], "left")
     v = canonical(c("variety"))
     tokens = F.filter(F.split(v, " "), lambda t: (F.length(t) >= 3) & ~t.isin(GENERIC))
     gap = F.abs(c("size") - c("a_size"))
@@ -183,7 +195,7 @@ def decide(lines: DataFrame, graded: DataFrame, catalogue: DataFrame) -> DataFra
     place = F.row_number().over(Window.partitionBy("line_id").orderBy(group, F.desc("score"), rank, "article_id"))
     x = F.struct(group.alias("group"), "article_id", "source", "score", "size_exact", "size_close", "every_token", "any_token", "extra_color", F.coalesce("percent", F.lit(0)).alias("percent"))
     two = graded.withColumn("place", place).where("place <= 2").groupBy("line_id").agg(F.max(F.when(c("place") == 1, x)).alias("a"), F.max(F.when(c("place") == 2, x)).alias("b"))
-    j = lines.select("line_id", "spray", "size").join(two, "line_id", "left").join(F.broadcast(mixto), "size", "left")
+    j = lines.select("line_id", "spray", "size").join(two, "line_id", "left").join(mixto, "size", "left")
     stand_in = c("spray") & c("a").isNotNull() & (c("a.group") == 2) & c("mixto_id").isNotNull()
     second = F.coalesce("b.score", F.lit(0))
     asked = F.when(c("a.score") >= 1050, 20).when(c("a.score") >= 900, 50).otherwise(100)

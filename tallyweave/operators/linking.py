@@ -52,20 +52,25 @@ def lookup_links(lines: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def cascade(lines: DataFrame, articles: DataFrame) -> DataFrame:
-    """The best article of the same variety by rungs: own brand and size, no brand and size, any and size, then the nearest size likewise.
+    """The best article of the same variety by rungs. One row a line: line_id, article_id, rung, gap (of sizes). Ties go to the smaller gap, then the smaller id.
 
-    One row a line: line_id, article_id, rung, gap (of sizes). Ties go to the smaller gap, then the smaller id. The catalogue is summed first, to the
-    least ids of a variety's sizes (with a brand, without one, any): a line meets two short lists, not the variety's articles.
+    Of the size: 1 own brand, 2 the provider's own article, 3 generic; then 4 own brand of the nearest size, 5 the provider's first article, 6 generic of the
+    nearest size, 7 any of the nearest size. Rungs 2 and 5 need a provider_id in both tables. The catalogue is summed first, to the least ids of a
+    variety's sizes (with a brand, of a provider, without a brand, any): a line meets short lists, not the variety's articles.
     """
-    a = articles.select("id", "variety", "brand", "size", F.col("name").rlike("[0-9]U$").alias("generic"))
+    a = articles.withColumn("generic", F.col("name").rlike("[0-9]U$"))
     branded = a.where("not generic").groupBy("variety", "brand", "size").agg(F.min("id").alias("id")).groupBy("variety", "brand").agg(F.collect_list(F.struct("size", "id")).alias("own"))
     any_brand = a.groupBy("variety", "size").agg(F.min("id").alias("id"), F.min(F.when(F.col("generic"), F.col("id"))).alias("plain")).groupBy("variety").agg(F.collect_list(F.struct("size", "id", "plain")).alias("any"))
     j = lines.join(any_brand, "variety").join(branded, ["variety", "brand"], "left")
     off = lambda x: F.abs(x["size"] - F.col("size"))
-    found = lambda x, id, near, far: F.when(id.isNotNull(), F.struct(F.when(off(x) == 0, near).otherwise(far).alias("rung"), off(x).alias("gap"), id.alias("id")))
-    every = F.concat(
-        F.coalesce(F.transform("own", lambda x: found(x, x["id"], 1, 4)), F.array()), F.transform("any", lambda x: found(x, x["plain"], 2, 5)), F.transform("any", lambda x: found(x, x["id"], 3, 6)),
-    )
+    same = lambda x: (F.col("size") > 0) & (off(x) == 0)
+    found = lambda x, id, near, far, gap: F.when(id.isNotNull(), F.struct(F.when(same(x), near).otherwise(far).alias("rung"), gap.alias("gap"), id.alias("id")))
+    lists = [F.transform("own", lambda x: found(x, x["id"], 1, 4, off(x))), F.transform("any", lambda x: found(x, x["plain"], 3, 6, off(x))), F.transform("any", lambda x: found(x, x["id"], 7, 7, off(x)))]
+    if "provider_id" in lines.columns and "provider_id" in articles.columns:
+        mine = a.groupBy("variety", "provider_id", "size").agg(F.min("id").alias("id")).groupBy("variety", "provider_id").agg(F.collect_list(F.struct("size", "id")).alias("mine"))
+        j = j.join(mine, ["variety", "provider_id"], "left")
+        lists.append(F.transform("mine", lambda x: found(x, x["id"], 2, 5, F.lit(0))))
+    every = F.concat(*[F.coalesce(x, F.array()) for x in lists])
     return j.select("line_id", F.array_min(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("line_id", F.col("x.id").alias("article_id"), "x.rung", "x.gap")
 
 

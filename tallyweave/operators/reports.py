@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COLORS, canonical
+from ..functions.text import COLORS, canonical, fold
 
 # Where a link came from, badges of states, prefixes of species in names, columns that a header word stands for, weights of alternatives.
-ORIGINS = {"synonym": "manual", "priority": "auto", "branded": "auto-marca", "exact": "auto", "delegation": "auto", "color_strip": "auto-color", "connector_strip": "auto", "bicolor_ext": "auto", "rose": "auto", "fuzzy": "auto-fuzzy"}
+ORIGINS = {"synonym": "manual", "priority": "auto", "branded": "auto-marca", "exact": "auto", "delegation": "auto", "color_strip": "auto-color", "color_prefix": "auto-color", "color_suffix": "auto-color", "connector_strip": "auto", "bicolor_ext": "auto", "rose": "auto", "fuzzy": "auto-fuzzy"}
 BADGES = {"ok": "green", "ambiguous_match": "amber", "sin_match": "red", "mixed_box": "blue"}
 POOLS = {"ROSA EC ": ["ROSES_EC"], "ROSA COL ": ["ROSES_COL"], "ROSA ": ["ROSES_EC", "ROSES_COL"], "CLAVEL ": ["CARNATIONS"], "MINI CLAVEL ": ["CARNATIONS"], "HYDRANGEA ": ["HYDRANGEAS"], "ALSTROMERIA ": ["ALSTROEMERIA"], "PANICULATA ": ["GYPSOPHILA"], "CRISANTEMO ": ["CHRYSANTHEMUM"]}
 HEADER_WORDS = {"VARIETY": "variety", "DESCRIPTION": "variety", "PRODUCT": "variety", "LENGTH": "size", "SIZE": "size", "GRADE": "grade", "BUNCH": "bunches", "STEMS": "stems", "QTY": "stems", "PRICE": "price", "UNIT": "price", "TOTAL": "total", "AMOUNT": "total", "BOX": "box_type", "LABEL": "label"}
@@ -97,18 +97,44 @@ def graded_names(lines: DataFrame, articles: DataFrame) -> DataFrame:
     return best.select("line_id", F.col("x.id").alias("article_id"), (F.col("x.n") == 0).alias("with_grade"))
 
 
-def translations(variety: Column, table: dict[str, str] = COLORS) -> Column:
-    """Forms under which a variety may stand, in order and each once: itself, without a species prefix, word by word, and each translated phrase, the longest first."""
-    v = canonical(variety)
-    bare = F.regexp_replace(v, "^(?:GYPSOPHILA|GARDEN ROSE|PANICULATA) ", "")
-    words = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(_map(table, w), w)), " ")
-    phrases = [F.regexp_replace(bare, rf"\b{a}\b", b) for a, b in sorted(table.items(), key=lambda x: (-len(x[0]), x[0]))[:8]]
-    return F.array_distinct(F.array(v, bare, words(v), words(bare), *phrases))
+# Phrases of varieties and what the catalogue calls them; prefixes that may be missing there.
+TRANSLATIONS = {
+    "GYPSOPHILA OVER TIME WHITE": "OVERTIME BLANCO", "GYPSOPHILA OVER TIME": "OVERTIME", "OVER TIME WHITE": "OVERTIME BLANCO", "OVER TIME": "OVERTIME",
+    "GYPSOPHILA XLENCE NATURAL": "XLENCE BLANCO", "GYPSOPHILA XLENCE RAINBOW MIX LIGHT": "XLENCE TENIDA RAINBOW", "GYPSOPHILA XLENCE": "XLENCE BLANCO",
+    "GYPSOPHILA": "PANICULATA", "GARDEN ROSE": "LA GARDEN", "TINTED BLUE": "TENIDA AZUL", "TINTED RED": "TENIDA ROJO", "TINTED PINK": "TENIDA ROSA",
+    "TINTED GREEN": "TENIDA VERDE", "TINTED ORANGE": "TENIDA NARANJA", "TINTED PURPLE": "TENIDA MORADO", "TINTED BLACK": "TENIDA NEGRO", "TINTED": "TENIDA",
+    "WHITE": "BLANCO", "RED": "ROJO", "YELLOW": "AMARILLO", "PINK": "ROSA", "BLUE": "AZUL", "ORANGE": "NARANJA", "GREEN": "VERDE", "PURPLE": "MORADO",
+    "LIGHT": "CLARO", "DARK": "OSCURO", "NATURAL": "BLANCO", "JESSIKA": "JESSICA", "TOFFE": "TOFFEE",
+    "OHARA PINK": "OHARA ROSA", "OHARA WHITE": "OHARA BLANCO", "OHARA RED": "OHARA ROJO", "O'HARA PINK": "OHARA ROSA", "O'HARA WHITE": "OHARA BLANCO",
+    "PINK O'HARA": "OHARA ROSA", "WHITE O'HARA": "OHARA BLANCO", "PINK OHARA": "OHARA ROSA", "WHITE OHARA": "OHARA BLANCO", "LIMONADA": "LEMONADE",
+}
+PREFIXES = ("GYPSOPHILA ", "GARDEN ROSE ", "PANICULATA ")
+ADDED_PREFIX = "GYPSOPHILA "
+
+
+def translations(variety: Column, table: dict[str, str] = TRANSLATIONS) -> Column:
+    """Forms under which a variety may stand, in order and each once.
+
+    Itself; without a species prefix; each of these with one phrase translated, the longest phrase first; each of these word by word; then all of
+    them without the added prefix, and with it.
+    """
+    v = fold(variety)
+    bare = v
+    for prefix in reversed(PREFIXES):
+        bare = F.when(v.startswith(prefix), F.substring(v, len(prefix) + 1, 10_000)).otherwise(bare)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(table.items(), key=lambda x: -len(x[0]))])
+    bases = F.array_distinct(F.array(v, bare))
+    phrases = F.flatten(F.transform(bases, lambda x: F.transform(F.filter(pairs, lambda p: F.contains(x, p["a"])), lambda p: F.replace(x, p["a"], p["b"]))))
+    worded = F.transform(bases, lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(_map(table, w), w)), " "))
+    first = F.array_distinct(F.filter(F.concat(bases, phrases, worded), lambda x: x != ""))
+    bared = lambda x: F.when(x.startswith(ADDED_PREFIX), F.substring(x, len(ADDED_PREFIX) + 1, 10_000))
+    more = F.flatten(F.transform(first, lambda x: F.filter(F.array(bared(x), F.concat(F.lit(ADDED_PREFIX), x)), lambda y: y.isNotNull())))
+    return F.array_distinct(F.concat(first, more))
 
 
 def variety_search(lines: DataFrame, articles: DataFrame, limit: int = 5) -> DataFrame:
     """Articles of any form of a line's variety, those of its size first, each once: line_id, place, article_id. The catalogue's ids are cut to the first of each variety and size before the join."""
-    a = articles.groupBy(canonical(F.col("variety")).alias("form"), F.col("size").alias("s")).agg(F.min("id").alias("id"))
+    a = articles.groupBy(fold(F.col("variety")).alias("form"), F.col("size").alias("s")).agg(F.min("id").alias("id"))
     forms = lines.select("line_id", "size", F.posexplode(translations(F.col("variety"))).alias("n", "form"))
     j = forms.join(a, "form").groupBy("line_id", "id").agg(F.min(F.struct((F.col("s") != F.col("size")).cast("int").alias("off"), "n")).alias("x"))
     return j.withColumn("place", F.row_number().over(Window.partitionBy("line_id").orderBy("x", "id"))).where(F.col("place") <= limit).select("line_id", "place", F.col("id").alias("article_id"))

@@ -56,8 +56,10 @@ _ROLL = """roll AS (SELECT provider_id, count(*) AS total_parsed, count(*) FILTE
 rates AS (SELECT *, CASE WHEN ok_lines + ambiguous_lines = 0 THEN 0.0::DOUBLE ELSE round(auto_lines::DOUBLE / (ok_lines + ambiguous_lines), 3) END AS auto_rate FROM roll)"""
 _CAND = """named AS (SELECT line_id, k.rank, k.name FROM requests, LATERAL (SELECT unnest([0, 1]) AS rank, unnest([format('{} {}CM {}U {}', variety, size, pack, brand), format('{} {}CM {}U', variety, size, pack)]) AS name) k),
 exacts AS (SELECT line_id, arg_min(id, rank * 1000000000 + id) AS article_id, CASE WHEN min(rank) = 0 THEN 'branded' ELSE 'exact' END AS source FROM named JOIN articles USING (name) GROUP BY line_id),
-ladder AS (SELECT r.line_id, min({'rung': CASE WHEN a.size = r.size THEN CASE WHEN a.brand = r.brand AND NOT regexp_matches(a.name, '[0-9]U$') THEN 1 WHEN regexp_matches(a.name, '[0-9]U$') THEN 2 ELSE 3 END
-  ELSE CASE WHEN a.brand = r.brand AND NOT regexp_matches(a.name, '[0-9]U$') THEN 4 WHEN regexp_matches(a.name, '[0-9]U$') THEN 5 ELSE 6 END END, 'gap': abs(a.size - r.size), 'id': a.id}) AS x FROM requests r JOIN articles a ON a.variety = r.variety GROUP BY r.line_id),
+rungs AS (SELECT r.line_id, r.line_id % 50 AS provider_id, a.id, a.id * 7 % 50 AS of_provider, a.brand = r.brand AND NOT regexp_matches(a.name, '[0-9]U$') AS is_own, regexp_matches(a.name, '[0-9]U$') AS is_generic, r.size > 0 AND a.size = r.size AS same, abs(a.size - r.size) AS gap
+  FROM requests r JOIN articles a ON a.variety = r.variety),
+stepped AS (SELECT line_id, {'rung': CASE WHEN is_own THEN CASE WHEN same THEN 1 ELSE 4 END WHEN is_generic THEN CASE WHEN same THEN 3 ELSE 6 END ELSE 7 END, 'gap': gap, 'id': id} AS x FROM rungs),
+ladder AS (SELECT line_id, min(x) AS x FROM stepped GROUP BY line_id),
 prefixed AS (SELECT r.line_id, a.id AS article_id FROM requests r JOIN articles a ON r.size = a.size AND r.pack = a.pack AND starts_with(a.name, r.variety)),
 every AS (SELECT line_id, article_id, source FROM exacts UNION ALL SELECT line_id, x.id, 'priority' FROM ladder UNION ALL SELECT line_id, article_id, 'prefix' FROM prefixed),
 candidates AS (SELECT line_id, article_id, arg_min(source, list_position(['exact', 'branded', 'priority', 'prefix'], source)) AS source, count(*) AS n_sources FROM every GROUP BY line_id, article_id)"""
@@ -121,7 +123,7 @@ _PLAIN = lambda x: f"regexp_replace({x}, '{linker.CONNECTORS}', ' ', 'g')"  # no
 _BEHIND = f"regexp_replace(v, '{linker.COLORS_AFTER}', '')"
 _CAT = f"""c0 AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 < 6 THEN 'ROSES' WHEN p_partkey % 10 < 8 THEN 'CARNATIONS' WHEN p_partkey % 10 = 8 THEN 'HYDRANGEAS' ELSE 'OTHER' END AS species, (10 * (p_size % 6 + 3))::INT AS size,
   CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 25 END::INT AS pack, CASE WHEN p_partkey % 40 = 0 THEN 'SPRAY MIXTO' WHEN p_partkey % 25 = 1 THEN upper(p_name) || ' BICOLOR' ELSE upper(p_name) END AS variety,
-  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_brand) END AS brand, CASE WHEN p_partkey % 2 = 0 THEN 'EC' ELSE 'COL' END AS o FROM part),
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_brand) END AS brand, CASE WHEN p_partkey % 2 = 0 THEN 'EC' ELSE 'COL' END AS o, p_partkey * 7 % 50 AS provider_id FROM part),
 c1 AS (SELECT *, CASE species WHEN 'ROSES' THEN o WHEN 'CARNATIONS' THEN 'COL' ELSE '' END AS origin FROM c0), cat AS (SELECT *, {_expected("variety")} || CASE WHEN brand = '' THEN '' ELSE ' ' || brand END AS name, {_canon("variety")} AS av FROM c1),
 l0 AS (SELECT id AS line_id, CASE WHEN id % 97 = 0 THEN 4471 ELSE id % 50 END::BIGINT AS provider_id, CASE WHEN id % 31 = 0 THEN 'OTHER' ELSE species END AS species,
   CASE WHEN id % 17 = 0 THEN CASE origin WHEN 'EC' THEN 'COL' WHEN 'COL' THEN 'EC' ELSE '' END ELSE origin END AS origin, CASE WHEN id % 12 = 0 THEN 'Red ' || variety WHEN id % 12 = 1 THEN variety || ' White' WHEN id % 12 = 2 THEN replace(variety, ' ', ' and ')
@@ -135,13 +137,16 @@ used AS (SELECT p_partkey % 50 AS provider_id, p_partkey AS article_id, p_partke
 _STRIPS = f"""strips AS (SELECT DISTINCT line_id, provider_id, size, source, ord, form AS variety FROM (
   SELECT line_id, provider_id, size, v, 'priority' AS source, 0 AS ord, v AS form, true AS cond FROM ll
   UNION ALL SELECT line_id, provider_id, size, v, 'delegation', n, array_to_string(string_split(v, ' ')[n + 1:], ' '), provider_id = {linker.DELEGATING_PROVIDER} AND len(string_split(v, ' ')) > n FROM ll, (VALUES (1), (2), (3)) k(n)
-  UNION ALL SELECT line_id, provider_id, size, v, 'color_strip', 1, regexp_replace(v, '{linker.COLORS_BEFORE}', ''), species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'color_strip', 2, {_BEHIND}, species = 'ROSES' FROM ll
+  UNION ALL SELECT line_id, provider_id, size, v, 'color_prefix', 1, regexp_replace(v, '{linker.COLORS_BEFORE}', ''), species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'color_suffix', 1, {_BEHIND}, species = 'ROSES' FROM ll
   UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 1, {_PLAIN("v")}, species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 2, {_PLAIN(_BEHIND)}, species = 'ROSES' AND {_PLAIN(_BEHIND)} <> {_BEHIND} FROM ll
   UNION ALL SELECT line_id, provider_id, size, v, 'bicolor_ext', k.i, [v, {_BEHIND}, {_PLAIN("v")}, {_PLAIN(_BEHIND)}][k.i + 1] || ' BICOLOR', species = 'ROSES' FROM ll, (VALUES (0), (1), (2), (3)) k(i)) x
   WHERE cond AND form <> '' AND (source = 'priority' OR form <> v))"""
 _GATHER = f"""{_STRIPS},
-ranked AS (SELECT s.line_id, s.source, s.ord, min({{'off': CASE WHEN c.size = s.size THEN 0 ELSE 1 END, 'rung': CASE WHEN coalesce(list_contains(o.brands, c.brand), false) THEN 1 WHEN c.brand = '' THEN 2 ELSE 3 END, 'gap': abs(c.size - s.size), 'id': c.id}}).id AS article_id
-  FROM strips s JOIN cat c ON c.av = s.variety LEFT JOIN owns o ON o.provider_id = s.provider_id GROUP BY 1, 2, 3),
+met AS (SELECT s.line_id, s.source, s.ord, s.provider_id, s.size > 0 AND c.size = s.size AS same, abs(c.size - s.size) AS gap, c.id, c.provider_id AS of_provider, c.brand, coalesce(list_contains(o.brands, c.brand), false) AS is_own
+  FROM strips s JOIN cat c ON c.av = s.variety LEFT JOIN owns o ON o.provider_id = s.provider_id),
+ranked AS (SELECT line_id, source, ord, min(x).id AS article_id FROM (
+  SELECT line_id, source, ord, {{'rung': CASE WHEN is_own THEN CASE WHEN same THEN 1 ELSE 4 END WHEN brand = '' THEN CASE WHEN same THEN 3 ELSE 6 END ELSE 7 END, 'gap': gap, 'id': id}} AS x FROM met
+  UNION ALL SELECT line_id, source, ord, {{'rung': CASE WHEN same THEN 2 ELSE 5 END, 'gap': 0, 'id': id}} FROM met WHERE of_provider = provider_id) GROUP BY 1, 2, 3),
 by_strip AS (SELECT line_id, article_id, source FROM ranked QUALIFY source <> 'delegation' OR row_number() OVER (PARTITION BY line_id, source ORDER BY ord) = 1),
 asked AS (SELECT line_id, provider_id, {_expected("variety")} AS name FROM ll), by_name AS (SELECT name, min(id) AS article_id FROM cat GROUP BY 1),
 exacts AS (SELECT line_id, arg_min(article_id, n) AS article_id FROM (SELECT line_id, 0 AS n, name FROM asked UNION ALL SELECT line_id, 1, regexp_replace(name, '^(ROSA|ALSTROMERIA) (?:EC|COL) ', '\1 ') FROM asked) a JOIN by_name USING (name) GROUP BY 1),
@@ -169,7 +174,7 @@ e2 AS (SELECT *, CASE WHEN any_token THEN 3000 WHEN trust100 >= 85 OR (source =
   + CASE WHEN size_exact THEN 2000 WHEN size_close THEN 500 WHEN size > 0 AND abs(size - a_size) <= 20 THEN -1000 ELSE 0 END + CASE WHEN species = a_species THEN 1500 ELSE 0 END
   + CASE WHEN species IN ('ROSES', 'CARNATIONS') AND origin = a_origin AND origin <> '' THEN 1500 ELSE 0 END + CASE WHEN pack_same THEN 1000 ELSE 0 END AS so_far, max(own_brand::INT) OVER (PARTITION BY line_id) = 1 AS peer FROM e1),
 e3 AS (SELECT *, greatest(so_far + CASE WHEN own_brand THEN 2500 WHEN a_brand IN ({", ".join(f"'{b}'" for b in HARD_BRANDS)}) THEN -2500 WHEN a_brand <> '' AND so_far >= 8000 THEN -400 WHEN peer THEN -1500 ELSE 0 END
-  + CASE WHEN used >= 3 THEN 1000 WHEN used >= 1 THEN 500 ELSE 0 END + trust100 * 25 + CASE source WHEN 'synonym' THEN 1000 WHEN 'branded' THEN 1000 WHEN 'exact' THEN 800 WHEN 'rose' THEN 800 WHEN 'fuzzy' THEN 15 * coalesce(percent, 0) ELSE 500 END, 0)::INT AS points FROM e2),
+  + CASE WHEN used >= 3 THEN 1000 WHEN used >= 1 THEN 500 ELSE 0 END + trust100 * 25 + CASE source WHEN 'synonym' THEN 1000 WHEN 'branded' THEN 1000 WHEN 'exact' THEN 800 WHEN 'rose' THEN 800 WHEN 'color_prefix' THEN 400 WHEN 'fuzzy' THEN 15 * coalesce(percent, 0) ELSE 500 END, 0)::INT AS points FROM e2),
 graded AS (SELECT *, ((points + 5) // 10)::INT AS score FROM e3),
 p0 AS (SELECT *, max(is_manual::INT) OVER (PARTITION BY line_id) = 1 AS manual, coalesce(own_brand AND any_token AND size_exact, false) AS can FROM graded),
 p1 AS (SELECT *, row_number() OVER w AS pos, lead(can) OVER w AS r_can, lead(pack_same) OVER w AS r_pack, lead(every_token) OVER w AS r_every, lead(score) OVER w AS r_score, row_number() OVER t AS place, max(score) OVER (PARTITION BY line_id) AS top
@@ -187,10 +192,20 @@ d4 AS (SELECT *, near AND coalesce((b_exact AND NOT a_exact AND a_close) OR (b_e
 d5 AS (SELECT *, CASE WHEN NOT near THEN '' WHEN swap AND b_exact AND NOT a_exact AND a_close THEN 'size' WHEN swap THEN 'variety' WHEN a_exact AND NOT b_exact AND b_close THEN 'size' WHEN a_every AND NOT b_every THEN 'variety' WHEN b_extra AND NOT a_extra THEN 'color' ELSE '' END AS why0 FROM d4),
 d6 AS (SELECT *, CASE WHEN a_id IS NULL THEN 'sin_match' WHEN stand_in THEN 'ambiguous_match' WHEN a_score >= 700 THEN CASE WHEN near AND why0 = '' THEN 'ambiguous_match' ELSE 'ok' END
   WHEN a_score >= 500 AND (a_any OR coalesce(a_percent >= 85, false) OR a_source = 'synonym') THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM d5)"""
-_PHRASES = [f"regexp_replace(b, '(^| ){a}( |$)', '\\1{b}\\2', 'g')" for a, b in sorted(COLORS.items(), key=lambda x: (-len(x[0]), x[0]))[:8]]
 _LINKER = f"WITH {_CAT}, {_GATHER}"
 
 
+_PAIRS = "[" + ", ".join(f"[{_value(a)}, {_value(b)}]" for a, b in sorted(reports.TRANSLATIONS.items(), key=lambda x: -len(x[0]))) + "]"
+_WORDS = "MAP {" + ", ".join(f"{_value(a)}: {_value(b)}" for a, b in reports.TRANSLATIONS.items()) + "}"
+#: From v (id, v) the forms of a variety in order: forms (id, i, form).
+_FORMS = f"""bases AS (SELECT id, CASE WHEN b = v THEN [v] ELSE [v, b] END AS bases FROM (SELECT id, v, CASE {" ".join(f"WHEN starts_with(v, '{p}') THEN substr(v, {len(p) + 1})" for p in reports.PREFIXES)} ELSE v END AS b FROM v) x),
+spelled AS (SELECT id, [f FOR f IN list_concat(bases, flatten([[replace(b, p[1], p[2]) FOR p IN {_PAIRS} IF contains(b, p[1])] FOR b IN bases]),
+  [array_to_string([coalesce(element_at({_WORDS}, w)[1], w) FOR w IN string_split(b, ' ')], ' ') FOR b IN bases]) IF f <> ''] AS said FROM bases),
+first_i AS (SELECT id, form, min(i) AS i FROM (SELECT id, unnest(said) AS form, unnest(range(len(said))) AS i FROM spelled) x GROUP BY 1, 2),
+more AS (SELECT id, form, 1000 + 2 * i AS i FROM (SELECT id, i, substr(form, {len(reports.ADDED_PREFIX) + 1}) AS form FROM first_i WHERE starts_with(form, '{reports.ADDED_PREFIX}')) x
+  UNION ALL SELECT id, '{reports.ADDED_PREFIX}' || form, 1001 + 2 * i FROM first_i),
+forms AS (SELECT id, form, min(i) AS i FROM (SELECT * FROM first_i UNION ALL SELECT * FROM more) x GROUP BY 1, 2)"""
+
 ORACLE_SQL: dict[str, str] = {
     "invoice_balance": f"WITH {_LINES}, {_HEADERS}, {_BALANCE} SELECT * FROM balance",
     "header_repair": f"""WITH {_LINES}, {_HEADERS}, j AS (SELECT h.invoice, header_total AS h, coalesce(s, 0) AS s FROM headers h LEFT JOIN (SELECT invoice, sum(amount) AS s FROM lines GROUP BY 1) x USING (invoice))
@@ -240,7 +255,8 @@ regexp_extract(name, '[0-9]+U (.+)$', 1) AS name_brand, regexp_matches(name, '[0
     "synonym_lookup": f"""WITH {_ARTICLES}, {_REQUESTS}, links AS (SELECT variety, size, CASE WHEN id % 2 = 0 THEN 0 ELSE pack END AS pack, min(id) AS article_id FROM articles GROUP BY 1, 2, 3)
 SELECT line_id, coalesce(e.article_id, z.article_id) AS found, CASE WHEN e.article_id IS NOT NULL THEN 'exact' WHEN z.article_id IS NOT NULL THEN 'pack 0' ELSE 'none' END AS how
 FROM requests r LEFT JOIN links e ON r.variety = e.variety AND r.size = e.size AND r.pack = e.pack LEFT JOIN links z ON r.variety = z.variety AND r.size = z.size AND z.pack = 0""",
-    "priority_search": f"{_LINK} SELECT line_id, x.id AS article_id, x.rung, x.gap FROM ladder",
+    "priority_search": f"""{_LINK}, mine AS (SELECT line_id, {{'rung': CASE WHEN same THEN 2 ELSE 5 END, 'gap': 0, 'id': id}} AS x FROM rungs WHERE of_provider = provider_id),
+with_mine AS (SELECT line_id, min(x) AS x FROM (SELECT * FROM stepped UNION ALL SELECT * FROM mine) GROUP BY line_id) SELECT line_id, x.id AS article_id, x.rung, x.gap FROM with_mine""",
     "branded_exact_match": f"{_LINK} SELECT line_id, article_id, source FROM exacts",
     "rose_prefix_match": f"{_LINK} SELECT line_id, count(*) AS n, min(article_id) AS first_id FROM prefixed GROUP BY 1",
     "candidate_union_dedupe": f"{_LINK} SELECT * FROM candidates",
@@ -274,10 +290,10 @@ SELECT id AS link_id, coalesce(new_id, id) AS article_id, new_id IS NOT NULL AND
     "graded_roses": f"""WITH {_CAT}, r AS (SELECT * FROM cat WHERE species = 'ROSES'), n AS (SELECT concat_ws(' ', 'ROSA COL', variety, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'FANCY' ELSE 'SELECT' END END, format('{{}}CM {{}}U', size, pack)) AS name, min(id) AS id FROM r GROUP BY 1),
 k AS (SELECT id AS line_id, 0 AS n, concat_ws(' ', 'ROSA COL', variety, 'FANCY', format('{{}}CM {{}}U', size, pack)) AS name FROM r UNION ALL SELECT id, 1, concat_ws(' ', 'ROSA COL', variety, format('{{}}CM {{}}U', size, pack)) FROM r)
 SELECT line_id, arg_min(n.id, k.n) AS article_id, min(k.n) = 0 AS with_grade FROM k JOIN n USING (name) GROUP BY 1""",
-    "variety_forms": f"""WITH {_ARTICLES}, v AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'GARDEN ROSE ' || variety ELSE variety END AS v, variety AS b FROM articles), w AS (SELECT *, {_colors("v")} AS vt, {_colors("b")} AS bt FROM v),
-f AS (SELECT id, unnest([v, b, vt, bt, {", ".join(_PHRASES)}]) AS form, unnest(range({4 + 8})) AS i FROM w), d AS (SELECT id, form, min(i) AS i FROM f GROUP BY 1, 2) SELECT id, string_agg(form, '|' ORDER BY i) FILTER (r <= 4) AS forms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM d) x GROUP BY 1""",
-    "variety_search": f"""WITH {_ARTICLES}, {_REQUESTS}, a AS (SELECT variety AS form, size AS s, min(id) AS id FROM articles GROUP BY 1, 2), w AS (SELECT *, {_colors("b")} AS bt FROM (SELECT line_id, size, variety AS b FROM requests) z),
-f AS (SELECT line_id, size, unnest([b, b, bt, bt, {", ".join(_PHRASES)}]) AS form, unnest(range({4 + 8})) AS i FROM w), d AS (SELECT line_id, size, form, row_number() OVER (PARTITION BY line_id ORDER BY min(i)) - 1 AS n FROM f GROUP BY 1, 2, 3),
+    "variety_forms": f"""WITH {_ARTICLES}, v AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'GARDEN ROSE ' || variety ELSE variety END AS v FROM articles), {_FORMS}
+SELECT id, string_agg(form, '|' ORDER BY i) AS forms FROM forms GROUP BY 1""",
+    "variety_search": f"""WITH {_ARTICLES}, {_REQUESTS}, a AS (SELECT variety AS form, size AS s, min(id) AS id FROM articles GROUP BY 1, 2), v AS (SELECT line_id AS id, variety AS v FROM requests), {_FORMS},
+d AS (SELECT f.id AS line_id, r.size, form, row_number() OVER (PARTITION BY f.id ORDER BY i) - 1 AS n FROM forms f JOIN requests r ON r.line_id = f.id),
 j AS (SELECT line_id, id, min({{'off': (s <> size)::INT, 'n': n}}) AS x FROM d JOIN a USING (form) GROUP BY 1, 2) SELECT line_id, (row_number() OVER (PARTITION BY line_id ORDER BY x, id))::INT AS place, id AS article_id FROM j QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY x, id) <= 5""",
     "alternatives": f"""WITH {_ARTICLES}, {_REQUESTS}, j AS (SELECT r.line_id, a.id, CASE WHEN a.variety = r.variety THEN 10 WHEN contains(a.variety, r.variety) OR contains(r.variety, a.variety) THEN 3 ELSE 0 END + CASE WHEN a.size = r.size THEN 5 ELSE 0 END + CASE WHEN a.pack = r.pack THEN 3 ELSE 0 END + CASE WHEN a.brand = r.brand THEN 2 ELSE 0 END AS points
 FROM requests r JOIN articles a ON string_split(r.variety, ' ')[1] = string_split(a.variety, ' ')[1]) SELECT line_id, (row_number() OVER w)::INT AS place, id AS article_id, points FROM j WHERE points >= 5 WINDOW w AS (PARTITION BY line_id ORDER BY points DESC, id) QUALIFY row_number() OVER w <= 5""",

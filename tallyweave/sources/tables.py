@@ -75,7 +75,7 @@ def link_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, v = F.col("p_partkey"), F.upper("p_name")
     p = table(spark, sf_dir, "part").select(
         i.alias("id"), _pick(i % 10, *["ROSES"] * 6, "CARNATIONS", "CARNATIONS", "HYDRANGEAS", "OTHER").alias("species"), (10 * (F.col("p_size") % 6 + 3)).cast("int").alias("size"), _pick(i % 3, 10, 20, 25).cast("int").alias("pack"),
-        F.when(i % 40 == 0, "SPRAY MIXTO").when(i % 25 == 1, F.concat(v, F.lit(" BICOLOR"))).otherwise(v).alias("variety"), F.when(i % 4 == 0, "").otherwise(F.upper("p_brand")).alias("brand"), F.when(i % 2 == 0, "EC").otherwise("COL").alias("o"),
+        F.when(i % 40 == 0, "SPRAY MIXTO").when(i % 25 == 1, F.concat(v, F.lit(" BICOLOR"))).otherwise(v).alias("variety"), F.when(i % 4 == 0, "").otherwise(F.upper("p_brand")).alias("brand"), F.when(i % 2 == 0, "EC").otherwise("COL").alias("o"), ((i * 7) % 50).alias("provider_id"),
     )
     p = p.withColumn("origin", F.when(F.col("species") == "ROSES", F.col("o")).when(F.col("species") == "CARNATIONS", "COL").otherwise(""))
     return p.withColumn("name", F.concat_ws(" ", expected_name(F.col("species"), F.col("variety"), F.col("size"), F.col("pack"), F.lit("FANCY"), F.col("origin")), F.nullif("brand", F.lit("")))).drop("o")
