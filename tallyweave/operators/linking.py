@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,25 +162,55 @@ def nearest_names(names: DataFrame, vocabulary: DataFrame, k: int = 3, most: int
     return d.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("distance", "y"))).where(F.col("place") <= k).select(F.col("x").alias("name"), F.col("y").alias("near"), "distance", "place")
 
 
-def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = 0.40, k: int = 5) -> DataFrame:
-    """Best names of the same pool by matching-block ratio: pool, query, name, ratio (rounded to .001), place.
+#: Letters that a name's index counts; all others are one more.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
 
-    ``queries``: pool, query. ``names``: pool, name. Queries are made distinct first; pairs that can't reach the threshold by
-    their lengths never get to Python.
-    """
-    q, n = queries.select("pool", "query").distinct(), names.select("pool", "name").distinct()
-    la, lb = F.length("query"), F.length("name")
-    near = q.join(n, "pool").where(2 * F.least(la, lb) >= threshold * (la + lb))
 
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def letters(name: Column) -> Column:
+    """How often each letter of ALPHABET stands in a name, then all others together."""
+    each = F.transform(F.array(*map(F.lit, ALPHABET)), lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
+    return F.concat(each, F.array(F.length(name) - F.aggregate(each, F.lit(0), lambda a, b: a + b)))
+
 
-    graded = near.withColumn("ratio", F.round(ratio("query", "name"), 3)).where(F.col("ratio") >= threshold)
+def matching(a: str, b: str) -> Column:
+    """Length of all matching blocks of two text columns: the longest common block (the first in a, then in b), and so on left and right of it.
+
+    Ranges that are still to be looked at are a stack: a step takes one off and puts up to two on. A block's length at a place is the number of lengths that
+    fit there, since with a length all shorter ones fit.
+    """
+    inside = f"substring({b}, r.bl + 1, r.bh - r.bl)"
+    fits = f"size(filter(sequence(1, least(r.ah - i, r.bh - r.bl)), k -> contains({inside}, substring({a}, i + 1, k))))"
+    longest = f"array_max(transform(sequence(r.al, r.ah - 1), i -> struct({fits} as n, -i as i)))"
+    # transform over an array of one names what is computed once
+    block = f"transform(array({longest}), x -> struct(x.n as n, -x.i as i, r.bl + instr({inside}, substring({a}, 1 - x.i, x.n)) - 1 as j))"
+    ranges = "array(struct(r.al as al, x.i as ah, r.bl as bl, x.j as bh), struct(x.i + x.n as al, r.ah as ah, x.j + x.n as bl, r.bh as bh))"
+    split = f"filter({ranges}, t -> x.n > 0 and t.al < t.ah and t.bl < t.bh)"
+    step = f"element_at(transform(slice(s.todo, 1, 1), r -> element_at(transform({block}, x -> struct(s.n + x.n as n, concat({split}, slice(s.todo, 2, size(s.todo))) as todo)), 1)), 1)"
+    whole = f"filter(array(struct(0 as al, length({a}) as ah, 0 as bl, length({b}) as bh)), t -> t.ah > 0 and t.bh > 0)"
+    turns = f"sequence(0, 2 * least(length({a}), length({b})))"
+    return F.expr(f"aggregate({turns}, struct(0 as n, {whole} as todo), (s, turn) -> if(size(s.todo) = 0, s, {step}), s -> s.n)")
+
+
+def alike(queries: DataFrame, names: DataFrame, threshold: float = 0.40, k: int = 5) -> DataFrame:
+    """The k best names of the same pool for each distinct query: pool, query, name, matched (length of matching blocks), ratio, place.
+
+    ``queries``: pool, query. ``names``: pool, name. Ratio: twice the matched length by both lengths. Before any block is looked for, pairs fall that can't reach
+    the threshold by their lengths, then by the letters that they have in common, which each distinct text counts once.
+    """
+    q = queries.select("pool", "query").distinct().withColumn("_q", letters(F.col("query")))
+    n = names.select("pool", "name").distinct().withColumn("_n", letters(F.col("name")))
+    both = F.length("query") + F.length("name")
+    shared = F.aggregate(F.zip_with("_q", "_n", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    near = q.join(n, "pool").where((2 * F.least(F.length("query"), F.length("name")) >= threshold * both) & (2 * shared >= threshold * both))
+    graded = near.drop("_q", "_n").withColumn("matched", matching("query", "name")).withColumn("ratio", F.try_divide(2.0 * F.col("matched"), both)).where(F.col("ratio") >= threshold)
     return graded.withColumn("place", F.row_number().over(Window.partitionBy("pool", "query").orderBy(F.desc("ratio"), "name"))).where(F.col("place") <= k)
 
 
+def fuzzy(queries: DataFrame, names: DataFrame, threshold: float = 0.40, k: int = 5) -> DataFrame:
+    """As ``alike``: pool, query, name, ratio (rounded to .001), place."""
+    return alike(queries, names, threshold, k).select("pool", "query", "name", F.round("ratio", 3).alias("ratio"), "place")
+
+
 def detect(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """The provider whose pattern comes first in a text: doc_id, provider, position; ties in order of the patterns.
 

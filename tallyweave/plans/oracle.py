@@ -141,6 +141,16 @@ _STRIPS = f"""strips AS (SELECT DISTINCT line_id, provider_id, size, source, ord
   UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 1, {_PLAIN("v")}, species = 'ROSES' FROM ll UNION ALL SELECT line_id, provider_id, size, v, 'connector_strip', 2, {_PLAIN(_BEHIND)}, species = 'ROSES' AND {_PLAIN(_BEHIND)} <> {_BEHIND} FROM ll
   UNION ALL SELECT line_id, provider_id, size, v, 'bicolor_ext', k.i, [v, {_BEHIND}, {_PLAIN("v")}, {_PLAIN(_BEHIND)}][k.i + 1] || ' BICOLOR', species = 'ROSES' FROM ll, (VALUES (0), (1), (2), (3)) k(i)) x
   WHERE cond AND form <> '' AND (source = 'priority' OR form <> v))"""
+_LONGEST = "list_max([{'n': len([k FOR k IN range(1, least(ah - i, bh - bl) + 1) IF contains(substr(n, bl + 1, bh - bl), substr(q, i + 1, k))]), 'i': -i} FOR i IN range(al, ah)])"
+#: From alike_in (pool, q, n) the five best names of each q by matching blocks: alike (pool, q, n, matched, ratio, place).
+_ALIKE = f"""met_in AS (SELECT * FROM alike_in WHERE length(q) > 0 AND length(n) > 0 AND 2 * least(length(q), length(n)) >= 0.4::DOUBLE * (length(q) + length(n))),
+ranges AS (SELECT pool, q, n, al, ah, bl, bh, {_LONGEST} AS best FROM (SELECT *, 0 AS al, length(q) AS ah, 0 AS bl, length(n) AS bh FROM met_in) z
+  UNION ALL SELECT pool, q, n, al, ah, bl, bh, {_LONGEST} FROM (
+    SELECT pool, q, n, x.al, x.ah, x.bl, x.bh FROM (SELECT *, -best.i AS i, bl + instr(substr(n, bl + 1, bh - bl), substr(q, 1 - best.i, best.n)) - 1 AS j FROM ranges WHERE best.n > 0) y,
+      LATERAL (SELECT unnest([{{'al': al, 'ah': i, 'bl': bl, 'bh': j}}, {{'al': i + best.n, 'ah': ah, 'bl': j + best.n, 'bh': bh}}]) AS x) u WHERE x.al < x.ah AND x.bl < x.bh) w),
+matched AS (SELECT pool, q, n, sum(best.n)::BIGINT AS matched FROM ranges GROUP BY ALL),
+alike AS (SELECT *, 2.0::DOUBLE * matched / (length(q) + length(n)) AS ratio, row_number() OVER (PARTITION BY pool, q ORDER BY 2.0::DOUBLE * matched / (length(q) + length(n)) DESC, n)::INT AS place
+  FROM matched WHERE 2.0::DOUBLE * matched / (length(q) + length(n)) >= 0.4::DOUBLE QUALIFY place <= 5)"""
 _GATHER = f"""{_STRIPS},
 met AS (SELECT s.line_id, s.source, s.ord, s.provider_id, s.size > 0 AND c.size = s.size AS same, abs(c.size - s.size) AS gap, c.id, c.provider_id AS of_provider, c.brand, coalesce(list_contains(o.brands, c.brand), false) AS is_own
   FROM strips s JOIN cat c ON c.av = s.variety LEFT JOIN owns o ON o.provider_id = s.provider_id),
@@ -155,8 +165,8 @@ begins AS (SELECT l.line_id, min(c.id) AS article_id FROM ll l JOIN cat c ON c.s
 holds AS (SELECT l.line_id, min(c.id) AS article_id FROM ll l JOIN cat c ON c.species = 'ROSES' AND l.species = 'ROSES' AND l.size > 0 AND l.pack > 0 AND c.size = l.size AND c.pack = l.pack AND c.origin = l.origin AND contains(c.av, l.v) AND list_contains(string_split(c.av, ' '), string_split(l.v, ' ')[1])
   WHERE l.line_id NOT IN (SELECT line_id FROM begins) GROUP BY 1),
 spelt AS (SELECT species, av, min(id) AS article_id FROM cat GROUP BY 1, 2),
-hits AS (SELECT line_id, article_id, (100 - 10 * d)::INT AS percent FROM (SELECT l.line_id, s.article_id, levenshtein(l.v, s.av) AS d FROM ll l JOIN spelt s ON s.species = l.species AND abs(length(s.av) - length(l.v)) <= 2) x WHERE d BETWEEN 1 AND 2
-  QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY d, article_id) <= 5),
+alike_in AS (SELECT DISTINCT l.species AS pool, l.v AS q, s.av AS n FROM ll l JOIN spelt s ON s.species = l.species), {_ALIKE},
+hits AS (SELECT l.line_id, s.article_id, (200 * matched // (length(l.v) + length(s.av)))::INT AS percent FROM ll l JOIN alike a ON a.pool = l.species AND a.q = l.v JOIN spelt s ON s.species = a.pool AND s.av = a.n),
 every AS (SELECT line_id, article_id, 'synonym' AS source, NULL::INT AS percent, status FROM ll JOIN store USING (provider_id, species, v, size, pack) WHERE status <> 'rechazado'
   UNION ALL SELECT line_id, article_id, source, NULL, NULL FROM by_strip UNION ALL SELECT line_id, article_id, 'exact', NULL, NULL FROM exacts UNION ALL SELECT line_id, article_id, 'branded', NULL, NULL FROM brandeds
   UNION ALL SELECT line_id, article_id, 'rose', NULL, NULL FROM begins UNION ALL SELECT line_id, article_id, 'rose', NULL, NULL FROM holds UNION ALL SELECT line_id, article_id, 'fuzzy', percent, NULL FROM hits),
@@ -192,7 +202,7 @@ d4 AS (SELECT *, near AND coalesce((b_exact AND NOT a_exact AND a_close) OR (b_e
 d5 AS (SELECT *, CASE WHEN NOT near THEN '' WHEN swap AND b_exact AND NOT a_exact AND a_close THEN 'size' WHEN swap THEN 'variety' WHEN a_exact AND NOT b_exact AND b_close THEN 'size' WHEN a_every AND NOT b_every THEN 'variety' WHEN b_extra AND NOT a_extra THEN 'color' ELSE '' END AS why0 FROM d4),
 d6 AS (SELECT *, CASE WHEN a_id IS NULL THEN 'sin_match' WHEN stand_in THEN 'ambiguous_match' WHEN a_score >= 700 THEN CASE WHEN near AND why0 = '' THEN 'ambiguous_match' ELSE 'ok' END
   WHEN a_score >= 500 AND (a_any OR coalesce(a_percent >= 85, false) OR a_source = 'synonym') THEN 'ambiguous_match' ELSE 'sin_match' END AS status FROM d5)"""
-_LINKER = f"WITH {_CAT}, {_GATHER}"
+_LINKER = f"WITH RECURSIVE {_CAT}, {_GATHER}"
 
 
 _PAIRS = "[" + ", ".join(f"[{_value(a)}, {_value(b)}]" for a, b in sorted(reports.TRANSLATIONS.items(), key=lambda x: -len(x[0]))) + "]"
@@ -314,6 +324,8 @@ s AS (SELECT *, CASE WHEN contains(a, v) OR v = av THEN 100 WHEN contains(av, v)
   ELSE least(floor(len(list_intersect(list_distinct(list_concat(string_split(v, ' '), string_split(vt, ' '))), list_distinct(list_concat(string_split(av, ' '), string_split(a, ' '))))) / least(len(list_distinct(string_split(v, ' '))), len(list_distinct(string_split(av, ' ')))) * 85), 85) END::INT AS score FROM k)
 SELECT line_id, score, array_to_string([x FOR x IN [CASE WHEN score < 50 THEN 'unlike' END, CASE WHEN size > 0 AND s > 0 AND size <> s THEN 'size' END] IF x IS NOT NULL], ',') AS reasons FROM s""",
     "clean_texts": r"SELECT s_suppkey, trim(regexp_replace(regexp_replace(upper(s_name), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS header, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM supplier",
+    "fuzzy_topk": f"""WITH RECURSIVE {_ARTICLES}, alike_in AS (SELECT DISTINCT a.family AS pool, reverse(a.variety) AS q, b.variety AS n FROM articles a JOIN articles b USING (family)), {_ALIKE}
+SELECT pool, q AS query, n AS name, round(ratio, 3) AS ratio, place FROM alike""",
     "levenshtein_topk": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT a.name, b.name AS near, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 4)
 SELECT name, near, distance::INT AS distance, (row_number() OVER (PARTITION BY name ORDER BY distance, near))::INT AS place FROM d WHERE distance <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, near) <= 3""",
     "article_search": f"WITH {_ARTICLES}, q AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SEARCHES) + r""") v(q)), j AS (SELECT q, id, name, CASE WHEN reference = upper(q) THEN 1 WHEN starts_with(reference, upper(q)) THEN 2

@@ -234,13 +234,13 @@ HARD_BRANDS = ["BRAND#3", "BRAND#9", "BRAND#15"]
 
 
 def _fuzzy_hits(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Names at most two letters off, of the same species: up to five a line."""
+    """The five names of the same species that are most like a line's variety, at .40 or more; each distinct variety is looked up once."""
     v = text.canonical(F.col("variety"))
-    names = catalogue.groupBy("species", v.alias("name")).agg(F.min("id").alias("article_id")).withColumn("n", F.length("name"))
-    q = lines.select("line_id", "species", v.alias("v")).withColumn("n", F.explode(F.sequence(F.length("v") - 2, F.length("v") + 2)))
-    d = q.join(names, ["species", "n"]).withColumn("distance", F.levenshtein("v", "name", 2)).where("distance > 0")
-    place = F.row_number().over(Window.partitionBy("line_id").orderBy("distance", "article_id"))
-    return d.withColumn("place", place).where("place <= 5").select("line_id", "article_id", (100 - 10 * F.col("distance")).alias("percent"))
+    names = catalogue.groupBy(F.col("species").alias("pool"), v.alias("name")).agg(F.min("id").alias("article_id"))
+    asked = lines.select("line_id", F.col("species").alias("pool"), v.alias("query"))
+    best = linking.alike(asked, names).join(names, ["pool", "name"])
+    percent = F.floor(200 * F.col("matched") / (F.length("query") + F.length("name"))).cast("int")
+    return asked.join(best.select("pool", "query", "article_id", percent.alias("percent")), ["pool", "query"]).select("line_id", "article_id", "percent")
 
 
 def _gathered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
