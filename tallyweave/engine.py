@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,29 +53,50 @@ class Engine:
         e = lines.select("line_id", "provider_id", "species", canonical(F.col("variety")).alias("variety_key"), "size", "pack", F.upper("grade").alias("grade")).join(articles, "line_id")
         e.select(*KEY, "article_id", F.lit(kind).alias("kind"), F.lit(ts).alias("ts")).write.mode("append").parquet(f"{self.root}/events")
 
+    def _say(self, keys: DataFrame, kind: str, ts: str | None) -> None:
+        """Log what a person did: keys and, for ``manual``, article_id."""
+        when = F.lit(ts) if ts else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+        article = F.col("article_id") if "article_id" in keys.columns else F.lit(None)
+        keys.select(*KEY, article.cast("long").alias("article_id"), F.lit(kind).alias("kind"), when.alias("ts")).write.mode("append").parquet(f"{self.root}/events")
+
     def learn(self, version: int) -> DataFrame:
-        """Fold all events into a new version of the links: of several articles for a key the one with the most trust, then the smaller id."""
-        e = self.events().withColumn("key", F.struct(*KEY)).select("key", "article_id", "kind")
-        folded = history.fold(e).select("key.*", "article_id", "status", "trust")
-        best = F.max(F.struct("trust", (-F.col("article_id")).alias("minus"), "status"))
-        files.save_store(folded.groupBy(*KEY).agg(best.alias("x")).select(*KEY, (-F.col("x.minus")).alias("article_id"), "x.status", "x.trust"), f"{self.root}/links", version)
+        """A new version of the links: each key by all its events, people's choices included; links that no event speaks of stay as they are."""
+        e = self.events().withColumn("key", F.struct(*KEY)).select("key", "article_id", "kind", "ts")
+        known = history.replay(e).select("key.*", "article_id", "status", "trust")
+        columns = [*KEY, "article_id", "status", "trust"]
+        rest = self.links().join(e.select("key.*").distinct(), list(KEY), "left_anti") if self._has_links() else known.limit(0)
+        files.save_store(known.select(columns).unionByName(rest.select(columns)), f"{self.root}/links", version)
         return self.links()
 
-    def delete(self, keys: DataFrame, version: int) -> DataFrame:
-        """A version of the links without some keys."""
+    def _has_links(self) -> bool:
+        try:
+            self.links()
+        except (FileNotFoundError, Py4JJavaError):  # no folder yet, or none that was committed
+            return False
+        return True
+
+    def delete(self, keys: DataFrame, version: int, ts: str | None = None) -> DataFrame:
+        """A version of the links without some keys; what was said of them before no longer counts."""
+        self._say(keys, "delete", ts)
         files.save_store(self.links().join(keys.select(*KEY), list(KEY), "left_anti"), f"{self.root}/links", version)
         return self.links()
 
-    def apply(self, corrections: DataFrame, version: int) -> DataFrame:
+    def apply(self, corrections: DataFrame, version: int, ts: str | None = None) -> DataFrame:
         """Corrections of links by key: action delete, ok or repoint (to new_id). Gives those that can't be applied, with the reason; a new version has the others."""
         known = self.catalogue.select(F.col("id").alias("new_id"), F.lit(True).alias("exists")).dropDuplicates(["new_id"])
         c = corrections.join(self.links().select(*KEY, F.lit(True).alias("linked")), list(KEY), "left").join(known, "new_id", "left")
-        why = F.when(F.col("linked").isNull(), "no such link").when(~F.col("action").isin("delete", "ok", "repoint"), "no such action").when((F.col("action") == "repoint") & F.col("exists").isNull(), "no such article")
+        why = (
+            F.when(F.col("linked").isNull(), "no such link").when(~F.col("action").isin("delete", "ok", "repoint"), "no such action")
+            .when((F.col("action") == "repoint") & F.col("exists").isNull(), "no such article")
+        )
         c = c.withColumn("error", why)
         good = c.where("error is null").select(*KEY, "action", "new_id")
-        j = self.links().join(good, list(KEY), "left").where("action is null or action <> 'delete'")
+        j = self.links().join(good, list(KEY), "left")
+        self._say(j.where("action = 'delete'"), "delete", ts)
+        j = j.where("action is null or action <> 'delete'").withColumn("article_id", F.when(F.col("action") == "repoint", F.col("new_id")).otherwise(F.col("article_id")))
         said = F.col("action").isNotNull()
-        rows = j.select(*KEY, F.when(F.col("action") == "repoint", F.col("new_id")).otherwise(F.col("article_id")).alias("article_id"), F.when(said, "manual_confirmado").otherwise(F.col("status")).alias("status"), F.when(said, 0.98).otherwise(F.col("trust")).alias("trust"))
+        self._say(j.where(said), "manual", ts)
+        rows = j.select(*KEY, "article_id", F.when(said, "manual_confirmado").otherwise(F.col("status")).alias("status"), F.when(said, 0.98).otherwise(F.col("trust")).alias("trust"))
         files.save_store(rows, f"{self.root}/links", version)
         return c.where("error is not null").select(*KEY, "action", "new_id", "error")
 

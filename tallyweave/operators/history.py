@@ -81,6 +81,34 @@ def fold(log: DataFrame) -> DataFrame:
     return c.withColumn("status", status).withColumn("trust", checks.trust(F.col("status"), F.col("confirmed"), F.col("corrected")))
 
 
+def replay(log: DataFrame) -> DataFrame:
+    """Learned links by their history and by what people said of them: key, article_id, confirmed, corrected, hits, status, trust; one article a key.
+
+    ``log``: key, article_id, kind, ts; kinds as in ``fold``, and ``manual`` (a person chose this article) and ``delete`` (a person took the link away). Nothing before a key's
+    last delete counts. The last manual choice stands against all that runs learn; corrections of its article after it make it ambiguous, two reject it. Without one
+    the article with the most trust is linked, then the one with the smaller id. At equal times a delete comes first, then a manual choice.
+    Only latest times and sums are needed, so events may come in any order.
+    """
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("ts")))
+    chosen = F.max_by(F.when(F.col("kind") == "manual", F.col("article_id")), F.when(F.col("kind") == "manual", F.struct("ts", -F.col("article_id"))))
+    people = log.where(F.col("kind").isin("manual", "delete")).groupBy("key").agg(last("delete").alias("gone"), last("manual").alias("said"), chosen.alias("chosen"))
+    people = people.withColumn("manual", F.col("said").isNotNull() & (F.col("gone").isNull() | (F.col("said") >= F.col("gone"))))
+    t = log.where(~F.col("kind").isin("manual", "delete")).join(people, "key", "left").where("gone is null or ts > gone")
+    # of a chosen article only what was said after the choice counts
+    counted = F.coalesce(~F.col("manual") | ((F.col("article_id") == F.col("chosen")) & (F.col("ts") >= F.col("said"))), F.lit(True))
+    learned = fold(t.where(counted).select("key", "article_id", "kind")).drop("n_events", "trust")
+    best = F.max(F.struct(checks.trust(F.col("status"), F.col("confirmed"), F.col("corrected")).alias("trust"), (-F.col("article_id")).alias("minus"), "confirmed", "corrected", "hits", "status")).alias("x")
+    learned = learned.groupBy("key").agg(best).select("key", (-F.col("x.minus")).alias("article_id"), "x.confirmed", "x.corrected", "x.hits", "x.status")
+    by_hand = people.where("manual").select("key", "chosen")
+    j = learned.join(by_hand, "key", "full")
+    corrected = F.coalesce("corrected", F.lit(0))
+    state = F.when(corrected >= 2, "rechazado").when(corrected == 1, "ambiguo").otherwise("manual_confirmado")
+    j = j.withColumn("status", F.when(F.col("chosen").isNotNull(), state).otherwise(F.col("status"))).withColumn("article_id", F.coalesce("chosen", "article_id"))
+    numbers = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("confirmed", "corrected", "hits")]
+    j = j.select("key", "article_id", *numbers, "status")
+    return j.withColumn("trust", checks.trust(F.col("status"), F.col("confirmed"), F.col("corrected")))
+
+
 def fold_counts(log: DataFrame) -> DataFrame:
     return fold(log).drop("n_events")
 

@@ -98,6 +98,10 @@ _FOLD = """counts AS (SELECT key, article_id, count(*) FILTER (kind = 'confirm')
 states AS (SELECT *, CASE WHEN corrected >= 2 THEN 'rechazado' WHEN corrected = 1 THEN 'ambiguo' WHEN confirmed >= 1 OR hits >= 2 THEN 'aprendido_confirmado' ELSE 'aprendido_en_prueba' END AS status FROM counts)"""
 
 
+_BASE = "CASE status WHEN 'manual_confirmado' THEN 0.98::DOUBLE WHEN 'aprendido_confirmado' THEN 0.85::DOUBLE WHEN 'aprendido_en_prueba' THEN 0.55::DOUBLE WHEN 'ambiguo' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END"
+_TRUSTED = "round(CASE WHEN corrected > 0 THEN greatest(0.1::DOUBLE, b - 0.15::DOUBLE * corrected) WHEN confirmed > 1 THEN least(0.98::DOUBLE, b + 0.05::DOUBLE * least(confirmed - 1, 5)) ELSE b END, 3)"
+
+
 def _first(p: str) -> str:
     return f"nullif(regexp_extract(trim(line), '{p}', 1), '')"
 
@@ -348,6 +352,19 @@ SELECT *, CASE WHEN confirmed + corrected > 0 THEN round(confirmed::DOUBLE / (co
 QUALIFY row_number() OVER (PARTITION BY key, article_id ORDER BY ts DESC, event_id DESC) = 1""",
     "missing_articles": f"""WITH {_LOG} SELECT article_id, count(*) FILTER (kind = 'correct') AS rescues, count(*) FILTER (kind = 'proposal') AS pending, first(key ORDER BY ts, event_id) AS first_key,
 3 * count(*) FILTER (kind = 'correct') + count(*) FILTER (kind = 'proposal') AS score FROM log GROUP BY 1""",
+    "link_states": f"""WITH {_LOG}, k AS (SELECT key, article_id, CASE event_id % 40 WHEN 0 THEN 'delete' WHEN 1 THEN 'manual' ELSE kind END AS kind, ts FROM log WHERE article_id IS NOT NULL),
+people AS (SELECT *, said IS NOT NULL AND (gone IS NULL OR said >= gone) AS manual FROM (SELECT key, max(ts) FILTER (kind = 'delete') AS gone, max(ts) FILTER (kind = 'manual') AS said,
+  arg_max(article_id, {{'ts': ts, 'minus': -article_id}}) FILTER (kind = 'manual') AS chosen FROM k WHERE kind IN ('manual', 'delete') GROUP BY key) x),
+e AS (SELECT k.*, p.manual, p.chosen, p.said FROM k LEFT JOIN people p USING (key) WHERE kind IN ('proposal', 'confirm', 'correct') AND (gone IS NULL OR ts > gone)),
+counts AS (SELECT key, article_id, count(*) FILTER (kind = 'confirm') AS confirmed, count(*) FILTER (kind = 'correct') AS corrected, count(*) FILTER (kind = 'proposal') AS hits
+  FROM e WHERE coalesce(NOT manual OR (article_id = chosen AND ts >= said), true) GROUP BY 1, 2),
+states AS (SELECT *, CASE WHEN corrected >= 2 THEN 'rechazado' WHEN corrected = 1 THEN 'ambiguo' WHEN confirmed >= 1 OR hits >= 2 THEN 'aprendido_confirmado' ELSE 'aprendido_en_prueba' END AS status FROM counts),
+graded AS (SELECT *, {_TRUSTED} AS trust FROM (SELECT *, {_BASE} AS b FROM states) x),
+one AS (SELECT * FROM graded QUALIFY row_number() OVER (PARTITION BY key ORDER BY trust DESC, article_id) = 1),
+joined AS (SELECT coalesce(o.key, p.key) AS key, coalesce(p.chosen, o.article_id) AS article_id, coalesce(confirmed, 0)::BIGINT AS confirmed, coalesce(corrected, 0)::BIGINT AS corrected, coalesce(hits, 0)::BIGINT AS hits,
+  CASE WHEN p.chosen IS NULL THEN o.status WHEN coalesce(corrected, 0) >= 2 THEN 'rechazado' WHEN coalesce(corrected, 0) = 1 THEN 'ambiguo' ELSE 'manual_confirmado' END AS status
+  FROM one o FULL JOIN (SELECT key, chosen FROM people WHERE manual) p ON p.key = o.key)
+SELECT key, article_id, confirmed, corrected, hits, status, {_TRUSTED} AS trust FROM (SELECT *, {_BASE} AS b FROM joined) y""",
     "trust_scores": f"""WITH {_LOG}, {_FOLD} SELECT *, round(CASE WHEN corrected > 0 THEN greatest(0.1::DOUBLE, b - 0.15::DOUBLE * corrected) WHEN confirmed > 1 THEN least(0.98::DOUBLE, b + 0.05::DOUBLE * least(confirmed - 1, 5)) ELSE b END, 3) AS trust
 FROM (SELECT *, CASE status WHEN 'manual_confirmado' THEN 0.98::DOUBLE WHEN 'aprendido_confirmado' THEN 0.85::DOUBLE WHEN 'aprendido_en_prueba' THEN 0.55::DOUBLE WHEN 'ambiguo' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS b FROM states)""".replace("SELECT *, round", "SELECT key, article_id, confirmed, corrected, hits, status, round"),
     "synonym_fold": f"WITH {_LOG}, {_FOLD} SELECT key, article_id, status, confirmed + corrected + hits AS n_events FROM states",
@@ -384,10 +401,11 @@ j AS (SELECT g.*, g.variety = f.variety AS v, g.size = f.size AS z, g.stems = f.
 m AS (SELECT 'variety' AS field, count(*) AS n, count(*) FILTER (v) AS ok FROM j UNION ALL SELECT 'size', count(*), count(*) FILTER (z) FROM j UNION ALL SELECT 'stems', count(*), count(*) FILTER (s) FROM j UNION ALL SELECT 'line_total', count(*), count(*) FILTER (l) FROM j
 UNION ALL SELECT 'link', count(*) FILTER (article_id > 0), count(*) FILTER (article_id > 0 AND a) FROM j UNION ALL SELECT 'line', count(*), count(*) FILTER (v AND z AND s AND l AND a) FROM j) SELECT *, round(ok::DOUBLE / n, 4) AS accuracy FROM m""",
     "layout_rows": printed.SQL,
-    "amount_texts": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.AMOUNTS) + ") v(written, amount)",
-    "printed_totals": "SELECT * FROM (VALUES " + ", ".join(f"({_value(a)}, {_value(b)}::DOUBLE)" for a, b in suppliers.TOTALS) + ") v(written, total)",
-    "size_places": "SELECT * FROM (VALUES " + ", ".join(f"({a}, {_value(b)}::INT)" for a, _, b in suppliers.PLACES) + ") v(word, size)",
-    "layout_switches": f"SELECT true AS active, {len(suppliers.LAYOUTS) - 2}::BIGINT AS n UNION ALL SELECT false, 2::BIGINT",
+    "amount_texts": """SELECT l_orderkey AS doc_id, l_linenumber AS line_no, l_partkey AS key, l_suppkey AS other, (l_extendedprice * 100)::BIGINT / 100.0 AS amount FROM lineitem""",
+    "printed_totals": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 6 THEN 0.0 ELSE (o_totalprice * 100)::BIGINT / 100.0 END AS total FROM orders",
+    "size_places": """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS line_no,
+  CASE WHEN l_partkey % 11 = 10 THEN NULL ELSE 40 + 10 * (l_partkey % 5) END::INT AS size, l_quantity::INT AS count FROM lineitem""",
+    "layout_switches": f"SELECT fmt, count(*) AS n FROM (SELECT [{', '.join(repr(n) for n in printed.LAYOUTS)}][l_orderkey % {len(printed.LAYOUTS)} + 1] AS fmt FROM lineitem JOIN part ON l_partkey = p_partkey) x WHERE fmt IN ('brissas', 'uma') GROUP BY fmt",
     "fingerprints": f"WITH {_TEXT}, {_PRINTS} SELECT * FROM prints",
     "fingerprint_clusters": f"""WITH {_TEXT}, {_PRINTS}, base AS (SELECT structure, min(doc_id) AS first_doc, arg_min(n_fields, doc_id) AS f FROM prints GROUP BY 1),
 c AS (SELECT structure, min(first_doc) AS first_doc, count(*) FILTER (abs(n_fields - f) <= 2) AS n_docs, round(avg(points), 3) AS mean_points FROM prints JOIN base USING (structure) GROUP BY 1)

@@ -28,7 +28,7 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("stems", c("bunches") * c("pack") * c("boxes")).drop("own_pack")
 
 
-def _decimal(units: Column, places: int, mark: str = ".", thousands: str = "") -> Column:
+def decimal(units: Column, places: int, mark: str = ".", thousands: str = "") -> Column:
     """A whole number of hundredths or thousandths as an amount."""
     whole = F.floor(units / 10**places).cast("string")
     if thousands:
@@ -41,9 +41,9 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     t, total = rows(spark, d), c("stems") * c("cents")
     milli, price3, upper = total * 10, c("cents") * 10, F.upper("name")
-    us3, eu3, eu2 = [_decimal(x, 3) for x in (price3, milli)], [_decimal(x, 3, ",") for x in (price3, milli)], [_decimal(c("cents"), 2, ","), _decimal(total, 2, ",", ".")]
-    us2 = [_decimal(c("cents"), 2), _decimal(total, 2)]
-    broken = F.regexp_replace(_decimal(total, 2, ","), r"^(\d)(?=\d)", "$1 ")
+    us3, eu3, eu2 = [decimal(x, 3) for x in (price3, milli)], [decimal(x, 3, ",") for x in (price3, milli)], [decimal(c("cents"), 2, ","), decimal(total, 2, ",", ".")]
+    us2 = [decimal(c("cents"), 2), decimal(total, 2)]
+    broken = F.regexp_replace(decimal(total, 2, ","), r"^(\d)(?=\d)", "$1 ")
     blanks = F.repeat(F.lit(" "), (F.floor((c("size") - 30) / 10) + 1).cast("int"))
     mixed = c("doc_id") % 2 == 0
     text = {

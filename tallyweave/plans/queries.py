@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import text
-from ..operators import history, invoices, layouts, learning, linker, linking, readers, records, registry, reports
+from ..operators import grids, history, invoices, layouts, learning, linker, linking, readers, records, registry, reports
 from ..sources import files
 from ..sources import tables as t
 from . import printed, suppliers
@@ -437,27 +437,56 @@ def layout_rows(spark, d):
     return readers.read(printed.lines(spark, d), table, suppliers.ANCHORED, suppliers.GRIDS).drop("status")
 
 
+@query
+def link_states(spark, d):
+    """The log's links, where a person deleted some keys and chose articles for others."""
+    log = t.decisions(spark, d)
+    kind = F.when(F.col("event_id") % 40 == 0, "delete").when(F.col("event_id") % 40 == 1, "manual").otherwise(F.col("kind"))
+    return history.replay(log.select("key", "article_id", kind.alias("kind"), "ts").where("article_id is not null"))
+
+
 @query
 def amount_texts(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in suppliers.AMOUNTS], "written string").select("written", text.number(F.col("written")).cast("double").alias("amount"))
+    """Prices of lines as suppliers write them, in both notations, with spaces and signs, and read again."""
+    li = t.table(spark, d, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    us, eu = printed.decimal(cents, 2, ".", ","), printed.decimal(cents, 2, ",", ".")
+    written = F.when(F.col("l_partkey") % 4 == 0, us).when(F.col("l_partkey") % 4 == 1, eu).when(F.col("l_partkey") % 4 == 2, F.concat(F.lit("$ "), us)).otherwise(printed.decimal(cents, 2))
+    keys = [F.col(a).alias(b) for a, b in (("l_orderkey", "doc_id"), ("l_linenumber", "line_no"), ("l_partkey", "key"), ("l_suppkey", "other"))]
+    return li.select(*keys, text.number(written).cast("double").alias("amount"))
 
 
 @query
 def printed_totals(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in suppliers.TOTALS], "written string").select("written", text.printed_total(F.col("written")).cast("double").alias("total"))
+    """Totals of orders in the phrases that suppliers use, found in their text; a phrase without an amount gives 0."""
+    o = t.table(spark, d, "orders")
+    us = printed.decimal(F.round(F.col("o_totalprice") * 100).cast("long"), 2, ".", ",")
+    phrases = [("TOTAL FOB 12 300.5 ", ""), ("Sub Total $ ", " net"), ("Amount Due: $ ", ""), ("INVOICE TOTAL (Dolares) ", ""), ("Total USD ", " thank you"), ("GRAND TOTAL : ", "")]
+    said = [F.when(F.col("o_orderkey") % 7 == i, F.concat(F.lit(f"Invoice 12 of 3 boxes\n{a}"), us, F.lit(b))) for i, (a, b) in enumerate(phrases)]
+    return o.select(F.col("o_orderkey").alias("doc_id"), text.printed_total(F.coalesce(*said, F.lit("Total USD nothing"))).cast("double").alias("total"))
 
 
 @query
 def size_places(spark, d):
-    words = spark.createDataFrame([(i, x) for i, x, _ in suppliers.PLACES], "word int, x double")
-    return registry.sizes_by_place(words, suppliers.SIZE_COLUMNS).select("word", "size")
+    """Words of documents whose header names sizes at places of its own: which size a count stands below; null beyond half a column."""
+    li = t.table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    width = (20 + F.col("l_orderkey") % 15).cast("double")
+    place = F.when(F.col("l_partkey") % 11 == 10, F.lit(99)).otherwise(F.col("l_partkey") % 5) * width + 300 + (F.col("l_partkey") % 7 - 3)
+    words = li.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("line_no"), place.cast("double").alias("x"), F.col("l_quantity").cast("int").cast("string").alias("word"))
+    sizes = F.explode(F.array(*[F.struct((300 + width * i).alias("x"), F.lit(str(40 + 10 * i)).alias("word")) for i in range(5)], F.struct(F.lit(100.0).alias("x"), F.lit("VARIETY").alias("word"))))
+    heads = li.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("line_no"), sizes.alias("s")).select("doc_id", "line_no", "s.x", "s.word")
+    found = grids.sized(words.unionByName(heads))
+    return found.select("doc_id", "line_no", "size", F.col("word").cast("int").alias("count"))
 
 
 @query
 def layout_switches(spark, d):
-    """How many layouts are active after some are switched off and one on again."""
-    table = registry.activate(registry.activate(registry.table(spark, suppliers.LAYOUTS), ["life", "uma", "tessa"], False), ["uma"])
-    return table.groupBy("active").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of the layouts that are left on after others were switched off and one on again."""
+    table = registry.table(spark, [x for x in suppliers.LAYOUTS if x.name in printed.LAYOUTS])
+    off = [n for n in printed.LAYOUTS if n not in ("brissas",)]
+    table = registry.activate(registry.activate(table, off, False), ["uma"])
+    return registry.parse(printed.lines(spark, d), table).groupBy("fmt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

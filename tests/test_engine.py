@@ -40,4 +40,9 @@ def test_from_text_to_links(spark, tmp_path):
     assert [e.error for e in errors] == ["no such article"]
     now = {tuple(r[k] for k in KEY): r for r in engine.links().collect()}
     assert tuple(one[k] for k in KEY) not in now and now[tuple(two[k] for k in KEY)].article_id == 5
+    # what people said outlives the next round of learning
+    engine.tell(lines, ok, "proposal", "2024-01-03")
+    after = {tuple(r[k] for k in KEY): r for r in engine.learn(3).collect()}
+    assert tuple(one[k] for k in KEY) not in after
+    assert after[tuple(two[k] for k in KEY)].article_id == 5 and after[tuple(two[k] for k in KEY)].status == "manual_confirmado"
     assert engine.kpis().count() >= 1 and engine.lookup(["bolt"]).count() > 0
