@@ -31,14 +31,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import batch, bound_batches, by_size, materialize, text_bytes
+from .common import WHITE, batch, bound_batches, by_size, materialize, text_bytes
 from .labelled import remainder
 
 BLOCK_BYTES = 8 << 20
@@ -74,14 +73,14 @@ class Segmenter:
             self.tokens[rank] = token
         self.opens = np.array([t[:1] == b" " for t in self.tokens])
 
-    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of subwords of each word, and all subwords in order."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = np.array(self.library.encode_ordinary(" " + " ".join(words)), np.int64)
+        ids = np.array(self.library.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.int64)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):  # words of other white space run into each other
-            each = [self.library.encode_ordinary(" " + w) for w in words]
+            each = [self.library.encode_ordinary((b" " + w).decode("utf-8", "replace")) for w in words]
             return np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.int64)
         return np.diff(np.append(starts, len(ids))), ids
 
@@ -97,32 +96,41 @@ def segmenter(raw: bytes, pattern: str) -> Segmenter:
     return _SEGMENTERS[key]
 
 
+_IS_WORD = bytes(b not in WHITE for b in range(256))
+
+
 def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Number of words of each text, the words as numbers, and the distinct words that these count; A-Z lower-cased."""
-    texts = pa.Array.from_buffers(pa.string(), len(bodies), bodies.buffers(), 0, bodies.offset)  # bytes that needn't be UTF-8: only ASCII is looked at
-    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
-    flat, n = pc.list_flatten(parts), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    whole = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    if not whole.all():  # a text without words
-        n = np.bincount(np.repeat(np.arange(len(n)), n)[whole], minlength=len(n))
-        flat = flat.filter(pa.array(whole))
-    coded = flat.dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    distinct = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), coded.dictionary.buffers(), 0, coded.dictionary.offset)
-    return n, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), distinct.to_pylist()
-
-
-def _pack(ids: list[int], held: list[bool], sizes: list[int], tokens: np.ndarray, words: dict[bytes, int], v) -> tuple:
-    """A block's row; number 0 stands for the end of a text."""
+    ends = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    low = (bodies.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if bodies.buffers()[2] else b"").lower()
+    ends -= ends[0]
+    of_word = np.frombuffer(low.translate(_IS_WORD), bool)
+    begins = of_word.copy()
+    begins[1:] &= ~of_word[:-1]
+    first = ends[:-1][ends[1:] > ends[:-1]]
+    begins[first] = of_word[first]
+    n = np.diff(np.searchsorted(np.flatnonzero(begins), ends))
+    # words without the white space between them, one behind the other
+    letters = np.frombuffer(low, np.uint8)[of_word]
+    offsets = np.append(np.flatnonzero(begins[of_word]), len(letters)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return n, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _pack(ids: list[int], held: list[bool], bodies: pa.Array, v) -> tuple:
+    """A block's row; word number 0 stands for the end of a text."""
+    n, which, words = _words(bodies)
+    sizes = n + 1
+    tokens = np.zeros(int(sizes.sum()), "<i4")
+    tokens[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = which + 1
     learn = np.repeat(~np.array(held, bool), sizes)
     train = np.bincount(tokens[learn], minlength=len(words) + 1)
-    n, sub = v.segment([w.decode("utf-8", "replace") for w in words])
+    n, sub = v.segment(words)
     n, sub = np.concatenate(([1], n)).astype("<i4"), np.concatenate(([v.end], sub)).astype("<u4")
     seen = np.bincount(sub, np.repeat(train, n), v.end + 1)
     found = np.flatnonzero(seen)
     return (
-        ids, held, sizes, tokens.astype("<i4").tobytes(), list(words), train[1:].tolist(), int(train[0]),
+        ids, held, sizes.tolist(), tokens.tobytes(), words, train[1:].tolist(), int(train[0]),
         n.tobytes(), sub.tobytes(), found.tolist(), seen[found].astype(np.int64).tolist(),
     )
 
@@ -143,26 +151,21 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, number = segmenter(raw.value, pattern), TaskContext.get().partitionId() << 32
-        ids, held, sizes, tokens, words, size = [], [], [], [], {}, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            return batch(_BLOCK, *([x] for x in (number, *_pack(ids, held, sizes, np.concatenate(tokens), words, v))))
+            t = pa.Table.from_batches(held).combine_chunks()
+            return batch(_BLOCK, *([x] for x in (number, *_pack(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).chunk(0), v))))
 
         for b in batches:
             for part in by_size(b, 2, 1 << 20):
-                n, which, distinct = _words(part.column(2))
-                numbers = np.array([words.setdefault(w, len(words) + 1) for w in distinct], np.int64)
-                own = np.zeros(int(n.sum()) + len(n), np.int32)  # an end behind each text
-                own[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = numbers[which] if len(which) else 0
-                tokens.append(own)
-                ids += part.column(0).to_pylist()
-                held += part.column(1).to_pylist()
-                sizes += (n + 1).tolist()
+                held.append(part)
                 size += part.column(2).nbytes
                 if size >= BLOCK_BYTES:
                     yield out()
-                    ids, held, sizes, tokens, words, size, number = [], [], [], [], {}, 0, number + 1
-        if ids:
+                    held, size, number = [], 0, number + 1
+        if held:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT).alias("held"), text_bytes().alias("body"))
