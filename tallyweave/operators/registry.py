@@ -56,7 +56,7 @@ class Layout:
     What a shape sets may be a field or: prefix (words put before the variety), part (``parent`` or ``child``: see ``segments``), mixed (``true``: the
     parent's children count instead of it), keeps (``true``: such a parent counts if it has none).
     pack_first: <numbers> usually hold the pack before the bunches. drop: words that may stand before a variety without being part of it.
-    color_last: a colour before the variety is translated and put behind it.
+    color_last: a colour before the variety is translated and put behind it. sums: <numbers> may be bunches, pack and price alone.
     """
 
     name: str
@@ -71,6 +71,7 @@ class Layout:
     pack_first: bool = False
     drop: tuple[str, ...] = ()
     color_last: bool = False
+    sums: bool = False
 
 
 def compiled(shape: str) -> tuple[str, list[str], bool]:
@@ -98,8 +99,8 @@ def compiled(shape: str) -> tuple[str, list[str], bool]:
 
 
 _SCHEMA = (
-    "fmt string, shapes array<struct<pattern: string, fields: array<string>, emits: boolean, fixed: map<string, string>>>, carry array<string>, "
-    "look array<struct<field: string, pattern: string, at: int>>, eu boolean, translate boolean, clean array<struct<pattern: string, by: string>>, active boolean, pack_first boolean, drop array<string>, color_last boolean"
+    "fmt string, shapes array<struct<pattern: string, fields: array<string>, emits: boolean, own: map<string, string>, fixed: map<string, string>>>, carry array<string>, "
+    "look array<struct<field: string, pattern: string, at: int>>, eu boolean, translate boolean, clean array<struct<pattern: string, by: string>>, active boolean, pack_first boolean, drop array<string>, color_last boolean, sums boolean"
 )
 
 
@@ -110,8 +111,8 @@ def table(spark: SparkSession, layouts: list[Layout]) -> DataFrame:
         shapes = []
         for s in x.shapes:
             shape, own = (s, {}) if isinstance(s, str) else s
-            shapes.append((*compiled(shape), {k: str(v) for k, v in (x.fixed | own).items()}))
-        rows.append((x.name, shapes, list(x.carry), [(k, compiled(s)[0], at) for k, (s, at) in x.look.items()], x.eu, x.translate, list(x.clean), x.active, x.pack_first, list(x.drop), x.color_last))
+            shapes.append((*compiled(shape), {k: str(v) for k, v in own.items()}, {k: str(v) for k, v in (x.fixed | own).items()}))
+        rows.append((x.name, shapes, list(x.carry), [(k, compiled(s)[0], at) for k, (s, at) in x.look.items()], x.eu, x.translate, list(x.clean), x.active, x.pack_first, list(x.drop), x.color_last, x.sums))
     return spark.createDataFrame(rows, _SCHEMA)
 
 
@@ -167,7 +168,7 @@ def parse(text_lines: DataFrame, registry: DataFrame) -> DataFrame:
     t = t.withColumn("seen", seen)
     names = [n for n in FIELDS]
     said = {n: F.coalesce(F.nullif(F.trim(F.try_element_at("got", F.lit(n))), F.lit("")), F.nullif(F.trim(F.try_element_at("seen", F.lit(n))), F.lit(""))) for n in names}
-    t = t.select("doc_id", "fmt", "line_no", "line", "carry", "eu", "translate", "pack_first", "drop", "color_last", "shape", *[v.alias(n) for n, v in said.items()])
+    t = t.select("doc_id", "fmt", "line_no", "line", "carry", "eu", "translate", "pack_first", "drop", "color_last", "sums", "shape", *[v.alias(n) for n, v in said.items()])
     above = order.rowsBetween(Window.unboundedPreceding, 0)
     # what a line of any shape says holds for the rows below it
     carried = {n: F.when(F.array_contains("carry", n), F.last(F.when(F.col("shape").isNotNull(), F.col(n)), ignorenulls=True).over(above)).otherwise(F.col(n)) for n in ("box_type", "label", "farm", "variety", "size", "pack", "price", "boxes")}
@@ -176,6 +177,8 @@ def parse(text_lines: DataFrame, registry: DataFrame) -> DataFrame:
     mixed = F.coalesce(fixed("mixed") == "true", F.coalesce("variety", fixed("variety")).rlike(f"(?i){MIXED}"), F.lit(False))
     # a parent's pack holds for its children, printed or not
     packs = F.when(fixed("part") == "parent", F.floor(F.try_divide(count(F.col("stems")), count(F.col("bunches")))).cast("string"))
+    # what a shape sets comes before what is inherited, and that before what its layout sets
+    t = t.withColumns({n: F.coalesce(F.col(n), F.try_element_at("shape.own", F.lit(n))) for n in names})
     t = t.withColumns({"part": fixed("part"), "mixed": mixed, "keeps": fixed("keeps") == "true", "prefix": fixed("prefix"), "pack": F.coalesce("pack", packs)})
     t = segments.resolve(t, ["price", "pack", "box_type", "size", "species", "grade", "label"], "keeps")
     t = t.withColumns({n: F.coalesce(F.col(n), fixed(n)) for n in names})
@@ -205,7 +208,7 @@ def chosen(texts: DataFrame, markers: list[tuple[str, str, str]]) -> DataFrame:
 def completed(t: DataFrame) -> DataFrame:
     number_of = lambda n: F.when(F.col("eu"), F.translate(F.regexp_replace(n, r"[.\s]", ""), ",", ".").try_cast("decimal(18,5)")).otherwise(number(F.col(n)))
     t = t.withColumns({n: count(F.col(n)) for n in COUNTS} | {n: number_of(n).cast("double") for n in AMOUNTS})
-    t = with_reading(t)
+    t = with_reading(t).where("numbers is null or reading is not null")
     t = t.withColumns({r: F.coalesce(F.col(r), F.col(f"reading.{r}").cast("int" if r in COUNTS else "double")) for r in ROLES})
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
     t = t.withColumn("bunches", F.coalesce("bunches", F.col("boxes") * F.col("per_box")))
