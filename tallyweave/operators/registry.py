@@ -236,15 +236,6 @@ def completed(t: DataFrame) -> DataFrame:
     )
 
 
-def sizes_by_place(words: DataFrame, columns: dict[int, float], tolerance: float = 20.0) -> DataFrame:
-    """The size whose column is nearest to a word's place, within the tolerance: words, size. For tables that put numbers below sizes.
-
-    ``words``: x and any other columns. Ties go to the smaller size.
-    """
-    near = F.array_min(F.array(*[F.struct(F.abs(F.col("x") - x).alias("gap"), F.lit(size).alias("size")) for size, x in sorted(columns.items())]))
-    return words.withColumn("size", F.when(near["gap"] <= tolerance, near["size"]))
-
-
 def by_layout(texts: DataFrame, detected: DataFrame) -> DataFrame:
     """Lines of texts whose layout is known: doc_id, fmt, line_no, line. ``detected``: doc_id, fmt."""
     return texts.join(detected, "doc_id").select("doc_id", "fmt", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -311,12 +311,12 @@ d AS (SELECT f.id AS line_id, r.size, form, row_number() OVER (PARTITION BY f.id
 j AS (SELECT line_id, id, min({{'off': (s <> size)::INT, 'n': n}}) AS x FROM d JOIN a USING (form) GROUP BY 1, 2) SELECT line_id, (row_number() OVER (PARTITION BY line_id ORDER BY x, id))::INT AS place, id AS article_id FROM j QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY x, id) <= 5""",
     "alternatives": f"""WITH {_ARTICLES}, {_REQUESTS}, j AS (SELECT r.line_id, a.id, CASE WHEN a.variety = r.variety THEN 10 WHEN contains(a.variety, r.variety) OR contains(r.variety, a.variety) THEN 3 ELSE 0 END + CASE WHEN a.size = r.size THEN 5 ELSE 0 END + CASE WHEN a.pack = r.pack THEN 3 ELSE 0 END + CASE WHEN a.brand = r.brand THEN 2 ELSE 0 END AS points
 FROM requests r JOIN articles a ON string_split(r.variety, ' ')[1] = string_split(a.variety, ' ')[1]) SELECT line_id, (row_number() OVER w)::INT AS place, id AS article_id, points FROM j WHERE points >= 5 WINDOW w AS (PARTITION BY line_id ORDER BY points DESC, id) QUALIFY row_number() OVER w <= 5""",
-    "header_vocabulary": rf"""WITH {_TEXT}, c AS (SELECT doc_id, unnest(string_split('Stems. Unit(cid:12)Price, ' || line, ' ')[1:6]) AS cell, unnest(range(len(string_split('Stems. Unit(cid:12)Price, ' || line, ' ')[1:6])))::INT AS position FROM text_lines WHERE line_no = 0),
+    "header_vocabulary": rf"""WITH {_TEXT}, c AS (SELECT doc_id, unnest(string_split('Stems. Unit(cid:12)Price, ' || line, ' ')) AS cell, unnest(range(len(string_split('Stems. Unit(cid:12)Price, ' || line, ' '))))::INT AS position FROM text_lines WHERE line_no = 0),
 h AS (SELECT doc_id, position, trim(regexp_replace(regexp_replace(upper(regexp_replace(cell, '\(cid:[0-9]+\)', '', 'g')), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS h FROM c)
 SELECT doc_id, position, CASE {" ".join(f"WHEN contains(h, '{w}') OR (length(h) >= 3 AND contains('{w}', h)) THEN '{f}'" for w, f in reports.HEADER_WORDS.items())} END AS field FROM h WHERE CASE {" ".join(f"WHEN contains(h, '{w}') OR (length(h) >= 3 AND contains('{w}', h)) THEN 1" for w in reports.HEADER_WORDS)} ELSE 0 END = 1""",
-    "similar_layouts": f"""WITH {_TEXT}, {_PRINTS}, x AS (SELECT p.doc_id, n_fields, separator, list_distinct(string_split(text, ' ')[1:8]) AS h, lang FROM prints p JOIN documents d USING (doc_id)), f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY n_fields ORDER BY doc_id) = 1)
+    "similar_layouts": f"""WITH {_TEXT}, {_PRINTS}, x AS (SELECT p.doc_id, n_fields, separator, list_distinct(string_split(string_split(text, chr(10))[1], ' ')) AS h, lang FROM prints p JOIN documents d USING (doc_id)), f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY n_fields ORDER BY doc_id) = 1)
 SELECT x.doc_id, coalesce(len(list_intersect(x.h, f.h))::DOUBLE / len(list_distinct(list_concat(x.h, f.h))) >= 0.6 AND x.lang = f.lang AND (x.separator = '' OR f.separator = '' OR x.separator = f.separator), false) AS similar FROM x JOIN f USING (n_fields)""",
-    "positional_rules": rf"""WITH {_TEXT}, c AS (SELECT unnest(string_split(line, ' ')) AS cell, unnest(range(len(string_split(line, ' '))))::INT AS position FROM text_lines), k AS (SELECT position, CASE WHEN regexp_matches(cell, '^\$?[0-9]+[.,][0-9]+$') THEN 'price' WHEN regexp_matches(cell, '^[0-9]+$') THEN 'count' WHEN regexp_matches(cell, '[A-Za-z]') THEN 'text' ELSE 'other' END AS kind, length(cell) AS len FROM c WHERE position < 12),
+    "positional_rules": rf"""WITH {_TEXT}, c AS (SELECT unnest(string_split(line, ' ')) AS cell, unnest(range(len(string_split(line, ' '))))::INT AS position FROM text_lines), k AS (SELECT position, CASE WHEN regexp_matches(cell, '^\$?[0-9]+[.,][0-9]+$') THEN 'price' WHEN regexp_matches(cell, '^[0-9]+$') THEN 'count' WHEN regexp_matches(cell, '[A-Za-z]') THEN 'text' ELSE 'other' END AS kind, length(cell) AS len FROM c),
 g AS (SELECT position, kind, count(*) AS n, sum(len)::BIGINT AS letters FROM k GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY position) AS cells FROM g QUALIFY row_number() OVER (PARTITION BY position ORDER BY n DESC, kind DESC) = 1)
 SELECT position, CASE WHEN kind = 'text' AND row_number() OVER (ORDER BY (kind = 'text') DESC, letters::DOUBLE / n DESC, position) = 1 THEN 'variety' ELSE kind END AS field, round(n::DOUBLE / cells, 4) AS share FROM m""",
     "line_pattern": f"WITH {_TEXT}, h AS (" + " UNION ALL ".join(f"SELECT {i} AS pattern_no, count(*) FILTER (regexp_matches(line, '{p}')) AS hits, count(*) AS n FROM text_lines" for i, p in enumerate(LINE_PATTERNS)) + ") SELECT pattern_no, hits, round(hits::DOUBLE / n, 4) AS share FROM h WHERE hits >= 0.3 * n ORDER BY hits DESC, pattern_no LIMIT 1",

@@ -597,15 +597,15 @@ def alternatives(spark, d):
 
 @query
 def header_vocabulary(spark, d):
-    lines = t.text_lines(spark, d).where("line_no = 0").select("doc_id", F.posexplode(F.slice(F.split(F.concat(F.lit("Stems. Unit(cid:12)Price, "), F.col("line")), " "), 1, 6)).alias("position", "cell"))
+    lines = t.text_lines(spark, d).where("line_no = 0").select("doc_id", F.posexplode(F.split(F.concat(F.lit("Stems. Unit(cid:12)Price, "), F.col("line")), " ")).alias("position", "cell"))
     return reports.vocabulary(lines)
 
 
 @query
 def similar_layouts(spark, d):
-    """Documents against the first one of the same number of fields."""
+    """Documents against the first one of the same number of fields; a document's first line is its header."""
     prints = learning.fingerprints(t.text_lines(spark, d), r"[0-9]|\|")
-    words = t.table(spark, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("headers"), F.array("lang").alias("keywords"))
+    words = t.table(spark, d, "documents").select("doc_id", F.split(F.split("text", "\n")[0], " ").alias("headers"), F.array("lang").alias("keywords"))
     j = prints.join(words, "doc_id").select("doc_id", "n_fields", F.struct("headers", "keywords", "separator", F.lit(0).alias("n_columns"), "n_fields").alias("x"))
     first = j.groupBy("n_fields").agg(F.min_by("x", "doc_id").alias("y"))
     return j.join(first, "n_fields").select("doc_id", F.coalesce(reports.similar("x", "y"), F.lit(False)).alias("similar"))
@@ -613,7 +613,7 @@ def similar_layouts(spark, d):
 
 @query
 def positional_rules(spark, d):
-    cells = t.text_lines(spark, d).select(F.posexplode(F.split("line", " ")).alias("position", "cell")).where("position < 12")
+    cells = t.text_lines(spark, d).select(F.posexplode(F.split("line", " ")).alias("position", "cell"))
     return reports.positional(cells)
 
 
