@@ -2,9 +2,10 @@
 
 1. Documents are read once into blocks. A block has a dictionary of its words, the words' subwords (byte-level BPE of a public
    vocabulary), its documents as numbers of words, and counts of words and subwords in its training documents.
-2. Word counts are summed over all blocks, a row for each block and word, and each block gets back the counts of
-   its own words: no vocabulary is broadcast. A common word has one row a block, beside the block's 10,000s of others: the commonest
-   word of all is less than a ten-thousandth of the rows, so it weighs no more than any task, and a window's rows spill.
+2. Word counts are summed over all blocks. A block's dictionary is sorted by a hash and cut by ranges of it; a range of all blocks
+   meets in one group of about PART_WORDS words, and each block gets back the counts of its own words: no vocabulary is broadcast.
+   A row holds the words of one block and range, side by side, and there are as many ranges as words ask for. The commonest
+   word of all comes once a block, beside the block's 10,000s of others, so it weighs on no group.
 3. The attention model learns from all of the training text, in windows that stand end to end, block after block: each task
    trains from the same start, and the weights are averaged, in rounds. Each window is learned from once, whatever the size of the input.
    Subword frequencies within output classes come from all training text.
@@ -32,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,10 @@ from .common import WHITE, batch, bound_batches, by_size, materialize, text_byte
 from .labelled import remainder
 
 BLOCK_BYTES = 8 << 20
+#: Most blocks of a file: a reader decodes, and a writer holds, a file's rows all at once.
+FILE_BLOCKS = 4
+#: Words of a group in which counts are summed, about.
+PART_WORDS = 1 << 19
 HELD_OUT_OF, HELD_OUT = 7, 2
 CONTEXT, OVERLAP = 32, 4
 DIMENSIONS = 16
@@ -118,11 +124,16 @@ def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def _pack(ids: list[int], held: list[bool], bodies: pa.Array, v) -> tuple:
-    """A block's row; word number 0 stands for the end of a text."""
+    """A block's row, its words sorted by hash; word number 0 stands for the end of a text."""
     n, which, words = _words(bodies)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), "<u4", len(words))
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+    words = [words[i] for i in order.tolist()]
     sizes = n + 1
     tokens = np.zeros(int(sizes.sum()), "<i4")
-    tokens[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = which + 1
+    tokens[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = place[which]
     learn = np.repeat(~np.array(held, bool), sizes)
     train = np.bincount(tokens[learn], minlength=len(words) + 1)
     n, sub = v.segment(words)
@@ -130,19 +141,20 @@ def _pack(ids: list[int], held: list[bool], bodies: pa.Array, v) -> tuple:
     seen = np.bincount(sub, np.repeat(train, n), v.end + 1)
     found = np.flatnonzero(seen)
     return (
-        ids, held, sizes.tolist(), tokens.tobytes(), words, train[1:].tolist(), int(train[0]),
+        ids, held, sizes.tolist(), tokens.tobytes(), b"".join(words), train[1:].astype("<i8").tobytes(), int(train[0]),
         n.tobytes(), sub.tobytes(), found.tolist(), seen[found].astype(np.int64).tolist(),
+        np.fromiter(map(len, words), "<i4", len(words)).tobytes(), hashes[order].tobytes(), len(words),
     )
 
 
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()),
-        ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("train_docs", pa.int64()), ("sub_n", pa.binary()), ("sub", pa.binary()),
-        ("sub_ids", pa.list_(pa.int32())), ("sub_counts", pa.list_(pa.int64())),
+        ("words", pa.binary()), ("train", pa.binary()), ("train_docs", pa.int64()), ("sub_n", pa.binary()), ("sub", pa.binary()),
+        ("sub_ids", pa.list_(pa.int32())), ("sub_counts", pa.list_(pa.int64())), ("word_sizes", pa.binary()), ("hashes", pa.binary()), ("n_words", pa.int64()),
     ]
 )
-_BLOCK_DDL = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words array<binary>, train array<long>, train_docs long, sub_n binary, sub binary, sub_ids array<int>, sub_counts array<long>"
+_BLOCK_DDL = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, train binary, train_docs long, sub_n binary, sub binary, sub_ids array<int>, sub_counts array<long>, word_sizes binary, hashes binary, n_words long"
 
 
 def blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -169,14 +181,53 @@ def blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT).alias("held"), text_bytes().alias("body"))
-    return materialize(rows.mapInArrow(run, _BLOCK_DDL), "blocks")
+    return materialize(rows.mapInArrow(run, _BLOCK_DDL), "blocks", maxRecordsPerFile=FILE_BLOCKS)
+
+
+def _binaries(ends: np.ndarray, data) -> pa.Array:
+    """Values that stand one behind the other in ``data``; ends: 0 and where each ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _joined(column: pa.ChunkedArray) -> pa.Buffer:
+    """All values of a binary column, one behind the other."""
+    return pa.py_buffer(b"".join(x.as_buffer() for x in column))
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 def word_counts(made: DataFrame) -> DataFrame:
-    """block, pos, c (the word's count in all training text) and first (one row a word)."""
-    pairs = made.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-    same = Window.partitionBy("word")
-    return materialize(pairs.select("block", "pos", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")), "counts")
+    """block, part, c (the counts, in all training text, of the block's words of a range of hashes), and on one row a range its n_words that have a count and their n_train."""
+    parts = max(1, math.ceil((made.agg(F.sum("n_words")).first()[0] or 0) / PART_WORDS))
+    dealt = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("train", pa.binary())])
+    counted = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("c", pa.binary()), ("n_words", pa.int64()), ("n_train", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(i << 32) // parts for i in range(parts + 1)], np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                words, sizes, hashes, train = (b.column(k)[i].as_buffer() for k in (1, 2, 3, 4))
+                at = np.searchsorted(np.frombuffer(hashes, "<u4").astype(np.int64), edges)
+                some = np.flatnonzero(at[1:] > at[:-1])
+                if len(some):
+                    at = np.append(at[some], at[-1])
+                    yield batch(dealt, some, [b.column(0)[i].as_py()] * len(some), _binaries(_ends(np.frombuffer(sizes, "<i4"))[at], words), _binaries(at * 4, sizes), _binaries(at * 8, train))
+
+    def count(table: pa.Table) -> pa.Table:
+        sizes = np.frombuffer(_joined(table.column("sizes")), "<i4")
+        coded = _binaries(_ends(sizes), _joined(table.column("words"))).dictionary_encode()
+        which = coded.indices.to_numpy()
+        found = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(found, which, np.frombuffer(_joined(table.column("train")), "<i8"))
+        ends = _ends([len(x.as_buffer()) * 2 for x in table.column("sizes")])
+        once = lambda x: [int(x)] + [0] * (table.num_rows - 1)
+        out = batch(counted, table.column("block").combine_chunks(), table.column("part").combine_chunks(), _binaries(ends, found[which].tobytes()), once((found > 0).sum()), once(found.sum()))
+        return pa.Table.from_batches([out])
+
+    rows = made.select("block", "words", "word_sizes", "hashes", "train").mapInArrow(deal, "part long, block long, words binary, sizes binary, train binary")
+    return materialize(rows.groupBy("part").applyInArrow(count, "block long, part long, c binary, n_words long, n_train long"), "counts")
 
 
 # --- the model
@@ -229,7 +280,7 @@ def company(made: DataFrame, order: np.ndarray) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "counts": [sum(np.frombuffer(c, np.int64) for c in rows["counts"]).tobytes()]})
 
     local = _inputs(made).mapInArrow(run, "part long, counts binary")
-    found = _tree(local, add, "part long, counts binary", made.rdd.getNumPartitions())
+    found = _tree(local, add, "part long, counts binary", made.rdd.getNumPartitions(), COMPANY * TOP * 8)
     return np.zeros((COMPANY, TOP)) if found is None else np.frombuffer(found["counts"], np.int64).reshape(COMPANY, TOP).astype(np.float64)
 
 
@@ -368,9 +419,12 @@ def _errors(z: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def _summed(like: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """x added up by row number, in an array of the shape of ``like``."""
-    width = like.shape[1]
-    at = (rows.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, x.ravel(), like.size).astype(like.dtype).reshape(like.shape)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # sorted by radix; there are few rows in ``like``
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    out = np.zeros_like(like)
+    out[rows[first]] = np.add.reduceat(x[order], first)
+    return out
 
 
 def gradient(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndarray, weigh: np.ndarray) -> dict[str, np.ndarray]:
@@ -384,20 +438,21 @@ def gradient(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.n
     edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
     top = edge[CLASSES]
     z = _errors(sorted_h @ m["w"] + m["b"], kinds, share)
-    g = {"w": sorted_h.T @ z, "b": np.ones(n, z.dtype) @ z, "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
+    ones = np.ones(n, z.dtype)
+    g = {"w": sorted_h.T @ z, "b": ones @ z, "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
     back = z @ m["w"].T
     z = _errors(_within(m, sorted_h, edge), s.member[of_target[:top]], share[:top])
     for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
         of = slice(edge[c], edge[c + 1])
         np.matmul(sorted_h[of].T, z[of], out=g["u"][c])
         back[of] += z[of] @ m["u"][c].T
-        g["c"][c] = z[of].sum(0)
+        np.matmul(ones[of], z[of], out=g["c"][c])
     dh = np.empty_like(back)
     dh[order] = back
     g["o"] = o.reshape(n, d).T @ dh
     do = (dh @ m["o"].T).reshape(h.shape)
     da, dv = do @ np.ascontiguousarray(v.swapaxes(1, 2)), a.swapaxes(1, 2) @ do
-    da -= ((da * a).reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
+    da -= ((do * o).reshape(n, d) @ np.ones(d, o.dtype)).reshape(*a.shape[:2], 1)  # do @ o is da times a, summed over a row
     da *= a
     # q came scaled from attend, k didn't
     dqkv = np.empty((n, 3 * d), back.dtype)
@@ -417,14 +472,23 @@ def learn(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndar
     """Adam over the windows, once, in random order."""
     order = np.random.default_rng(seed).permutation(len(rows))
     w = flat(m).astype(np.float32)
-    first, second, steps = np.zeros_like(w), np.zeros_like(w), -(-len(rows) // BATCH)
+    first, second, some_w, steps = np.zeros_like(w), np.zeros_like(w), np.empty_like(w), -(-len(rows) // BATCH)
     for step in range(1, steps + 1):
         some = order[(step - 1) * BATCH : step * BATCH]
         g = flat(gradient(unflat(w), s, rows[some], targets[some], weigh[some]))
         now = rate * min(1.0, 2 * (1 - step / (steps + 1))) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        first += np.float32(0.1) * (g - first)
-        second += np.float32(0.01) * (g * g - second)
-        w -= np.float32(now) * first / (np.sqrt(second) + np.float32(1e-8))
+        # first += 0.1 (g - first), second += 0.01 (g g - second), w -= now first / (sqrt(second) + 1e-8), without new arrays
+        first *= np.float32(0.9)
+        first += np.multiply(g, np.float32(0.1), out=some_w)
+        second *= np.float32(0.99)
+        np.multiply(g, g, out=g)
+        g *= np.float32(0.01)
+        second += g
+        np.sqrt(second, out=g)
+        g += np.float32(1e-8)
+        np.divide(first, g, out=some_w)
+        some_w *= np.float32(now)
+        w -= some_w
     return unflat(w)
 
 
@@ -436,12 +500,9 @@ class Stream:
 
     def __init__(self, tokens: bytes, sizes, sub_n: bytes, sub: bytes):
         self.tokens, self.sizes = np.frombuffer(tokens, "<i4"), np.asarray(sizes, np.int64)
-        n, sub = np.frombuffer(sub_n, "<i4").astype(np.int64), np.frombuffer(sub, "<u4")
-        begin = np.cumsum(n) - n
-        size = n[self.tokens]
-        upto = np.cumsum(size)
-        self.subs = sub[np.repeat(begin[self.tokens] - (upto - size), size) + np.arange(upto[-1])].astype(np.int32)
-        self.end = upto[np.cumsum(self.sizes) - 1]  # of each document
+        n, sub = np.frombuffer(sub_n, "<i4"), np.frombuffer(sub, "<i4")
+        self.subs = pa.ListArray.from_arrays(pa.array(_ends(n).astype(np.int32)), pa.array(sub)).take(pa.array(self.tokens)).flatten().to_numpy()
+        self.end = np.cumsum(np.add.reduceat(n[self.tokens], np.cumsum(self.sizes) - self.sizes, dtype=np.int64))  # of each document
         self.begin = np.concatenate(([0], self.end[:-1]))
         step = CONTEXT - OVERLAP
         count = np.maximum(0, -(-(self.end - self.begin - CONTEXT) // step)) + 1
@@ -483,14 +544,15 @@ def _inputs(made: DataFrame) -> DataFrame:
     return made.select("held", "sizes", "tokens", "sub_n", "sub")
 
 
-#: Results of tasks that one task merges.
-MERGED = 64
+#: Results of tasks that one task merges, at most, and their bytes, about: a group is held whole, so it may not grow with the number of tasks.
+MERGED, MERGED_BYTES = 64, 8 << 20
 
 
-def _tree(local: DataFrame, merge, ddl: str, tasks: int):
-    """One row out of one row a task, merged MERGED at a time; None if there is none."""
+def _tree(local: DataFrame, merge, ddl: str, tasks: int, size: int):
+    """One row out of one row of ``size`` bytes a task, a few merged at a time; None if there is none."""
+    few = max(2, min(MERGED, MERGED_BYTES // size))
     while True:
-        tasks = -(-tasks // MERGED)
+        tasks = -(-tasks // few)
         local = local.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("part").applyInPandas(merge, ddl)
         if tasks <= 1:
             return local.first()
@@ -526,7 +588,7 @@ def train(made: DataFrame, s: Shape, rounds: int = ROUNDS, rate: float = 0.02) -
                 yield batch(_WEIGHTS, [part], [n], [flat(learned).astype(np.float32).tobytes()])
 
         local = _inputs(made).mapInArrow(run, "part long, windows long, weights binary")
-        found = _tree(local, average, "part long, windows long, weights binary", made.rdd.getNumPartitions())
+        found = _tree(local, average, "part long, windows long, weights binary", made.rdd.getNumPartitions(), 4 * len(flat(m)))
         if found is None:
             break
         m = unflat(np.frombuffer(found["weights"], np.float32).copy())
@@ -546,9 +608,9 @@ def score(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         frequency[r["i"]] = r["n"]
     order = frequent(frequency)
     s = shape(frequency, tokens, order, alike(company(made, order)))
-    words = counts.where("first and c > 0").agg(F.count(F.lit(1)), F.sum("c")).first()
+    words = counts.agg(F.sum("n_words"), F.sum("n_train")).first()
     train_docs = made.agg(F.sum("train_docs")).first()[0] or 0
-    n_train, n_words = (words[1] or 0) + train_docs, words[0] + (train_docs > 0)
+    n_train, n_words = (words[1] or 0) + train_docs, (words[0] or 0) + (train_docs > 0)
     shared = spark.sparkContext.broadcast((train(made, s), s))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -558,9 +620,8 @@ def score(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             return schema.empty_table()
         row = {name: block.column(name)[0].as_py() for name in ("doc_ids", "held", "sizes", "tokens", "sub_n", "sub")}
         stream = Stream(row["tokens"], row["sizes"], row["sub_n"], row["sub"])
-        c = np.zeros(found.num_rows + 1, np.int64)
-        c[0] = train_docs
-        c[found.column("pos").to_numpy() + 1] = found.column("c").to_numpy()
+        own = found.column("c").take(pa.array(np.argsort(found.column("part").to_numpy())))
+        c = np.concatenate(([train_docs], np.frombuffer(_joined(own), "<i8")))
         doc = np.repeat(np.arange(len(stream.sizes)), stream.sizes)
         base = np.bincount(doc, np.log10(c + 1.0)[stream.tokens], len(stream.sizes)) - stream.sizes * math.log10(n_train + n_words + 1)
         known = np.bincount(doc, (c > 0)[stream.tokens], len(stream.sizes)).astype(np.int64)
@@ -568,4 +629,4 @@ def score(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     # every block's words come back to it: the join is on the block, and its words bound what it gets
     own = made.select("block", "doc_ids", "held", "sizes", "tokens", "sub_n", "sub").groupBy("block")
-    return own.cogroup(counts.select("block", "pos", "c").groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.cogroup(counts.select("block", "part", "c").groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

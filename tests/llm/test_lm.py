@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -209,3 +210,45 @@ def test_model_beats_counts_of_subwords(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     got = lm.score(df, RANKS, public_tokenizers.PATTERN).where("held_out").toPandas()
     assert got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum() + 0.2
+
+
+def test_counts_come_by_ranges_of_words(spark, monkeypatch):
+    """Against counting; a row holds many words, and as many ranges are cut as words ask for."""
+    monkeypatch.setattr(lm, "PART_WORDS", 40)
+    docs = documents(spark).repartition(3)
+    made = lm.blocks(docs, RANKS, public_tokenizers.PATTERN)
+    want = Counter()
+    for r in docs.collect():
+        if not held(r.doc_id):
+            want.update(words(r.text)[:-1])
+    counts = lm.word_counts(made)
+    rows = counts.collect()
+    assert 1 < len({r.part for r in rows}) and len(rows) == len({(r.block, r.part) for r in rows}) < made.agg({"n_words": "sum"}).first()[0]
+    assert (sum(r.n_words for r in rows), sum(r.n_train for r in rows)) == (len(want), want.total())
+    for b in made.collect():
+        got = np.frombuffer(b"".join(bytes(r.c) for r in sorted(rows, key=lambda r: r.part) if r.block == b.block), np.int64)
+        ends = np.cumsum(np.frombuffer(b.word_sizes, np.int32))
+        assert [want[bytes(b.words[e - n : e])] for n, e in zip(np.frombuffer(b.word_sizes, np.int32), ends)] == got.tolist()
+
+
+def test_a_file_holds_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        made = lm.blocks(spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string").coalesce(1), RANKS, public_tokenizers.PATTERN)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [r["count"] for r in made.selectExpr("input_file_name() as f").groupBy("f").count().collect()]
+    assert sum(files) == 30 and max(files) <= 4
+
+
+def test_a_merge_holds_few_megabytes(spark):
+    """However many tasks there are: results of 1 MB are merged 8 at a time, not 64."""
+
+    def add(key, rows):
+        most = max([len(rows), *(int.from_bytes(b, "little") for b in rows["most"])])
+        return pd.DataFrame({"part": [key[0]], "n": [int(rows["n"].sum())], "most": [most.to_bytes(4, "little")]})
+
+    local = spark.range(300).selectExpr("id as part", "1L as n", "unhex('00000000') as most")
+    got = lm._tree(local, add, "part long, n long, most binary", 300, 1 << 20)
+    assert got["n"] == 300 and int.from_bytes(got["most"], "little") <= 8
