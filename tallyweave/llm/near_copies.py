@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard likeness of at least 0.8, each pair checked on the sets.
 
-A SimHash of 64 bits can't find them all: at a likeness of 0.8 two fingerprints differ in about 10 bits and often in 15, and chains
-for so wide a radius begin with nearly every pair. So candidates meet by minima: of each of 180 permutations of the shingles the least
-is taken, six of them make one of 30 keys, and a pair at 0.8 shares a key but for one in 9,000; a pair that is more alike, but for fewer.
-Texts that share keys, also by way of others, form a loose group, and are then compared by their whole sets.
+Candidates meet by SimHash, as in ``simhash``: each set has a fingerprint of 64 bits, and fingerprints that differ in at most 2 are
+found by pigeonring chains (``simhash_links``). That alone can't find all: at a likeness of 0.8 two fingerprints differ in about 10 bits and often
+in 15, and chains for so wide a radius begin with nearly every pair. So texts whose fingerprints are further apart also meet by minima: of each of 180
+permutations of the shingles the least is taken, six of them make one of 30 keys, and a pair at 0.8 shares a key but for one in 9,000; a pair
+that is more alike, but for fewer. Texts that meet either way, also by way of others, form a loose group, and are then compared by their whole sets.
 
 Equal sets are one class from the start. A loose group of many texts is cut into parts. First each part is compared within itself and with
 about 64 texts that all parts of the group share; in a group of copies of one text that connects nearly all. Then only the texts outside the
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, blobs, by_size, doc_rows, join_counted, materialize
 from .components import components
+from .simhash import links as near_fingerprints
+from .simhash import majority
 
 SHINGLE, LIKENESS = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -67,16 +70,16 @@ def _signed(x: list[int]) -> np.ndarray:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the class), n (its shingles) and keys for each row with a doc_id."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, fp (the class), n (its shingles), sim (the SimHash of its set) and keys for each row with a doc_id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sim", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_size(b, 1, 4 << 20):
                 sets = [shingles(x, shingle) for x in blobs(part.column(1))]
-                yield batch(schema, part.column(0), _signed([_name(s) for s in sets]), [len(s) for s in sets], [keys(s).view(np.int64) for s in sets])
+                yield batch(schema, part.column(0), _signed([_name(s) for s in sets]), [len(s) for s in sets], _signed([majority(s) for s in sets]), [keys(s).view(np.int64) for s in sets])
 
-    return doc_rows(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+    return doc_rows(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, fp long, n long, sim long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -147,6 +150,11 @@ def met(keyed: DataFrame) -> DataFrame:
     return found.where("key is null").select("a", "b").union(border.select("a", F.explode("all").alias("b")).where("a <> b"))
 
 
+def simhash_links(once: DataFrame) -> DataFrame:
+    """Links a, b between a class of each fingerprint, enough to connect all that differ in 1 or 2 bits; ``once``: fp, sim, one row a class."""
+    return near_fingerprints(once.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("rep")))
+
+
 def _compared(work: DataFrame, by: list[str], likeness: float) -> DataFrame:
     """Links a, b that connect all alike texts of each piece of work; work: fp, set and the columns of ``by``."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -166,9 +174,11 @@ def _upto(n: str) -> Column:
 
 def links(docs: DataFrame, made: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
     """Links a, b between classes, enough to connect all that are alike. ``made``: what ``classes`` gave."""
-    once = made.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
+    once = made.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
     once = materialize(once, "classes")
-    loose = components(met(once.select("fp", F.explode("keys").alias("key")))).withColumnsRenamed({"node": "fp", "root": "loose"})
+    # classes of equal fingerprints meet as those of equal keys do
+    candidates = simhash_links(once).union(met(once.select("fp", F.explode(F.array_append("keys", F.col("sim"))).alias("key"))))
+    loose = components(candidates).withColumnsRenamed({"node": "fp", "root": "loose"})
     held = materialize(once.select("fp", "n", "doc_id").join(loose, "fp"), "loose")
     count = F.count(F.lit(1))
     parts = F.greatest(F.ceil(count / PART_TEXTS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")

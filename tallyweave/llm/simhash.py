@@ -47,6 +47,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):  # bits as bytes, some at a time
+        ones += np.unpackbits(h[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(body: bytes, shingle: int = 3) -> int:
     words = body.lower().split()
     if not words:
@@ -57,11 +65,7 @@ def fingerprint(body: bytes, shingle: int = 3) -> int:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    h = np.array([digest(text[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):  # bits as bytes, some at a time
-        ones += np.unpackbits(h[at : at + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+    return majority(np.array([digest(text[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -90,3 +90,23 @@ def test_keys_cut_by_borders_connect_all(spark):
 
     got = {r.node: r.root for r in components(n.met(keyed)).collect()}
     assert got == {i: 0 if i < 300 else i // 5 * 5 for i in range(400)}
+
+
+def test_candidates_come_by_simhash(spark, monkeypatch):
+    """Without keys from minima, copies whose fingerprints are near are found all the same, and only those that the sets confirm."""
+    monkeypatch.setattr(n, "keys", lambda of: of[:0])
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(12):
+        own = rng.choices(words, k=4000)
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own[:-1], "edit"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: (r.fp, r.sim) for r in n.classes(docs).collect()}
+    bits = lambda a, b: ((prints[a][1] ^ prints[b][1]) & (1 << 64) - 1).bit_count()
+    near = {(a, b) for a in range(24) for b in range(a) if bits(a, b) <= 2}
+    assert 8 <= len(near) and all(a // 2 == b // 2 for a, b in near)
+    linked = {frozenset((r.a, r.b)) for r in n.simhash_links(n.classes(docs)).collect()}
+    assert linked == {frozenset((prints[a][0], prints[b][0])) for a, b in near if bits(a, b)}
+    assert {r.doc_id: r.component_id for r in n.near_copies(docs).collect()} == {d: d - 1 if (d, d - 1) in near else d for d, _ in rows}
+    assert n.simhash_links(n.classes(empty(spark))).count() == 0
