@@ -15,28 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import bpe, line_dedup, mixing, quality_rules
 from tallyweave.llm import near_copies as near_copies_of
-from tallyweave.llm.common import shared_root
+from tallyweave.llm.common import bound_memory, shared_root
 from tallyweave.llm.queries import RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(docs, model, carry=True).drop("_tw_kept")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return line_dedup.dedup_texts(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return near_copies_of.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep_ids=False)
 
 

@@ -70,3 +70,25 @@ def test_awkward_rows_pass_every_stage(spark, tmp_path):
             now = after
         tokens = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
         assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (tokens.count() == now.count() > 0) == some
+
+
+def test_every_stage_bounds_what_executors_hold_at_once(spark, folder):
+    """4096 long texts decoded into one array, and batches of any size on their way to Python, go beyond an executor's memory."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    arrow, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {key: spark.conf.get(key) for key in (arrow, rows)}
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(arrow, str(8 << 20))
+            spark.conf.set(rows, "4096")
+            stage(spark, docs, folder)
+            assert int(spark.conf.get(arrow)) <= 2 << 20 and int(spark.conf.get(rows)) <= 256
+            spark.conf.set(arrow, "1000")  # a lower bound stays
+            spark.conf.set(rows, "10")
+            stage(spark, docs, folder)
+            assert (spark.conf.get(arrow), spark.conf.get(rows)) == ("1000", "10")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
