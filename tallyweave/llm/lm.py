@@ -33,7 +33,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,9 +57,11 @@ COMPANY = 128  # the most frequent subwords before, by which those classes are m
 ROUNDS = 2
 #: Windows of a step.
 BATCH = 128
-#: Windows that are scored at once: what they need stays in a core's cache.
-SCORED = 256
+#: Windows that are scored at once: fewer need more calls for classes, more don't stay in a core's cache.
+SCORED = 512
 _MOST = np.float32(60)
+#: A row of exponentials with a sum between these has no logit above _MOST, and none below -_MOST that would change the sum.
+_LEAST, _LARGEST = 1e-18, 1e26
 _CAUSAL = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 
@@ -81,12 +82,16 @@ class Segmenter:
 
     def segment(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of subwords of each word, and all subwords in order."""
-        if not words:
+        return self.segment_spaced(pa.array(words, pa.binary()))
+
+    def segment_spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """segment() of an array's words."""
+        if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = np.array(self.library.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.int64)
+        ids = np.array(self.library.encode_ordinary(_spaced(words).decode("utf-8", "replace")), np.int64)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):  # words of other white space run into each other
-            each = [self.library.encode_ordinary((b" " + w).decode("utf-8", "replace")) for w in words]
+            each = [self.library.encode_ordinary((b" " + w).decode("utf-8", "replace")) for w in words.to_pylist()]
             return np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.int64)
         return np.diff(np.append(starts, len(ids))), ids
 
@@ -105,7 +110,7 @@ def segmenter(raw: bytes, pattern: str) -> Segmenter:
 _IS_WORD = bytes(b not in WHITE for b in range(256))
 
 
-def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _coded(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Number of words of each text, the words as numbers, and the distinct words that these count; A-Z lower-cased."""
     ends = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
     low = (bodies.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if bodies.buffers()[2] else b"").lower()
@@ -120,30 +125,73 @@ def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     letters = np.frombuffer(low, np.uint8)[of_word]
     offsets = np.append(np.flatnonzero(begins[of_word]), len(letters)).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    return n, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return n, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _words(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    n, which, distinct = _coded(bodies)
+    return n, which.astype(np.int64), distinct.to_pylist()
+
+
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where words end, from 0 on, and their bytes, one behind the other."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return ends - ends[0], data[ends[0] : ends[-1]]
+
+
+def _spaced(words: pa.Array) -> bytes:
+    """The words, each behind a space."""
+    ends, letters = _letters(words)
+    out = np.full(len(letters) + len(words), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[ends[:-1] + np.arange(len(words))] = False
+    out[own] = letters
+    return out.tobytes()
+
+
+#: Odd factors for the places of a word's first bytes in its hash; bytes further on take them again.
+_FACTORS = np.random.default_rng(8).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
+_MIXED = np.random.default_rng(9).integers(1 << 63, dtype=np.uint64, size=256)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """32 bits a word (no word is empty), of its bytes alone: sums of random numbers for bytes by factors for places, mixed."""
+    ends, letters = _letters(words)
+    if not len(words):
+        return np.zeros(0, "<u4")
+    place = np.arange(len(letters)) - np.repeat(ends[:-1], np.diff(ends))
+    h = np.add.reduceat(_MIXED.take(letters) * _FACTORS.take(place & 63), ends[:-1])
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype("<u4")
 
 
 def _pack(ids: list[int], held: list[bool], bodies: pa.Array, v) -> tuple:
     """A block's row, its words sorted by hash; word number 0 stands for the end of a text."""
-    n, which, words = _words(bodies)
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), "<u4", len(words))
+    n, which, words = _coded(bodies)
+    hashes = _hashes(words)
     order = np.argsort(hashes, kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
-    words = [words[i] for i in order.tolist()]
+    words = words.take(pa.array(order))
     sizes = n + 1
+    ends = np.cumsum(sizes)
     tokens = np.zeros(int(sizes.sum()), "<i4")
-    tokens[np.arange(len(which)) + np.repeat(np.arange(len(n)), n)] = place[which]
+    is_word = np.ones(len(tokens), bool)
+    is_word[ends - 1] = False
+    tokens[is_word] = place.take(which)
     learn = np.repeat(~np.array(held, bool), sizes)
     train = np.bincount(tokens[learn], minlength=len(words) + 1)
-    n, sub = v.segment(words)
+    n, sub = v.segment_spaced(words)
     n, sub = np.concatenate(([1], n)).astype("<i4"), np.concatenate(([v.end], sub)).astype("<u4")
     seen = np.bincount(sub, np.repeat(train, n), v.end + 1)
     found = np.flatnonzero(seen)
+    ends, letters = _letters(words)
     return (
-        ids, held, sizes.tolist(), tokens.tobytes(), b"".join(words), train[1:].astype("<i8").tobytes(), int(train[0]),
+        ids, held, sizes.tolist(), tokens.tobytes(), letters.tobytes(), train[1:].astype("<i8").tobytes(), int(train[0]),
         n.tobytes(), sub.tobytes(), found.tolist(), seen[found].astype(np.int64).tolist(),
-        np.fromiter(map(len, words), "<i4", len(words)).tobytes(), hashes[order].tobytes(), len(words),
+        np.diff(ends).astype("<i4").tobytes(), hashes[order].tobytes(), len(words),
     )
 
 
@@ -360,109 +408,147 @@ def _bounded(z: np.ndarray) -> np.ndarray:
     return np.clip(z, -_MOST, _MOST, out=z)
 
 
-def attend(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
-    """Hidden states of windows of input rows, and what the gradient needs."""
-    x = m["e"][rows]
+def _powers(z: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of bounded logits, and the sums of their rows; a mask is in z already.
+
+    Sums tell whether a bound matters: none does in a row whose sum is far from both ends, so logits are mostly not read for it.
+    """
+    ones = np.ones(z.shape[-1], z.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e.reshape(-1, len(ones)) @ ones
+    if len(total) and not (total.min() > _LEAST and total.max() < _LARGEST):
+        _bounded(z)
+        if mask is not None:
+            z += mask
+        np.exp(z, out=e)
+        total = e.reshape(-1, len(ones)) @ ones
+    return e, total
+
+
+def _through(m: dict[str, np.ndarray]) -> np.ndarray:
+    """There is one head, as wide as the hidden states: queries meet keys by q k', values come out by v o, and each product is one matrix."""
+    return np.concatenate((m["q"] @ m["k"].T * m["q"].dtype.type(1 / math.sqrt(DIMENSIONS)), m["v"] @ m["o"]), axis=1)
+
+
+def attend(m: dict[str, np.ndarray], rows: np.ndarray, since: int = 0) -> tuple:
+    """Hidden states of windows of input rows from a position on, and what the gradient needs; attention's weights are a by its sums."""
+    d = DIMENSIONS
+    x = m["e"].take(rows, axis=0)
     x += m["p"]
-    qkv = x @ np.concatenate((m["q"] / np.float32(math.sqrt(DIMENSIONS)), m["k"], m["v"]), axis=1)
-    q, k, v = (qkv[:, :, i * DIMENSIONS : (i + 1) * DIMENSIONS] for i in range(3))
-    a = _bounded(q @ np.ascontiguousarray(k.swapaxes(1, 2)))
-    a += _CAUSAL
-    np.exp(a, out=a)
-    a /= (a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, a.dtype)).reshape(*a.shape[:2], 1)
-    o = a @ v
-    return x + o @ m["o"], x, q, k, v, a, o
+    yv = (x.reshape(-1, d) @ _through(m)).reshape(*rows.shape, 2 * d)
+    y, v = yv[:, :, :d], yv[:, :, d:]
+    a = y[:, since:] @ x.swapaxes(1, 2)
+    a += _CAUSAL[since:]
+    a, sums = _powers(a, _CAUSAL[since:])
+    o = a @ v  # few columns are divided, not a's many
+    o /= sums.reshape(*o.shape[:2], 1)
+    return x[:, since:] + o, x, y, v, a, o, sums
 
 
 def _picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log softmax of rows at one place each; z is used up."""
-    _bounded(z)
-    own = z[np.arange(len(z)), which]
-    np.exp(z, out=z)
-    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
-
-
-def _within(m: dict[str, np.ndarray], h: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Logits of the members of each row's class; rows stand together by class, class c from edge[c] on."""
-    z = np.empty((edge[CLASSES], MEMBERS), h.dtype)
-    for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        of = slice(edge[c], edge[c + 1])
-        np.matmul(h[of], m["u"][c], out=z[of])
-        z[of] += m["c"][c]
+    at = np.arange(len(z)) * z.shape[1] + which
+    e, total = _powers(z)  # which bounds z where that matters
+    return _bounded(z.take(at)) - np.log(total)
+
+
+def _by_class(edge: np.ndarray) -> list[tuple[int, slice]]:
+    """Classes of frequent subwords that have rows, and their rows: those of class c from edge[c] on."""
+    edge = edge.tolist()
+    return [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+
+
+def _within(m: dict[str, np.ndarray], h: np.ndarray, classes: list[tuple[int, slice]], top: int) -> np.ndarray:
+    """Logits of the members of each row's class; rows stand together by class."""
+    z = np.empty((top, MEMBERS), h.dtype)
+    for c, of in classes:
+        own = z[of]
+        np.matmul(h[of], m["u"][c], out=own)
+        np.add(own, m["c"][c], out=own)
     return z
 
 
 def logs(m: dict[str, np.ndarray], s: Shape, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Log probability of each target: of its class, then of the member in it; rare subwords have a fixed share of their class."""
-    order = np.argsort(s.kind8[targets], kind="stable")
-    targets, h = targets[order], h[order]
-    kinds = s.kind[targets]
+    order = np.argsort(s.kind8.take(targets), kind="stable")
+    out = np.empty(len(order), h.dtype)
+    out[order] = _sorted_logs(m, s, h.take(order, axis=0), targets.take(order))
+    return out
+
+
+def _sorted_logs(m: dict[str, np.ndarray], s: Shape, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """logs() of positions that stand together by the class of their target."""
+    kinds = s.kind.take(targets)
     edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
     z = h @ m["w"]
     z += m["b"]
     found = _picked(z, kinds)
-    top = edge[CLASSES]
-    found[:top] += _picked(_within(m, h, edge), s.member[targets[:top]])
-    found[top:] += s.share[targets[top:]]
-    out = np.empty_like(found)
-    out[order] = found
-    return out
+    top = int(edge[CLASSES])
+    found[:top] += _picked(_within(m, h, _by_class(edge), top), s.member.take(targets[:top]))
+    found[top:] += s.share.take(targets[top:])
+    return found
 
 
 def _errors(z: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Gradient at logits whose right places are ``which``, each row weighing its share; z is used up. Bounds as in _picked."""
-    np.exp(_bounded(z), out=z)
-    z *= (share / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
-    z[np.arange(len(z)), which] -= share
-    return z
+    """Gradient at logits whose right places are ``which``, each row weighing its share. Bounds as in _picked."""
+    e, total = _powers(z)
+    e *= (share / total)[:, None]
+    e.reshape(-1)[np.arange(len(e)) * e.shape[1] + which] -= share
+    return e
 
 
 def _summed(like: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """x added up by row number, in an array of the shape of ``like``."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # sorted by radix; there are few rows in ``like``
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    out = np.zeros_like(like)
-    out[rows[first]] = np.add.reduceat(x[order], first)
-    return out
+    width = like.shape[1]
+    at = (rows.astype(np.int64) * width)[:, None] + np.arange(width)
+    return np.bincount(at.ravel(), x.ravel(), like.size).reshape(like.shape).astype(like.dtype)
 
 
 def gradient(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndarray, weigh: np.ndarray) -> dict[str, np.ndarray]:
-    h, x, q, k, v, a, o = attend(m, rows)
+    h, x, y, v, a, o, sums = attend(m, rows)
     n, d = rows.size, DIMENSIONS
     # positions stand together by the class of their target
-    order = np.argsort(s.kind8[targets.ravel()], kind="stable")
-    of_target = targets.ravel()[order]
-    kinds, sorted_h = s.kind[of_target], h.reshape(n, d)[order]
-    share = (weigh / weigh.sum()).ravel()[order]
+    order = np.argsort(s.kind8.take(targets.ravel()), kind="stable")
+    of_target = targets.ravel().take(order)
+    kinds, sorted_h = s.kind.take(of_target), h.reshape(n, d).take(order, axis=0)
+    share = (weigh / weigh.sum()).ravel().take(order)
     edge = np.searchsorted(kinds, np.arange(CLASSES + 1))
-    top = edge[CLASSES]
-    z = _errors(sorted_h @ m["w"] + m["b"], kinds, share)
+    top, classes = int(edge[CLASSES]), _by_class(edge)
+    z = sorted_h @ m["w"]
+    z += m["b"]
+    z = _errors(z, kinds, share)
     ones = np.ones(n, z.dtype)
     g = {"w": sorted_h.T @ z, "b": ones @ z, "u": np.zeros_like(m["u"]), "c": np.zeros_like(m["c"])}
     back = z @ m["w"].T
-    z = _errors(_within(m, sorted_h, edge), s.member[of_target[:top]], share[:top])
-    for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        of = slice(edge[c], edge[c + 1])
-        np.matmul(sorted_h[of].T, z[of], out=g["u"][c])
-        back[of] += z[of] @ m["u"][c].T
-        np.matmul(ones[of], z[of], out=g["c"][c])
-    dh = np.empty_like(back)
-    dh[order] = back
-    g["o"] = o.reshape(n, d).T @ dh
-    do = (dh @ m["o"].T).reshape(h.shape)
-    da, dv = do @ np.ascontiguousarray(v.swapaxes(1, 2)), a.swapaxes(1, 2) @ do
-    da -= ((do * o).reshape(n, d) @ np.ones(d, o.dtype)).reshape(*a.shape[:2], 1)  # do @ o is da times a, summed over a row
+    z = _errors(_within(m, sorted_h, classes, top), s.member.take(of_target[:top]), share[:top])
+    inner, turned = np.empty((top, d), z.dtype), np.ascontiguousarray(m["u"].swapaxes(1, 2))
+    for c, of in classes:
+        own = z[of]
+        np.matmul(sorted_h[of].T, own, out=g["u"][c])
+        np.matmul(own, turned[c], out=inner[of])
+        np.matmul(ones[of], own, out=g["c"][c])
+    head = back[:top]
+    head += inner
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    dh = back.take(place, axis=0)
+    do = dh / sums[:, None]  # a isn't divided by its sums
+    less = (do * o.reshape(n, d)) @ np.ones(d, o.dtype)  # do @ o is da times a, summed over a row
+    do = do.reshape(h.shape)
+    da = do @ v.swapaxes(1, 2)
+    da -= less.reshape(*a.shape[:2], 1)
     da *= a
-    # q came scaled from attend, k didn't
-    dqkv = np.empty((n, 3 * d), back.dtype)
-    np.multiply((da @ k).reshape(n, d), a.dtype.type(1 / math.sqrt(d)), out=dqkv[:, :d])
-    dqkv[:, d : 2 * d] = (da.swapaxes(1, 2) @ q).reshape(n, d)
-    dqkv[:, 2 * d :] = dv.reshape(n, d)
-    into = x.reshape(n, d).T @ dqkv
-    g["q"], g["k"], g["v"] = (into[:, i * d : (i + 1) * d] for i in range(3))
-    dx = dqkv @ np.concatenate((m["q"], m["k"], m["v"]), axis=1).T
+    dyv = np.empty((*rows.shape, 2 * d), back.dtype)
+    np.matmul(da, x, out=dyv[:, :, :d])
+    np.matmul(a.swapaxes(1, 2), do, out=dyv[:, :, d:])
+    dx = (da.swapaxes(1, 2) @ y).reshape(n, d)
     dx += dh
+    dyv = dyv.reshape(n, 2 * d)
+    dx += dyv @ _through(m).T
+    into = x.reshape(n, d).T @ dyv
+    of_qk, of_vo = into[:, :d] * a.dtype.type(1 / math.sqrt(d)), into[:, d:]
+    g |= {"q": of_qk @ m["k"], "k": of_qk.T @ m["q"], "v": of_vo @ m["o"].T, "o": m["v"].T @ of_vo}
     g["p"] = dx.reshape(h.shape).sum(0)
     g["e"] = _summed(m["e"], rows.ravel(), dx)
     return g
@@ -475,17 +561,16 @@ def learn(m: dict[str, np.ndarray], s: Shape, rows: np.ndarray, targets: np.ndar
     first, second, some_w, steps = np.zeros_like(w), np.zeros_like(w), np.empty_like(w), -(-len(rows) // BATCH)
     for step in range(1, steps + 1):
         some = order[(step - 1) * BATCH : step * BATCH]
-        g = flat(gradient(unflat(w), s, rows[some], targets[some], weigh[some]))
+        g = flat(gradient(unflat(w), s, rows.take(some, axis=0), targets.take(some, axis=0), weigh.take(some, axis=0)))
         now = rate * min(1.0, 2 * (1 - step / (steps + 1))) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        # first += 0.1 (g - first), second += 0.01 (g g - second), w -= now first / (sqrt(second) + 1e-8), without new arrays
+        # means of g and g g are 0.1 first and 0.01 second: w -= now 0.1 first / (sqrt(0.01 second) + 1e-8), without new arrays
         first *= np.float32(0.9)
-        first += np.multiply(g, np.float32(0.1), out=some_w)
+        first += g
         second *= np.float32(0.99)
         np.multiply(g, g, out=g)
-        g *= np.float32(0.01)
         second += g
         np.sqrt(second, out=g)
-        g += np.float32(1e-8)
+        g += np.float32(1e-7)
         np.divide(first, g, out=some_w)
         some_w *= np.float32(now)
         w -= some_w
@@ -531,13 +616,27 @@ class Stream:
 
     def scores(self, m: dict[str, np.ndarray], s: Shape) -> np.ndarray:
         """Log10 probability of each document."""
-        out = np.zeros(len(self.sizes))
-        for at in range(0, len(self.doc), SCORED):
-            which = np.arange(at, min(at + SCORED, len(self.doc)))
-            rows, subs, scored = self.windows(which, s)
-            found = logs(m, s, attend(m, rows)[0][scored], subs[scored])
-            out += np.bincount(np.repeat(self.doc[which], scored.sum(1)), found, len(out))
-        return out / math.log(10)
+        found = np.empty(len(self.subs), np.float32)
+        inputs = np.empty(len(self.subs) + CONTEXT, np.uint16)  # what stands before each subword, and room for the last window
+        inputs[0] = inputs[len(self.subs) :] = s.row[-1]
+        inputs[1 : len(self.subs)] = s.row.take(self.subs[:-1])
+        inputs = np.lib.stride_tricks.sliding_window_view(inputs, CONTEXT)
+        kinds = s.kind8.take(self.subs)
+        size = np.minimum(self.end[self.doc] - self.start, CONTEXT)
+        for since in (0, OVERLAP):  # first windows, then those whose first positions were scored by the window before
+            own = np.flatnonzero(self.fresh == since)
+            for at in range(0, len(own), SCORED):
+                which = own[at : at + SCORED]
+                h = attend(m, inputs[self.start[which]], since)[0]
+                n = size[which] - since
+                begin = np.cumsum(n) - n
+                step = np.arange(n.sum())
+                token = step + np.repeat(self.start[which] + since - begin, n)
+                order = np.argsort(kinds.take(token), kind="stable")
+                token = token.take(order)
+                place = (step + np.repeat(h.shape[1] * np.arange(len(which)) - begin, n)).take(order)
+                found[token] = _sorted_logs(m, s, h.reshape(-1, DIMENSIONS).take(place, axis=0), self.subs.take(token))
+        return np.add.reduceat(found, self.begin, dtype=np.float64) / math.log(10)
 
 
 def _inputs(made: DataFrame) -> DataFrame:

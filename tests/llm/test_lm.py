@@ -252,3 +252,45 @@ def test_a_merge_holds_few_megabytes(spark):
     local = spark.range(300).selectExpr("id as part", "1L as n", "unhex('00000000') as most")
     got = lm._tree(local, add, "part long, n long, most binary", 300, 1 << 20)
     assert got["n"] == 300 and int.from_bytes(got["most"], "little") <= 8
+
+
+def test_only_positions_that_are_scored_ask():
+    """Windows whose first positions were scored before ask from OVERLAP on; what comes out is the same."""
+    row = block(["the cat and the dog and the bird sang to the moon " * 7])
+    s, m = model(row)
+    m = {n: a + np.random.default_rng(6).normal(0, 0.2, a.shape).astype(np.float32) for n, a in m.items()}
+    stream = lm.Stream(row[3], row[2], row[7], row[8])
+    rows = stream.windows(np.arange(len(stream.doc)), s)[0]
+    assert np.allclose(lm.attend(m, rows, lm.OVERLAP)[0], lm.attend(m, rows)[0][:, lm.OVERLAP :], atol=1e-5)
+
+
+@pytest.mark.parametrize("far", [0.0, 59.0, 70.0, -70.0, 500.0, -500.0])
+def test_bounds_hold_where_they_matter(far):
+    """Logits beyond 60 either way count as that, masked ones as nothing, though most rows aren't read for it."""
+    z = np.random.default_rng(7).normal(size=(6, 8)).astype(np.float32)
+    z[2] += far
+    z[4, 3] += far
+    mask = np.where(np.arange(8) > np.arange(6)[:, None], np.float32(-1e9), np.float32(0))
+    for hide in (None, mask):
+        e, total = lm._powers(z.copy() if hide is None else z + hide, hide)
+        want = np.exp(np.clip(z.astype(np.float64), -60, 60)) * (1 if hide is None else hide == 0)
+        assert np.isfinite(e).all() and (total > 0).all()
+        assert np.allclose(e / total[:, None], want / want.sum(1, keepdims=True), atol=1e-5)
+
+
+def test_words_are_hashed_and_spaced_as_arrays():
+    words = [b"a", b"b", b"ab", b"ba", b"x" * 300, b"x" * 301, "ünder".encode(), *(f"w{i}".encode() for i in range(5000))]
+    array = pa.array([b"before", *words], pa.binary()).slice(1)
+    got = lm._hashes(array).tolist()
+    assert got == [int(lm._hashes(pa.array([w], pa.binary()))[0]) for w in words[:7]] + got[7:]
+    assert len(set(got)) > len(words) - 3 and np.bincount(np.array(got) >> 29, minlength=8).min() > 500
+    assert lm._spaced(array) == b" " + b" ".join(words) and len(lm._hashes(array[:0])) == 0
+
+
+def test_rows_are_added_up():
+    rng = np.random.default_rng(8)
+    rows, x = rng.integers(0, 50, 400).astype(np.int32), rng.normal(size=(400, 16)).astype(np.float32)
+    want = np.zeros((60, 16), np.float32)
+    np.add.at(want, rows, x)
+    got = lm._summed(np.zeros((60, 16), np.float32), rows, x)
+    assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-4)
