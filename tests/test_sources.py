@@ -3,9 +3,12 @@ from __future__ import annotations
 import io
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tallyweave.operators import records, reports
+from tallyweave.plans.oracle import ORACLE_SQL
+from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import files
 
 
@@ -100,3 +103,15 @@ def test_likeness_and_names(spark):
     assert [r[0] for r in df.select(reports.likeness(F.col("a"), F.col("b"))).collect()] == [100, 100, 42, 0]
     one = spark.createDataFrame([("ROSA EC FREED", "ROSA EC FREEDOM", 50, 25, "X")], "n string, v string, s int, p int, b string")
     assert one.select(records.rebuild_name(*(F.col(c) for c in "nvspb"))).first()[0] == "ROSA EC FREEDOM 50CM 25U X"
+
+
+def test_references_of_long_keys_are_those_of_the_sql(spark, tmp_path):
+    """Seven digits: lpad keeps six."""
+    keys = (7, 1_000_274, 1_001_460)
+    spark.createDataFrame([(k, "new ring 1", "Brand#1", "SMALL", 18, 1.0) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    sql = ORACLE_SQL["free_text_filter"]
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["free_text_filter"](spark, str(tmp_path)).collect()
+    assert {r.reference for r in got} == {"F000007", "F100027", "A100146"}
+    assert sorted(map(tuple, got)) == sorted(con.sql(sql).fetchall())
