@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave import streaming
 from tallyweave.operators import history, invoices, layouts, learning, linking, registry
 from tallyweave.plans import suppliers
+from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import tables
 
 
@@ -126,3 +129,24 @@ def test_split_and_group(spark):
     lines = spark.createDataFrame(base, "invoice long, line_no int, article_id long, provider_id long, variety string, stems int, bunches int, line_total double, box_type string, raw string").withColumn("amount", F.col("line_total").cast("decimal(18,2)"))
     assert rows(invoices.split_mixed(lines), "line_no", "variety", "stems", "line_total") == [(1, "A", 12, 5.01), (1, "B", 12, 5.01), (2, "A/B", 10, 4.0), (3, "C", 5, 2.0)]
     assert rows(invoices.group_boxes(lines), "position", "n_lines", "stems", "line_total")[1] == (2, 2, 15, 6.0)
+
+
+def broadcast_scans(plan):
+    """Joins of a plan that would send a table read from files through the driver; tables of a row a size (mixto_id) are none."""
+    nodes = [(re.match(r"[ :+-]*", x).end(), x) for x in plan.splitlines() if x.strip()]
+    found = []
+    for i, (depth, line) in enumerate(nodes):
+        if "BroadcastHashJoin" not in line:
+            continue
+        below = list(itertools.takewhile(lambda n: n[0] > depth, nodes[i + 1 :]))
+        first = next(k for k in range(1, len(below)) if below[k][0] == below[0][0])
+        build = below[first:] if "BuildRight" in line else below[:first]
+        if any("FileScan" in x for _, x in build) and not any("mixto_id" in x for _, x in build):
+            found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("name", ["evidence_scores"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    """Spark guesses a table's size from compressed files: a million articles came through the driver."""
+    assert not broadcast_scans(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
