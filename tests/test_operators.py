@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import streaming
-from tallyweave.operators import history, invoices, layouts, learning, linking, registry
+from tallyweave.operators import history, invoices, layouts, learning, linking, registry, reports
 from tallyweave.plans import suppliers
 from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import tables
@@ -146,7 +146,26 @@ def broadcast_scans(plan):
     return found
 
 
-@pytest.mark.parametrize("name", ["evidence_scores", "link_decisions", "suggest_candidates"])
+@pytest.mark.parametrize("name", ["evidence_scores", "link_decisions", "suggest_candidates", "alternatives"])
 def test_tables_that_grow_are_not_broadcast(spark, name):
     """Spark guesses a table's size from compressed files: a million articles came through the driver."""
     assert not broadcast_scans(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_best_articles_by_equal_columns(spark):
+    """Against all pairs: nulls are equal to nothing, and an article counts once with all its points."""
+    k = range(240)
+    names = ["HOT RING", "HOT ROD", "HOT", "COLD RING", None]
+    a = spark.createDataFrame([(i, names[i * 7 % 5], [None, 10, 20, 30][i % 4], i % 3, "AB"[i % 2]) for i in k], "id long, variety string, size int, pack int, brand string")
+    q = spark.createDataFrame([(i, names[i % 5], [10, None, 30][i % 3], [0, 1, None][i % 7 % 3], [None, "A", "B"][i % 11 % 3]) for i in k], "line_id long, variety string, size int, pack int, brand string")
+    got = rows(reports.alternatives(q, a), "line_id", "place", "article_id", "points")
+    want = []
+    for x in q.collect():
+        pairs = []
+        for y in a.collect():
+            if x.variety is None or y.variety is None or x.variety.split()[0] != y.variety.split()[0]:
+                continue
+            points = 10 if x.variety == y.variety else 3 if x.variety in y.variety or y.variety in x.variety else 0
+            pairs.append((-(points + sum(w for c, w in (("size", 5), ("pack", 3), ("brand", 2)) if x[c] is not None and x[c] == y[c])), y.id))
+        want += [(x.line_id, n + 1, i, -p) for n, (p, i) in enumerate(sorted(p for p in pairs if p[0] <= -5)[:5])]
+    assert got == sorted(want)
