@@ -146,7 +146,7 @@ def broadcast_scans(plan):
     return found
 
 
-@pytest.mark.parametrize("name", ["evidence_scores", "link_decisions", "suggest_candidates", "alternatives"])
+@pytest.mark.parametrize("name", ["evidence_scores", "link_decisions", "suggest_candidates", "alternatives", "linker_scores", "linker_decisions"])
 def test_tables_that_grow_are_not_broadcast(spark, name):
     """Spark guesses a table's size from compressed files: a million articles came through the driver."""
     assert not broadcast_scans(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
